@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, langid, mixing, resharding, simhash, warc
+from tidemark.llm import bpe, exact_dedup, langid, mixing, resharding, secrets, simhash, warc
 from tidemark.llm.common import table, text_or_empty
 
 SHARDS, OLD_SHARDS = 24, 16
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,14 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -42,7 +52,7 @@ def op10_warc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_indexed(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op4_simhash_groups, op8_language_id, op9_chunk_dedup, op10_warc_normalised)}
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op4_simhash_groups, op5_secret_spans, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
