@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, mixing, resharding, secrets, simhash, warc
+from tidemark.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, resharding, secrets, simhash, warc
 from tidemark.llm.common import table, text_or_empty
 
 SHARDS, OLD_SHARDS = 24, 16
@@ -26,6 +26,10 @@ def op2_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length(text).cast("long") + resharding.ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,6 +39,10 @@ def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -52,7 +60,7 @@ def op10_warc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_indexed(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op4_simhash_groups, op5_secret_spans, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised)}
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op3_weighted_fingerprints, op4_simhash_groups, op5_secret_spans, op6_main_text, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
