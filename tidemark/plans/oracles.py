@@ -243,3 +243,20 @@ put("t1_accepted", "SELECT channel, seq, CASE WHEN seq % 7 = 0 THEN ts_ns + 5 EL
 put("t2_running_totals", "SELECT channel, sum(CASE WHEN seq % 11 <> 0 THEN 1 ELSE 0 END)::BIGINT AS received, sum(CASE WHEN seq % 11 = 0 THEN 1 ELSE 0 END)::BIGINT AS overruns FROM s GROUP BY channel", final="SELECT * FROM r")
 put("t3_live_window", "SELECT min(value) AS a, max(value) AS b, count(*) AS n FROM s WHERE ts_ns >= (SELECT max(ts_ns) FROM s) - 100000000000000", final="SELECT '' AS \"group\", round(a - (b - a) * 0.05, 6) + 0.0 AS low, round(b + (b - a) * 0.05, 6) + 0.0 AS high, n FROM r")
 put("t4_fan_out", "SELECT channel, seq * n + i AS seq, ts_ns + floor(i * (1000000.0 / n))::BIGINT AS ts_ns, v AS value FROM (SELECT label::VARCHAR AS channel, vec_id AS seq, vec_id * 1000000 AS ts_ns, len(embedding) AS n, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings)", digits=5)
+
+_KEYLESS = "SELECT channel, ts_ns, round(value, 6) + 0.0 AS value FROM r"
+put("s1_s2_grid_import", "SELECT 'value' AS channel, ts_ns, value FROM s", final=_KEYLESS)
+put("s4_o2_csv_round_trip", "SELECT * FROM s WHERE channel IN ('click', 'view')", final=_KEYLESS)
+put("s8_o5_json_round_trip", "SELECT * FROM s", final=_KEYLESS)
+_CELL = "CASE WHEN seq % 9 = 0 OR seq % 10 = 0 THEN 0 ELSE value END AS value"
+put("i1_i5_i6_import", f"SELECT 'v' AS channel, seq, ((ts_ns // 1000000)::DOUBLE * 1e6)::BIGINT AS ts_ns, {_CELL} FROM s WHERE seq BETWEEN 100 AND 8000 UNION ALL SELECT 'ColC', event_id, ((epoch_us(ts) // 1000)::DOUBLE * 1e6)::BIGINT, user_id FROM events")
+put("i2_i7_frequency_import", f"SELECT 'v' AS channel, seq, seq * 1000000000000 AS ts_ns, {_CELL} FROM s WHERE seq % 4 <> 0")
+put("i3_i4_rate_import", f"SELECT 'v' AS channel, seq, (seq - 50) * 4000000 AS ts_ns, {_CELL} FROM s WHERE seq >= 50")
+put("i8_i9_import", "SELECT 'v' AS channel, event_id AS seq, (epoch_us(ts) - (SELECT arg_min(epoch_us(ts), event_id) FROM events)) * 1000 + 2500000000 AS ts_ns, user_id::DOUBLE AS value FROM events")
+ORACLES["q1_bad_cells"] = "SELECT 'B' AS \"column\", false AS axis, count(*) AS count, 'n/a' AS first_cell, min(event_id) AS first_row FROM events WHERE event_id % 9 = 0 UNION ALL SELECT 'A', true, count(*), 'x' || min(event_id), min(event_id) FROM events WHERE event_id % 50 = 7"
+ORACLES["s6_json_records"] = "SELECT count(event_id) AS n, 0::BIGINT AS nested, round(sum(value), 2) + 0.0 AS total FROM events"
+put("s10_o6_session", "SELECT * FROM s WHERE channel IN ('click', 'error')")
+put("o7_split_domains", "SELECT count(*) AS n, greatest(2, pow(2, ceil(log2(count(*)))))::BIGINT AS n_fft FROM s GROUP BY channel", final="SELECT sum(n)::BIGINT AS n_time, sum(n_fft // 2 + 1)::BIGINT AS n_frequency FROM r")
+put("t1_stream_record", "SELECT * FROM s WHERE seq % 11 <> 0")
+ORACLES["t5_stream_integral"] = ORACLES["w6_integral"]
+ORACLES["t5_stream_forward_fill"] = ORACLES["w7_forward_fill"]

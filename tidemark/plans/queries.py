@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.frame import SignalFrame
 from tidemark.functions import elementwise as e
 from tidemark.operators import align, catalog, filters, measure, segments, spectra, windows
-from tidemark.sources import sinks, tables
-from tidemark.streaming import ingest
+from tidemark.scratch import new_folder
+from tidemark.sources import json_files, sinks, tables, text
+from tidemark.sources import profile as importing
+from tidemark.streaming import ingest, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -541,3 +543,130 @@ def t4_fan_out(spark, sf_dir):
 @query
 def x1_backward_fill(spark, sf_dir):
     return out(windows.backward_fill(tables.events(spark, sf_dir), 50.0, 25.0))
+
+
+@query
+def s1_s2_grid_import(spark, sf_dir):
+    """Events written as CSV, read as a grid and imported by a profile."""
+    path = new_folder(spark, "grid")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev.select(tables.nanoseconds("ts"), "value", "event_type").write.option("sep", ";").csv(path)
+    profile = importing.ImportProfile((importing.ColumnMapping("A", importing.X_TIME, unit="ns"), importing.ColumnMapping("B", name="value")))
+    f = importing.import_profile(text.read_grid_csv(spark, path, ";"), profile).frame
+    return f.samples.select("channel", "ts_ns", rounded("value").alias("value"))
+
+
+def _cells(spark, sf_dir, x: Column) -> DataFrame:
+    """Events as a grid: an axis, values with a decimal comma, every ninth no number, every tenth blank."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    value = F.when(F.col("event_id") % 9 == 0, "n/a").when(F.col("event_id") % 10 == 0, " ").otherwise(F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")))
+    return ev.select(F.col("event_id").alias("row_idx"), F.array(x, value, F.col("user_id").cast("string")).alias("cells"))
+
+
+def _imported(spark, sf_dir, x: Column, axis: importing.ColumnMapping, *columns: importing.ColumnMapping) -> importing.Imported:
+    return importing.import_profile(_cells(spark, sf_dir, x), importing.ImportProfile((axis, *columns), decimal=","))
+
+
+@query
+def i1_i5_i6_import(spark, sf_dir):
+    """Milliseconds, a row range, numbers and blanks."""
+    got = _imported(spark, sf_dir, (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").cast("string"), importing.ColumnMapping("A", importing.X_TIME, unit="ms"), importing.ColumnMapping("B", name="v", row_start=100, row_end=8000), importing.ColumnMapping("C"))
+    return out(got.frame)
+
+
+@query
+def i2_i7_frequency_import(spark, sf_dir):
+    """kHz, and rows without an axis value left out."""
+    got = _imported(spark, sf_dir, F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_id").cast("string")), importing.ColumnMapping("A", importing.X_FREQUENCY, unit="kHz"), importing.ColumnMapping("B", name="v"))
+    return out(got.frame)
+
+
+@query
+def i3_i4_rate_import(spark, sf_dir):
+    """A period of 3 ms in place of the axis column, from row 50 on."""
+    got = _imported(spark, sf_dir, F.lit("0"), importing.ColumnMapping("A", importing.X_TIME), importing.ColumnMapping("B", name="v", sample_rate_hz=importing.rate_hz(4, "ms"), row_start=50))
+    return out(got.frame)
+
+
+@query
+def i8_i9_import(spark, sf_dir):
+    """Relative to the first row, then 2.5 s later."""
+    got = _imported(spark, sf_dir, tables.nanoseconds("ts").cast("string"), importing.ColumnMapping("A", importing.X_TIME, unit="ns"), importing.ColumnMapping("C", name="v", relative_time=True, time_offset_s=2.5))
+    return out(got.frame)
+
+
+@query
+def q1_bad_cells(spark, sf_dir):
+    bad_x = F.when(F.col("event_id") % 50 == 7, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.col("event_id").cast("string"))
+    got = _imported(spark, sf_dir, bad_x, importing.ColumnMapping("A", importing.X_TIME), importing.ColumnMapping("B"), importing.ColumnMapping("C"))
+    return got.bad_cells
+
+
+@query
+def s4_o2_csv_round_trip(spark, sf_dir):
+    """Two channels as paired CSV with exact nanoseconds, read by its titles."""
+    path = new_folder(spark, "paired")
+    sinks.write_wide_csv(tables.events(spark, sf_dir).only("click", "view"), path, absolute_ns=True, paired=True)
+    # A folder of part files with a title line each: titles are no numbers and left out.
+    f = text.read_signal_csv(spark, path)
+    return f.samples.select("channel", "ts_ns", rounded("value").alias("value"))
+
+
+@query
+def s8_o5_json_round_trip(spark, sf_dir):
+    path = new_folder(spark, "json")
+    sinks.write_signal_json(tables.events(spark, sf_dir), path)
+    f = json_files.read_signal_json(spark, path)
+    return f.samples.select("channel", "ts_ns", rounded("value").alias("value"))
+
+
+@query
+def s6_json_records(spark, sf_dir):
+    path = new_folder(spark, "records")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", F.struct("user_id").alias("nested")).write.json(path)
+    got = json_files.read_json_records(spark, path, json_lines=True)
+    return got.agg(F.count("event_id").alias("n"), F.count("nested").alias("nested"), rounded(F.sum(F.col("value").cast("double")), 2).alias("total"))
+
+
+@query
+def s10_o6_session(spark, sf_dir):
+    path = new_folder(spark, "session")
+    sinks.save_session(tables.events(spark, sf_dir), path)
+    return out(sinks.open_signals(spark, path).only("click", "error"))
+
+
+@query
+def o7_split_domains(spark, sf_dir):
+    f = tables.events(spark, sf_dir)
+    both = catalog.add(f, spectra.rfft_magnitude(f).renamed(F.concat("channel", F.lit(" spectrum"))))
+    written = sinks.save_split(both, new_folder(spark, "split"), sinks.save_session)
+    time, frequency = (sinks.load_session(spark, w).samples for w in written)
+    return time.groupBy().agg(F.count(F.lit(1)).alias("n_time")).crossJoin(frequency.groupBy().agg(F.count(F.lit(1)).alias("n_frequency")))
+
+
+def _streamed(spark, sf_dir, label: str, run) -> DataFrame:
+    """What a stream over the events table writes until it has read all there is."""
+    path = new_folder(spark, label)
+    ev = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet")
+    samples = ev.select(F.col("event_type").alias("channel"), F.col("event_id").alias("seq"), tables.nanoseconds("ts").alias("ts_ns"), "value")
+    q = run(samples).writeStream.format("parquet").option("path", path).option("checkpointLocation", path + ".state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query
+def t5_stream_integral(spark, sf_dir):
+    return out(_streamed(spark, sf_dir, "integral", stateful.integral), 2)
+
+
+@query
+def t5_stream_forward_fill(spark, sf_dir):
+    return out(_streamed(spark, sf_dir, "fill", lambda s: stateful.forward_fill(s, 50.0, 25.0)))
+
+
+@query
+def t1_stream_record(spark, sf_dir):
+    def notified(s: DataFrame) -> DataFrame:
+        return ingest.accepted(s.select("channel", "seq", F.lit(0).cast("long").alias("plc_ts_ns"), F.col("ts_ns").alias("host_ts_ns"), F.when(F.col("seq") % 11 == 0, 4).otherwise(8).alias("payload_len"), "value"))
+
+    return out(_streamed(spark, sf_dir, "record", notified))
