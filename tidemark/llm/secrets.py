@@ -4,8 +4,8 @@ One first-order Markov model is trained on random strings, one on ordinary
 identifiers. A run of 20 or more key characters is a secret where its
 log-likelihood ratio, random over ordinary, exceeds the log of the prior odds
 and it holds at least one digit. The labelled samples: ordinary tokens are
-those of a bounded, hashed sample of documents outside the patterns' spans,
-alone and joined into identifiers; random strings are the patterns' findings
+those of a bounded, hashed sample of documents outside the patterns' spans
+and the runs to be judged, alone and joined into identifiers; random strings are the patterns' findings
 in that sample and strings drawn from the usual key alphabets by a seed.
 
 Defined cases: null text is the empty text without spans; texts are scanned
@@ -36,6 +36,7 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Runs that the models judge; the prior odds of ordinary to random; documents sampled for training at most.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ODDS, SAMPLE_DOCS = 1e6, 4000
+_DIGIT = re.compile(r"[0-9]")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _N = len(_ALPHABET) + 1  # the last state is a string's beginning
 _KEYS = ("0123456789abcdef", "0123456789ABCDEF", _ALPHABET[:62], _ALPHABET[:64], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789")
@@ -70,9 +71,17 @@ def random_strings(n: int = 6000, seed: int = 5) -> list[str]:
 
 
 def log_ratio(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of every character pair, counts smoothed by one."""
-    p, q = ((c + 1) / (c + 1).sum(axis=1, keepdims=True) for c in (random, ordinary))
-    return np.log(p) - np.log(q)
+    """Log-likelihood ratio of every character pair.
+
+    Pairs are smoothed by single characters, so a capital or digit after
+    something never seen is still as rare as capitals and digits are.
+    """
+
+    def model(pairs: np.ndarray) -> np.ndarray:
+        single = pairs.sum(axis=0) + 0.5
+        return (pairs + 5 * single / single.sum()) / (pairs.sum(axis=1, keepdims=True) + 5)
+
+    return np.log(model(random)) - np.log(model(ordinary))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -86,7 +95,9 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
                 for a, _, b in spans:
                     rest.append(text[at:a])
                     at = max(at, b)
-                words = re.findall(r"[A-Za-z0-9+/_=-]{3,}", " ".join([*rest, text[at:]]))
+                # What the models are to judge has no label yet and is in neither sample.
+                rest = RUN.sub(lambda m: " " if _DIGIT.search(m[0]) else m[0], " ".join([*rest, text[at:]]))
+                words = re.findall(r"[A-Za-z0-9+/_=-]{3,}", rest)
                 if words:
                     ordinary += transitions(words) + transitions(["_".join(words[i : i + 3]) for i in range(0, len(words), 3)])
                     ordinary += transitions([words[i] + "".join(w.capitalize() for w in words[i + 1 : i + 3]) for i in range(0, len(words), 3)])
@@ -112,7 +123,7 @@ def scan_text(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     for m in runs:
         codes = _CODE[np.frombuffer(m[0].encode("ascii"), np.uint8)]
         ratio = table[_N - 1, codes[0]] + table[codes[:-1], codes[1:]].sum()
-        if ratio > np.log(ODDS) and ((codes >= 52) & (codes < 62)).any():
+        if ratio > np.log(ODDS) and _DIGIT.search(m[0]):
             spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 
