@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages that training reads at most, pages made of each, and the labeller's measures.
-TRAIN_PAGES, VARIANTS = 120, 4
+TRAIN_PAGES, VARIANTS = 120, 6
 PATH_DIM, WORD_DIM, HIDDEN = 64, 16, 16
 _INPUT = PATH_DIM + WORD_DIM + 3
 
@@ -245,13 +245,21 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-# Names that boilerplate and articles go by, for the made training pages.
+# What boilerplate of the made training pages is built from: elements with names they go by, and contents.
 _OTHER = (
-    "<nav{c}><ul>{l}</ul></nav>|menu navigation navbar main-nav site-nav breadcrumbs pagination", "<header{c}><div>{t}</div>{l}</header>|site-header header masthead topbar page-header banner",
-    "<footer{c}><p>{t}</p>{l}</footer>|site-footer footer page-footer colophon copyright", "<aside{c}><h3>{t}</h3><ul>{l}</ul></aside>|sidebar widget related related-posts trending recommended",
-    "<div{c}><p>{t}</p></div>|cookie cookie-notice cookie-banner notice consent gdpr alert newsletter subscribe promo modal popup sidebar widget", "<div{c}>{t}</div>|ad ads advert advertisement ad-banner sponsor sponsored promo adslot",
-    "<form{c}><p>{t}</p><label>{s}</label><input type=\"text\"><button>{s}</button></form>|search search-form login newsletter-form contact-form subscribe-form", "<section{c}><h2>{s}</h2><div class=\"comment\"><p>{t}</p></div><div class=\"comment\"><p>{u}</p></div></section>|comments reader-comments comment-list responses discussion",
-    "<div{c}><h3>{s}</h3><ul><li><p>{t}</p></li><li><p>{u}</p></li></ul></div>|comments comment-list user-comments replies reader-comments disqus", "<div{c}><a href=\"#\">{s}</a> <a href=\"#\">{s}</a></div>|share social share-buttons tags breadcrumb menu nav skip-link author-bio related",
+    ("nav", "menu navigation navbar main-nav site-nav breadcrumbs pagination"),
+    ("header", "site-header header masthead topbar page-header banner"),
+    ("footer", "site-footer footer page-footer colophon copyright"),
+    ("aside", "sidebar widget related related-posts trending recommended"),
+    ("form", "search search-form login newsletter-form contact-form subscribe-form"),
+    ("div section", "cookie cookie-notice cookie-banner notice consent gdpr alert newsletter subscribe promo modal popup"),
+    ("div section p", "ad ads advert advertisement ad-banner sponsor sponsored promo adslot notice"),
+    ("div section ul", "comments reader-comments comment-list responses discussion user-comments replies"),
+    ("div section ul", "sidebar widget menu nav related related-posts share social tags breadcrumb author-bio"),
+)
+_CONTENT = (
+    "{t}", "<p>{t}</p>", "<p>{t}</p><p>{u}</p>", "<h3>{s}</h3><p>{t}</p>", "<ul>{l}</ul>", "<h3>{s}</h3><ul>{l}</ul>", "<h2>{s}</h2><div class=\"comment\"><p>{t}</p></div><div class=\"comment\"><p>{u}</p></div>",
+    "<article class=\"comment\"><p>{t}</p></article>", "<li><p>{t}</p></li><li>{u}</li>", "<a href=\"#\">{s}</a> <a href=\"#\">{s}</a>", "<p>{t}</p><label>{s}</label><input type=\"text\"><button>{s}</button>", "<div>{t} <button>{s}</button></div>",
 )
 _ARTICLE = ("article", "article", "article", "main", 'div class="article"', 'div class="article-body"', 'div class="post-content"', 'div class="entry-content"', 'div id="content"', 'section class="article-content"', 'article class="post"')
 _OPEN, _SHUT = re.compile(r"<(article|main)\b[^>]*>", re.IGNORECASE), re.compile(r"</(article|main)\s*>", re.IGNORECASE)
@@ -272,11 +280,13 @@ def made_pages(page: str, rng: np.random.Generator, variants: int = VARIANTS) ->
         return html_codes.escape(" ".join(words[at : at + int(rng.integers(low, high))]) or "text")
 
     def other() -> str:
-        shape, _, names = _OTHER[int(rng.integers(len(_OTHER)))].partition("|")
-        names = names.split()
-        named = f' {("class", "id")[int(rng.random() < 0.2)]}="{names[int(rng.integers(len(names)))]}"' if rng.random() < 0.8 or shape.startswith(("<div", "<section")) else ""
+        tags, names = (x.split() for x in _OTHER[int(rng.integers(len(_OTHER)))])
+        tag = tags[int(rng.integers(len(tags)))]
+        # An element that says nothing by itself always has a name.
+        named = f' {("class", "id")[int(rng.random() < 0.2)]}="{names[int(rng.integers(len(names)))]}"' if rng.random() < 0.7 or tag in ("div", "section", "ul", "p") else ""
+        shape = _CONTENT[int(rng.integers(len(_CONTENT)))] if tag != "p" else "{t}"
         links = "".join(f'<li><a href="#">{some(1, 4)}</a></li>' for _ in range(int(rng.integers(1, 6))))
-        return shape.format(c=named, l=links, t=some(2, 40), u=some(2, 40), s=some(1, 4))
+        return f"<{tag}{named}>" + shape.format(l=links, t=some(2, 40), u=some(2, 40), s=some(1, 4)) + f"</{tag}>"
 
     out = []
     for v in range(variants + 1):
@@ -285,7 +295,7 @@ def made_pages(page: str, rng: np.random.Generator, variants: int = VARIANTS) ->
             wrap = _ARTICLE[int(rng.integers(len(_ARTICLE)))]
             before = "".join(other() for _ in range(int(rng.integers(0, 3))))
             after = "".join(other() for _ in range(int(rng.integers(0, 3))))
-            inside = [other() if rng.random() < 0.35 else "" for _ in range(2)]
+            inside = [other() if rng.random() < 0.5 else "" for _ in range(2)]
         parts = re.split(r"(?<=</p>)", body)
         cut = int(rng.integers(0, len(parts) + 1)) if v else 0
         pieces = [(head + before, 0), (f"<{wrap}>", 0), ("".join(parts[:cut]), 1), (inside[0], 0), ("".join(parts[cut:]), 1), (inside[1], 0), (f"</{wrap.split()[0]}>", 0), (after + tail, 0)]
