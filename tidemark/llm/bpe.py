@@ -1,7 +1,7 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 1. A task splits its documents into pre-tokens and numbers the distinct ones
-   of a block (some 32 MB of text). A document becomes its positions: the
+   of a block (some 16 MB of text). A document becomes its positions: the
    packed list of word numbers, the commonest word having the least.
 2. The distinct words of all blocks are dealt by a hash of the word, packed
    by bucket. Every word meets its copies there and is encoded once.
@@ -21,10 +21,12 @@ table gives an empty result; further columns are carried only where named.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+import uuid
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import count, islice
 
@@ -37,10 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stored
+from tidemark.scratch import new_folder
 
 #: Characters of text in a block; blocks end with the document that reaches it.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 _DOC, _ORDER = -2, -1
 _PACKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ordinal", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
@@ -65,8 +67,8 @@ def splitter(pattern: str) -> regex.Pattern:
 
 
 @lru_cache(maxsize=4)
-def newer_letters(vocab_path: str, pattern: str) -> re.Pattern:
-    """Letters and numbers of a newer Unicode than the encoder's library has; to it they are signs.
+def newer_letters(vocab_path: str, pattern: str) -> tuple[str, re.Pattern]:
+    """Letters and numbers of a newer Unicode than the encoder's library has, the least of them first; to it they are signs.
 
     A sign joins the apostrophe after it, a letter leaves it to the
     contraction, so what the library makes of the pair tells which it is.
@@ -76,15 +78,19 @@ def newer_letters(vocab_path: str, pattern: str) -> re.Pattern:
     known = regex.compile(r"[\p{L}\p{N}]")
     large = ((0x4E00, 0x9FA6), (0xAC00, 0xD7A4), (0xD800, 0xE000), (0x20000, 0x2A6D7))
     new = [c for c in map(chr, (x for x in range(0x80, 0x32400) if not any(a <= x < b for a, b in large))) if known.match(c) and turn(c + "'s")[-len(apart) :] != apart]
-    return re.compile("[" + "".join(map(re.escape, new)) + "]" if new and len(apart) == 1 else r"(?!)")
+    if not new or len(apart) != 1:
+        return chr(0x10FFFF), re.compile(r"(?!)")
+    return new[0], re.compile("[" + "".join(map(re.escape, new)) + "]")
 
 
 def pre_tokens(text: str, vocab_path: str, pattern: str) -> Iterator[list[str]]:
     """Lists of pre-tokens, in order; very long texts in several."""
     p, seen = splitter(pattern), text
-    if not text.isascii() and (newer := newer_letters(vocab_path, pattern)).search(text):
-        seen = newer.sub("\u00a4", text)
-    if len(text) < 1 << 22 and seen is text:
+    if not text.isascii():
+        least, newer = newer_letters(vocab_path, pattern)
+        if max(text) >= least:
+            seen = newer.sub("\u00a4", text)
+    if len(text) < 1 << 22 and seen == text:
         yield p.findall(text)
         return
     found = (text[m.start() : m.end()] for m in p.finditer(seen))
@@ -147,12 +153,32 @@ class _Block:
         yield pd.DataFrame({"block": block, "bucket": [_ORDER, *(b for b, _ in packed)], "ordinal": 0, "payload": [_squeeze(of), *(p for _, p in packed)]} | dict.fromkeys(names))
 
 
+#: What becomes of a document's ids: names and types of columns, and their values.
+Finish = Callable[[np.ndarray], tuple]
+
+
 def encode(docs: DataFrame, vocab_path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row a document: the carried columns, n_tokens and ids (little-endian unsigned 32-bit)."""
+    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    return _encoded(docs, vocab_path, pattern, carry, made, lambda ids: (len(ids), ids.tobytes()))
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder in buckets of column block, so that it is joined by block where it lies."""
+    spark, name = df.sparkSession, f"bpe_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "block").option("path", new_folder(spark, "bpe-words")).saveAsTable(name)
+    out = spark.table(name)
+    _ = out.schema  # resolved: files and buckets are known, the name isn't needed again
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _encoded(docs: DataFrame, vocab_path: str, pattern: str, carry: tuple[str, ...], made: T.StructType, finish: Finish) -> DataFrame:
     names = [f"__c{i}" for i in range(len(carry))]
     source = docs.select("text", *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     kinds = [T.StructField(n, docs.schema[c].dataType) for c, n in zip(carry, names, strict=True)]
-    buckets = min(1 << 16, max(256, docs.rdd.getNumPartitions()))
+    parts = docs.rdd.getNumPartitions()
+    buckets = min(1 << 16, max(256, parts))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made, block = 0, _Block()
@@ -196,23 +222,25 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, carry: tuple[str, ...
         flat = np.frombuffer(b"".join(d for _, d in got), "<u4")
         sizes[by] = np.concatenate([s for s, _ in got]).astype(np.int64) // 4 if got else 0
         starts[by] = np.concatenate(([0], np.cumsum(sizes[by])[:-1])) if len(of) else 0
-        ids, n = [], []
+        values = []
         for payload in rows["payload"]:
             ranks = _unsqueeze(payload)
             long = sizes[ranks]
             shift = starts[ranks] - np.concatenate(([0], np.cumsum(long)[:-1])) if len(ranks) else long
-            at = np.repeat(shift, long) + np.arange(long.sum())
-            ids.append(flat[at].tobytes())
-            n.append(len(at))
+            values.append(finish(flat[np.repeat(shift, long) + np.arange(long.sum())]))
         out = {k: rows[k].astype(object).where(rows[k].notna(), None).tolist() for k in names}
-        return pd.DataFrame(out | {"n_tokens": n, "ids": ids})
+        return pd.DataFrame(out | {f.name: [v[i] for v in values] for i, f in enumerate(made)})
 
-    packed = stored(source.mapInPandas(split, T.StructType([*_PACKED.fields, *kinds])), "bpe-words")
+    packed = _bucketed(source.mapInPandas(split, T.StructType([*_PACKED.fields, *kinds])), min(4096, max(8, 2 * parts)))
     words = packed.filter("bucket >= 0").select("block", "bucket", "payload").repartition("bucket").sortWithinPartitions("bucket")
     words = words.mapInPandas(encode_words, "block long, bucket int, payload binary")
     rows = packed.filter("bucket < 0")
-    out = T.StructType([*kinds, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(assemble, out).withColumnsRenamed(dict(zip(names, carry, strict=True)))
+    return rows.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(assemble, T.StructType([*kinds, *made.fields])).withColumnsRenamed(dict(zip(names, carry, strict=True)))
+
+
+def joined_bytes(ids: np.ndarray, vocab_path: str) -> bytes:
+    """The ids joined with the token-byte table."""
+    return b"".join(map(token_bytes(vocab_path).__getitem__, ids.tolist()))
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -220,13 +248,19 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
 
     @F.pandas_udf(T.BinaryType())
     def join_bytes(column: pd.Series) -> pd.Series:
-        of = token_bytes(vocab_path).__getitem__
-        return pd.Series([b"".join(map(of, np.frombuffer(ids, "<u4").tolist())) for ids in column])
+        return pd.Series([joined_bytes(np.frombuffer(ids, "<u4"), vocab_path) for ids in column])
 
     return encoded.withColumn("decoded", join_bytes("ids"))
 
 
 def round_trip(docs: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    done = decode(encode(docs, vocab_path, pattern), vocab_path)
-    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document.
+
+    Ids are decoded in the task that has joined them, and only digests leave it.
+    """
+
+    def digests(ids: np.ndarray) -> tuple[int, str, str]:
+        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(joined_bytes(ids, vocab_path)).hexdigest()
+
+    made = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return _encoded(docs, vocab_path, pattern, ("doc_id",), made, digests)
