@@ -1,27 +1,101 @@
+import hashlib
 import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
 
 import corpus_pipeline
 from tests.llm.helpers import DOCS, awkward, documents, prose
+from tests.llm.test_dedup import brute_fingerprint, lowered
+from tidemark.llm import bpe, langid
+
+
+def order(x):
+    return (x[0] is None, x[0] or 0, x[1] or "")
+
+
+def rows_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=order)
+
+
+def brute_language(rows):
+    """What stays is what has a letter and some likeness to a language's bundle."""
+    sums = defaultdict(lambda: 0)
+    for r in rows:
+        if not r["held"] and r["lang"] and langid.has_letter(r["text"]):
+            sums[r["lang"]] = sums[r["lang"]] + langid.bundles([r["text"]])[0].astype(float)
+    proto = [v / np.linalg.norm(v) for v in sums.values()]
+    keep = [r for r in rows if langid.has_letter(r["text"]) and max(float(langid.bundles([r["text"]])[0] @ p) for p in proto) >= 0.05]
+    return sorted(((r["doc_id"], r["text"]) for r in keep), key=order)
+
+
+def brute_exact(rows):
+    best = {}
+    for d, t in rows:
+        k = lowered(t)
+        if k not in best or (d is not None and (best[k][0] is None or d > best[k][0])):
+            best[k] = (d, t)
+    return Counter((d, lowered(t)) for d, t in best.values())
 
 
-def test_stages_and_run(spark, tmp_path):
+def brute_near(rows):
+    fps, root = [brute_fingerprint(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        groups[find(i)].append((d is None, d))
+    return Counter(min(g)[1] for g in groups.values())
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
     rng = random.Random(1)
-    docs = awkward() + [(100 + i, prose(rng, 50), "en", f"s{i % 4}") for i in range(80)]
+    long = prose(rng, 600)
+    docs = awkward() + [(100 + i, prose(rng, 50), "en", f"s{i % 4}") for i in range(80)] + [(300 + i, long + " z" * i, "en", "s1") for i in range(4)]
     df = documents(spark, docs)
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    at = df
-    counts = [at.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, str(tmp_path))
-        assert at.columns == df.columns, name
-        at.write.parquet(f"{tmp_path}/{name}")
-        at = spark.read.parquet(f"{tmp_path}/{name}")
-        counts.append(at.count())
-    # Null, empty and blank texts go, and one that is nothing but x; copies go; the mix takes about one and a half times the words.
-    assert counts[1] == counts[0] - 4 and counts[2] < counts[1] and counts[3] <= counts[2]
-    out = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == counts[4]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[4]
+    stages, at, sf_dir = dict(corpus_pipeline.STAGES), df, str(tmp_path)
+    assert list(stages) == ["language_id", "exact_dedup", "near_dedup", "mixing", "byte_bpe"]
+
+    def then(name):
+        out = stages[name](spark, at, sf_dir)
+        assert out.columns == df.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    want = brute_language(at.withColumn("held", langid.held_out(at["doc_id"])).collect())
+    at = then("language_id")
+    assert rows_of(at) == want and len(want) == len(docs) - 4
+    want = brute_exact(rows_of(at))
+    at = then("exact_dedup")
+    assert Counter((d, lowered(t)) for d, t in rows_of(at)) == want
+    want = brute_near(rows_of(at))
+    at = then("near_dedup")
+    assert Counter(d for d, _ in rows_of(at)) == want
+
+    size = lambda t: len((t or "").encode().split())
+    before = at.select("doc_id", "text", "source").collect()
+    at = then("mixing")
+    times = Counter((r["doc_id"], r["text"]) for r in at.collect())
+    assert all(times[r["doc_id"], r["text"]] <= 2 for r in before)
+    total = sum(size(r["text"]) for r in before)
+    taken = sum(size(t) * n for (_, t), n in times.items())
+    assert abs(taken - 1.5 * total) < 0.05 * total
+
+    enc = bpe.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    last = stages["byte_bpe"](spark, at, sf_dir)
+    want = Counter((d, len(ids := enc.encode_ordinary(t or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows_of(at))
+    assert Counter(tuple(r) for r in last.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
 
 
 def test_empty(spark, tmp_path):
