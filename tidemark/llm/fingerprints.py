@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_or_empty
 
-#: Samples of a fingerprint; rows of a bucket on average.
-SAMPLES, BUCKET_ROWS = 32, 500
+#: Samples of a fingerprint; rows of a bucket and of a task on average; tasks at most.
+SAMPLES, BUCKET_ROWS, TASK_ROWS, MOST_TASKS = 32, 250, 1000, 100_000
 _BITS = 21
 _LOW = (1 << 32) - 1
 
@@ -57,10 +57,10 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFram
     """Rows (bucket, nth, doc_id, text, next_text), next by descending id, and (bucket, before): whose last row a bucket's first follows."""
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    # Equal spans of id; a null id is below all.
+    # Equal spans of id; a null id is below all. Never null, so that no branch filters it and both share one exchange.
     span = ((high or 0) - (low or 0) + 1) / max(1, math.ceil(n / bucket_rows))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(span)))
-    rows = rows.withColumn("bucket", bucket.cast("long"))
+    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(span)).cast("long"), F.lit(-1).cast("long"))
+    rows = rows.withColumn("bucket", bucket)
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     every = Window.partitionBy(F.lit(0))  # one row a bucket
     before = F.coalesce(F.lag("bucket").over(every.orderBy(F.col("bucket").desc())), F.min("bucket").over(every))
@@ -68,7 +68,10 @@ def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFram
     heads = rows.join(tops.withColumnRenamed("bucket", "__b"), (F.col("bucket") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("top")))
     heads = stored(heads.groupBy(F.col("before").alias("__before")).agg(F.max("text").alias("head")), "bucket-heads")
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    placed = rows.withColumn("nth", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
+    # A task's words have to fit its memory: tasks follow the rows, not the bytes of text.
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(MOST_TASKS, max(math.ceil(n / TASK_ROWS), min(math.ceil(n / 64), usual), 1))
+    placed = rows.repartition(tasks, "bucket").withColumn("nth", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
     out = placed.join(heads, (F.col("bucket") == F.col("__before")) & F.col("next_text").isNull(), "left")
     return out.select("bucket", "nth", "doc_id", "text", F.coalesce("next_text", "head").alias("next_text")), tops.select("bucket", "before")
 
