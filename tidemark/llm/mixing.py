@@ -7,11 +7,11 @@ the probabilities of three documents at a time along the null-space of the
 two balancing constraints (words and documents) until one of them is 0 or 1,
 so that both totals stay what they were. Blocks of one source fly in
 parallel and leave at most two undecided documents each; those fly together
-in the next, much smaller round, and the last round lands the two that are
-left on the side that misses the source's words by least.
+in the next, much smaller round. The last round keeps twelve documents of
+spread sizes back and lands them with the two that are left, by the choice
+that misses the source's words by least.
 
-Units fly from the longest document to the shortest, so what is left to land
-is short. Randomness comes from a seed and the block, never from the
+Units fly from the longest document to the shortest. Randomness comes from a seed and the block, never from the
 partitioning: reruns agree.
 
 Defined cases: null or empty text has size 0 and target share like any row;
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_or_empty, word_count
 
-#: Documents that fly together in one task.
-BLOCK = 2048
+#: Documents that fly together in one task; documents of a source kept for its landing.
+BLOCK, LANDING = 2048, 12
 _SNAP = 1e-9
 
 
@@ -90,25 +90,35 @@ def fly(size: Sequence[float], pi: Sequence[float], draws: Iterable[float]) -> l
     return pi
 
 
+def held_for_landing(pi: np.ndarray) -> np.ndarray:
+    """Undecided units at even ranks of the size order, which the landing decides with what the flight leaves.
+
+    A long document may be left undecided; shorter ones make up for its words.
+    """
+    open_ = np.flatnonzero((pi > _SNAP) & (pi < 1 - _SNAP))
+    return open_ if len(open_) <= LANDING else open_[np.linspace(0, len(open_) - 1, LANDING).astype(int)]
+
+
 def land(size: Sequence[float], pi: Sequence[float]) -> list[float]:
     """Decides the few units left so that the words miss by least, then the documents."""
-    pi = list(pi)
-    left = [i for i, p in enumerate(pi) if 0 < p < 1]
-    want = sum(size[i] * pi[i] for i in left)
-    count = sum(pi[i] for i in left)
-    masks = range(1 << len(left))
-    best = min(masks, key=lambda m: (abs(sum(size[i] for k, i in enumerate(left) if m >> k & 1) - want), abs(m.bit_count() - count), m)) if left else 0
-    for k, i in enumerate(left):
-        pi[i] = float(best >> k & 1)
-    return pi
+    pi = np.array(pi, float)
+    left = np.flatnonzero((pi > 0) & (pi < 1))
+    sizes = np.asarray(size, float)[left]
+    taken = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
+    words, count = np.abs(taken @ sizes - sizes @ pi[left]), np.abs(taken.sum(axis=1) - pi[left].sum())
+    pi[left] = taken[np.lexsort((count, words))[0]]
+    return pi.tolist()
 
 
 def _round(units: DataFrame, number: int, seed: int, last: bool) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable")
         draws = np.random.default_rng([seed, number, int(key[0]) & 0xFFFFFFFF, int(key[1])]).random(2 * len(rows) + 8)
-        pi = fly(rows["size"].tolist(), rows["pi"].tolist(), draws)
-        return rows.assign(pi=land(rows["size"].tolist(), pi) if last else pi)
+        size, pi = rows["size"].tolist(), rows["pi"].to_numpy(float)
+        waiting = held_for_landing(pi) if last else np.zeros(0, int)
+        flown = np.array(fly(size, np.where(np.isin(np.arange(len(pi)), waiting), 0.0, pi), draws))
+        flown[waiting] = pi[waiting]
+        return rows.assign(pi=land(size, flown.tolist()) if last else flown)
 
     return units.groupBy("source_key", "block").applyInPandas(run, units.schema)
 
