@@ -57,8 +57,10 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mak
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = stored(recipes(docs, id_col, text_col).withColumn("key", F.xxhash64("recipe")), "recipes")
-    groups = rows.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(groups, ["key", "recipe"])
+    # Only lists that occur again are joined back, from a written table: a hot list can then be split.
+    groups = stored(rows.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "copies")
+    joined = rows.join(groups, ["key", "recipe"], "left")
+    joined = joined.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     again = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("key"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (again == 1)
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
