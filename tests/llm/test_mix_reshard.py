@@ -115,7 +115,7 @@ def test_reshard_balances_bytes(spark):
     rng = random.Random(8)
     docs = [(i, prose(rng, rng.randrange(1, 40)), "en", "s") for i in range(1500)]
     df = documents(spark, docs).withColumn("old", F.pmod("doc_id", F.lit(5)).cast("int"))
-    for how in (2048, 50):
+    for how in (512, 50):
         plan = resharding.plan_reshard(df, "old", 8, block_docs=how)
         rows = resharding.assign(df, "old", plan).collect()
         check_shards(rows, docs, 8)

@@ -34,7 +34,7 @@ ROW_BYTES = 8
 #: A document above this part of a shard is placed by itself.
 HEAVY_PART = 64
 #: Documents of a block on average.
-BLOCK_DOCS = 2048
+BLOCK_DOCS = 512
 
 
 def stay_or_move(old: int, new: int) -> float:
