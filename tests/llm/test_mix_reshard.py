@@ -74,6 +74,30 @@ def test_mix_meets_targets_and_repeats(spark):
     assert out.columns == df.columns and out.count() == sum(r["copies"] for r in got)
 
 
+def test_very_long_documents_beside_a_large_source(spark):
+    rng = random.Random(8)
+    sizes = {"large": [rng.randrange(5, 60) for _ in range(2500)], "small": [rng.randrange(5, 30) for _ in range(300)] + [2500], "two": [rng.randrange(5, 30) for _ in range(3000)] + [20000, 9000]}
+    sized = spark.createDataFrame([(i, s, n) for s, v in sizes.items() for i, n in enumerate(v)], "doc_id long, source string, size long")
+    share = {"large": 1.5, "small": 1.5, "two": 0.45}
+    targets = spark.createDataFrame([(s, len(v), sum(v), share[s] * sum(v)) for s, v in sizes.items()], "source string, n long, source_size long, target double")
+    for seed in (1, 2, 3):
+        got = mixing.cube_copies(sized, targets, seed=seed)
+        assert got.count() == sized.count()
+        for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words"), F.min("copies").alias("least"), F.max("copies").alias("most")).collect():
+            floor = int(share[r["source"]])
+            assert abs(r["words"] - share[r["source"]] * sum(sizes[r["source"]])) <= 5 and floor <= r["least"] <= r["most"] <= floor + 1
+
+
+def test_long_documents_keep_probabilities():
+    rng = random.Random(9)
+    hits, after = [0.0] * 3, 0.0
+    for _ in range(4000):
+        taken, p = mixing.decide_long([90, 60, 30], 0.4, 600.0, [rng.random() for _ in range(3)])
+        assert p * 420 + sum(k * s for k, s in zip(taken, [90, 60, 30])) == pytest.approx(240)
+        hits, after = [h + k for h, k in zip(hits, taken)], after + p
+    assert [h / 4000 for h in hits] == pytest.approx([0.4] * 3, abs=0.03) and after / 4000 == pytest.approx(0.4, abs=0.01)
+
+
 def test_mix_of_awkward_rows(spark):
     df = documents(spark, awkward())
     got = mixing.mix(df)

@@ -6,10 +6,15 @@ r - floor(r). The cube method draws these extra copies: a flight phase moves
 the probabilities of three documents at a time along the null-space of the
 two balancing constraints (words and documents) until one of them is 0 or 1,
 so that both totals stay what they were. Blocks of one source fly in
-parallel and leave at most two undecided documents each; those fly together
-in the next, much smaller round. The last round keeps twelve documents of
-spread sizes back and lands them with the two that are left, by the choice
-that misses the source's words by least.
+parallel; each keeps twelve documents of spread sizes back and leaves at most
+two others undecided. Those fly together in the next, much smaller round. Once
+a source fits one block, what that block kept back is landed with the two that
+are left, by the choice that misses the source's words by least.
+
+Documents that are long for their source are decided before all others, from
+the longest down: the flight would leave them undecided and the landing could
+not make up for them. After each the probabilities of all that follow are set
+to the words left, and a choice that these can't make up for is avoided.
 
 Units fly from the longest document to the shortest. Randomness comes from a seed and the block, never from the
 partitioning: reruns agree.
@@ -29,11 +34,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import stored, text_or_empty, word_count
 
-#: Documents that fly together in one task; documents of a source kept for its landing.
+#: Documents that fly together in one task; documents of a block kept for its source's landing.
 BLOCK, LANDING = 2048, 12
+#: A document is long above so many times the mean of its source, and above this share of its words (so at most 1,000 of a source are).
+LONG_TIMES, LONG_SHARE = 6.0, 0.001
 _SNAP = 1e-9
 
 
@@ -90,13 +98,29 @@ def fly(size: Sequence[float], pi: Sequence[float], draws: Iterable[float]) -> l
     return pi
 
 
-def held_for_landing(pi: np.ndarray) -> np.ndarray:
+def decide_long(size: Sequence[float], pi: float, total: float, draws: Iterable[float]) -> tuple[list[float], float]:
+    """Decides units, longest first, out of ``total`` words of the same probability; also the others' probability then.
+
+    Where either choice leaves words that the units after it can make up for,
+    the draw decides and probabilities stay what they were in the mean.
+    """
+    out, want, rest = [], pi * total, total
+    for s, draw in zip(size, draws, strict=False):
+        chance, rest = min(1.0, max(0.0, want / rest)), rest - s
+        off = [max(0.0, -w, w - rest) for w in (want, want - s)]
+        take = off[1] < off[0] if off[0] != off[1] else draw < chance
+        out.append(float(take))
+        want -= s * take
+    return out, min(1.0, max(0.0, want / rest)) if rest > 0 else 0.0
+
+
+def held_for_landing(pi: np.ndarray, keep: int = LANDING) -> np.ndarray:
     """Undecided units at even ranks of the size order, which the landing decides with what the flight leaves.
 
-    A long document may be left undecided; shorter ones make up for its words.
+    A longer document may be left undecided; shorter ones make up for its words.
     """
     open_ = np.flatnonzero((pi > _SNAP) & (pi < 1 - _SNAP))
-    return open_ if len(open_) <= LANDING else open_[np.linspace(0, len(open_) - 1, LANDING).astype(int)]
+    return open_ if len(open_) <= keep else open_[np.linspace(0, len(open_) - 1, keep).astype(int)]
 
 
 def land(size: Sequence[float], pi: Sequence[float]) -> list[float]:
@@ -110,12 +134,31 @@ def land(size: Sequence[float], pi: Sequence[float]) -> list[float]:
     return pi.tolist()
 
 
-def _round(units: DataFrame, number: int, seed: int, last: bool) -> DataFrame:
+_FLIGHT = {"by": ["size", "tie", "doc_id"], "ascending": [False, True, True], "kind": "stable"}
+
+
+def _long_first(units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The long units, decided, and all others at their source's probability after that."""
+    long = F.col("pi").between(_SNAP, 1 - _SNAP) & (F.col("size") > F.greatest(LONG_TIMES * F.col("source_size") / F.col("n"), LONG_SHARE * F.col("source_size")))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(**_FLIGHT)
+        draws = np.random.default_rng([seed, int(key[0]) & 0xFFFFFFFF]).random(len(rows))
+        pi, after = decide_long(rows["size"].tolist(), float(rows["pi"].iloc[0]), float(rows["source_size"].iloc[0]), draws)
+        return rows.assign(pi=pi, after=after)
+
+    done = stored(units.filter(long).groupBy("source_key").applyInPandas(run, T.StructType([*units.schema, T.StructField("after", T.DoubleType())])), "cube-long")
+    after = done.groupBy("source_key").agg(F.first("after").alias("after"))
+    others = units.filter(~long).join(after, "source_key", "left").withColumn("pi", F.coalesce("after", "pi"))
+    return done.select(*units.columns), others.select(*units.columns)
+
+
+def _round(units: DataFrame, number: int, seed: int, keep: int) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable")
+        rows, last = rows.sort_values(**_FLIGHT), rows["blocks"].iloc[0] == 1
         draws = np.random.default_rng([seed, number, int(key[0]) & 0xFFFFFFFF, int(key[1])]).random(2 * len(rows) + 8)
         size, pi = rows["size"].tolist(), rows["pi"].to_numpy(float)
-        waiting = held_for_landing(pi) if last else np.zeros(0, int)
+        waiting = held_for_landing(pi, LANDING if last else keep)
         flown = np.array(fly(size, np.where(np.isin(np.arange(len(pi)), waiting), 0.0, pi), draws))
         flown[waiting] = pi[waiting]
         return rows.assign(pi=land(size, flown.tolist()) if last else flown)
@@ -128,23 +171,25 @@ def cube_copies(sized: DataFrame, targets: DataFrame, seed: int = 7, block: int
     t = targets.withColumnRenamed("source", "__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     tie = F.xxhash64("doc_id", "size", F.lit(seed))
+    blocks = F.ceil(F.col("n") / block)
     units = sized.join(t, sized["source"].eqNullSafe(t["__source"])).select(
-        "doc_id", "source", "size", "source_size", "target", F.floor(ratio).cast("long").alias("base"), (ratio - F.floor(ratio)).alias("pi"),
-        tie.alias("tie"), F.xxhash64(F.col("source").isNull(), "source").alias("source_key"), F.pmod(tie, F.ceil(F.col("n") / block)).alias("block"),
+        "doc_id", "source", "size", "source_size", "target", "n", F.floor(ratio).cast("long").alias("base"), (ratio - F.floor(ratio)).alias("pi"),
+        tie.alias("tie"), F.xxhash64(F.col("source").isNull(), "source").alias("source_key"), blocks.alias("blocks"), F.pmod(tie, blocks).alias("block"),
     )
-    most, number, decided = targets.agg(F.max("n")).first()[0] or 0, 0, []
+    long, units = _long_first(units, seed)
+    most, number, decided = math.ceil((targets.agg(F.max("n")).first()[0] or 0) / block), 0, [long]
+    # Kept back in a block that isn't its source's last; blocks at least halve from round to round.
+    keep = max(0, min(LANDING, block // 2 - 2))
     while True:
-        # Hashed blocks of 2,048 on average; a single block may fly and land whole.
-        last = most <= block
-        done = stored(_round(units, number, seed, last), f"cube-{number}")
-        if last:
+        # Hashed blocks of 2,048 on average; a source's single block flies and lands whole.
+        done = stored(_round(units, number, seed, keep), f"cube-{number}")
+        if most <= 1:
             decided.append(done)
             break
         undecided = F.col("pi").between(_SNAP, 1 - _SNAP)
         decided.append(done.filter(~undecided))
-        blocks = math.ceil(most / block)
-        most, number = 2 * blocks, number + 1
-        units = done.filter(undecided).withColumn("block", F.pmod(F.xxhash64("tie", F.lit(number)), F.lit(math.ceil(most / block))))
+        most, number = math.ceil(most * (2 + keep) / block), number + 1
+        units = done.filter(undecided).withColumn("blocks", F.ceil(F.col("blocks") * (2 + keep) / block)).withColumn("block", F.pmod(F.xxhash64("tie", F.lit(number)), "blocks"))
     out = decided[0]
     for more in decided[1:]:
         out = out.union(more)
