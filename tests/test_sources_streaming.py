@@ -118,6 +118,22 @@ def test_round_trips(spark, tmp_path):
     assert [w.rsplit("_", 1)[1] for w in written] == ["time", "frequency"]
 
 
+def test_long_signals_take_several_json_lines(spark, tmp_path, monkeypatch):
+    n = 2 * 10_000 + 5
+    f = frame(spark, "V", a=[(n - i if i % 2 else -i, i) for i in range(n)], b=[(0, math.nan), (0, 1)])
+    sinks.write_signal_json(f, f"{tmp_path}/s.json")
+    lines = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/s.json").collect()]
+    assert sorted((r["name"], len(r["t"])) for r in lines) == [("a", 5), ("a", 10_000), ("a", 10_000), ("b", 2)]
+    doc = put(tmp_path / "doc.json", json.dumps({"v": 1, "signals": lines[:1]}, indent=1))
+    assert json_files.read_signal_json(spark, doc).samples.count() == len(lines[0]["t"])
+    plain = put(tmp_path / "plain.json", '{"name": "q", "t": [3, 5], "v": [1, null]}\n')
+    assert [(r["seq"], r["ts_ns"]) for r in json_files.read_signal_json(spark, plain).samples.orderBy("seq").collect()] == [(0, 3), (1, 5)]
+    monkeypatch.setattr(json_files, "_whole", None)  # lines are never read as one value
+    back = sinks.open_signals(spark, f"{tmp_path}/s.json")
+    assert str(points(back)) == str(points(f)) and sorted(r["channel"] for r in back.channels.collect()) == ["a", "b"]
+    assert [r["seq"] for r in back.only("a").samples.orderBy("ts_ns").collect()] == list(range(n))
+
+
 def test_wide_csv(spark, tmp_path):
     f = frame(spark, "V", a=[(0, 1), (2, 3)], b=[(1, 5.5), (2, 6)])
     sinks.write_wide_csv(f, f"{tmp_path}/w.csv", sep=";", decimal=",")

@@ -10,11 +10,11 @@ from tidemark.frame import CHANNEL_SCHEMA, FREQUENCY, SignalFrame
 
 # Names an axis column goes by.
 AXIS_NAMES = ("t", "time", "timestamp", "x", "sec", "seconds", "s")
-_SIGNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "unit", "domain", "src")] + [T.StructField("sampleRateHz", T.DoubleType()), T.StructField("t", T.ArrayType(T.StringType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+_SIGNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "unit", "domain", "src")] + [T.StructField("sampleRateHz", T.DoubleType()), T.StructField("firstRow", T.LongType()), T.StructField("t", T.ArrayType(T.StringType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select("value")
+    return spark.read.text(path, wholetext=True).select("value")
 
 
 def read_json_records(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
@@ -68,19 +68,24 @@ def read_json_columnar(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_signal_json(spark: SparkSession, path: str) -> SignalFrame:
-    """A document with signals, or one signal object a line (splittable); axis integers are exact, null values NaN."""
-    doc = _whole(spark, path)
-    named = doc.select(F.get_json_object("value", "$.signals").alias("value")).filter("value is not null")
-    if named.isEmpty():
+    """A document with signals, or signal objects a line (splittable); axis integers are exact, null values NaN.
+
+    Several lines may hold a signal, each from its firstRow on. A first line
+    that is an object without signals tells lines from a document.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").select((~F.array_contains(F.json_object_keys("value"), "signals")).alias("lines")).first()
+    named = None if first is None or first["lines"] else _whole(spark, path).select(F.get_json_object("value", "$.signals").alias("value")).filter("value is not null")
+    if named is None or named.isEmpty():
         one = spark.read.schema(_SIGNAL).json(path)
     else:
         one = named.select(F.explode(F.from_json("value", T.ArrayType(_SIGNAL))).alias("s")).select("s.*")
     one = one.filter("name is not null and name <> ''").withColumn("src", F.coalesce("src", F.lit(path.rsplit("/", 1)[-1])))
     n = F.least(F.size("t"), F.size("v"))
-    pairs = one.filter(n > 0).select(F.col("name").alias("channel"), F.posexplode(F.slice(F.arrays_zip("t", "v"), F.lit(1), n)).alias("seq", "p"))
+    before = F.coalesce("firstRow", F.lit(0))
+    pairs = one.filter(n > 0).select(F.col("name").alias("channel"), before.alias("before"), F.posexplode(F.slice(F.arrays_zip("t", "v"), F.lit(1), n)).alias("seq", "p"))
     t = F.coalesce(F.col("p.t").try_cast("long"), F.col("p.t").try_cast("double").cast("long"), F.lit(0))
-    samples = pairs.select("channel", F.col("seq").cast("long"), t.alias("ts_ns"), F.coalesce("p.v", F.lit(float("nan"))).alias("value"))
-    channels = one.filter(n > 0).select(
+    samples = pairs.select("channel", (F.col("before") + F.col("seq")).alias("seq"), t.alias("ts_ns"), F.coalesce("p.v", F.lit(float("nan"))).alias("value"))
+    channels = one.filter((n > 0) & (before == 0)).select(
         F.col("name").alias("channel"), F.coalesce("unit", F.lit("")).alias("unit"), F.lit("LREAL").alias("data_type"), F.lit("imported").alias("mode"), F.coalesce("sampleRateHz", F.lit(0.0)).alias("sample_rate_hz"),
         F.lit(0).cast("long").alias("parent_task_cycle_us"), F.col("src").alias("source_symbol"), F.when(F.col("domain") == FREQUENCY, FREQUENCY).otherwise("time").alias("domain"), F.lit(None).cast("long").alias("source_start_ns"),
     )

@@ -1,4 +1,4 @@
-"""Writing signals: wide and paired CSV, JSON a signal a line, Parquet sessions."""
+"""Writing signals: wide and paired CSV, JSON lines of a signal's stretches, Parquet sessions."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from tidemark.operators.align import interpolated
 from tidemark.operators.kernels import ordinals, sliced
 from tidemark.operators.segments import split_domains
 
+#: Samples a JSON line holds at most.
+ROWS_PER_LINE = 10_000
+
 
 def format_number(v: Column, digits: int | None = None, decimal: str = ".") -> Column:
     """15 significant digits, or a fixed number of decimals; NaN is blank."""
@@ -116,11 +119,15 @@ def write_wide_csv(f: SignalFrame, path: str, sep: str = ",", decimal: str = "."
 
 
 def write_signal_json(f: SignalFrame, path: str) -> None:
-    """One JSON object a signal and line: exact axis integers, NaN as null."""
+    """JSON objects a line: a stretch of a signal's samples each, firstRow before it; exact axis integers, NaN as null."""
     point = F.struct("ts_ns", "seq", F.when(~F.isnan("value"), F.col("value")).alias("value"))
-    packed = f.samples.groupBy("channel").agg(F.sort_array(F.collect_list(point)).alias("p"))
-    out = packed.join(f.channels, "channel").select(
-        F.col("channel").alias("name"), "unit", "domain", F.col("source_symbol").alias("src"), F.col("sample_rate_hz").alias("sampleRateHz"),
+    rows = ordinals(sliced(f.samples), "row").df.withColumn("line", F.expr(f"row div {ROWS_PER_LINE}"))
+    packed = rows.groupBy("channel", "line").agg(F.sort_array(F.collect_list(point)).alias("p"))
+    # Meta data once a line, so that the join spreads a long channel like its lines.
+    last = f.samples.groupBy("channel").agg(F.expr(f"(count(*) - 1) div {ROWS_PER_LINE}").alias("last"))
+    meta = f.channels.join(last, "channel").withColumn("line", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    out = packed.join(meta, ["channel", "line"]).select(
+        F.col("channel").alias("name"), "unit", "domain", F.col("source_symbol").alias("src"), F.col("sample_rate_hz").alias("sampleRateHz"), (F.col("line") * ROWS_PER_LINE).alias("firstRow"),
         F.transform("p", lambda p: p["ts_ns"]).alias("t"), F.transform("p", lambda p: p["value"]).alias("v"),
     )
     out.write.option("ignoreNullFields", False).json(path)
