@@ -1,12 +1,15 @@
 import json
 import math
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import frame, points, sine, values
 from tidemark.frame import TIME
 from tidemark.operators import filters, spectra, windows
-from tidemark.sources import json_files, sinks, text
+from tidemark.plans import queries
+from tidemark.sources import json_files, sinks, tables, text
 from tidemark.sources import profile as p
 from tidemark.streaming import ingest, stateful
 
@@ -183,6 +186,18 @@ def test_streams_equal_batch(spark, tmp_path):
     assert key(run(stateful.integral(plain), spark, "area")) == key(windows.integral(f).samples)
 
 
+def test_ordered_stream_in_bounded_batches(spark, tmp_path, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    f = tables.events(spark, sf_dir)
+    monkeypatch.setattr(ingest, "ROWS_PER_FILE", 150, raising=False)
+    monkeypatch.setattr(queries, "new_folder", lambda spark, label: f"{tmp_path}/{label}")
+    key = lambda df: sorted((r["channel"], r["seq"], round(r["value"], 2)) for r in df.collect())
+    for label, got, want in (("integral", queries.t5_stream_integral, windows.integral(f)), ("fill", queries.t5_stream_forward_fill, windows.forward_fill(f, 50.0, 25.0))):
+        assert key(got(spark, sf_dir)) == key(want.samples)
+        assert len([c for c in os.listdir(f"{tmp_path}/{label}.state/commits") if c.isdigit()]) >= math.ceil(f.samples.count() / 150)
+        assert max(r["count"] for r in spark.read.parquet(f"{tmp_path}/{label}.in").groupBy(F.input_file_name()).count().collect()) <= 150
+
+
 def test_recording(spark, tmp_path):
     rows = [("a", 0, 0, 7, 8, 1.0), ("a", 1, 5, 9, 8, 2.0), ("a", 2, 6, 9, 3, 9.0), ("b", 0, 1, 1, 8, None)]
     stream = batches(spark, tmp_path, rows, [2], ingest.NOTIFICATION_SCHEMA)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAYLOAD_BYTES = 8
+#: Samples of a file, and so of a micro-batch, of ``in_time_order``.
+ROWS_PER_FILE = 500_000
 NOTIFICATION_SCHEMA = "channel string, seq long, plc_ts_ns long, host_ts_ns long, payload_len int, value double"
 
 
@@ -20,6 +26,28 @@ def accepted(notifications: DataFrame) -> DataFrame:
     return stamped(notifications).filter("valid").select("channel", "seq", "ts_ns", F.coalesce("value", F.lit(float("nan"))).alias("value"))
 
 
+def in_time_order(samples: DataFrame, path: str) -> DataFrame:
+    """``samples`` as a stream of files in time order, one a micro-batch, ``ROWS_PER_FILE`` rows at most each.
+
+    A file stream takes its files by their modification times, so these are
+    set in order of time; a file system that can't keep them is refused.
+    """
+    spark = samples.sparkSession
+    parts = max(1, math.ceil(samples.count() / ROWS_PER_FILE))
+    ranged = samples.repartitionByRange(parts, "ts_ns", "seq").sortWithinPartitions("ts_ns", "seq")
+    ranged.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    named = [(re.match(r"part-(\d+)-.*?(?:-c(\d+))?\.", s.getPath().getName()), s.getPath()) for s in fs.listStatus(folder)]
+    files = [p for _, p in sorted(((int(m[1]), int(m[2] or 0)), p) for m, p in named if m)]
+    start = int(time.time()) * 1000
+    for i, p in enumerate(files):
+        fs.setTimes(p, start + 1000 * i, -1)
+    if any(fs.getFileStatus(p).getModificationTime() != start + 1000 * i for i, p in enumerate(files)):
+        raise OSError(f"{path}: the file system doesn't keep modification times")
+    return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def record(notifications: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
     """Appends accepted samples to a session's Parquet files, partitioned by channel; returns the query."""
     return accepted(notifications).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("channel").trigger(processingTime=every).start()

@@ -3,6 +3,10 @@
 A channel's state is a few numbers. The filters need the next timestamp of a
 row, so one row is held back until the next one arrives; a row with
 ``ends`` true closes its channel and releases it.
+
+A channel's rows of one micro-batch are one task's and in memory, as Spark
+sorts no stream: bound the batches (maxFilesPerTrigger, maxBytesPerTrigger),
+as ``ingest.in_time_order`` does.
 """
 
 from __future__ import annotations
