@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,33 @@ def channels_of(samples: DataFrame, unit: str = "", domain: str = TIME) -> DataF
     )
 
 
+class Longest:
+    """An upper bound of the samples a channel has, asked of the data when first needed and once.
+
+    Frames that keep or drop samples share their source's bound, so chained
+    operators don't run their upstream again to learn it. Only the number of
+    tasks follows from it, no result.
+    """
+
+    def __init__(self, ask: Callable[[], int]):
+        self._ask, self._known = ask, None
+
+    def __call__(self) -> int:
+        if self._known is None:
+            self._known = self._ask()
+        return self._known
+
+    @staticmethod
+    def of(samples: DataFrame) -> Longest:
+        return Longest(lambda: samples.groupBy("channel").count().agg(F.max("count")).first()[0] or 0)
+
+    def plus(self, other: Longest) -> Longest:
+        return Longest(lambda: self() + other())
+
+    def times(self, n: int) -> Longest:
+        return Longest(lambda: self() * n)
+
+
 @dataclass(frozen=True)
 class SignalFrame:
     """Many channels at once.
@@ -33,14 +60,20 @@ class SignalFrame:
 
     samples: DataFrame
     channels: DataFrame
+    longest: Longest = field(default=None, compare=False, repr=False)
+
+    def __post_init__(self):
+        if self.longest is None:
+            object.__setattr__(self, "longest", Longest.of(self.samples))
 
     @staticmethod
     def of(samples: DataFrame, unit: str = "", domain: str = TIME) -> SignalFrame:
         samples = samples.select(*SAMPLE_COLUMNS)
         return SignalFrame(samples, channels_of(samples, unit, domain))
 
-    def with_samples(self, samples: DataFrame) -> SignalFrame:
-        return replace(self, samples=samples.select(*SAMPLE_COLUMNS))
+    def with_samples(self, samples: DataFrame, longest: Longest | None = None) -> SignalFrame:
+        """Other samples of the same channels; ``longest`` where a channel may have more of them than before."""
+        return replace(self, samples=samples.select(*SAMPLE_COLUMNS), longest=longest or self.longest)
 
     def map_value(self, f: Callable[[Column], Column]) -> SignalFrame:
         return self.with_samples(self.samples.withColumn("value", f(F.col("value"))))
@@ -52,12 +85,12 @@ class SignalFrame:
 
     def only(self, *names: str) -> SignalFrame:
         named = F.col("channel").isin(*names)
-        return SignalFrame(self.samples.filter(named), self.channels.filter(named))
+        return SignalFrame(self.samples.filter(named), self.channels.filter(named), self.longest)
 
     def renamed(self, name: Column | str) -> SignalFrame:
-        """Every channel under another name; ``name`` may use column channel."""
+        """Every channel under another name; ``name`` may use column channel. Different channels keep different names."""
         new = F.lit(name) if isinstance(name, str) else name
-        return SignalFrame(self.samples.withColumn("channel", new), self.channels.withColumn("channel", new))
+        return SignalFrame(self.samples.withColumn("channel", new), self.channels.withColumn("channel", new), self.longest)
 
     def origins(self) -> DataFrame:
         """channel, origin_ns: where a channel's display starts; 0 for a spectrum's axis."""

@@ -12,25 +12,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.frame import FREQUENCY, SignalFrame
+from tidemark.frame import FREQUENCY, Longest, SignalFrame
 from tidemark.functions.elementwise import BINARY, nan, replaced
 from tidemark.operators.kernels import ROWS_PER_SLICE, Sliced, last_known, next_known, sliced
 
 _IN_TIME = ("ts_ns", "kind", "seq")
 
 
-def interpolated(grid: DataFrame, other: DataFrame, gaps: bool = False, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def interpolated(grid: DataFrame, other: DataFrame, gaps: bool = False, rows_per_slice: int = ROWS_PER_SLICE, longest: Longest | None = None) -> DataFrame:
     """``grid`` with column other: the other side's value at the grid's times, linear between samples.
 
     Outside the other side's span: its end value, or NaN with ``gaps``. Of
     samples at one instant the first counts, at the very last instant the last.
+    ``longest`` bounds the rows of both sides together.
     """
     ends = other.groupBy("channel").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.max_by("value", F.struct("ts_ns", "seq")).alias("last_value"))
     point = F.struct(F.col("ts_ns"), F.col("value"))
     extra = [c for c in grid.columns if c not in ("channel", "seq", "ts_ns")]
     rows = grid.withColumn("kind", F.lit(0)).withColumn("point", F.lit(None).cast("struct<ts_ns:bigint,value:double>"))
     rows = rows.unionByName(other.select("channel", "seq", "ts_ns", F.lit(1).alias("kind"), point.alias("point")), allowMissingColumns=True)
-    s = sliced(rows, rows_per_slice)
+    s = sliced(rows, rows_per_slice, longest)
     s = last_known(s, F.col("point"), "lo", _IN_TIME)
     s = next_known(Sliced(s.df, s.many), F.col("point"), "hi", _IN_TIME)
     at = s.df.filter("kind = 0").join(ends, "channel", "left")
@@ -59,7 +60,7 @@ def pair_same_grid(a: DataFrame, b: DataFrame) -> DataFrame:
     return _occurrences(a).join(b, ["channel", "ts_ns", "occurrence"]).drop("occurrence")
 
 
-def aligned(a: DataFrame, b: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def aligned(a: DataFrame, b: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, longest: Longest | None = None) -> DataFrame:
     """(channel, seq, ts_ns, a, b) on one grid a channel.
 
     Equal grids pair by position. Else both are cut to their common span, the
@@ -82,18 +83,14 @@ def aligned(a: DataFrame, b: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
         parts.append(pairs.select("channel", "seq", "ts_ns", F.col("value").alias("a"), F.col("other").alias("b")))
     if not checks[3]:
         span = facts.filter("not same").select("channel", "low", "high")
-        inside = F.col("ts_ns").between(F.col("low"), F.col("high"))
-        count = {k: x.join(span, "channel").filter(inside).groupBy("channel").agg(F.count(F.lit(1)).alias(f"in_{k}")) for k, x in (("a", a), ("b", b))}
-        plan = span.join(count["a"], "channel", "left").join(count["b"], "channel", "left").na.fill(0, ["in_a", "in_b"]).withColumn("use_a", F.col("in_a") >= F.col("in_b"))
-        for use_a, grid, other in ((True, a, b), (False, b, a)):
-            chosen = plan.filter(F.col("use_a") == use_a).select("channel", "low", "high")
-            cut = grid.join(chosen, "channel").filter(inside).drop("low", "high")
-            got = interpolated(cut, other.join(chosen.select("channel"), "channel", "left_semi"), rows_per_slice=rows_per_slice)
-            parts.append(got.select("channel", "seq", "ts_ns", F.col("value" if use_a else "other").alias("a"), F.col("other" if use_a else "value").alias("b")))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.union(more)
-    return out
+        rows = a.withColumn("of_a", F.lit(True)).unionByName(b.withColumn("of_a", F.lit(False))).join(span, "channel").withColumn("inside", F.col("ts_ns").between(F.col("low"), F.col("high")))
+        inside = F.col("inside")
+        grids = rows.groupBy("channel").agg((F.count(F.when(inside & F.col("of_a"), 1)) >= F.count(F.when(inside & ~F.col("of_a"), 1))).alias("use_a"))
+        rows = rows.join(grids, "channel").withColumn("is_grid", F.col("of_a") == F.col("use_a"))
+        grid = rows.filter("is_grid and inside").select("channel", "seq", "ts_ns", "value", "use_a")
+        got = interpolated(grid, rows.filter("not is_grid").select("channel", "seq", "ts_ns", "value"), rows_per_slice=rows_per_slice, longest=longest)
+        parts.append(got.select("channel", "seq", "ts_ns", F.when(F.col("use_a"), F.col("value")).otherwise(F.col("other")).alias("a"), F.when(F.col("use_a"), F.col("other")).otherwise(F.col("value")).alias("b")))
+    return parts[0].union(parts[1]) if len(parts) == 2 else parts[0]
 
 
 def _joined_meta(a: SignalFrame, b: SignalFrame) -> DataFrame:
@@ -111,8 +108,9 @@ def combine(a: SignalFrame | float, b: SignalFrame | float, op: str | Callable[[
         return a.map_value(lambda v: f(v, F.lit(float(b)))).with_meta(unit="")
     if not isinstance(a, SignalFrame):
         return b.map_value(lambda v: f(F.lit(float(a)), v)).with_meta(unit="")
-    rows = aligned(a.samples, b.samples, rows_per_slice)
-    return SignalFrame(rows.select("channel", "seq", "ts_ns", f(F.col("a"), F.col("b")).alias("value")), _joined_meta(a, b))
+    both = a.longest.plus(b.longest)
+    rows = aligned(a.samples, b.samples, rows_per_slice, both)
+    return SignalFrame(rows.select("channel", "seq", "ts_ns", f(F.col("a"), F.col("b")).alias("value")), _joined_meta(a, b), both)
 
 
 def combine_scalar(f: SignalFrame, scalars: DataFrame, op: str) -> SignalFrame:
@@ -134,25 +132,27 @@ def resample(f: SignalFrame, rate_hz: float, rows_per_slice: int = ROWS_PER_SLIC
         raise ValueError("the rate must be positive and at most 1 GHz")
     block = 100_000
     span = f.samples.groupBy("channel").agg(F.min("ts_ns").alias("t0"), ((F.max("ts_ns") - F.min("ts_ns")) / F.lit(step)).alias("x"))
-    span = span.withColumn("last", F.floor("x")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {block}"))))
+    blocks = span.withColumn("last", F.floor("x")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {block}"))))
     seq = F.explode(F.sequence(F.col("block") * block, F.least(F.col("last"), F.col("block") * block + (block - 1))))
-    grid = span.select("channel", "t0", seq.alias("seq")).select("channel", "seq", (F.col("t0") + F.col("seq") * step).alias("ts_ns"))
-    got = interpolated(grid, f.samples, rows_per_slice=rows_per_slice)
-    return f.with_samples(got.withColumnRenamed("other", "value"))
+    grid = blocks.select("channel", "t0", seq.alias("seq")).select("channel", "seq", (F.col("t0") + F.col("seq") * step).alias("ts_ns"))
+    even = Longest(lambda: int(span.agg(F.max("x")).first()[0] or 0) + 1)
+    got = interpolated(grid, f.samples, rows_per_slice=rows_per_slice, longest=even.plus(f.longest))
+    return f.with_samples(got.withColumnRenamed("other", "value"), even)
 
 
 def resample_onto(f: SignalFrame, reference: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
     """The reference's timestamps that lie within the channel's span."""
     span = f.samples.groupBy("channel").agg(F.min("ts_ns").alias("low"), F.max("ts_ns").alias("high"))
     grid = reference.samples.join(span, "channel").filter("ts_ns between low and high").select("channel", "seq", "ts_ns")
-    return f.with_samples(interpolated(grid, f.samples, rows_per_slice=rows_per_slice).withColumnRenamed("other", "value"))
+    got = interpolated(grid, f.samples, rows_per_slice=rows_per_slice, longest=f.longest.plus(reference.longest))
+    return f.with_samples(got.withColumnRenamed("other", "value"), reference.longest)
 
 
 def xy_pairs(x: SignalFrame, y: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """(channel, seq, ts_ns, x, y) on x's grid; y is NaN outside its span. Only channels of equal domain pair."""
     same = x.channels.select("channel", "domain").join(y.channels.select("channel", "domain"), ["channel", "domain"]).select("channel")
     grid = x.samples.join(same, "channel", "left_semi").withColumnRenamed("value", "x")
-    got = interpolated(grid, y.samples.join(same, "channel", "left_semi"), gaps=True, rows_per_slice=rows_per_slice)
+    got = interpolated(grid, y.samples.join(same, "channel", "left_semi"), gaps=True, rows_per_slice=rows_per_slice, longest=x.longest.plus(y.longest))
     return got.withColumnRenamed("other", "y")
 
 

@@ -15,7 +15,7 @@ from tidemark.frame import SignalFrame
 def add(f: SignalFrame, more: SignalFrame) -> SignalFrame:
     """Channels of ``more`` go in, in place of those of the same name."""
     names = more.channels.select("channel")
-    return SignalFrame(f.samples.join(names, "channel", "left_anti").unionByName(more.samples), f.channels.join(names, "channel", "left_anti").unionByName(more.channels))
+    return SignalFrame(f.samples.join(names, "channel", "left_anti").unionByName(more.samples), f.channels.join(names, "channel", "left_anti").unionByName(more.channels), f.longest.plus(more.longest))
 
 
 def names(f: SignalFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def get(f: SignalFrame, name: str) -> SignalFrame:
 
 def remove(f: SignalFrame, *gone: str) -> SignalFrame:
     keep = ~F.col("channel").isin(*gone)
-    return SignalFrame(f.samples.filter(keep), f.channels.filter(keep))
+    return SignalFrame(f.samples.filter(keep), f.channels.filter(keep), f.longest)
 
 
 def clear(f: SignalFrame) -> SignalFrame:
@@ -75,7 +75,7 @@ def merge_unique(f: SignalFrame, other: SignalFrame) -> SignalFrame:
     def moved(df: DataFrame) -> DataFrame:
         return df.join(new_names, "channel", "left").withColumn("channel", F.coalesce("new", "channel")).drop("new").select(*df.columns)
 
-    return SignalFrame(f.samples.unionByName(moved(other.samples)), f.channels.unionByName(moved(other.channels)))
+    return SignalFrame(f.samples.unionByName(moved(other.samples)), f.channels.unionByName(moved(other.channels)), f.longest.plus(other.longest))
 
 
 Transformation = Callable[..., SignalFrame]

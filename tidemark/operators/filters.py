@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.frame import SignalFrame
 from tidemark.functions import design as d
 from tidemark.operators.kernels import ROWS_PER_SLICE, Sliced, neighbours, sliced
-from tidemark.operators.windows import reverse
+from tidemark.operators.windows import ends_sum, reverse
 
 #: (rows in order, state before) -> (values, state after)
 Run = Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -59,10 +59,45 @@ def _scan(s: Sliced, size: int, run: Run, transition: Callable[[pd.DataFrame], n
     return s.df.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(resume, _OUT)
 
 
+#: Samples from which on a recurrence runs over pieces side by side.
+PIECES_FROM = 256
+
+
+def _pieces(n: int) -> tuple[int, int]:
+    """Pieces and their length, near sqrt(n) both; what is left over is shorter than a piece more."""
+    length = int(np.sqrt(n))
+    return n // length, length
+
+
+def run_affine(keep: np.ndarray, add: np.ndarray, y: float) -> np.ndarray:
+    """y[i] = keep[i] * y[i - 1] + add[i], from ``y`` before the first.
+
+    Pieces run side by side from zero, one numpy step a position; then what
+    each begins with is carried along. Values that aren't finite run plainly.
+    """
+    n, done = len(add), 0
+    out = np.empty(n)
+    if n >= PIECES_FROM and np.isfinite(add).all() and np.isfinite(keep).all() and np.isfinite(y):
+        m, size = _pieces(n)
+        done = m * size
+        k, b = keep[:done].reshape(m, size).T.copy(), add[:done].reshape(m, size).T.copy()
+        for i in range(1, size):
+            b[i] += k[i] * b[i - 1]
+            k[i] *= k[i - 1]
+        before = np.empty(m)
+        for j in range(m):
+            before[j], y = y, float(b[-1, j] + k[-1, j] * y)
+        out[:done] = (b + k * before).T.ravel()
+    for i in range(done, n):
+        y = float(add[i]) if keep[i] == 0.0 else float(keep[i]) * y + float(add[i])
+        out[i] = y
+    return out
+
+
 def _lag(f: SignalFrame, tau: float, high: bool, rows_per_slice: int) -> SignalFrame:
     if tau <= 0:
         raise ValueError("tau must be positive")
-    s = neighbours(sliced(f.samples, rows_per_slice))
+    s = neighbours(sliced(f.samples, rows_per_slice, f.longest))
     # Half the way from the neighbour before to the one after; the whole step at the last row.
     dt = (F.coalesce("next.ts_ns", "ts_ns") - F.col("prev.ts_ns")) * F.when(F.col("next").isNull(), 1e-9).otherwise(0.5e-9)
     # The first row takes the input as it is, whatever the state.
@@ -70,11 +105,9 @@ def _lag(f: SignalFrame, tau: float, high: bool, rows_per_slice: int) -> SignalF
     s = Sliced(s.with_columns(alpha=alpha).df.drop("prev", "next"), s.many)
 
     def run(rows: pd.DataFrame, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y, out = float(state[0]), []
-        for x, a in zip(rows["value"].tolist(), rows["alpha"].tolist(), strict=True):
-            y = x if a == 1.0 else a * x + (1.0 - a) * y
-            out.append(x - y if high else y)
-        return np.array(out), np.array([y])
+        x, alpha = rows["value"].to_numpy(float), rows["alpha"].to_numpy(float)
+        y = run_affine(1.0 - alpha, alpha * x, float(state[0]))
+        return (x - y if high else y), y[-1:]
 
     return f.with_samples(_scan(s, 1, run, lambda rows: np.array([[np.prod(1.0 - rows["alpha"].to_numpy())]])))
 
@@ -98,17 +131,41 @@ def pt(f: SignalFrame, band: int, order: int, tau: float, rows_per_slice: int =
     return f
 
 
+def _run_section(section: list[float], x: np.ndarray, s1: float, s2: float) -> tuple[np.ndarray, float, float]:
+    b0, b1, b2, a1, a2 = section
+    n, done, out = len(x), 0, np.empty(len(x))
+    if n >= PIECES_FROM and np.isfinite(x).all() and np.isfinite(s1) and np.isfinite(s2):
+        m, size = _pieces(n)
+        done = m * size
+        v = x[:done].reshape(m, size).T.copy()
+        p, q, free, row = np.zeros(m), np.zeros(m), np.empty((size, 2)), np.array([1.0, 0.0])
+        step = np.array([[-a1, 1.0], [-a2, 0.0]])
+        for i in range(size):
+            # free[i]: what a piece's first state adds to its output i.
+            free[i], row = row, row @ step
+            y = b0 * v[i] + p
+            p, q = b1 * v[i] - a1 * y + q, b2 * v[i] - a2 * y
+            v[i] = y
+        whole, before = np.linalg.matrix_power(step, size), np.empty((2, m))
+        for j in range(m):
+            before[:, j] = s1, s2
+            s1, s2 = float(whole[0, 0] * s1 + whole[0, 1] * s2 + p[j]), float(whole[1, 0] * s1 + whole[1, 1] * s2 + q[j])
+        out[:done] = (v + free @ before).T.ravel()
+    for i in range(done, n):
+        v = float(x[i])
+        y = b0 * v + s1
+        s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
+        out[i] = y
+    return out, s1, s2
+
+
 def run_sections(sections: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A cascade of second-order sections, two states a section, from the given state."""
-    values, after = x.tolist(), []
-    for (b0, b1, b2, a1, a2), (s1, s2) in zip(sections.tolist(), state.reshape(-1, 2).tolist(), strict=True):
-        for i, v in enumerate(values):
-            y = b0 * v + s1
-            s1 = b1 * v - a1 * y + s2
-            s2 = b2 * v - a2 * y
-            values[i] = y
+    values, after = np.asarray(x, float), []
+    for section, (s1, s2) in zip(sections.tolist(), state.reshape(-1, 2).tolist(), strict=True):
+        values, s1, s2 = _run_section(section, values, s1, s2)
         after += [s1, s2]
-    return np.array(values), np.array(after)
+    return values, np.array(after)
 
 
 def step_matrix(sections: np.ndarray) -> np.ndarray:
@@ -117,20 +174,21 @@ def step_matrix(sections: np.ndarray) -> np.ndarray:
     return np.stack([run_sections(sections, np.zeros(1), unit)[1] for unit in np.eye(n)], axis=1)
 
 
-def iir(f: SignalFrame, family: str, band: int, order: int, *edges: float, pass_db: float = 0.0, stop_db: float = 0.0, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
+def iir(f: SignalFrame, family: str, band: int, order: int, *edges: float, pass_db: float = 0.0, stop_db: float = 0.0, rows_per_slice: int = ROWS_PER_SLICE, times: SignalFrame | None = None) -> SignalFrame:
     """A recursive filter of the family; the sample rate is each channel's own mean rate.
 
-    Channels with fewer than two samples pass unchanged.
+    Channels with fewer than two samples pass unchanged. ``times`` is a frame
+    of the same rates, where that is cheaper to read.
     """
     order, edges = max(1, round(order)), tuple(map(float, edges))
     d.check(family, band, order, edges, pass_db, stop_db)
-    rate = f.samples.groupBy("channel").agg(((F.count(F.lit(1)) - 1) / F.nullif((F.max("ts_ns") - F.min("ts_ns")) * F.lit(1e-9), F.lit(0.0))).alias("fs"), F.count(F.lit(1)).alias("n"))
+    rate = (times or f).samples.groupBy("channel").agg(((F.count(F.lit(1)) - 1) / F.nullif((F.max("ts_ns") - F.min("ts_ns")) * F.lit(1e-9), F.lit(0.0))).alias("fs"), F.count(F.lit(1)).alias("n"))
     worst = rate.filter("n > 1").agg(F.min("fs"), F.max(F.col("fs").isNull().cast("int"))).first()
     if worst[1]:
         raise ValueError("timestamps must increase")
     if worst[0] is not None and max(edges) >= worst[0] / 2:
         raise ValueError(f"the cutoff must be below the Nyquist frequency, {worst[0] / 2} Hz")
-    s = sliced(f.samples, rows_per_slice)
+    s = sliced(f.samples, rows_per_slice, f.longest)
     s = Sliced(s.df.join(rate.select("channel", "fs", "n"), "channel"), s.many)
     size = 2 * (order if band in (d.PASS, d.STOP) else (order + 1) // 2)
 
@@ -170,4 +228,6 @@ def filtfilt(operator: Callable[..., SignalFrame], f: SignalFrame, *args, **how)
 
     if operator not in (low_pass, high_pass, pt, butterworth, cheby1, cheby2, elliptic, windows.rolling_mean, windows.rolling_rms):
         raise ValueError("filtfilt takes a causal filter, rolling_mean or rolling_rms")
-    return reverse(operator(reverse(operator(f, *args, **how)), *args, **how))
+    ends = ends_sum(f)
+    again = how | {"times": f} if operator in (butterworth, cheby1, cheby2, elliptic) else how
+    return reverse(operator(reverse(operator(f, *args, **how), ends), *args, **again), ends)

@@ -4,7 +4,7 @@ A channel with more than ``ROWS_PER_SLICE`` samples is cut into slices of
 equal time; equal timestamps share a slice. Windows run within a slice, and
 what a slice needs of its neighbours comes from a table with one row a slice.
 Where no channel is that long, the plain window is planned. Which it is, is
-asked of the data once, when the plan is built.
+asked of the data once for a frame and all that is made of it.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.frame import Longest
+
 ROWS_PER_SLICE = 500_000
 ORDER = ("ts_ns", "seq")
 
@@ -30,15 +32,30 @@ class Sliced:
         return Sliced(self.df.withColumns(columns), self.many)
 
 
-def sliced(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, least_ns: int = 0) -> Sliced:
-    """``samples`` cut into slices of about so many rows, none shorter than ``least_ns``."""
-    stats = samples.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("t0"), F.max("ts_ns").alias("t1"))
-    most = stats.agg(F.max("n")).first()[0] or 0
-    if most <= rows_per_slice:
+#: Cells of equal time a slice's worth of rows is counted in before bounds are chosen.
+CELLS_PER_SLICE = 64
+
+
+def sliced(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, longest: Longest | None = None) -> Sliced:
+    """``samples`` cut into slices of about so many rows.
+
+    Rows are counted in fine cells of equal time; a cell's slice is its place
+    in the running count. A cell that alone holds more than a slice (samples
+    crowd, or one lies far off) is cut into cells of its own once more.
+    """
+    if (longest or Longest.of(samples))() <= rows_per_slice:
         return Sliced(samples.withColumn("slice", F.lit(0).cast("long")), False)
-    width = F.greatest(F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / rows_per_slice)), F.lit(max(1, least_ns))).cast("long")
-    cut = samples.join(stats.select("channel", "t0", width.alias("width")), "channel")
-    return Sliced(cut.withColumn("slice", F.expr("(ts_ns - t0) div width")).drop("t0", "width"), True)
+    of = ["channel"]
+    for level in ("c1", "c2"):
+        stats = samples.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("t0"), F.max("ts_ns").alias("t1"))
+        cells = F.ceil(F.col("n") / rows_per_slice) * CELLS_PER_SLICE
+        width = F.when(F.col("n") > rows_per_slice, F.ceil((F.col("t1") - F.col("t0") + 1) / cells)).otherwise(F.col("t1") - F.col("t0") + 1).cast("long")
+        samples = samples.join(stats.select(*of, "t0", width.alias("width")), of).withColumn(level, F.expr("(ts_ns - t0) div width")).drop("t0", "width")
+        of.append(level)
+    counts = samples.groupBy(*of).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("channel").orderBy("c1", "c2")) - F.col("n")
+    slices = counts.select(*of, F.floor(before / rows_per_slice).alias("slice"))
+    return Sliced(samples.join(slices, of).drop("c1", "c2"), True)
 
 
 def _over_slices() -> Window:
@@ -83,13 +100,15 @@ def last_known(s: Sliced, x: Column, name: str, order: tuple = ORDER) -> Sliced:
 
 def next_known(s: Sliced, x: Column, name: str, order: tuple = ORDER) -> Sliced:
     """The first non-null ``x`` at or after this row."""
-    by = Window.partitionBy("channel", "slice").orderBy(*order)
-    df = s.df.withColumn(name, F.first(x, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # Read backwards: a frame that grows is a running value, one that shrinks is read anew for every row.
+    by = Window.partitionBy("channel", "slice").orderBy(*[F.desc(c) for c in order])
+    df = s.df.withColumn(name, F.last(x, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     if not s.many:
         return Sliced(df, False)
     ends = s.df.filter(x.isNotNull()).groupBy("channel", "slice").agg(F.min_by(x, F.struct(*order)).alias("head"))
     slices = s.df.select("channel", "slice").distinct().join(ends, ["channel", "slice"], "left")
-    carry = F.first("head", ignorenulls=True).over(_over_slices().rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("channel").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.last("head", ignorenulls=True).over(back)
     df = df.join(slices.select("channel", "slice", carry.alias("carry")), ["channel", "slice"])
     return Sliced(df.withColumn(name, F.coalesce(name, "carry")).drop("carry"), True)
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.frame import SignalFrame
-from tidemark.operators.align import interpolated
 from tidemark.operators.kernels import ROWS_PER_SLICE, neighbours, sliced
 from tidemark.operators.segments import rebase_time
 
@@ -15,7 +14,7 @@ def gate_stats(f: SignalFrame, x1_ns: int, x2_ns: int, rows_per_slice: int = ROW
     """Per channel within the two instants, NaN left out: n, min, max, mean, rms, sigma, area."""
     low, high = min(x1_ns, x2_ns), max(x1_ns, x2_ns)
     kept = f.samples.filter(F.col("ts_ns").between(low, high) & ~F.isnan("value"))
-    s = neighbours(sliced(kept, rows_per_slice))
+    s = neighbours(sliced(kept, rows_per_slice, f.longest))
     area = 0.5 * (F.col("value") + F.col("prev.value")) * ((F.col("ts_ns") - F.col("prev.ts_ns")) / 1e9)
     return s.df.groupBy("channel").agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
@@ -23,12 +22,24 @@ def gate_stats(f: SignalFrame, x1_ns: int, x2_ns: int, rows_per_slice: int = ROW
     )
 
 
-def cursor_values(f: SignalFrame, x1_ns: int, x2_ns: int, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Values at both cursors (NaN outside), their difference, slope, ratio, dB and peak to peak."""
-    cursors = F.explode(F.array(F.struct(F.lit(1).cast("long").alias("seq"), F.lit(x1_ns).cast("long").alias("ts_ns")), F.struct(F.lit(2).cast("long").alias("seq"), F.lit(x2_ns).cast("long").alias("ts_ns"))))
-    grid = f.channels.select("channel").distinct().select("channel", cursors.alias("c")).select("channel", "c.seq", "c.ts_ns")
-    at = interpolated(grid, f.samples, gaps=True, rows_per_slice=rows_per_slice)
-    two = at.groupBy("channel").agg(F.max(F.when(F.col("seq") == 1, F.col("other"))).alias("y1"), F.max(F.when(F.col("seq") == 2, F.col("other"))).alias("y2"))
+def cursor_values(f: SignalFrame, x1_ns: int, x2_ns: int) -> DataFrame:
+    """Values at both cursors (NaN outside), their difference, slope, ratio, dB and peak to peak.
+
+    What lies beside a cursor is an aggregate of its channel: one pass, no window.
+    """
+    t, order, point = F.col("ts_ns"), F.struct("ts_ns", "seq"), F.struct("ts_ns", "value")
+    beside = []
+    for k, x in ((1, x1_ns), (2, x2_ns)):
+        beside += [F.max_by(F.when(t < x, point), F.when(t < x, order)).alias(f"lo{k}"), F.min_by(F.when(t >= x, point), F.when(t >= x, order)).alias(f"hi{k}")]
+    near = f.samples.groupBy("channel").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.max_by("value", order).alias("last_value"), *beside)
+
+    def at(k: int, x: int) -> Column:
+        lo, hi, x = F.col(f"lo{k}"), F.col(f"hi{k}"), F.lit(x)
+        between = lo["value"] + (x - lo["ts_ns"]) / (hi["ts_ns"] - lo["ts_ns"]) * (hi["value"] - lo["value"])
+        inside = F.when(x == F.col("last_ns"), F.col("last_value")).when(lo.isNull(), hi["value"]).otherwise(between)
+        return F.coalesce(F.when(x.between(F.col("first_ns"), F.col("last_ns")), inside), F.lit(float("nan")))
+
+    two = f.channels.select("channel").distinct().join(near, "channel", "left").select("channel", at(1, x1_ns).alias("y1"), at(2, x2_ns).alias("y2"))
     nan, dx = F.lit(float("nan")), (x2_ns - x1_ns) / 1e9
     delta = F.col("y2") - F.col("y1")
     ratio = F.when(F.col("y1") != 0, F.try_divide(F.col("y2"), F.col("y1"))).otherwise(nan)
@@ -40,7 +51,7 @@ def cursor_values(f: SignalFrame, x1_ns: int, x2_ns: int, rows_per_slice: int =
 def measure(f: SignalFrame, x1_ns: int, x2_ns: int, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The report: cursor values and statistics of every channel."""
     stats = gate_stats(f, x1_ns, x2_ns, rows_per_slice).withColumn("span", F.col("max") - F.col("min"))
-    both = cursor_values(f, x1_ns, x2_ns, rows_per_slice).drop("peak_to_peak").join(stats, "channel", "left")
+    both = cursor_values(f, x1_ns, x2_ns).drop("peak_to_peak").join(stats, "channel", "left")
     return both.withColumnRenamed("span", "peak_to_peak").na.fill(0, ["n"])
 
 
@@ -77,7 +88,7 @@ def channel_summary(f: SignalFrame) -> DataFrame:
 
 
 def _repeats(f: SignalFrame, column: str, rows_per_slice: int) -> DataFrame:
-    s = neighbours(sliced(f.samples, rows_per_slice))
+    s = neighbours(sliced(f.samples, rows_per_slice, f.longest))
     same = (F.col("prev").isNotNull() & (F.col(f"prev.{column}") == F.col(column))).cast("int")
     return s.df.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum(same).alias("repeats"))
 

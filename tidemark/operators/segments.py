@@ -16,7 +16,7 @@ def _anchored(f: SignalFrame, origins: DataFrame) -> SignalFrame:
     """Time channels keep their display origin; a spectrum keeps what it has."""
     o = origins.withColumnRenamed("origin_ns", "__origin")
     start = F.when(F.col("domain") == TIME, F.col("__origin")).otherwise(F.col("source_start_ns"))
-    return SignalFrame(f.samples, f.channels.join(o, "channel", "left").withColumn("source_start_ns", start).drop("__origin"))
+    return SignalFrame(f.samples, f.channels.join(o, "channel", "left").withColumn("source_start_ns", start).drop("__origin"), f.longest)
 
 
 def slice_range(f: SignalFrame, start: float, stop: float) -> SignalFrame:
@@ -65,7 +65,7 @@ def repeat(f: SignalFrame, times: int, most_samples: int | None = None) -> Signa
     stride = F.col("span") + F.when(F.col("n") > 1, F.floor(F.col("span") / (F.col("n") - 1) + 0.5)).otherwise(0)
     copies = facts.select("channel", "seqs", stride.alias("stride"), F.explode(F.sequence(F.lit(0), F.lit(int(times) - 1))).alias("copy"))
     out = f.samples.join(copies, "channel").withColumn("ts_ns", F.col("ts_ns") + F.col("copy") * F.col("stride")).withColumn("seq", F.col("seq") + F.col("copy") * F.col("seqs"))
-    return f.with_samples(out)
+    return f.with_samples(out, f.longest.times(int(times)))
 
 
 def gate_runs(f: SignalFrame, gate: SignalFrame, low: float, high: float, least_s: float = 0.0, rows_per_slice: int = ROWS_PER_SLICE) -> Sliced:
@@ -75,9 +75,9 @@ def gate_runs(f: SignalFrame, gate: SignalFrame, low: float, high: float, least_
     which it lies in [low, high]; runs shorter than ``least_s`` are left out.
     """
     low, high = min(low, high), max(low, high)
-    at = interpolated(f.samples, gate.samples, rows_per_slice=rows_per_slice)
+    at = interpolated(f.samples, gate.samples, rows_per_slice=rows_per_slice, longest=f.longest.plus(gate.longest))
     inside = (~F.isnan("other") & F.col("other").between(low, high)).cast("int")
-    s = sliced(at.withColumn("inside", inside).drop("other"), rows_per_slice)
+    s = sliced(at.withColumn("inside", inside).drop("other"), rows_per_slice, f.longest)
     s = neighbours(s, ts_ns=F.col("ts_ns"), inside=F.col("inside"))
     begins = (F.col("inside") == 1) & (F.col("prev").isNull() | (F.col("prev.inside") == 0))
     s = running_sum(s.with_columns(begins=begins.cast("int")), F.col("begins"), "run")
@@ -94,7 +94,7 @@ def upper_median_step(f: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> D
     Equal steps are counted first; a step's rank is a running sum over the
     distinct steps, so no task sorts a channel's samples.
     """
-    s = neighbours(sliced(f.samples, rows_per_slice))
+    s = neighbours(sliced(f.samples, rows_per_slice, f.longest))
     steps = s.df.filter("prev is not null").select("channel", (F.col("ts_ns") - F.col("prev.ts_ns")).alias("step"))
     counts = steps.groupBy("channel", "step").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("channel").orderBy("step"))
@@ -146,7 +146,7 @@ def select_channels(f: SignalFrame, names: list[str] | None = None, domains: lis
     if range_s is not None:
         t0 = rows.filter(F.col("domain") == TIME).agg(F.min("ts_ns")).first()[0] or 0
         rows = rows.filter((F.col("domain") == FREQUENCY) | (F.col("ts_ns") - t0).between(int(range_s[0] * NS), int(range_s[1] * NS)))
-    return SignalFrame(rows.select(*f.samples.columns), channels)
+    return SignalFrame(rows.select(*f.samples.columns), channels, f.longest)
 
 
 def split_domains(f: SignalFrame) -> tuple[SignalFrame, SignalFrame]:
@@ -154,7 +154,7 @@ def split_domains(f: SignalFrame) -> tuple[SignalFrame, SignalFrame]:
     parts = []
     for domain in (TIME, FREQUENCY):
         channels = f.channels.filter(F.col("domain") == domain)
-        parts.append(SignalFrame(f.samples.join(channels.select("channel"), "channel", "left_semi"), channels))
+        parts.append(SignalFrame(f.samples.join(channels.select("channel"), "channel", "left_semi"), channels, f.longest))
     return parts[0], parts[1]
 
 
@@ -169,14 +169,14 @@ def rebase_time(f: SignalFrame) -> DataFrame:
 
 def collapse_instants(f: SignalFrame, keep: str = "first", rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
     """One sample of each run of equal timestamps: its first, last or mean value."""
-    s = run_ids(sliced(f.samples, rows_per_slice), F.col("prev").isNull() | (F.col("prev.ts_ns") != F.col("ts_ns")))
+    s = run_ids(sliced(f.samples, rows_per_slice, f.longest), F.col("prev").isNull() | (F.col("prev.ts_ns") != F.col("ts_ns")))
     value = {"first": F.min_by("value", "seq"), "last": F.max_by("value", "seq"), "mean": F.avg("value")}[keep]
     return f.with_samples(s.df.groupBy("channel", "run").agg(F.min("seq").alias("seq"), F.min("ts_ns").alias("ts_ns"), value.alias("value")))
 
 
 def collapse_plateaus(f: SignalFrame, keep: str = "first", rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
     """One sample of each run of equal values, at the run's first or last time."""
-    s = run_ids(sliced(f.samples, rows_per_slice), F.col("prev").isNull() | (F.col("prev.value") != F.col("value")))
+    s = run_ids(sliced(f.samples, rows_per_slice, f.longest), F.col("prev").isNull() | (F.col("prev.value") != F.col("value")))
     at = {"first": F.min(F.struct("ts_ns", "seq")), "last": F.max(F.struct("ts_ns", "seq"))}[keep]
     runs = s.df.groupBy("channel", "run").agg(at.alias("at"), F.first("value").alias("value"))
     return f.with_samples(runs.select("channel", "at.seq", "at.ts_ns", "value"))

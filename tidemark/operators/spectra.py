@@ -101,7 +101,7 @@ def _points(f: SignalFrame, window: int, rows_per_slice: int) -> tuple[DataFrame
     if bad:
         raise ValueError(f"{bad[0]}: a spectrum needs two samples over a span of time")
     facts = facts.withColumn("fs", 1.0 / ((F.col("t1") - F.col("t0")) * 1e-9 / (F.col("n") - 1))).withColumn("n_fft", power_of_two(F.col("n")))
-    rows = ordinals(sliced(f.samples, rows_per_slice), "i").df.join(facts, "channel").withColumn("w", window_weight(window, F.col("i"), F.col("n")))
+    rows = ordinals(sliced(f.samples, rows_per_slice, f.longest), "i").df.join(facts, "channel").withColumn("w", window_weight(window, F.col("i"), F.col("n")))
     weights = rows.groupBy("channel").agg(F.sum("w").alias("weights"))
     points = rows.select("channel", "i", (F.col("value") * F.col("w")).alias("re"), F.lit(0.0).alias("im"), "n_fft")
     return points, facts.join(weights, "channel")
@@ -121,7 +121,8 @@ def _spectrum(f: SignalFrame, bins: DataFrame, value: Column, unit: str) -> Sign
     samples = bins.select("channel", F.col("k").alias("seq"), _axis().alias("ts_ns"), value.alias("value"))
     start = f.samples.groupBy("channel").agg(F.min("ts_ns").alias("__t0"))
     channels = f.channels.join(start, "channel", "left").withColumn("source_start_ns", F.col("__t0")).drop("__t0")
-    return SignalFrame(samples, channels).with_meta(domain=FREQUENCY, unit=unit)
+    # Half of the least power of two, and one bin more.
+    return SignalFrame(samples, channels, f.longest.times(2)).with_meta(domain=FREQUENCY, unit=unit)
 
 
 def _magnitude() -> Column:
@@ -148,8 +149,8 @@ def rfft_phase(f: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE, direct_poin
 
 def revert_fft(magnitude: SignalFrame, phase: SignalFrame, direct_points: int = DIRECT_POINTS) -> SignalFrame:
     """The signal of a single-sided magnitude and phase; starts at the spectrum's origin, or 0."""
-    m = ordinals(sliced(magnitude.samples), "k").df
-    p = ordinals(sliced(phase.samples), "k").df.select("channel", "k", F.col("value").alias("phase"))
+    m = ordinals(sliced(magnitude.samples, longest=magnitude.longest), "k").df
+    p = ordinals(sliced(phase.samples, longest=phase.longest), "k").df.select("channel", "k", F.col("value").alias("phase"))
     facts = m.groupBy("channel").agg(F.count(F.lit(1)).alias("bins"), ((F.max(F.when(F.col("k") == 1, F.col("ts_ns"))) - F.min(F.when(F.col("k") == 0, F.col("ts_ns")))) / 1e9).alias("df"))
     lengths = facts.join(p.groupBy("channel").agg(F.count(F.lit(1)).alias("other")), "channel", "full")
     if not lengths.filter("bins is null or other is null or bins <> other or bins < 2").isEmpty():
@@ -163,7 +164,7 @@ def revert_fft(magnitude: SignalFrame, phase: SignalFrame, direct_points: int =
     start = magnitude.channels.select("channel", F.coalesce("source_start_ns", F.lit(0)).alias("t0"))
     step = 1e9 / (F.col("n_fft") * F.when(F.col("df") > 0, F.col("df")).otherwise(1.0))
     out = back.join(facts, "channel").join(start, "channel").select("channel", F.col("i").alias("seq"), (F.col("t0") + F.floor(F.col("i") * step + 0.5)).cast("long").alias("ts_ns"), F.col("re").alias("value"))
-    return SignalFrame(out, magnitude.channels).with_meta(domain=TIME, source_start_ns=None)
+    return SignalFrame(out, magnitude.channels, magnitude.longest.times(2)).with_meta(domain=TIME, source_start_ns=None)
 
 
 def _band_edit(f: SignalFrame, low: float, high: float, keep: bool, rows_per_slice: int, direct_points: int) -> SignalFrame:
@@ -174,7 +175,7 @@ def _band_edit(f: SignalFrame, low: float, high: float, keep: bool, rows_per_sli
     hz = F.least(F.col("k"), F.col("n_fft") - F.col("k")) * (F.col("fs") / F.col("n_fft"))
     inside = hz.between(low, high)
     back = _inverse(bins.filter(inside if keep else ~inside).select("channel", "k", "re", "im", "n_fft"), ["channel"], direct_points)
-    rows = ordinals(sliced(f.samples, rows_per_slice), "i").df.drop("value").join(back, ["channel", "i"], "left")
+    rows = ordinals(sliced(f.samples, rows_per_slice, f.longest), "i").df.drop("value").join(back, ["channel", "i"], "left")
     return f.with_samples(rows.withColumn("value", F.coalesce("re", F.lit(0.0)))).with_meta(domain=TIME, source_start_ns=None)
 
 
@@ -212,7 +213,7 @@ def fft_welch(f: SignalFrame, by: SignalFrame, low: float, high: float, least_s:
     rows = gate_runs(f, by, low, high, least_s, rows_per_slice).df.select("channel", "run", "seq", "ts_ns", "value")
     # A run is an own short channel for numbering its samples.
     named = rows.withColumn("of", F.col("channel")).withColumn("channel", F.concat_ws("\x00", "channel", F.lpad(F.col("run").cast("string"), 19, "0")))
-    rows = ordinals(sliced(named, rows_per_slice), "i").df.drop("channel").withColumnRenamed("of", "channel")
+    rows = ordinals(sliced(named, rows_per_slice, f.longest), "i").df.drop("channel").withColumnRenamed("of", "channel")
     runs = rows.groupBy("channel", "run").agg(F.count(F.lit(1)).alias("n"), (F.max(F.when(F.col("i") == 1, F.col("ts_ns"))) - F.min("ts_ns")).alias("step"))
     longest = runs.groupBy("channel").agg(F.max("n").alias("longest"), F.min_by(F.when(F.col("n") > 1, F.col("step")), F.when(F.col("n") > 1, F.col("run"))).alias("step"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("used"))
     if longest.isEmpty() or not longest.filter("longest < 2 or step is null or step <= 0").isEmpty():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.frame import SignalFrame
@@ -12,64 +12,61 @@ from tidemark.operators.kernels import ROWS_PER_SLICE, Sliced, last_known, neigh
 NS = 1e9
 
 
-def _rolling(f: SignalFrame, window_s: float, rows_per_slice: int, result) -> SignalFrame:
-    """``result`` of (over earlier timestamps, over this timestamp up to this row).
+def _rolling(f: SignalFrame, window_s: float, result) -> SignalFrame:
+    """``result`` of an aggregate over the trailing window, in linear time and without a slice's neighbours.
 
-    Rows later in order but equal in time are not yet seen, so the frame ends
-    one nanosecond before and the row's own timestamp is a second frame.
-    A slice is at least as long as the window, so a row is needed in its own
-    slice and the next one at most.
+    Time is cut into blocks as long as the window. A row's window is then the
+    beginning of its own block up to the row, and the end of the block before,
+    from its time less the window on. Every row is sent to its own block and,
+    a window later, to the next one; there a running aggregate read forwards
+    gives the first part and one read backwards the second. Nothing is ever
+    subtracted, so sums stay exact and a NaN leaves with its window.
+    Rows later in order but equal in time are not yet seen.
     """
     if window_s <= 0:
         raise ValueError("the window must be positive")
-    w = int(window_s * NS)
-    s = sliced(f.samples, rows_per_slice, w + 1)
-    df = s.df.withColumn("halo", F.lit(False))
-    if s.many:
-        edges = s.df.groupBy("channel", "slice").agg(F.min("ts_ns").alias("begins"))
-        after = edges.select("channel", (F.col("slice") - 1).alias("slice"), F.col("begins").alias("next_begins"))
-        halo = s.df.join(after, ["channel", "slice"]).filter(F.col("ts_ns") >= F.col("next_begins") - w).drop("next_begins")
-        df = df.unionByName(halo.withColumn("slice", F.col("slice") + 1).withColumn("halo", F.lit(True)))
-    near = Window.partitionBy("channel", "slice").orderBy("ts_ns").rangeBetween(-w, -1)
-    own = Window.partitionBy("channel", "slice", "ts_ns").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("value", result(near, own)).filter(~F.col("halo"))
-    return f.with_samples(out)
+    w = F.lit(int(window_s * NS))
+    block = F.expr("(ts_ns - pmod(ts_ns, __w)) div __w")
+    places = F.array(F.struct(F.lit(False).alias("late"), F.col("ts_ns").alias("at"), F.col("block")), F.struct(F.lit(True).alias("late"), (F.col("ts_ns") + F.col("__w")).alias("at"), (F.col("block") + 1).alias("block")))
+    rows = f.samples.withColumn("__w", w).withColumn("block", block).withColumn("p", F.explode(places)).select("channel", "seq", "ts_ns", "value", "p.late", "p.at", "p.block")
+    of = Window.partitionBy("channel", "block")
+    own = of.orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    near = of.orderBy(F.desc("at"), F.desc("late")).rowsBetween(Window.unboundedPreceding, 0)
 
+    def over(aggregate, x: Column) -> tuple[Column, Column]:
+        return aggregate(F.when(F.col("late"), x)).over(near), aggregate(F.when(~F.col("late"), x)).over(own)
 
-def _sum_and_count(x: Column, near, own) -> tuple[Column, Column]:
-    total = F.coalesce(F.sum(x).over(near), F.lit(0.0)) + F.sum(x).over(own)
-    return total, F.count(x).over(near) + F.count(x).over(own)
+    return f.with_samples(rows.withColumn("value", result(over)).filter(~F.col("late")))
 
 
-def rolling_mean(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    """Mean of the samples at most ``window_s`` back, this one included."""
+def _mean(over, x: Column) -> Column:
+    before, here = over(F.sum, x)
+    return (F.coalesce(before, F.lit(0.0)) + here) / sum(over(F.count, x), F.lit(0))
 
-    def result(near, own):
-        total, n = _sum_and_count(F.col("value"), near, own)
-        return total / n
 
-    return _rolling(f, window_s, rows_per_slice, result)
+def rolling_mean(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
+    """Mean of the samples at most ``window_s`` back, this one included.
 
+    Rolling operators need no slices; they take ``rows_per_slice`` like all others.
+    """
+    return _rolling(f, window_s, lambda over: _mean(over, F.col("value")))
 
-def rolling_rms(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    def result(near, own):
-        total, n = _sum_and_count(F.col("value") * F.col("value"), near, own)
-        return F.sqrt(total / n)
 
-    return _rolling(f, window_s, rows_per_slice, result)
+def rolling_rms(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
+    return _rolling(f, window_s, lambda over: F.sqrt(_mean(over, F.col("value") * F.col("value"))))
 
 
 def rolling_min(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    return _rolling(f, window_s, rows_per_slice, lambda near, own: F.least(F.min("value").over(near), F.min("value").over(own)))
+    return _rolling(f, window_s, lambda over: F.least(*over(F.min, F.col("value"))))
 
 
 def rolling_max(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    return _rolling(f, window_s, rows_per_slice, lambda near, own: F.greatest(F.max("value").over(near), F.max("value").over(own)))
+    return _rolling(f, window_s, lambda over: F.greatest(*over(F.max, F.col("value"))))
 
 
 def derivative(f: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
     """Central differences, one-sided at the ends; a lone sample has derivative 0."""
-    s = neighbours(sliced(f.samples, rows_per_slice))
+    s = neighbours(sliced(f.samples, rows_per_slice, f.longest))
     at_end = F.col("prev").isNull() | F.col("next").isNull()
     before = F.coalesce("prev", F.struct("ts_ns", "value"))
     after = F.coalesce("next", F.struct("ts_ns", "value"))
@@ -81,7 +78,7 @@ def derivative(f: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFr
 
 def integral(f: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
     """Cumulative trapezoid area, 0 at the first sample."""
-    s = neighbours(sliced(f.samples, rows_per_slice))
+    s = neighbours(sliced(f.samples, rows_per_slice, f.longest))
     step = F.coalesce(0.5 * (F.col("value") + F.col("prev.value")) * ((F.col("ts_ns") - F.col("prev.ts_ns")) / NS), F.lit(0.0))
     out = running_sum(s.with_columns(step=step), F.col("step"), "area")
     return f.with_samples(out.df.withColumn("value", F.col("area"))).with_meta(unit="")
@@ -90,20 +87,28 @@ def integral(f: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFram
 def forward_fill(f: SignalFrame, fill: float = 0.0, tolerance: float = 0.0, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
     """Samples that equal the fill marker take the last value that doesn't; a leading run stays."""
     good = F.when(~matches(F.col("value"), fill, tolerance), F.col("value"))
-    out = last_known(sliced(f.samples, rows_per_slice), good, "good")
+    out = last_known(sliced(f.samples, rows_per_slice, f.longest), good, "good")
     return f.with_samples(out.df.withColumn("value", F.coalesce("good", "value")))
 
 
 def backward_fill(f: SignalFrame, fill: float = 0.0, tolerance: float = 0.0, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
     """The mirror of ``forward_fill``: the next value that is not the marker; a trailing run stays."""
-    return reverse(forward_fill(reverse(f), fill, tolerance, rows_per_slice))
+    ends = ends_sum(f)
+    return reverse(forward_fill(reverse(f, ends), fill, tolerance, rows_per_slice), ends)
+
+
+def ends_sum(f: SignalFrame) -> DataFrame:
+    """channel, both: first and last time added, about which a channel is flipped."""
+    return f.samples.groupBy("channel").agg((F.min("ts_ns") + F.max("ts_ns")).alias("both"))
 
 
-def reverse(f: SignalFrame) -> SignalFrame:
-    """The waveform flipped in time within its own span; twice is the identity."""
-    ends = f.samples.groupBy("channel").agg((F.min("ts_ns") + F.max("ts_ns")).alias("both"))
-    out = f.samples.join(ends, "channel").withColumn("ts_ns", F.col("both") - F.col("ts_ns")).withColumn("seq", -F.col("seq"))
+def reverse(f: SignalFrame, ends: DataFrame | None = None) -> SignalFrame:
+    """The waveform flipped in time within its own span; twice is the identity.
+
+    ``ends`` is ``ends_sum`` of a frame with the same times, where that is cheaper to read.
+    """
+    out = f.samples.join(ends_sum(f) if ends is None else ends, "channel").withColumn("ts_ns", F.col("both") - F.col("ts_ns")).withColumn("seq", -F.col("seq"))
     return f.with_samples(out)
 
 
-__all__ = ["Sliced", "backward_fill", "derivative", "forward_fill", "integral", "reverse", "rolling_max", "rolling_mean", "rolling_min", "rolling_rms"]
+__all__ = ["Sliced", "backward_fill", "derivative", "ends_sum", "forward_fill", "integral", "reverse", "rolling_max", "rolling_mean", "rolling_min", "rolling_rms"]

@@ -51,7 +51,7 @@ def wide_table(f: SignalFrame, names: list[str]) -> DataFrame:
 
 def paired_table(f: SignalFrame, names: list[str]) -> DataFrame:
     """row and an x and a v column a channel, by the samples' ordinals."""
-    rows = ordinals(sliced(f.samples), "row").df
+    rows = ordinals(sliced(f.samples, longest=f.longest), "row").df
     return rows.groupBy("row").pivot("channel", names).agg(F.first("ts_ns").alias("x"), F.first("value").alias("v"))
 
 
@@ -121,7 +121,7 @@ def write_wide_csv(f: SignalFrame, path: str, sep: str = ",", decimal: str = "."
 def write_signal_json(f: SignalFrame, path: str) -> None:
     """JSON objects a line: a stretch of a signal's samples each, firstRow before it; exact axis integers, NaN as null."""
     point = F.struct("ts_ns", "seq", F.when(~F.isnan("value"), F.col("value")).alias("value"))
-    rows = ordinals(sliced(f.samples), "row").df.withColumn("line", F.expr(f"row div {ROWS_PER_LINE}"))
+    rows = ordinals(sliced(f.samples, longest=f.longest), "row").df.withColumn("line", F.expr(f"row div {ROWS_PER_LINE}"))
     packed = rows.groupBy("channel", "line").agg(F.sort_array(F.collect_list(point)).alias("p"))
     # Meta data once a line, so that the join spreads a long channel like its lines.
     last = f.samples.groupBy("channel").agg(F.expr(f"(count(*) - 1) div {ROWS_PER_LINE}").alias("last"))
