@@ -149,6 +149,47 @@ def test_reshard_balances_bytes(spark):
         assert max(size.values()) < 1.1 * sum(size.values()) / 8 and min(size.values()) > 0.9 * sum(size.values()) / 8
 
 
+def shard_bytes(rows):
+    size = defaultdict(int)
+    for r in rows:
+        size[r["shard"]] += len((r["text"] or "").encode()) + 8
+    return size
+
+
+@pytest.mark.parametrize("large", [0, 12, 200])
+def test_reshard_moves_the_fewest_bytes_with_large_documents(spark, large):
+    rng = random.Random(large)
+    docs = [(i, "y" * rng.randrange(1, 200), "en", "s") for i in range(900)] + [(900 + i, "z" * rng.randrange(1000, 4000), "en", "s") for i in range(large)]
+    df = documents(spark, docs).withColumn("old", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int"))
+    plan = resharding.plan_reshard(df, "old", 6)
+    rows = resharding.assign(df, "old", plan).collect()
+    check_shards(rows, docs, 6)
+    size, biggest = shard_bytes(rows), max(len(d[1]) + 8 for d in docs)
+    supply = [sum(len(r["text"]) + 8 for r in rows if r["old"] == i) for i in range(4)]
+    level = sum(supply) / 6
+    moved = sum(len(r["text"]) + 8 for r in rows if r["old"] != r["shard"])
+    # A cut is off by half a document at most, and there are old shards + new shards of them at most.
+    assert abs(moved - sum(max(0, s - level) for s in supply)) <= 10 * (biggest if large else 208)
+    assert max(size.values()) - min(size.values()) <= (2 * biggest if large > 100 else 900)
+
+
+def test_reshard_splits_alike_rows_and_takes_any_null(spark, monkeypatch):
+    monkeypatch.setattr(resharding, "_RUN", 7)
+    docs = [(None, "same text of a row that is there very often", "en", "s")] * 400 + [(5, None, "en", "s")] * 3 + [(i, "other" * i, "en", "s") for i in range(20)]
+    df = documents(spark, docs).withColumn("old", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(1).cast("int"))
+    rows = resharding.reshard(df.repartition(5), "old", 4).collect()
+    check_shards(rows, docs, 4)
+    size = shard_bytes(rows)
+    assert len(size) == 4 and max(size.values()) - min(size.values()) <= 250
+
+
+def test_reshard_very_long_text(spark):
+    docs = [(i, "short text" * (i % 9), "en", "s") for i in range(200)] + [(200, "long " * 4_000_000, "en", "s")]
+    df = documents(spark, docs).withColumn("old", F.pmod("doc_id", F.lit(2)).cast("int"))
+    rows = resharding.reshard(df, "old", 3).withColumn("n", F.length("text")).drop("text").withColumn("text", F.lit("")).collect()
+    assert sorted(r["n"] for r in rows) == sorted(len(d[1]) for d in docs) and {r["shard"] for r in rows} == {0, 1, 2}
+
+
 def test_reshard_rewrites_only_affected_shards(spark):
     docs = [(i, "x" * 50, "en", "s") for i in range(300)]
     # Shards 0 and 1 have what they should, 2 has all of 3's.

@@ -3,17 +3,20 @@
 Old shard sizes and new capacities form a small transport problem: a byte
 that stays in its shard costs nothing, one that moves costs 1 (or what the
 caller's cost function says). Successive shortest paths solve it on the
-driver, over shards alone. The flows are then cut into block transfers: the
-documents of an old shard lie in hashed blocks of bounded size, whole blocks
-follow the flow, and only the few blocks at a flow's end are cut between
-documents. Documents that are large against a shard are placed one by one
-beforehand, so that they don't tip a shard over. At last the affected shards
-are rewritten, each with gapless slots.
+driver, over shards alone. The flows are then cut into block transfers: an old
+shard is a line of blocks, the flows are stretches of it (what stays comes
+first), and a block goes where its stretch goes. A document that is large
+against a new shard is a block of its own, the largest at the line's
+beginning; all others lie in hashed blocks behind them. Where the large ones
+end up decides the room that is left, for which the flow of the others is
+solved again, so that small documents make up for where a large one was cut
+off. Only the few blocks at a stretch's end are cut between documents. At last
+the affected shards are rewritten, each with gapless slots.
 
 Defined cases: null text counts no bytes besides the fixed 8 and stays null;
-rows alike in id, size and checksum go to the same shard; a null id is an id
-like any other; an empty table gives empty shards; further columns travel
-with their rows.
+rows alike in id, size and checksum are told apart by an ordinal and may go
+to different shards; a null id is an id like any other and a null old shard
+is shard 0; an empty table gives empty shards; further columns travel with their rows.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +34,12 @@ from tidemark.scratch import new_folder
 
 #: Bytes of a row besides its text.
 ROW_BYTES = 8
-#: A document above this part of a shard is placed by itself.
+#: A document above this part of a shard is a block of its own: new shards times this many at most.
 HEAVY_PART = 64
-#: Documents of a block on average.
-BLOCK_DOCS = 512
+#: Documents of a block on average; blocks of an old shard at most.
+BLOCK_DOCS, MOST_BLOCKS = 512, 1 << 16
+#: Ordinals of alike rows that one task makes.
+_RUN = 100_000
 
 
 def stay_or_move(old: int, new: int) -> float:
@@ -96,9 +101,14 @@ def even_rooms(loads: Sequence[int], extra: int) -> list[int]:
 
 @dataclass
 class Plan:
-    """pieces: old_shard, block, shard, lo, hi, n, first_slot; one row for a run of documents that go one way."""
+    """pieces: __old, __block, shard, lo, hi, n, first_slot; one row for a run of documents that go one way.
+
+    Block -1 has the large documents, a piece each. ``alike`` has __old and
+    __h of rows that only an ordinal tells apart.
+    """
 
     pieces: DataFrame
+    alike: DataFrame
     heavy_above: int
     n_blocks: int
     flow: dict[tuple[int, int], int]
@@ -106,68 +116,115 @@ class Plan:
     untouched: list[int]
 
 
-def _keys(docs: DataFrame, n_blocks: int | None, heavy_above: int | None) -> DataFrame:
-    text = F.col("text")
-    size = F.octet_length(text_or_empty(text)).cast("long") + ROW_BYTES
-    out = docs.withColumn("__size", size).withColumn("__crc", F.crc32(text_or_empty(text).cast("binary"))).withColumn("__h", F.xxhash64("doc_id", "__size", "__crc"))
-    if n_blocks is None:
-        return out
-    return out.withColumn("__block", F.when(F.col("__size") > heavy_above, -1).otherwise(F.pmod(F.shiftrightunsigned("__h", 20), F.lit(n_blocks))).cast("long"))
+def _keyed(docs: DataFrame, old_shard: str) -> DataFrame:
+    text = text_or_empty("text")
+    size = F.octet_length(text).cast("long") + ROW_BYTES
+    return docs.withColumn("__old", F.coalesce(F.col(old_shard).cast("int"), F.lit(0))).withColumn("__size", size).withColumn("__h", F.xxhash64("doc_id", "__size", F.crc32(text.cast("binary"))))
+
+
+def _told_apart(ordinal: Column) -> Column:
+    return F.xxhash64("__h", "__size", ordinal.cast("long"))
+
+
+def _all_ordinals(alike: DataFrame) -> DataFrame:
+    """__old, __size, __h for every row of ``alike`` (.., n), dealt so that a hot key is many tasks' work."""
+    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {_RUN}")))).repartition("__old", "__h", "__size", "run")
+    ordinal = F.explode(F.sequence(F.col("run") * _RUN, F.least(F.col("n"), (F.col("run") + 1) * _RUN) - 1))
+    return runs.withColumn("ordinal", ordinal).select("__old", "__size", _told_apart(F.col("ordinal")).alias("__h"))
+
+
+def _with_ordinals(rows: DataFrame) -> DataFrame:
+    """Alike rows with their own __h. A row's ordinal is its place in its file and the rows of files before it."""
+    rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()), "alike-rows").withColumn("__part", F.shiftright("__at", 33))
+    keys = ["__old", "__h", "__size"]
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
+    parts = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("n")).select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__at")) - 1
+    out = rows.withColumn("__nth", nth).join(parts, [*keys, "__part"])
+    return out.withColumn("__h", _told_apart(F.col("__before") + F.col("__nth"))).drop("__at", "__part", "__nth", "__before")
+
+
+def _stretches(flow: dict[tuple[int, int], int]) -> dict[int, list[tuple[int, int, int]]]:
+    """The flow as stretches (new shard, start, stop) of every old shard's line; what stays comes first."""
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for i, j in sorted(flow, key=lambda e: (e[0], e[0] != e[1], e[1])):
+        at = out[i][-1][2] if i in out else 0
+        out.setdefault(i, []).append((j, at, at + flow[i, j]))
+    return out
+
+
+def place_heavy(heavy: Sequence[tuple[int, int, int]], flow: dict[tuple[int, int], int]) -> list[int]:
+    """The new shard of every large document (old shard, hash, size), largest first, by its middle on the line."""
+    at, lines, out = {}, _stretches(flow), []
+    for old, _, size in heavy:
+        middle = at.get(old, 0) + size / 2
+        out.append(next(j for j, _, stop in lines[old] if middle <= stop))
+        at[old] = at.get(old, 0) + size
+    return out
 
 
 def plan_reshard(docs: DataFrame, old_shard: str, shards: int, cost: Callable[[int, int], float] = stay_or_move, block_docs: int = BLOCK_DOCS) -> Plan:
     """Where every document goes. ``old_shard`` names a column of shard numbers from 0."""
     spark = docs.sparkSession
-    sized = stored(_keys(docs.select("doc_id", "text", F.col(old_shard).cast("int").alias("__old")), None, None).drop("text"), "shard-sizes")
-    per = {r[0]: r[1:] for r in sized.groupBy("__old").agg(F.sum("__size"), F.count(F.lit(1))).collect()}
+    sized = stored(_keyed(docs.select("doc_id", "text", F.col(old_shard)), old_shard).select("__old", "__size", "__h"), "shard-sizes")
+    alike = stored(sized.groupBy("__old", "__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "alike")
+    if not alike.isEmpty():
+        counted = sized.join(alike, ["__old", "__h"], "left_semi").groupBy("__old", "__h", "__size").agg(F.count(F.lit(1)).alias("n"))
+        sized = stored(sized.join(alike, ["__old", "__h"], "left_anti").unionByName(_all_ordinals(counted)), "shard-sizes")
+    per = {r[0]: r[1:] for r in sized.groupBy("__old").agg(F.sum("__size"), F.count(F.lit(1))).collect()}  # a row a shard
     total, n_old = sum(x[0] for x in per.values()), max(per, default=-1) + 1
+    supply = [per.get(i, (0, 0))[0] for i in range(n_old)]
     heavy_above = max(ROW_BYTES, total // shards // HEAVY_PART)
-    # At most shards * HEAVY_PART documents are larger than that, whatever the data.
-    heavy = sorted(sized.filter(F.col("__size") > heavy_above).groupBy("__old", "__h", "__size").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: (-r["__size"], r["__h"], r["__old"]))
-    loads, light = [0] * shards, [per.get(i, (0, 0))[0] for i in range(n_old)]
-    even, rows = total / shards, []
-    for r in heavy:
-        here, much = r["__old"], r["__size"] * r["n"]
-        light[here] -= much
-        to = here if here < shards and loads[here] + much <= even else min(range(shards), key=lambda j: (loads[j], cost(here, j), j))
-        loads[to] += much
-        rows.append((here, -1, to, r["__h"], r["__h"], r["n"]))
+    # Each holds more than a HEAVY_PART-th of a shard, so there are shards * HEAVY_PART at most, whatever the data.
+    heavy = sorted(((r["__old"], r["__h"], r["__size"]) for r in sized.filter(F.col("__size") > heavy_above).collect()), key=lambda r: (r[0], -r[2], r[1]))
+    to = place_heavy(heavy, min_cost_flow(supply, even_rooms([0] * shards, total), cost))
+    loads, light = [0] * shards, list(supply)
+    for (old, _, size), j in zip(heavy, to, strict=True):
+        loads[j] += size
+        light[old] -= size
     flow = min_cost_flow(light, even_rooms(loads, sum(light)), cost)
-    spans = []
-    for i in range(n_old):
-        at = 0
-        # What stays comes first, so a shard that keeps all has no cut at all.
-        for j in sorted((j for a, j in flow if a == i), key=lambda j: (j != i, j)):
-            spans.append((i, j, at, at + flow[i, j]))
-            at += flow[i, j]
-    spans_df = spark.createDataFrame(spans, "__old int, shard int, start long, stop long")
-    n_blocks = max(1, math.ceil(max((x[1] for x in per.values()), default=0) / block_docs))
-    lit = sized.filter(F.col("__size") <= heavy_above).withColumn("__block", F.pmod(F.shiftrightunsigned("__h", 20), F.lit(n_blocks)))
+    spans = [(i, j, a, b) for i, line in _stretches(flow).items() for j, a, b in line]
+    spans_df = F.broadcast(spark.createDataFrame(spans, "__old int, shard int, start long, stop long"))  # old shards + new shards rows at most
+    n_blocks = max(1, min(MOST_BLOCKS, math.ceil(max((x[1] for x in per.values()), default=0) / block_docs)))
+    lit = sized.filter(F.col("__size") <= heavy_above).withColumn("__block", _block(n_blocks))
     blocks = lit.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("__h").alias("lo"), F.max("__h").alias("hi"))
     before = F.sum("bytes").over(Window.partitionBy("__old").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = stored(blocks.withColumn("at", F.coalesce(before, F.lit(0))), "blocks")
-    spans_df = F.broadcast(spans_df)  # at most old shards x new shards rows
-    whole = blocks.join(spans_df, "__old").filter("at >= start and at + bytes <= stop").dropDuplicates(["__old", "__block"])
+    whole = blocks.join(spans_df, "__old").filter("at >= start and at + bytes <= stop")
     whole = stored(whole.select("__old", "__block", "shard", "lo", "hi", "n"), "whole-blocks")
     cut = blocks.join(whole.select("__old", "__block"), ["__old", "__block"], "left_anti").select("__old", "__block", "at")
     upto = F.sum("__size").over(Window.partitionBy("__old", "__block").orderBy("__h"))
-    peers = F.sum("__size").over(Window.partitionBy("__old", "__block", "__h"))
-    placed = lit.join(cut, ["__old", "__block"]).withColumn("mid", F.col("at") + upto - peers / 2)
-    placed = placed.join(spans_df, "__old").filter("mid >= start and mid < stop")
+    placed = lit.join(cut, ["__old", "__block"]).withColumn("middle", F.col("at") + upto - F.col("__size") / 2)
+    placed = placed.join(spans_df, "__old").filter("middle >= start and middle < stop")
     parts = placed.groupBy("__old", "__block", "shard").agg(F.min("__h").alias("lo"), F.max("__h").alias("hi"), F.count(F.lit(1)).alias("n"))
+    rows = [(old, -1, j, h, h, 1) for (old, h, _), j in zip(heavy, to, strict=True)]
     pieces = whole.unionByName(parts.select(whole.columns)).union(spark.createDataFrame(rows, "__old int, __block long, shard int, lo long, hi long, n long"))
     slot = F.sum("n").over(Window.partitionBy("shard").orderBy("__old", "__block", "lo").rowsBetween(Window.unboundedPreceding, -1))
     pieces = stored(pieces.withColumn("first_slot", F.coalesce(slot, F.lit(0))), "pieces")
     ways = pieces.select("__old", "shard").distinct().collect()  # at most old shards x new shards
     touched = {x for r in ways if r["__old"] != r["shard"] for x in r}
-    return Plan(pieces, heavy_above, n_blocks, flow, sorted(touched), sorted({r["shard"] for r in ways} - touched))
+    moved = dict(flow)
+    for (old, _, size), j in zip(heavy, to, strict=True):
+        moved[old, j] = moved.get((old, j), 0) + size
+    return Plan(pieces, alike, heavy_above, n_blocks, moved, sorted(touched), sorted({r["shard"] for r in ways} - touched))
+
+
+def _block(n_blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned("__h", 20), F.lit(n_blocks)).cast("long")
 
 
 def assign(docs: DataFrame, old_shard: str, plan: Plan) -> DataFrame:
     """``docs`` with shard and slot (gapless from 0 in every shard)."""
-    rows = _keys(docs, plan.n_blocks, plan.heavy_above).withColumn("__old", F.col(old_shard).cast("int"))
-    joined = rows.join(plan.pieces.drop("n"), ["__old", "__block"]).filter("__h between lo and hi")
-    nth = F.row_number().over(Window.partitionBy("__old", "__block", "shard", "lo").orderBy("__h", "doc_id", "__size", "__crc"))
+    rows = _keyed(docs, old_shard)
+    if not plan.alike.isEmpty():
+        keys = ["__old", "__h"]
+        rows = rows.join(plan.alike, keys, "left_anti").unionByName(_with_ordinals(rows.join(plan.alike, keys, "left_semi")))
+    rows = rows.withColumn("__block", F.when(F.col("__size") > plan.heavy_above, -1).otherwise(_block(plan.n_blocks)).cast("long"))
+    # A large document is its own join key, so that no key holds all of them.
+    large = F.when(F.col("__block") == -1, F.col("__h")).otherwise(0)
+    pieces = plan.pieces.drop("n").withColumn("__large", F.when(F.col("__block") == -1, F.col("lo")).otherwise(0))
+    joined = rows.withColumn("__large", large).join(pieces, ["__old", "__block", "__large"]).filter("__h between lo and hi")
+    nth = F.row_number().over(Window.partitionBy("__old", "__block", "shard", "lo").orderBy("__h"))
     return joined.withColumn("slot", F.col("first_slot") + nth - 1).select(*docs.columns, "shard", "slot")
 
 
