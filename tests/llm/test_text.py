@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.fs as pafs
 import pytest
+import xxhash
 
 from tests.llm.helpers import DOCS, awkward, documents, prose
 from tidemark.llm import bpe, fingerprints, html_text, langid, secrets, warc
@@ -120,6 +121,44 @@ def test_fingerprints_estimate_jaccard(spark, monkeypatch):
     assert len({rows[i]["fingerprint"] for i in (500, 501, 502)}) == 1
 
 
+def ids_for(kind, n=120):
+    if kind == "wide":
+        return [(i * 0x9E3779B97F4A7C15 + 12345) % (1 << 64) - (1 << 63) for i in range(n)]
+    if kind == "outlier":
+        return [*range(n - 1), 9 * 10**18]
+    return [None] * n if kind == "null" else [7] * 40 + [None] * 40 + [i % 30 for i in range(n - 80)]
+
+
+@pytest.mark.parametrize("kind", ["wide", "outlier", "null", "repeated"])
+def test_neighbours_whatever_the_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 9)
+    monkeypatch.setattr(fingerprints, "SORT_ROWS", 50)
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(0, 30)) for _ in range(120)]
+    if kind == "repeated":
+        texts[:40] = ["a hot row that is there over and over"] * 40
+        texts[45:70] = [None] * 25
+    docs = list(zip(ids_for(kind), texts))
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    h = lambda t: signed(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    by = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), -h(d[1])))
+    want = Counter()
+    for (doc_id, text), (_, after) in zip(by, by[1:] + by[:1]):
+        text, after = text or "", after or ""
+        m = len(text) // 3
+        want[doc_id, len(text), hashlib.sha256((text[: len(text) - m] + after[:m]).encode()).hexdigest()] += 1
+    rows, buckets = fingerprints.with_next(documents(spark, [(*d, "en", "s") for d in docs]), 9)
+    assert rows.groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 9 and buckets >= 4
+    got = fingerprints.fingerprint_edits(documents(spark, [(*d, "en", "s") for d in docs])).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    docs = [(1, "one two three " * 1_500_000, "en", "s"), (2, "four five", "en", "s"), (3, None, "en", "s")]
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(documents(spark, docs)).collect()}
+    assert rows[1]["n_chars"] == len(docs[0][1]) and rows[1]["near_edited"] == pytest.approx(2 / 3, abs=0.3)
+
+
 def test_fingerprints_of_odd_tables(spark):
     rows = fingerprints.fingerprint_edits(documents(spark, awkward())).collect()
     assert len(rows) == len(awkward())

@@ -7,19 +7,23 @@ ln c - r (t + 1 - b) is taken, and the sample is a hash of the word and t.
 Two texts agree in a sample with the probability of their generalised Jaccard
 similarity, sum of the lesser over sum of the greater counts.
 
-The edited texts need each document's neighbour by id. Documents are dealt
-once by id range into buckets of some thousand rows; neighbours, words,
-counts and the least draws are then all found within a bucket, without
-another shuffle, and only a bucket's first text is sent to the one before it.
+The edited texts need each document's neighbour by id. Ids and text hashes
+are put in order first, and every 250th of them bounds a bucket, however the
+ids are spread. Documents are then dealt once by bucket; neighbours, words,
+counts and the least draws are all found within a bucket, without another
+shuffle, and only a bucket's first text is sent to the one before it. Rows
+alike in id and text go through once, with their number.
 
 Defined cases: null text is the empty text; a text without words has all
 samples -1 and is like another such text; a null id comes last, rows with
-equal ids follow by text; the only row is its own neighbour; an empty table
-gives an empty result; further columns are not looked at.
+equal ids follow by the text's hash; a repeated row is followed by its twin;
+the only row is its own neighbour; an empty table gives an empty result;
+further columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, text_or_empty
 
-#: Samples of a fingerprint; rows of a bucket and of a task on average; tasks at most.
-SAMPLES, BUCKET_ROWS, TASK_ROWS, MOST_TASKS = 32, 250, 1000, 100_000
+#: Samples of a fingerprint; rows of a bucket and of a task on average; buckets and tasks at most.
+SAMPLES, BUCKET_ROWS, TASK_ROWS, MOST_BUCKETS, MOST_TASKS = 32, 250, 1000, 1 << 18, 100_000
+#: Rows that one task of the bounds' search puts in order.
+SORT_ROWS = 500_000
 _BITS = 21
 _LOW = (1 << 32) - 1
 
@@ -53,27 +59,59 @@ def draw(term: Column, log_weight: Column, number: int) -> Column:
     return F.shiftleft(key, 32).bitwiseOR(one.bitwiseXOR(t * 2654435761).bitwiseAND(F.lit(_LOW)))
 
 
-def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows (bucket, nth, doc_id, text, next_text), next by descending id, and (bucket, before): whose last row a bucket's first follows."""
-    rows = docs.select("doc_id", text_or_empty("text").alias("text"))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    # Equal spans of id; a null id is below all. Never null, so that no branch filters it and both share one exchange.
-    span = ((high or 0) - (low or 0) + 1) / max(1, math.ceil(n / bucket_rows))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(span)).cast("long"), F.lit(-1).cast("long"))
-    rows = rows.withColumn("bucket", bucket)
-    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    every = Window.partitionBy(F.lit(0))  # one row a bucket
-    before = F.coalesce(F.lag("bucket").over(every.orderBy(F.col("bucket").desc())), F.min("bucket").over(every))
-    tops = stored(tops.withColumn("before", before), "buckets")
-    heads = rows.join(tops.withColumnRenamed("bucket", "__b"), (F.col("bucket") == F.col("__b")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = stored(heads.groupBy(F.col("before").alias("__before")).agg(F.max("text").alias("head")), "bucket-heads")
-    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+_KEY = "struct<d:bigint,h:bigint>"
+
+
+def bucket_bounds(keys: DataFrame, n: int, bucket_rows: int = BUCKET_ROWS, sort_rows: int = SORT_ROWS) -> list[tuple[int | None, int]]:
+    """The least (id, hash) of every bucket but the first, in order: one each ``bucket_rows`` rows, MOST_BUCKETS at most."""
+    step = max(bucket_rows, math.ceil(n / MOST_BUCKETS))
+    ranged = keys.repartitionByRange(math.ceil(n / sort_rows), "doc_id", "h").withColumn("part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "h"))
+    least = ranged.withColumn("nth", nth).filter((F.col("nth") - 1) % step == 0).select("doc_id", "h").distinct().collect()
+    return sorted(((r["doc_id"], r["h"]) for r in least), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))[1:]
+
+
+def bucket_of(doc_id: Column, h: Column, bounds: list[tuple[int | None, int]]) -> Column:
+    """How many bounds are not above (id, hash), by halving; null ids are below all."""
+    # Text that the optimizer turns into one constant array.
+    table = F.from_json(F.lit(json.dumps([{"d": d, "h": x} for d, x in bounds])), f"array<{_KEY}>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]) if bounds else F.array().cast("array<int>")
+    key = F.struct(doc_id.alias("d"), h.alias("h"))
+    below = lambda at, step: (at + step <= len(bounds)) & (F.get(table, at + step - 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(below(at, step), F.lit(False)), step).otherwise(0)).cast("long")
+
+
+def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+    """Rows (bucket, nth, doc_id, text, next_text, times), next by descending id, and the number of buckets.
+
+    A bucket's last row is followed by the first of the bucket below, the
+    lowest bucket by the highest. ``times`` rows are alike in id and text.
+    """
+    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = stored(rows.select("doc_id", "h"), "keys")
+    n = keys.count()
+    again = stored(keys.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "repeated")
+    rows = rows.withColumn("times", F.lit(1).cast("long"))
+    if not again.isEmpty():
+        a = again.toDF("__id", "__h", "__times")
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+        once = rows.join(a, same, "left_semi").groupBy("doc_id", "h").agg(F.max("text").alias("text"), F.count(F.lit(1)).alias("times"))
+        rows = rows.join(a, same, "left_anti").unionByName(once)
+        keys = stored(keys.distinct(), "keys")
+    bounds = bucket_bounds(keys, n, bucket_rows) if n else []
+    bucket = bucket_of(F.col("doc_id"), F.col("h"), bounds)
+    tops = keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").alias("d"), F.col("h").alias("h"))).alias("top"))
+    above = F.when(F.col("bucket") == len(bounds), 0).otherwise(F.col("bucket") + 1).cast("long")
+    tops = stored(tops.select(above.alias("__before"), F.col("top.d").alias("__d"), F.col("top.h").alias("__t")), "buckets")
+    heads = rows.join(tops, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__t"))).select("__before", F.col("text").alias("head"))
+    heads = stored(heads, "bucket-heads")
+    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc())
     # A task's words have to fit its memory: tasks follow the rows, not the bytes of text.
     usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = min(MOST_TASKS, max(math.ceil(n / TASK_ROWS), min(math.ceil(n / 64), usual), 1))
-    placed = rows.repartition(tasks, "bucket").withColumn("nth", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
+    placed = rows.withColumn("bucket", bucket).repartition(tasks, "bucket").withColumn("nth", F.row_number().over(w)).withColumn("next_text", F.lead("text").over(w))
     out = placed.join(heads, (F.col("bucket") == F.col("__before")) & F.col("next_text").isNull(), "left")
-    return out.select("bucket", "nth", "doc_id", "text", F.coalesce("next_text", "head").alias("next_text")), tops.select("bucket", "before")
+    return out.select("bucket", "nth", "doc_id", "text", F.coalesce("next_text", "head").alias("next_text"), "times"), len(bounds) + 1
 
 
 def samples(texts: DataFrame, keys: list[str], count: int = SAMPLES) -> DataFrame:
@@ -100,22 +138,30 @@ def as_hex(s: Column) -> Column:
 
 def fingerprint_edits(docs: DataFrame, count: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows, follows = with_next(docs)
+    rows, buckets = with_next(docs)
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    # Both branches read the same exchange by bucket.
-    about = rows.select("bucket", "nth", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), edited.alias("text")))
+    ends_with = lambda after: F.concat(F.substring("text", F.lit(1), n - third), F.substring(after, F.lit(1), third))
+    # Side 0 is the text, 1 its edited text; 2, of repeated rows, the text edited by its twin. All read the same exchange by bucket.
+    about = rows.select("bucket", "nth", "doc_id", "times", n.cast("long").alias("n_chars"), F.sha2(ends_with("next_text"), 256).alias("sha1"), F.when(F.col("times") > 1, F.sha2(ends_with("text"), 256)).alias("sha2"))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), t.alias("text")) for k, t in enumerate((F.col("text"), ends_with("next_text"), F.when(F.col("times") > 1, ends_with("text"))))])
     taken = samples(rows.select("bucket", "nth", F.explode(sides).alias("s")).select("bucket", "nth", "s.side", "s.text"), ["bucket", "nth", "side"], count)
     none = F.array_repeat(F.lit(-1), count)
-    both = taken.groupBy("bucket", "nth").agg(*[F.max(F.when(F.col("side") == k, F.col("samples"))).alias(f"s{k}") for k in (0, 1)])
-    done = about.join(both, ["bucket", "nth"], "left").withColumns({f"s{k}": F.coalesce(f"s{k}", none) for k in (0, 1)})
+    both = taken.groupBy("bucket", "nth").agg(*[F.max(F.when(F.col("side") == k, F.col("samples"))).alias(f"s{k}") for k in (0, 1, 2)])
+    done = about.join(both, ["bucket", "nth"], "left").withColumns({f"s{k}": F.coalesce(f"s{k}", none) for k in (0, 1, 2)})
     done = stored(done, "samples")
-    first = done.filter("nth = 1").join(follows, "bucket").select(F.col("before").alias("__before"), F.col("s0").alias("head"))
+    above = F.when(F.col("bucket") == buckets - 1, 0).otherwise(F.col("bucket") + 1).cast("long")
+    first = done.filter("nth = 1").select(above.alias("__before"), F.col("s0").alias("head"))
     after = F.lead("s0").over(Window.partitionBy("bucket").orderBy("nth"))
-    done = done.withColumn("after", after).join(first, (F.col("bucket") == F.col("__before")) & F.col("after").isNull(), "left")
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("s0")).alias("fingerprint"), as_hex(F.col("s1")).alias("edited_fingerprint"),
-        likeness(F.col("s0"), F.col("s1"), count).alias("near_edited"), likeness(F.col("s0"), F.coalesce("after", "head"), count).alias("near_next"),
+    done = done.withColumn("after", after).join(first, (F.col("bucket") == F.col("__before")) & F.col("after").isNull(), "left").withColumn("after", F.coalesce("after", "head"))
+    # The last of alike rows is followed by another document, those before it by a twin.
+    last = F.struct(F.lit(1).cast("long").alias("copies"), F.col("sha1").alias("sha"), F.col("s1").alias("edited"), F.col("after"))
+    twin = F.struct((F.col("times") - 1).alias("copies"), F.col("sha2").alias("sha"), F.col("s2").alias("edited"), F.col("s0").alias("after"))
+    done = done.withColumn("r", F.explode(F.when(F.col("times") > 1, F.array(last, twin)).otherwise(F.array(last))))
+    out = done.select(
+        "doc_id", "n_chars", F.col("r.sha").alias("edited_sha256"), as_hex(F.col("s0")).alias("fingerprint"), as_hex(F.col("r.edited")).alias("edited_fingerprint"),
+        likeness(F.col("s0"), F.col("r.edited"), count).alias("near_edited"), likeness(F.col("s0"), F.col("r.after"), count).alias("near_next"), F.col("r.copies").alias("copies"),
     )
+    # Runs of copies, so that no row makes an array as long as a hot row's number.
+    runs = out.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(copies - 1) div 10000"))))
+    return runs.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(10_000).cast("long"), F.col("copies") - F.col("run") * 10_000)))).drop("copies", "run", "copy")
