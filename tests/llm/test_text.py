@@ -66,6 +66,33 @@ def test_secrets_found_and_prose_left_alone(spark):
     assert rows[96]["spans"] == "" and secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_runs_beside_spans_are_all_and_only_the_rest():
+    rng = random.Random(2)
+    for _ in range(200):
+        cut = sorted(rng.sample(range(200), 12))
+        runs, spans = list(zip(cut[::2], cut[1::2])), sorted((a, 0, a + rng.randrange(1, 40)) for a in rng.sample(range(190), 5))
+        covered = {i for a, _, b in spans for i in range(a, b)}
+        want = {i for a, b in runs for i in range(a, b)} - covered
+        parts = list(secrets.beside(runs, spans))
+        assert sorted(i for a, b in parts for i in range(a, b)) == sorted(want) and all(a < b for a, b in parts)
+
+
+def test_secrets_without_digits_short_and_in_long_texts(spark):
+    rng = random.Random(8)
+    key = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    words = lambda n: prose(rng, n).split()
+    names = lambda: f" {'/'.join(words(5))} {'_'.join(words(4))} {'-'.join(words(4))} {''.join(map(str.capitalize, words(4)))} {''.join(words(3))}"
+    plain = [prose(rng, 200) + names() for _ in range(40)]
+    planted = [f"see {key(n, of)} now" for n in (16, 20, 28) for of in (letters, letters + "0123456789") for _ in range(20)]
+    long = [(prose(rng, 2000) + " ") * 1500 + key(24, letters) + " A8xQz7Lw2Vb9Nc4Md1Ey" * 100_000]
+    table = secrets.train(documents(spark, plain + planted))
+    rows = {r["doc_id"]: r for r in secrets.scan(documents(spark, plain + planted + long), table).collect()}
+    assert len(long[0]) > 15_000_000 and not any(rows[i]["spans"] for i in range(40))
+    assert sum("markov" in rows[40 + i]["spans"] for i in range(len(planted))) >= 0.97 * len(planted)
+    assert rows[160]["spans"].count("markov") == 100_001
+
+
 GERMAN = "der die das und ist nicht ein eine mit auf für von dem den zu werden auch sich über schön straße wäre könnte".split()
 
 

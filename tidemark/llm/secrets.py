@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and two character Markov models weighed against each other.
 
 One first-order Markov model is trained on random strings, one on ordinary
-identifiers. A run of 20 or more key characters is a secret where its
-log-likelihood ratio, random over ordinary, exceeds the log of the prior odds
-and it holds at least one digit. The labelled samples: ordinary tokens are
-those of a bounded, hashed sample of documents outside the patterns' spans
-and the runs to be judged, alone and joined into identifiers; random strings are the patterns' findings
-in that sample and strings drawn from the usual key alphabets by a seed.
+identifiers. A run of 16 or more key characters is a secret where its
+log-likelihood ratio, random over ordinary, exceeds the log of the prior odds,
+which are higher for runs without a digit. Of a run that a pattern has found
+in part, what lies beside the finding is judged by itself. The labelled
+samples: ordinary tokens are those of a bounded, hashed sample of distinct
+texts outside the patterns' spans and the runs to be judged, alone and joined
+into identifiers; random strings are the patterns' findings in that sample
+and strings drawn from the usual key alphabets by a seed.
 
 Defined cases: null text is the empty text without spans; texts are scanned
 whole; repeated rows are scanned again; an empty table gives an empty result
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +35,13 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "markov")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Runs that the models judge; the prior odds of ordinary to random; documents sampled for training at most.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-ODDS, SAMPLE_DOCS = 1e6, 4000
+#: Runs that the models judge; the prior odds of ordinary to random with and without a digit; texts sampled for training at most.
+LEAST_RUN = 16
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+ODDS, ODDS_WITHOUT_DIGIT, SAMPLE_DOCS = 1e6, 1e10, 4000
 _DIGIT = re.compile(r"[0-9]")
+# Names and paths: short words without digits, joined.
+_JOINED = re.compile(r"^[A-Za-z]{1,15}(?:[_/-][A-Za-z]{1,15})+$")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _N = len(_ALPHABET) + 1  # the last state is a string's beginning
 _KEYS = ("0123456789abcdef", "0123456789ABCDEF", _ALPHABET[:62], _ALPHABET[:64], "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789")
@@ -84,8 +89,16 @@ def log_ratio(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     return np.log(model(random)) - np.log(model(ordinary))
 
 
+def identifiers(words: list[str]) -> Iterator[str]:
+    """Words joined by threes in the ways of names and paths, each way in turn."""
+    for i in range(0, len(words), 3):
+        some = words[i : i + 3]
+        way = i // 3 % 5
+        yield "_-/"[way].join(some) if way < 3 else (some[0] if way == 3 else some[0].capitalize()) + "".join(w.capitalize() for w in some[1:])
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """The log-ratio table, from at most about ``sample_docs`` documents drawn by a hash of the text."""
+    """The log-ratio table, from at most about ``sample_docs`` distinct texts drawn by their hash."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         random, ordinary = np.zeros((_N, _N)), np.zeros((_N, _N))
@@ -96,11 +109,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
                     rest.append(text[at:a])
                     at = max(at, b)
                 # What the models are to judge has no label yet and is in neither sample.
-                rest = RUN.sub(lambda m: " " if _DIGIT.search(m[0]) else m[0], " ".join([*rest, text[at:]]))
+                rest = RUN.sub(lambda m: m[0] if _JOINED.search(m[0]) else " ", " ".join([*rest, text[at:]]))
                 words = re.findall(r"[A-Za-z0-9+/_=-]{3,}", rest)
                 if words:
-                    ordinary += transitions(words) + transitions(["_".join(words[i : i + 3]) for i in range(0, len(words), 3)])
-                    ordinary += transitions([words[i] + "".join(w.capitalize() for w in words[i + 1 : i + 3]) for i in range(0, len(words), 3)])
+                    ordinary += transitions(words) + transitions(list(identifiers(words)))
                 if spans:
                     random += transitions([text[a:b] for a, k, b in spans if k])
         yield pd.DataFrame({"random": [random.ravel().tolist()], "ordinary": [ordinary.ravel().tolist()]})
@@ -108,7 +120,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     rows = docs.filter("text is not null").select("text")
     n = rows.count()
     part = 1_000_003 * min(1.0, sample_docs / max(1, n))
-    found = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < part).repartition(8).mapInPandas(count, "random array<double>, ordinary array<double>").collect()
+    # However often a drawn text occurs, it is in the sample once.
+    found = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < part).distinct().repartition(8).mapInPandas(count, "random array<double>, ordinary array<double>").collect()
     random, ordinary = transitions(random_strings()), np.zeros((_N, _N))
     for r in found:
         random += np.array(r["random"]).reshape(_N, _N)
@@ -116,16 +129,32 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     return log_ratio(random, ordinary)
 
 
+def beside(runs: Iterable[tuple[int, int]], spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What of the runs lies outside the spans; both are in order, and each is looked at once."""
+    at, end = 0, 0
+    for start, stop in runs:
+        while at < len(spans) and spans[at][0] < stop:
+            a, _, b = spans[at]
+            if max(start, end) < a:
+                yield max(start, end), a
+            end, at = max(end, b), at + 1
+        if max(start, end) < stop:
+            yield max(start, end), stop
+
+
 def scan_text(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     """All spans (start, kind number, end): the base ones, and runs that the models call random."""
     spans = base_spans(text)
-    runs = [m for m in RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-    for m in runs:
-        codes = _CODE[np.frombuffer(m[0].encode("ascii"), np.uint8)]
+    found = []
+    for start, stop in beside((m.span() for m in RUN.finditer(text)), spans):
+        if stop - start < LEAST_RUN:
+            continue
+        run = text[start:stop]
+        codes = _CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
         ratio = table[_N - 1, codes[0]] + table[codes[:-1], codes[1:]].sum()
-        if ratio > np.log(ODDS) and _DIGIT.search(m[0]):
-            spans.append((m.start(), 3, m.end()))
-    return sorted(spans)
+        if ratio > np.log(ODDS if _DIGIT.search(run) else ODDS_WITHOUT_DIGIT):
+            found.append((start, 3, stop))
+    return sorted(spans + found)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
