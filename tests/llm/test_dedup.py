@@ -35,6 +35,14 @@ def test_exact_groups_equal_brute_force(spark):
     assert set(kept.values()) == {1}
 
 
+def test_hot_repeated_rows_leave_one(spark):
+    docs = [(None, "the same row", "en", "s")] * 300 + [(3, None, "en", "s")] * 200 + [(4, "THE same row", "en", "s")] * 5 + [(5, "x", "en", "s")]
+    got = exact_dedup.exact_groups(documents(spark, docs).repartition(7)).collect()
+    assert len(got) == len(docs)
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["kept"]) == [(3, 3, 200), (4, 4, 305), (5, 5, 1)]
+    assert exact_dedup.drop_exact_copies(documents(spark, docs)).count() == 3
+
+
 def test_exact_pipeline_form_keeps_one_of_each(spark):
     docs = documents(spark, awkward())
     out = exact_dedup.drop_exact_copies(docs)

@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow.fs as pafs
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, awkward, documents, prose
 from tidemark.llm import bpe, fingerprints, html_text, langid, secrets, warc
@@ -111,11 +112,41 @@ def test_language_held_out(spark):
 
 
 def test_trigram_counts_by_pieces(monkeypatch):
-    text = prose(random.Random(1), 3000)
+    rng = random.Random(1)
+    text = "".join(rng.choice(["ab", "é", " ", ", ", "1", "Straße", "."]) for _ in range(3000))
     whole = langid.trigram_counts(text)
-    monkeypatch.setattr(langid, "_PIECE", 1000)
-    pieces = langid.trigram_counts(text)
-    assert abs(whole[1].sum() - pieces[1].sum()) <= 2 * (len(text) // 1000 + 1)
+    for piece in (1, 2, 3, 1000, len(text)):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        pieces = langid.trigram_counts(text)
+        assert whole[0].tolist() == pieces[0].tolist() and whole[1].tolist() == pieces[1].tolist()
+
+
+def test_predictions_equal_brute_force(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(GERMAN if i % 3 else ["東京", "大阪", "京都"]) for _ in range(20)) if i % 2 else prose(rng, 20), ["en", ["ja", "de"][i % 3 > 0]][i % 2], "s") for i in range(90)]
+    docs += [(90, "é ß ñ", None, "s"), (91, docs[4][1], "en", "s"), (92, "Ω", "el", "s"), (93, None, "en", "s")]
+    df = documents(spark, docs)
+    held = {r["doc_id"]: r["h"] for r in df.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
+    two, one, none = (v.astype(float) for v in langid._letters(langid.DIM))
+    slot = langid._slots()
+
+    def bundle(text):
+        s = [0]
+        for c in text.lower():
+            if slot[ord(c)] or s[-1]:
+                s.append(int(slot[ord(c)]))
+        s += [0] if s[-1] else []
+        v = sum(two[a] * one[b] * none[c] for a, b, c in zip(s, s[1:], s[2:]))
+        return v / np.linalg.norm(v)
+
+    sums = {}
+    for text, lang in {(d[1], d[2]) for d in docs if d[1] and d[2] and not held[d[0]]}:
+        sums[lang] = sums.get(lang, 0) + bundle(text)
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    for doc_id, text, _, _ in docs[:-1]:
+        cosine = {k: float(bundle(text) @ v / np.linalg.norm(v)) for k, v in sums.items()}
+        assert got[doc_id]["lang_pred"] == max(sorted(cosine), key=cosine.get) and got[doc_id]["score"] == pytest.approx(max(0.0, max(cosine.values())), abs=1e-5)
+    assert got[93]["lang_pred"] == "und"
 
 
 def test_bundle_equals_its_definition():

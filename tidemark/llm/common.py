@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.scratch import new_folder
@@ -40,6 +43,30 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("long")
 
 
+def with_ordinals(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows that share ``keys`` numbered from 0 without gaps; no key, however hot, is one task's work.
+
+    Rows are written once with the task that wrote them. A row's number is its
+    place among the key's rows of its task and those of the tasks before.
+    """
+    rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__at", 33))
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+    counts = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
+    counts = counts.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__at")) - 1
+    out = rows.withColumn("__nth", nth).join(counts, reduce(and_, same, F.col("__part") == F.col("__of")))
+    return out.withColumn(name, F.col("__before") + F.col("__nth")).drop("__at", "__part", "__nth", "__before", "__of", *[f"__{i}" for i in range(len(keys))])
+
+
+def all_ordinals(counted: DataFrame, name: str, run: int = 100_000) -> DataFrame:
+    """A row for each of the ``n`` that ``counted`` says there are, numbered from 0; a great number is many tasks' work."""
+    rest = [c for c in counted.columns if c != "n"]
+    runs = counted.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {run}"))))
+    runs = runs.repartition(*rest, "__run")
+    return runs.select(*rest, F.explode(F.sequence(F.col("__run") * run, F.least(F.col("n"), (F.col("__run") + 1) * run) - 1)).alias(name))
+
+
 def keep_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``kept`` (doc_id, key, times) names, once each, columns as they were.
 

@@ -19,10 +19,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, keep_rows, stored, text_or_empty
+from tidemark.llm.common import ascii_lower, keep_rows, stored, text_or_empty, with_ordinals
 
 #: Least and greatest characters of a chunk.
 CHUNK_MIN, CHUNK_MAX = 256, 2048
@@ -61,9 +61,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = stored(rows.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "copies")
     joined = rows.join(groups, ["key", "recipe"], "left")
     joined = joined.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-    again = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("key"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (again == 1)
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    joined = joined.withColumn("last", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    columns = ["doc_id", "keep_id", "group_size", F.col("last").alias("kept"), "text_sha256"]
+    # Rows that repeat the id that stays as well: one of them stays. There are seldom any.
+    twins = joined.filter("last and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twins = stored(twins.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), "twins")
+    if twins.isEmpty():
+        return joined.select(*columns)
+    same = F.col("last") & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_sha256") == F.col("__sha"))
+    numbered = with_ordinals(joined.join(twins, same, "left_semi").select("doc_id", "keep_id", "group_size", "last", "text_sha256"), ["doc_id", "text_sha256"], "nth")
+    return joined.join(twins, same, "left_anti").select(*columns).union(numbered.withColumn("last", F.col("nth") == 0).select(*columns))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ a text is the bundle (sum) of its trigrams, a language the bundle of its
 documents at unit length. The predicted language is the one whose prototype
 has the largest cosine with the text.
 
-Fitting uses at most ``PER_LANGUAGE`` documents of a language, drawn by a
-hash of the text; prediction reads whole texts.
+Fitting uses at most about ``PER_LANGUAGE`` distinct texts of a language,
+drawn by their hash; prediction reads whole texts.
 
 Defined cases: null text or one without a letter is ``und`` with score 0, as
 is every text where nothing could be learned; equal cosines take the smaller
@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 DIM, PER_LANGUAGE = 1024, 3000
 #: Documents bundled by one matrix product; code points counted at once.
 _DOCS, _PIECE = 64, 1 << 20
-_SLOTS = 128
+_SLOTS = 1024
 
 
 @lru_cache(maxsize=1)
 def _slots() -> np.ndarray:
     """Slot of every code point: 0 what is no letter, a-z their own, other letters by remainder."""
-    out = np.zeros(0x110000, np.uint8)
+    out = np.zeros(0x110000, np.uint16)
     letters = np.array([c for c in range(0x110000) if chr(c).isalpha()])
-    out[letters] = 27 + letters % 101
+    out[letters] = 27 + letters % 997
     out[97:123] = np.arange(1, 27)
     return out
 
@@ -50,17 +50,22 @@ def _letters(dim: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct letter trigrams of a text and how often they occur; a run of non-letters is one gap."""
-    text, grams, counts = text.lower(), [], []
-    for at in range(0, max(1, len(text)), _PIECE):
-        piece = text[max(0, at - 2) : at + _PIECE]
+    """Distinct letter trigrams of a text and how often they occur; a run of non-letters is one gap.
+
+    Pieces of a very long text hand on their last two slots, so the trigrams are those of the whole.
+    """
+    text, grams, counts, last = text.lower(), [], [], np.zeros(1, np.int32)
+    for at in range(0, len(text) + 1, _PIECE):
+        piece = text[at : at + _PIECE]
         s = _slots()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-        s = np.concatenate(([0], s, [0]))
+        end = at + _PIECE > len(text)
+        s = np.concatenate((last, s, [0])) if end else np.concatenate((last, s))
         s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
         code = s[:-2] * (_SLOTS * _SLOTS) + s[1:-1] * _SLOTS + s[2:]
         g, n = np.unique(code, return_counts=True)
         grams.append(g)
         counts.append(n)
+        last = s[-2:]
     if len(grams) == 1:
         return grams[0], counts[0]
     g, back = np.unique(np.concatenate(grams), return_inverse=True)
@@ -99,7 +104,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) -
     part = F.lit(0.0)
     for lang, n in sizes.items():
         part = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(part)
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < part * 1_000_003)
+    # However often a drawn text occurs, it is in the sample once.
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < part * 1_000_003).distinct()
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}

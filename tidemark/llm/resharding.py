@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stored, text_or_empty
+from tidemark.llm.common import all_ordinals, stored, text_or_empty, with_ordinals
 from tidemark.scratch import new_folder
 
 #: Bytes of a row besides its text.
@@ -126,22 +126,14 @@ def _told_apart(ordinal: Column) -> Column:
     return F.xxhash64("__h", "__size", ordinal.cast("long"))
 
 
-def _all_ordinals(alike: DataFrame) -> DataFrame:
-    """__old, __size, __h for every row of ``alike`` (.., n), dealt so that a hot key is many tasks' work."""
-    runs = alike.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {_RUN}")))).repartition("__old", "__h", "__size", "run")
-    ordinal = F.explode(F.sequence(F.col("run") * _RUN, F.least(F.col("n"), (F.col("run") + 1) * _RUN) - 1))
-    return runs.withColumn("ordinal", ordinal).select("__old", "__size", _told_apart(F.col("ordinal")).alias("__h"))
+def _all_apart(counted: DataFrame) -> DataFrame:
+    """__old, __size, __h for every row that ``counted`` (.., n) counts."""
+    return all_ordinals(counted, "ordinal", _RUN).withColumn("__h", _told_apart(F.col("ordinal"))).drop("ordinal")
 
 
-def _with_ordinals(rows: DataFrame) -> DataFrame:
-    """Alike rows with their own __h. A row's ordinal is its place in its file and the rows of files before it."""
-    rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()), "alike-rows").withColumn("__part", F.shiftright("__at", 33))
-    keys = ["__old", "__h", "__size"]
-    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
-    parts = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("n")).select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__at")) - 1
-    out = rows.withColumn("__nth", nth).join(parts, [*keys, "__part"])
-    return out.withColumn("__h", _told_apart(F.col("__before") + F.col("__nth"))).drop("__at", "__part", "__nth", "__before")
+def _apart(rows: DataFrame) -> DataFrame:
+    """Alike rows with their own __h."""
+    return with_ordinals(rows, ["__old", "__h", "__size"], "__ordinal").withColumn("__h", _told_apart(F.col("__ordinal"))).drop("__ordinal")
 
 
 def _stretches(flow: dict[tuple[int, int], int]) -> dict[int, list[tuple[int, int, int]]]:
@@ -170,7 +162,7 @@ def plan_reshard(docs: DataFrame, old_shard: str, shards: int, cost: Callable[[i
     alike = stored(sized.groupBy("__old", "__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "alike")
     if not alike.isEmpty():
         counted = sized.join(alike, ["__old", "__h"], "left_semi").groupBy("__old", "__h", "__size").agg(F.count(F.lit(1)).alias("n"))
-        sized = stored(sized.join(alike, ["__old", "__h"], "left_anti").unionByName(_all_ordinals(counted)), "shard-sizes")
+        sized = stored(sized.join(alike, ["__old", "__h"], "left_anti").unionByName(_all_apart(counted)), "shard-sizes")
     per = {r[0]: r[1:] for r in sized.groupBy("__old").agg(F.sum("__size"), F.count(F.lit(1))).collect()}  # a row a shard
     total, n_old = sum(x[0] for x in per.values()), max(per, default=-1) + 1
     supply = [per.get(i, (0, 0))[0] for i in range(n_old)]
@@ -218,7 +210,7 @@ def assign(docs: DataFrame, old_shard: str, plan: Plan) -> DataFrame:
     rows = _keyed(docs, old_shard)
     if not plan.alike.isEmpty():
         keys = ["__old", "__h"]
-        rows = rows.join(plan.alike, keys, "left_anti").unionByName(_with_ordinals(rows.join(plan.alike, keys, "left_semi")))
+        rows = rows.join(plan.alike, keys, "left_anti").unionByName(_apart(rows.join(plan.alike, keys, "left_semi")))
     rows = rows.withColumn("__block", F.when(F.col("__size") > plan.heavy_above, -1).otherwise(_block(plan.n_blocks)).cast("long"))
     # A large document is its own join key, so that no key holds all of them.
     large = F.when(F.col("__block") == -1, F.col("__h")).otherwise(0)
