@@ -78,7 +78,9 @@ def bucket_of(doc_id: Column, h: Column, bounds: list[tuple[int | None, int]]) -
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]) if bounds else F.array().cast("array<int>")
     key = F.struct(doc_id.alias("d"), h.alias("h"))
     below = lambda at, step: (at + step <= len(bounds)) & (F.get(table, at + step - 1) <= key)
-    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(below(at, step), F.lit(False)), step).otherwise(0)).cast("long")
+    found = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.coalesce(below(at, step), F.lit(False)), step).otherwise(0))
+    # Never null, so that no branch filters it and both of ``fingerprint_edits`` share one exchange.
+    return F.coalesce(found, F.lit(0)).cast("long")
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
