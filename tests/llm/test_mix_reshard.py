@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,42 @@ def test_flight_keeps_probabilities():
     assert [h / 4000 for h in hits] == pytest.approx(pi, abs=0.03)
 
 
+@pytest.mark.parametrize("size, pi", [([40, 31, 31, 17, 12, 9, 5, 3, 3, 1, 1, 1], 0.4), ([7, 7, 7, 7], 0.5), ([100, 1, 1], 0.7), ([500] + [9, 8, 7, 6, 5] * 12, 0.25)])
+def test_probabilities_are_kept_through_the_landing(size, pi):
+    hits, miss = [0.0] * len(size), []
+    for seed in range(3000):
+        done = mixing.fly_block(size, np.full(len(size), pi), np.random.default_rng(seed).random(2 * len(size) + 8), mixing.LANDING, True)
+        assert set(done) <= {0.0, 1.0}
+        hits = [h + p for h, p in zip(hits, done)]
+        miss.append(abs(sum(s * p for s, p in zip(size, done)) - pi * sum(size)))
+    assert [h / 3000 for h in hits] == pytest.approx([pi] * len(size), abs=0.04)
+    assert sum(miss) / 3000 <= max(size)
+
+
+def test_cheapest_design_is_one_and_no_dearer():
+    rng = np.random.default_rng(3)
+    for m in (1, 3, 6):
+        pi, cost = rng.random(m), rng.random(1 << m)
+        subsets, chance = mixing.cheapest_design(pi, cost)
+        assert chance.sum() == pytest.approx(1) and [sum(c for s, c in zip(subsets, chance) if s >> i & 1) for i in range(m)] == pytest.approx(list(pi))
+        for _ in range(200):
+            # Another design: one uniform draw for all units, taken from below or from above.
+            above = rng.random(m) < 0.5
+            ends = sorted([0.0, 1.0, *np.where(above, 1 - pi, pi)])
+            other = sum((b - a) * cost[sum(1 << i for i in range(m) if (mid >= 1 - pi[i] if above[i] else mid < pi[i]))] for a, b in zip(ends, ends[1:]) for mid in [(a + b) / 2])
+            assert chance @ cost[subsets] <= other + 1e-9
+
+
+def test_mix_of_hot_repeated_rows(spark):
+    docs = [(None, "five words are in here", "en", "hot")] * 3000 + [(i, "a b c", "en", "b") for i in range(200)]
+    df = documents(spark, docs)
+    runs = [sorted((r["doc_id"] or -1, r["copies"]) for r in mixing.mix(part).collect()) for part in (df, df.repartition(5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 3200
+    got, out = mixing.mix(df), mixing.mixed(df)
+    per = {r["source"]: (r["t"], r["w"]) for r in got.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("w")).collect()}
+    assert all(abs(t - w) <= 6 for t, w in per.values()) and out.count() == got.agg(F.sum("copies")).first()[0]
+
+
 def test_mix_meets_targets_and_repeats(spark):
     rng = random.Random(5)
     docs = [(i, prose(rng, rng.randrange(1, 60)), "en", rng.choice(["hot"] * 4 + ["b", "c", None])) for i in range(900)]

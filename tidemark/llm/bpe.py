@@ -43,6 +43,8 @@ from tidemark.scratch import new_folder
 
 #: Characters of text in a block; blocks end with the document that reaches it.
 BLOCK_CHARS = 16 << 20
+#: Buckets of distinct words at most, so that a block's words of one bucket are still a list worth packing.
+MOST_BUCKETS = 1 << 13
 _DOC, _ORDER = -2, -1
 _PACKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ordinal", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
@@ -178,7 +180,7 @@ def _encoded(docs: DataFrame, vocab_path: str, pattern: str, carry: tuple[str, .
     source = docs.select("text", *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     kinds = [T.StructField(n, docs.schema[c].dataType) for c, n in zip(carry, names, strict=True)]
     parts = docs.rdd.getNumPartitions()
-    buckets = min(1 << 16, max(256, parts))
+    buckets = min(MOST_BUCKETS, max(256, parts))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made, block = 0, _Block()

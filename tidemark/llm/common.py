@@ -49,14 +49,14 @@ def with_ordinals(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     Rows are written once with the task that wrote them. A row's number is its
     place among the key's rows of its task and those of the tasks before.
     """
-    rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.shiftright("__at", 33))
-    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
-    counts = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
-    counts = counts.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__at")) - 1
-    out = rows.withColumn("__nth", nth).join(counts, reduce(and_, same, F.col("__part") == F.col("__of")))
-    return out.withColumn(name, F.col("__before") + F.col("__nth")).drop("__at", "__part", "__nth", "__before", "__of", *[f"__{i}" for i in range(len(keys))])
+    rows = stored(rows.withColumn("__key_at", F.monotonically_increasing_id()), "numbered").withColumn("__key_task", F.shiftright("__key_at", 33))
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)]
+    counts = rows.groupBy(*keys, "__key_task").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__key_task").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
+    counts = counts.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)], F.col("__key_task").alias("__key_part"), F.coalesce(before, F.lit(0)).alias("__key_before"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "__key_task").orderBy("__key_at")) - 1
+    out = rows.withColumn("__key_nth", nth).join(counts, reduce(and_, same, F.col("__key_task") == F.col("__key_part")))
+    return out.withColumn(name, F.col("__key_before") + F.col("__key_nth")).drop("__key_at", "__key_task", "__key_nth", "__key_before", "__key_part", *[f"__key_{i}" for i in range(len(keys))])
 
 
 def all_ordinals(counted: DataFrame, name: str, run: int = 100_000) -> DataFrame:

@@ -6,9 +6,9 @@ signs), its hashed words and a few measures. A bidirectional LSTM in numpy
 reads the whole sequence both ways and says for every block whether it is
 main text, so a block is judged with all of its page in view.
 
-The labeller is trained at call time on at most ``TRAIN_PAGES`` pages drawn by
-a hash. Labels come from pages that mark their article (article, main): what
-lies in it is main text. From each, pages are made with menus, notices,
+The labeller is trained at call time on at most ``TRAIN_PAGES`` distinct pages
+of at most ``TRAIN_CHARS`` characters, drawn by a hash from those that mark
+their article (article, main): what lies in it is main text. From each, pages are made with menus, notices,
 adverts, sidebars, forms, headers and comments of known label put in, and with
 the article element spelled in other ways.
 
@@ -32,8 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that training reads at most, pages made of each, and the labeller's measures.
-TRAIN_PAGES, VARIANTS = 120, 6
+#: Pages that training reads at most, their characters at most, pages made of each, blocks of a training sequence at most, and the labeller's measures.
+TRAIN_PAGES, TRAIN_CHARS, VARIANTS, TRAIN_BLOCKS = 120, 100_000, 6, 400
 PATH_DIM, WORD_DIM, HIDDEN = 64, 16, 16
 _INPUT = PATH_DIM + WORD_DIM + 3
 
@@ -297,6 +297,10 @@ def made_pages(page: str, rng: np.random.Generator, variants: int = VARIANTS) ->
             after = "".join(other() for _ in range(int(rng.integers(0, 3))))
             inside = [other() if rng.random() < 0.5 else "" for _ in range(2)]
         parts = re.split(r"(?<=</p>)", body)
+        if v and rng.random() < 0.6:
+            # Articles shorter and longer than the one there is, of its own paragraphs and of its words.
+            drawn = rng.integers(-len(parts), len(parts), rng.integers(0, min(30, 4 * len(parts))))
+            parts = [parts[0], *(parts[i] if i >= 0 else f"<p>{some(3, 100)}</p>" for i in drawn)]
         cut = int(rng.integers(0, len(parts) + 1)) if v else 0
         pieces = [(head + before, 0), (f"<{wrap}>", 0), ("".join(parts[:cut]), 1), (inside[0], 0), ("".join(parts[cut:]), 1), (inside[1], 0), (f"</{wrap.split()[0]}>", 0), (after + tail, 0)]
         # The label travels with the text as a marker word that is taken off again.
@@ -309,20 +313,25 @@ def made_pages(page: str, rng: np.random.Generator, variants: int = VARIANTS) ->
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Labeller:
-    """A labeller from at most about ``most`` pages, drawn by a hash of the html."""
-    rows = pages.filter("html is not null").select("html")
-    part = 1_000_003 * min(1.0, most / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < part).limit(2 * most).collect()
+    """A labeller from at most ``most`` distinct pages that mark their article, drawn by a hash of the html."""
+    marked = pages.select("html").filter(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.char_length("html") <= TRAIN_CHARS))
+    n = marked.count()
+    part = 1_000_003 * min(1.0, 8 * most / max(1, n))
+    draw = F.pmod(F.xxhash64("html"), F.lit(1_000_003))
+    sample = marked.filter(draw < part).distinct().orderBy(F.xxhash64("html"), "html").limit(most).collect()
     rng, made = np.random.default_rng(8), []
-    texts = sorted(r["html"] for r in sample) or ["<body><article><p>some text of an article</p><p>and more of it, at length</p></article></body>"]
+    texts = [r["html"] for r in sample] or ["<body><article><p>some text of an article</p><p>and more of it, at length</p></article></body>"]
     for _ in range(4):
         for text in texts:
             if len(made) < most * (VARIANTS + 1):
-                made += made_pages(text[:200_000], rng)
-    made = [(x[:400], y[:400]) for x, y in made]
-    if not made:
-        made = made_pages("<body><article><p>some text of an article</p><p>and more of it</p></article></body>", rng, 60)
-    return Labeller().fit(made)
+                made += made_pages(text, rng)
+    return Labeller().fit([a_window(x, y, rng) for x, y in made])
+
+
+def a_window(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, blocks: int = TRAIN_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """A stretch of a long page's blocks, from anywhere in it."""
+    at = int(rng.integers(0, max(1, len(x) - blocks + 1)))
+    return x[at : at + blocks], y[at : at + blocks]
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:

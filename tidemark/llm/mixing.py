@@ -6,10 +6,12 @@ r - floor(r). The cube method draws these extra copies: a flight phase moves
 the probabilities of three documents at a time along the null-space of the
 two balancing constraints (words and documents) until one of them is 0 or 1,
 so that both totals stay what they were. Blocks of one source fly in
-parallel; each keeps twelve documents of spread sizes back and leaves at most
+parallel; each keeps eight documents of spread sizes back and leaves at most
 two others undecided. Those fly together in the next, much smaller round. Once
 a source fits one block, what that block kept back is landed with the two that
-are left, by the choice that misses the source's words by least.
+are left: a linear programme finds, among all designs over their subsets that
+keep every probability, the one that misses words (and then documents) by
+least in the mean, and one subset is drawn from it.
 
 Documents that are long for their source are decided before all others, from
 the longest down: the flight would leave them undecided and the landing could
@@ -21,7 +23,7 @@ partitioning: reruns agree.
 
 Defined cases: null or empty text has size 0 and target share like any row;
 a null source is a source of its own, last in order; repeated rows are
-separate units; an empty table gives an empty result; further columns pass
+separate units, told apart by an ordinal; an empty table gives an empty result; further columns pass
 through ``mixed`` and are not looked at.
 """
 
@@ -36,10 +38,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stored, text_or_empty, word_count
+from tidemark.llm.common import all_ordinals, stored, text_or_empty, with_ordinals, word_count
 
 #: Documents that fly together in one task; documents of a block kept for its source's landing.
-BLOCK, LANDING = 2048, 12
+BLOCK, LANDING = 2048, 8
 #: A document is long above so many times the mean of its source, and above this share of its words (so at most 1,000 of a source are).
 LONG_TIMES, LONG_SHARE = 6.0, 0.001
 _SNAP = 1e-9
@@ -123,17 +125,54 @@ def held_for_landing(pi: np.ndarray, keep: int = LANDING) -> np.ndarray:
     return open_ if len(open_) <= keep else open_[np.linspace(0, len(open_) - 1, keep).astype(int)]
 
 
-def land(size: Sequence[float], pi: Sequence[float]) -> list[float]:
-    """Decides the few units left so that the words miss by least, then the documents."""
+def cheapest_design(pi: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subsets (numbers whose bits are the units) and their probabilities: of all designs in which unit i has
+    probability pi[i], one of least mean ``cost`` (a number a subset), by the simplex method.
+
+    It begins with the nested subsets of the most likely units, which are a
+    design already, as is every step after it.
+    """
+    m = len(pi)
+    table = np.vstack([np.ones(1 << m), (np.arange(1 << m) >> np.arange(m)[:, None]) & 1])
+    want = np.concatenate(([1.0], pi))
+    base = np.concatenate(([0], np.cumsum(1 << np.argsort(-pi, kind="stable"))))
+    cost = cost / max(cost.max(), 1e-300)
+    for step in range(2000):
+        inverse = np.linalg.inv(table[:, base])
+        x, gain = inverse @ want, cost - (cost[base] @ inverse) @ table
+        better = np.flatnonzero(gain < -1e-10)
+        if not len(better):
+            break
+        # The steepest column, later the first one, which can't go in circles.
+        enter = better[np.argmin(gain[better])] if step < 200 else better[0]
+        along = inverse @ table[:, enter]
+        ratio = np.where(along > 1e-10, np.maximum(x, 0) / np.where(along > 1e-10, along, 1), np.inf)
+        ties = np.flatnonzero(ratio <= ratio.min() + 1e-12)
+        base[ties[np.argmin(base[ties])]] = enter
+    return base, np.maximum(np.linalg.inv(table[:, base]) @ want, 0)
+
+
+def land(size: Sequence[float], pi: Sequence[float], draw: float) -> list[float]:
+    """Decides the few units left with their probabilities kept, near their words and, a hundredth as heavy, their number."""
     pi = np.array(pi, float)
     left = np.flatnonzero((pi > 0) & (pi < 1))
-    sizes = np.asarray(size, float)[left]
-    taken = np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1
-    words, count = np.abs(taken @ sizes - sizes @ pi[left]), np.abs(taken.sum(axis=1) - pi[left].sum())
-    pi[left] = taken[np.lexsort((count, words))[0]]
+    if len(left):
+        sizes = np.asarray(size, float)[left]
+        taken = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        cost = np.abs(taken @ sizes - sizes @ pi[left]) + 0.01 * sizes.mean() * np.abs(taken.sum(axis=1) - pi[left].sum())
+        subsets, chance = cheapest_design(pi[left], cost)
+        pi[left] = taken[subsets[min(np.searchsorted(np.cumsum(chance) / chance.sum(), draw), len(subsets) - 1)]]
     return pi.tolist()
 
 
+def fly_block(size: Sequence[float], pi: np.ndarray, draws: np.ndarray, keep: int, last: bool) -> list[float]:
+    """A block's flight over all but ``keep`` of its units, and its landing where it is its source's last."""
+    waiting = held_for_landing(pi, keep)
+    flown = np.array(fly(size, np.where(np.isin(np.arange(len(pi)), waiting), 0.0, pi), draws[1:]))
+    flown[waiting] = pi[waiting]
+    return land(size, flown.tolist(), draws[0]) if last else flown.tolist()
+
+
 _FLIGHT = {"by": ["size", "tie", "doc_id"], "ascending": [False, True, True], "kind": "stable"}
 
 
@@ -155,22 +194,20 @@ def _long_first(units: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 
 def _round(units: DataFrame, number: int, seed: int, keep: int) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last = rows.sort_values(**_FLIGHT), rows["blocks"].iloc[0] == 1
+        rows, last = rows.sort_values(**_FLIGHT), bool(rows["blocks"].iloc[0] == 1)
         draws = np.random.default_rng([seed, number, int(key[0]) & 0xFFFFFFFF, int(key[1])]).random(2 * len(rows) + 8)
-        size, pi = rows["size"].tolist(), rows["pi"].to_numpy(float)
-        waiting = held_for_landing(pi, LANDING if last else keep)
-        flown = np.array(fly(size, np.where(np.isin(np.arange(len(pi)), waiting), 0.0, pi), draws))
-        flown[waiting] = pi[waiting]
-        return rows.assign(pi=land(size, flown.tolist()) if last else flown)
+        return rows.assign(pi=fly_block(rows["size"].tolist(), rows["pi"].to_numpy(float), draws, LANDING if last else keep, last))
 
     return units.groupBy("source_key", "block").applyInPandas(run, units.schema)
 
 
 def cube_copies(sized: DataFrame, targets: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """``sized`` (doc_id, source, size) with source_size, target and copies, the times a row is taken."""
+    # Rows alike in all three are counted and numbered, so that they spread over blocks like others.
+    sized = all_ordinals(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "nth")
     t = targets.withColumnRenamed("source", "__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    tie = F.xxhash64("doc_id", "size", F.lit(seed))
+    tie = F.xxhash64("doc_id", "size", "nth", F.lit(seed))
     blocks = F.ceil(F.col("n") / block)
     units = sized.join(t, sized["source"].eqNullSafe(t["__source"])).select(
         "doc_id", "source", "size", "source_size", "target", "n", F.floor(ratio).cast("long").alias("base"), (ratio - F.floor(ratio)).alias("pi"),
@@ -213,7 +250,11 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     plan = stored(taken, "copies").withColumnsRenamed({"doc_id": "__id", "source": "__of"})
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__words"))
     out = docs.withColumn("__words", size).join(plan.filter("copies > 0"), on)
-    # Where rows repeat, each takes the even share and the first ones the rest.
-    nth = F.lit(0) if plan.filter("rows > 1").isEmpty() else F.row_number().over(Window.partitionBy("doc_id", "source", "__words").orderBy("text")) - 1
-    times = F.floor(F.col("copies") / F.col("rows")) + F.when(nth < F.col("copies") % F.col("rows"), 1).otherwise(0)
+    if not plan.filter("rows > 1").isEmpty():
+        # Of alike rows each takes the even share and the first ones the rest.
+        alike = with_ordinals(out.filter("rows > 1"), ["__id", "__of", "__words"], "__nth")
+        out = out.filter("rows = 1").withColumn("__nth", F.lit(0).cast("long")).unionByName(alike)
+    else:
+        out = out.withColumn("__nth", F.lit(0).cast("long"))
+    times = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("__nth") < F.col("copies") % F.col("rows"), 1).otherwise(0)
     return out.withColumn("__times", times.cast("int")).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
