@@ -134,7 +134,7 @@ put("b_scalar", "SELECT channel, seq, ts_ns, 'nan'::DOUBLE AS value FROM s")
 ORACLES["j1_same_grid_pairs"] = f"WITH s AS ({_ORDERS}) SELECT channel, seq, ts_ns, round(value, 2) + 0.0 AS a, round(2 * value, 2) + 0.0 AS b FROM s"
 _BOTH = "SELECT channel, seq, ts_ns, round(value, 6) + 0.0 AS value, round(other, 6) + 0.0 AS other FROM r"
 put("j2_interpolated_clamped", _interp("a", "b"), more=_pair(), final=_BOTH)
-put("j3_interpolated_gaps", _interp("a", "c", True), more=_pair("purchase", "click") + "c AS (SELECT * FROM b WHERE seq BETWEEN 2000 AND 6000),", final=_BOTH)
+put("j3_interpolated_gaps", "SELECT a.*, i.other FROM a LEFT JOIN i ON i.seq = a.seq", more=_pair("purchase", "click") + f"i AS ({_interp('a', 'b', True)}),", final=_BOTH)
 put("j5_xy_pairs", _interp("a", "b", True), more=_pair(), final="SELECT channel, seq, ts_ns, round(value, 6) + 0.0 AS x, round(other, 6) + 0.0 AS y FROM r")
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 put("j4_union_grid", "SELECT *, row_number() OVER (PARTITION BY channel, ts_ns ORDER BY seq) AS occurrence FROM s", _ORDERS,
@@ -260,3 +260,17 @@ put("o7_split_domains", "SELECT count(*) AS n, greatest(2, pow(2, ceil(log2(coun
 put("t1_stream_record", "SELECT * FROM s WHERE seq % 11 <> 0")
 ORACLES["t5_stream_integral"] = ORACLES["w6_integral"]
 ORACLES["t5_stream_forward_fill"] = ORACLES["w7_forward_fill"]
+ORACLES["t5_stream_low_pass"] = ORACLES["w8_low_pass"]
+ORACLES["t5_stream_high_pass"] = ORACLES["w9_high_pass"]
+ORACLES["t5_stream_pt2"] = ORACLES["w10_pt2"]
+ORACLES["t2_stream_totals"] = ORACLES["t2_running_totals"]
+put("t1_stream_late", "SELECT *, coalesce(ts_ns < max(ts_ns) OVER (PARTITION BY channel ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 864000000000000, false) AS late FROM s",
+    _EVENTS.replace("event_id AS seq", "event_id + user_id * 10000000 AS seq"), final="SELECT channel, seq, ts_ns, round(value, 6) + 0.0 AS value, late FROM r")
+put("s3_o4_noted_csv", "SELECT CASE channel WHEN 'click' THEN 't' ELSE channel END AS channel, ts_ns, value, 'V' AS unit FROM s WHERE channel IN ('click', 'view')", final="SELECT channel, ts_ns, round(value, 6) + 0.0 AS value, unit FROM r")
+put("s5_paired_export", "SELECT channel, ((ts_ns // 1000000)::DOUBLE * 1e6)::BIGINT AS ts_ns, value, CASE channel WHEN 'click' THEN 'V' ELSE '' END AS unit FROM s WHERE channel IN ('click', 'view')", final="SELECT channel, ts_ns, round(value, 6) + 0.0 AS value, unit FROM r")
+ORACLES["s7_json_columnar"] = "SELECT event_id AS t, round(value, 6) + 0.0 AS a FROM events"
+put("s9_json_guess", "SELECT 'a' AS channel, seq * 500000000 AS ts_ns, value FROM s UNION ALL SELECT 'flag', seq * 500000000, (seq % 2 = 0)::INT FROM s", final=_KEYLESS)
+put("i13_many_files", "SELECT channel || '.csv:v' AS channel, seq, ts_ns - arg_min(ts_ns, seq) OVER (PARTITION BY channel) AS ts_ns, CASE channel WHEN 'error' THEN 0 ELSE value END AS value FROM s WHERE channel <> 'view'")
+ORACLES["i13_report"] = "SELECT 'in/' || event_type || '.csv' AS file, CASE event_type WHEN 'view' THEN 0 ELSE 1 END::BIGINT AS n_channels, CASE event_type WHEN 'view' THEN 0 ELSE count(*) END::BIGINT AS n_samples FROM events GROUP BY event_type"
+ORACLES["q2_unit_report"] = "SELECT 'A' AS \"column\", 'hours' AS unit, 'seconds' AS read_as, count(*) AS cells FROM events WHERE event_id >= 10 AND event_id % 4 <> 0 UNION ALL SELECT 'C', 'rpm', 'Hz', count(*) FROM events WHERE event_id >= 10"
+put("u1_registered_operator", "SELECT channel, seq, ts_ns, value * 0.5 AS value FROM s")

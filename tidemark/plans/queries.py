@@ -225,9 +225,8 @@ def j2_interpolated_clamped(spark, sf_dir):
 @query
 def j3_interpolated_gaps(spark, sf_dir):
     a, b = two(spark, sf_dir, "purchase", "click")
-    cut = b.with_samples(b.samples.filter("seq between 2000 and 6000"))
-    got = align.interpolated(a.samples, cut.samples, gaps=True).filter("not isnan(other)")
-    return got.select("channel", "seq", "ts_ns", rounded("value").alias("value"), rounded("other").alias("other"))
+    got = align.interpolated(a.samples, b.samples, gaps=True)
+    return got.select("channel", "seq", "ts_ns", rounded("value").alias("value"), rounded(F.when(~F.isnan("other"), F.col("other"))).alias("other"))
 
 
 @query
@@ -674,6 +673,135 @@ def t5_stream_forward_fill(spark, sf_dir):
     return out(_in_order(spark, sf_dir, "fill", lambda s: stateful.forward_fill(s, 50.0, 25.0)))
 
 
+def _with_ends(samples: DataFrame) -> DataFrame:
+    """Samples that say which is their channel's last."""
+    last = samples.groupBy("channel").agg(F.max(F.struct("ts_ns", "seq")).alias("last"))
+    return samples.join(last, "channel").select("channel", "seq", "ts_ns", "value", (F.struct("ts_ns", "seq") == F.col("last")).alias("ends"))
+
+
+def _ended(spark, sf_dir, label: str, run) -> DataFrame:
+    path = new_folder(spark, label)
+    return _drained(ingest.in_time_order(_with_ends(tables.events(spark, sf_dir).samples), path + ".in"), path, run)
+
+
+@query
+def t5_stream_low_pass(spark, sf_dir):
+    return out(_ended(spark, sf_dir, "low", lambda s: stateful.lag_stages(s, 3600.0)))
+
+
+@query
+def t5_stream_high_pass(spark, sf_dir):
+    return out(_ended(spark, sf_dir, "high", lambda s: stateful.lag_stages(s, 3600.0, high=True)))
+
+
+@query
+def t5_stream_pt2(spark, sf_dir):
+    return out(_ended(spark, sf_dir, "pt2", lambda s: stateful.lag_stages(s, 3600.0, 2)))
+
+
+@query
+def t1_stream_late(spark, sf_dir):
+    """Events that arrive in the order of their user and number, so that most are out of order."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    arrival = F.col("event_id") + F.col("user_id") * 10_000_000
+    samples = ev.select(F.col("event_type").alias("channel"), arrival.alias("seq"), tables.nanoseconds("ts").alias("ts_ns"), "value")
+    path = new_folder(spark, "late")
+    got = _drained(ingest.in_time_order(samples, path + ".in", ("seq",)), path, lambda s: stateful.marked_late(s, 864_000.0))
+    return got.select("channel", "seq", "ts_ns", rounded("value").alias("value"), "late")
+
+
+@query
+def t2_stream_totals(spark, sf_dir):
+    """Totals of a stream, as its last complete table."""
+    path = new_folder(spark, "totals")
+    ev = _notifications(spark, sf_dir)
+    stream = ingest.in_time_order(ev, path + ".in", ("plc_ts_ns", "seq"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    q = ingest.running_totals(stream).writeStream.outputMode("complete").option("checkpointLocation", path + ".state").trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/{q.lastProgress['batchId']}")
+
+
+@query
+def s3_o4_noted_csv(spark, sf_dir):
+    """A channel called t, which titles alone would take for an axis; the files' own description says what it is."""
+    f = tables.events(spark, sf_dir).only("click", "view").with_meta(unit="V")
+    path = new_folder(spark, "noted") + ".csv"
+    sinks.write_wide_csv(f.renamed(F.when(F.col("channel") == "click", "t").otherwise(F.col("channel"))), path, absolute_ns=True, paired=True, noted=True)
+    back = text.read_signal_csv(spark, path)
+    return back.samples.join(back.channels.select("channel", "unit"), "channel").select("channel", "ts_ns", rounded("value").alias("value"), "unit")
+
+
+@query
+def s5_paired_export(spark, sf_dir):
+    """Two channels as a logger exports them, in whole milliseconds, each with its own number of rows."""
+    f = tables.events(spark, sf_dir).only("click", "view")
+    rows = sinks.paired_table(f, ["click", "view"])
+    cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    line = F.concat_ws("\t", *[cell(x) for c in ("click", "view") for x in (F.expr(f"{c}_x div 1000000"), F.col(f"{c}_v"))])
+    path = new_folder(spark, "export") + ".txt"
+    head = ["Name\tsome recording", "Name\tclick\tName\tview", "SampleTime[ms]\t1\tSampleTime[ms]\t1", "Unit\t(V)\tUnit\t(None)"]
+    sinks.write_lines(rows.orderBy("row").select(line), path, head)
+    back = sinks.open_signals(spark, path)
+    return back.samples.join(back.channels.select("channel", "unit"), "channel").select("channel", "ts_ns", rounded("value").alias("value"), "unit")
+
+
+def _documents(spark, sf_dir, label: str, **columns: Column) -> str:
+    """Events as JSON documents of columns, a file each of some thousand rows."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    row = F.struct("event_id", *[c.alias(k) for k, c in columns.items()])
+    docs = ev.groupBy(F.expr("event_id div 1000")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    path = new_folder(spark, label) + ".json"
+    docs.select(F.to_json(F.struct(F.lit("x").alias("meta"), *[F.col(f"rows.{k}").alias(k) for k in columns]))).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query
+def s7_json_columnar(spark, sf_dir):
+    got = json_files.read_json_columnar(spark, _documents(spark, sf_dir, "columnar", t=F.col("event_id"), a=F.col("value")))
+    return got.select(F.col("t").cast("long").alias("t"), rounded(F.col("a").cast("double")).alias("a"))
+
+
+@query
+def s9_json_guess(spark, sf_dir):
+    """The axis is found by its name; truth values are numbers."""
+    path = _documents(spark, sf_dir, "guess", flag=F.col("event_id") % 2 == 0, Time=F.col("event_id") * 0.5, a=F.col("value"))
+    return sinks.open_signals(spark, path).samples.select("channel", "ts_ns", rounded("value").alias("value"))
+
+
+def _many_files(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cells = F.array(tables.nanoseconds("ts").cast("string"), F.when(F.col("event_type") != "error", F.col("value").cast("string")))
+    grids = ev.select(F.concat(F.lit("in/"), "event_type", F.lit(".csv")).alias("file"), F.col("event_id").alias("row_idx"), F.when(F.col("event_type") == "view", F.slice(cells, 1, 1)).otherwise(cells).alias("cells"))
+    return importing.import_files(grids, importing.ImportProfile((importing.ColumnMapping("A", importing.X_TIME, unit="ns"), importing.ColumnMapping("B", name="v", relative_time=True))))
+
+
+@query
+def i13_many_files(spark, sf_dir):
+    return out(_many_files(spark, sf_dir)[0])
+
+
+@query
+def i13_report(spark, sf_dir):
+    """Files of views have no second column, so they give nothing."""
+    return _many_files(spark, sf_dir)[1]
+
+
+@query
+def q2_unit_report(spark, sf_dir):
+    cells = _cells(spark, sf_dir, F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("event_id").cast("string")))
+    return importing.unit_report(cells, importing.ImportProfile((importing.ColumnMapping("A", importing.X_TIME, unit="hours"), importing.ColumnMapping("B"), importing.ColumnMapping("C", importing.X_FREQUENCY, unit="rpm")), header_row=10))
+
+
+@query
+def u1_registered_operator(spark, sf_dir):
+    catalog.register_operator("Scaled", lambda f, k: f.map_value(lambda v: v * k), 2, 2, replace=True)
+    return out(catalog.apply_operator("Scaled", tables.events(spark, sf_dir), 0.5))
+
+
 @query
 def t1_stream_record(spark, sf_dir):
     def notified(s: DataFrame) -> DataFrame:

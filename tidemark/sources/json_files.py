@@ -17,6 +17,14 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value")
 
 
+def _members(doc: DataFrame) -> list[tuple[str, str]]:
+    """(key, beginning of its value) of a document's members in order, found in one pass."""
+    named = doc.select("value", F.posexplode(F.json_object_keys("value")).alias("pos", "key"))
+    member = F.call_function("get_json_object", "value", F.concat(F.lit("$['"), "key", F.lit("']")))
+    starts = named.groupBy("key").agg(F.min("pos").alias("pos"), F.max(F.regexp_extract(member, r"^\s*(\[\s*\{|\[|)", 1)).alias("start"))
+    return [(r["key"], r["start"]) for r in starts.orderBy("pos", "key").collect()]  # a row a key
+
+
 def read_json_records(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Rows of an array of objects, of one nested a level down, or of JSON lines; columns in first-seen order.
 
@@ -29,8 +37,7 @@ def read_json_records(spark: SparkSession, path: str, json_lines: bool = False)
     doc = _whole(spark, path)
     text = F.trim("value")
     if doc.filter(text.startswith("[")).isEmpty():
-        keys = [r[0] for r in doc.select(F.explode(F.json_object_keys("value"))).collect()]
-        nested = next((k for k in keys if not doc.filter(F.trim(F.get_json_object("value", f"$['{k}']")).rlike(r"^\[\s*\{")).isEmpty()), None)
+        nested = next((k for k, start in _members(doc) if start.endswith("{")), None)
         if nested is None:
             raise ValueError("no array of records")
         doc = doc.select(F.get_json_object("value", f"$['{nested}']").alias("value"))
@@ -60,8 +67,7 @@ def read_json_columnar(spark: SparkSession, path: str) -> DataFrame:
         rows = doc.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("row_idx", "cells"))
         width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
         return rows.select(F.col("row_idx").cast("long"), *[F.get("cells", i).alias(f"col{i + 1}") for i in range(width)])
-    keys = [r[0] for r in doc.select(F.explode(F.json_object_keys("value"))).collect()]
-    columns = [k for k in keys if not doc.filter(F.trim(F.get_json_object("value", f"$['{k}']")).startswith("[")).isEmpty()]
+    columns = [k for k, start in _members(doc) if start]
     arrays = F.arrays_zip(*[F.coalesce(F.from_json(F.get_json_object("value", f"$['{k}']"), "array<string>"), F.array().cast("array<string>")).alias(k) for k in columns])
     rows = doc.select(F.posexplode(arrays).alias("row_idx", "r"))
     return rows.select(F.col("row_idx").cast("long"), *[F.col(f"r.`{k}`").alias(k) for k in columns])

@@ -8,6 +8,7 @@ on the driver; the grid becomes long rows by one explode.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,79 +104,100 @@ def _axis_of(y: ColumnMapping, profile: ImportProfile) -> ColumnMapping | float:
     return profile.sample_rate_hz
 
 
-def import_profile(grid: DataFrame, profile: ImportProfile, source: str = "grid") -> Imported:
-    """Channels of ``grid`` (row_idx, cells), the cells that were no numbers, and warnings."""
-    ys = [c for c in profile.columns if c.role == SIGNAL]
-    if not ys:
-        raise ValueError("the profile has no channels")
+def unit_report(grid: DataFrame, profile: ImportProfile) -> DataFrame:
+    """column, unit, read_as, cells: the axis columns of ``unit_warnings`` and how many of their cells that concerns."""
+    warned = [c for c in profile.columns if unit_warnings(ImportProfile((c,)))]
+    of = [F.when(F.trim(F.get("cells", column_index(c.column))) != "", F.struct(F.lit(c.column).alias("column"), F.lit(c.unit).alias("unit"), F.lit("seconds" if c.role == X_TIME else "Hz").alias("read_as"))) for c in warned]
+    empty = F.array().cast("array<struct<column:string,unit:string,read_as:string>>")
+    rows = grid.filter(F.col("row_idx") >= max(0, profile.header_row)).select(F.explode(F.array_compact(F.array(*of)) if of else empty).alias("w"))
+    return rows.groupBy("w.column", "w.unit", "w.read_as").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def _mapped(grid: DataFrame, profile: ImportProfile, ys: list[ColumnMapping]) -> DataFrame:
+    """A row a mapped cell, with k, the number of its channel's mapping; one explode for all channels and files."""
     start = max(0, profile.header_row)
     bounds = lambda c: (c.row_start if c.row_start is not None else start, c.row_end if c.row_end is not None else (1 << 62))
     decimal = lambda c: F.replace(c, F.lit(profile.decimal), F.lit(".")) if profile.decimal != "." else c
-    structs, meta = [], []
+    structs = []
     for k, y in enumerate(ys):
         axis, (low, high) = _axis_of(y, profile), bounds(y)
-        y_at, name = column_index(y.column), y.name or f"Col{y.column}"
+        y_at = column_index(y.column)
         cell = F.trim(F.get("cells", y_at))
         value = F.when(cell == "", 0.0).otherwise(number(decimal(cell)))
         x_bad: Column = F.lit(None).cast("string")
         there = F.size("cells") > y_at
-        x_name, domain = "", TIME
+        x_name = ""
         if isinstance(axis, ColumnMapping):
-            x_at, domain, x_name = column_index(axis.column), FREQUENCY if axis.role == X_FREQUENCY else TIME, axis.column
+            x_at, x_name = column_index(axis.column), axis.column
             if axis.row_start is not None or axis.row_end is not None:
                 low, high = max(low, bounds(axis)[0]), min(high, bounds(axis)[1])
             x_cell = F.trim(F.get("cells", x_at))
-            x = axis_value(decimal(x_cell), axis.unit, domain)
+            x = axis_value(decimal(x_cell), axis.unit, FREQUENCY if axis.role == X_FREQUENCY else TIME)
             x_bad = F.when(x.isNull(), x_cell)
             ts = F.coalesce(x, F.lit(0).cast("long"))
             there &= (F.size("cells") > x_at) & (x_cell != "")
         else:
             ts = ((F.col("row_idx") - low) * (1e9 / axis if axis > 0 else 0.0)).cast("long")
         structs.append(F.when(there & F.col("row_idx").between(low, high), F.struct(
-            F.lit(k).alias("k"), F.lit(name).alias("channel"), ts.alias("ts_ns"), F.coalesce(value, F.lit(0.0)).alias("value"),
+            F.lit(k).alias("k"), F.lit(_name(y)).alias("channel"), ts.alias("ts_ns"), F.coalesce(value, F.lit(0.0)).alias("value"),
             F.when(value.isNull(), cell).alias("y_bad"), x_bad.alias("x_bad"), F.lit(x_name).alias("x_column"), F.lit(y.column).alias("y_column"))))
-        meta.append((name, y.unit, "LREAL", "imported", float(axis) if not isinstance(axis, ColumnMapping) else 0.0, 0, f"{source}:{y.column}", domain, None))
-    rows = grid.select("row_idx", F.explode(F.array_compact(F.array(*structs))).alias("s")).select("row_idx", "s.*")
-    samples = rows.select("channel", F.col("row_idx").alias("seq"), "ts_ns", "value")
-    samples = _moved(samples, ys)
-    frame = SignalFrame(samples, grid.sparkSession.createDataFrame(meta, CHANNEL_SCHEMA))
-    return Imported(_collapsed(frame, ys), _bad_cells(rows), unit_warnings(profile))
-
-
-def _moved(samples: DataFrame, ys: list[ColumnMapping]) -> DataFrame:
-    """Relative times first, then the offset, for the channels that ask for them."""
-    named = lambda test: [y.name or f"Col{y.column}" for y in ys if test(y)]
-    if relative := named(lambda y: y.relative_time):
-        first = samples.filter(F.col("channel").isin(relative)).groupBy("channel").agg(F.min_by("ts_ns", "seq").alias("t0"))
-        samples = samples.join(first, "channel", "left").withColumn("ts_ns", F.col("ts_ns") - F.coalesce("t0", F.lit(0))).drop("t0")
-    for y in ys:
-        if y.time_offset_s:
-            half = 0.5 if y.time_offset_s > 0 else -0.5
-            offset = int(y.time_offset_s * 1e9 + half)
-            samples = samples.withColumn("ts_ns", F.when(F.col("channel") == (y.name or f"Col{y.column}"), F.col("ts_ns") + offset).otherwise(F.col("ts_ns")))
-    return samples
+    return grid.select(*[c for c in ("file",) if c in grid.columns], "row_idx", F.explode(F.array_compact(F.array(*structs))).alias("s")).select("*", "s.*").drop("s")
+
 
+def _name(y: ColumnMapping) -> str:
+    return y.name or f"Col{y.column}"
 
-def _collapsed(frame: SignalFrame, ys: list[ColumnMapping]) -> SignalFrame:
-    """Instants, then plateaus; channels alike in both go together."""
-    ways: dict[tuple[str, str], list[str]] = {}
+
+def _meta(profile: ImportProfile, ys: list[ColumnMapping], source: str) -> list[tuple]:
+    out = []
     for y in ys:
-        ways.setdefault((y.collapse_instants, y.collapse_plateaus), []).append(y.name or f"Col{y.column}")
-    if set(ways) == {("", "")}:
-        return frame
+        axis = _axis_of(y, profile)
+        by_column = isinstance(axis, ColumnMapping)
+        domain = FREQUENCY if by_column and axis.role == X_FREQUENCY else TIME
+        out.append((_name(y), y.unit, "LREAL", "imported", 0.0 if by_column else float(axis), 0, f"{source}:{y.column}", domain, None))
+    return out
+
+
+def _signals_of(profile: ImportProfile) -> list[ColumnMapping]:
+    ys = [c for c in profile.columns if c.role == SIGNAL]
+    if not ys:
+        raise ValueError("the profile has no channels")
+    return ys
+
+
+def import_profile(grid: DataFrame, profile: ImportProfile, source: str = "grid") -> Imported:
+    """Channels of ``grid`` (row_idx, cells), the cells that were no numbers, and warnings."""
+    ys = _signals_of(profile)
+    rows = _mapped(grid.drop("file"), profile, ys)
+    channels = grid.sparkSession.createDataFrame(_meta(profile, ys, source), CHANNEL_SCHEMA)
+    return Imported(SignalFrame(_arranged(rows, ys), channels), _bad_cells(rows), unit_warnings(profile))
+
+
+def _arranged(rows: DataFrame, ys: list[ColumnMapping]) -> DataFrame:
+    """Samples of mapped cells: relative times, offsets, collapsed instants, collapsed plateaus, in that order."""
+    samples = rows.select("k", "channel", F.col("row_idx").alias("seq"), "ts_ns", "value")
+    numbers = lambda test: [k for k, y in enumerate(ys) if test(y)]
+    if relative := numbers(lambda y: y.relative_time):
+        first = samples.filter(F.col("k").isin(relative)).groupBy("channel").agg(F.min_by("ts_ns", "seq").alias("t0"))
+        samples = samples.join(first, "channel", "left").withColumn("ts_ns", F.col("ts_ns") - F.coalesce("t0", F.lit(0))).drop("t0")
+    offset: Column = F.lit(0).cast("long")
+    for k, y in enumerate(ys):
+        if y.time_offset_s:
+            offset = F.when(F.col("k") == k, int(y.time_offset_s * 1e9 + (0.5 if y.time_offset_s > 0 else -0.5))).otherwise(offset)
+    samples = samples.withColumn("ts_ns", F.col("ts_ns") + offset)
+    ways: dict[tuple[str, str], list[int]] = {}
+    for k, y in enumerate(ys):
+        ways.setdefault((y.collapse_instants, y.collapse_plateaus), []).append(k)
     parts = []
-    for (instants, plateaus), names in ways.items():
+    for (instants, plateaus), of in ways.items():
         # A file's order is its rows, so runs are runs of rows.
-        part = frame.only(*names)
+        part = SignalFrame.of(samples if len(ways) == 1 else samples.filter(F.col("k").isin(of)))
         if instants:
             part = collapse_instants(part, instants)
         if plateaus:
             part = collapse_plateaus(part, plateaus)
         parts.append(part.samples)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return SignalFrame(out, frame.channels)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _bad_cells(rows: DataFrame) -> DataFrame:
@@ -186,20 +208,22 @@ def _bad_cells(rows: DataFrame) -> DataFrame:
 
 
 def import_files(grids: DataFrame, profile: ImportProfile) -> tuple[SignalFrame, DataFrame]:
-    """One profile over many files of a grid (file, row_idx, cells).
+    """One profile over many files of a grid (file, row_idx, cells), all in one plan.
 
-    Channels are named file:name; the report has a row a file with the
-    channels and samples it gave, 0 for one that gave nothing.
+    Channels are named file:name by the file's last part; the report has a row
+    a file with the channels and samples it gave, 0 for one that gave nothing.
     """
-    files = [r[0] for r in grids.select("file").distinct().orderBy("file").collect()]
-    parts = [import_profile(grids.filter(F.col("file") == f), profile, f.rsplit("/", 1)[-1]).frame.renamed(F.concat(F.lit(f.rsplit("/", 1)[-1] + ":"), F.col("channel"))) for f in files]
-    samples, channels = parts[0].samples, parts[0].channels
-    for p in parts[1:]:
-        samples, channels = samples.unionByName(p.samples), channels.unionByName(p.channels)
-    named = F.regexp_extract("file", r"([^/]*)$", 1)
-    got = samples.groupBy(F.regexp_extract("channel", r"^(.*?):", 1).alias("of")).agg(F.countDistinct("channel").alias("n_channels"), F.count(F.lit(1)).alias("n_samples"))
-    report = grids.select("file").distinct().join(got, named == F.col("of"), "left").na.fill(0, ["n_channels", "n_samples"]).drop("of")
-    return SignalFrame(samples, channels), report
+    ys = _signals_of(profile)
+    short = F.regexp_extract("file", r"([^/]*)$", 1)
+    within = F.concat(short, F.lit(":"), F.col("channel"))
+    samples = _arranged(_mapped(grids, profile, ys).withColumn("channel", within), ys)
+    files = grids.select("file").distinct()
+    meta = grids.sparkSession.createDataFrame([(k, *m) for k, m in enumerate(_meta(profile, ys, ""))], "k int, " + CHANNEL_SCHEMA)
+    made = files.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(ys) - 1)))).join(F.broadcast(meta), "k")  # a row a mapped column
+    made = made.withColumn("channel", within).withColumn("source_symbol", F.concat(short, "source_symbol"))
+    counts = made.join(samples.groupBy("channel").agg(F.count(F.lit(1)).alias("n")), "channel", "left")
+    report = counts.groupBy("file").agg(F.count("n").alias("n_channels"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"))
+    return SignalFrame(samples, made.select(*meta.columns[1:])), report
 
 
 def profile_from_titles(titles: list[str]) -> ImportProfile:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +66,21 @@ def _title(c: dict) -> str:
     return f"{c['channel']} [{c['unit']}]" if c["unit"] else c["channel"]
 
 
-def write_wide_csv(f: SignalFrame, path: str, sep: str = ",", decimal: str = ".", digits: int | None = None, absolute_ns: bool = False, paired: bool = False, metadata: bool = True) -> None:
+def write_lines(lines: DataFrame, path: str, head: list[str]) -> None:
+    """Text part files of the one column of ``lines``, in its order, each beginning with the lines of ``head``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": head})
+        yield from batches
+
+    lines.toDF("value").mapInPandas(run, "value string").write.text(path)
+
+
+def write_wide_csv(f: SignalFrame, path: str, sep: str = ",", decimal: str = ".", digits: int | None = None, absolute_ns: bool = False, paired: bool = False, metadata: bool = True, noted: bool = False) -> None:
     """CSV part files with titles, in axis order, and their description beside them in ``path``.meta.
 
+    ``noted`` puts the description into the files instead, as their first
+    line; names and units must then be free of the separator.
     Shared: time channels by instants, then frequency channels by bins, joined
     by row. Paired: an (x, value) pair of columns a channel.
     """
@@ -113,6 +127,12 @@ def write_wide_csv(f: SignalFrame, path: str, sep: str = ",", decimal: str = "."
                 note_signal(c, x)
                 columns.append(format_number(F.col(f"`{c['channel']}`"), digits, decimal).alias(_title(c)))
     ordered = table.orderBy("row").select(*columns)
+    if noted:
+        if any(sep in title for title in ordered.columns):
+            raise ValueError("a title holds the separator")
+        line = F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in ordered.columns])
+        write_lines(ordered.select(line), path, ["# signal-csv: " + json.dumps({"v": 1, "columns": notes}), sep.join(ordered.columns)])
+        return
     ordered.write.option("header", True).option("sep", sep).option("emptyValue", "").csv(path)
     if metadata:
         spark.createDataFrame([(json.dumps({"v": 1, "columns": notes}),)], "value string").coalesce(1).write.text(path + ".meta")

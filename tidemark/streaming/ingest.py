@@ -26,15 +26,15 @@ def accepted(notifications: DataFrame) -> DataFrame:
     return stamped(notifications).filter("valid").select("channel", "seq", "ts_ns", F.coalesce("value", F.lit(float("nan"))).alias("value"))
 
 
-def in_time_order(samples: DataFrame, path: str) -> DataFrame:
+def in_time_order(samples: DataFrame, path: str, order: tuple[str, ...] = ("ts_ns", "seq")) -> DataFrame:
     """``samples`` as a stream of files in time order, one a micro-batch, ``ROWS_PER_FILE`` rows at most each.
 
-    A file stream takes its files by their modification times, so these are
+    ``order`` names other columns to order by. A file stream takes its files by their modification times, so these are
     set in order of time; a file system that can't keep them is refused.
     """
     spark = samples.sparkSession
     parts = max(1, math.ceil(samples.count() / ROWS_PER_FILE))
-    ranged = samples.repartitionByRange(parts, "ts_ns", "seq").sortWithinPartitions("ts_ns", "seq")
+    ranged = samples.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

@@ -15,6 +15,7 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +109,26 @@ def integral(stream: DataFrame) -> DataFrame:
     return stream.groupBy("channel").applyInPandasWithState(step, OUT, "t long, v double, area double", "append", GroupStateTimeout.NoTimeout)
 
 
+def marked_late(stream: DataFrame, delay_s: float) -> DataFrame:
+    """``stream`` (channel, seq, ts_ns, value), seq being the order of arrival, with column late.
+
+    A row is late if it is older, by more than ``delay_s``, than the newest
+    row of its channel that arrived before it. That newest time is state, so
+    it outlives the query's restart; late rows go on marked, for a side table.
+    """
+    delay = int(delay_s * 1e9)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = state.get[0] if state.exists else -(1 << 63)
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        ts = rows["ts_ns"].to_numpy()
+        before = np.maximum.accumulate(np.concatenate(([newest], ts)))
+        state.update((int(before[-1]),))
+        yield pd.DataFrame({"channel": key[0], "seq": rows["seq"].to_numpy(), "ts_ns": ts, "value": rows["value"].to_numpy(), "late": ts < np.maximum(before[:-1], delay - (1 << 63)) - delay})
+
+    return stream.groupBy("channel").applyInPandasWithState(step, OUT + ", late boolean", "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
 def samples_stream(raw: DataFrame) -> DataFrame:
     """A stream's columns as the stateful operators want them."""
     return raw.select("channel", "seq", "ts_ns", F.coalesce("value", F.lit(float("nan"))).alias("value"))
