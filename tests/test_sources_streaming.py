@@ -87,12 +87,16 @@ def test_signal_csv_layouts(spark, tmp_path):
 
 
 def test_paired_export(spark, tmp_path):
-    rows = ["Name\texport", "File\tx", "", "Name\tChA\tName\tChB", "Data-Type\tREAL\tData-Type\tREAL", "SampleTime[ms]\t1\tSampleTime[ms]\t2", "Unit\t(None)\tUnit\t(mm)", "0\t10\t0\t100,5", "1\t11\t2\t200", "2\t12\t\t", "3\t13\t\t"]
-    path = tmp_path / "s.csv"
-    path.write_bytes("\r\n".join(rows).encode())
-    f = sinks.open_signals(spark, str(path))
-    assert [(c, t // 10**6, v) for c, t, v in points(f)] == [("ChA", 0, 10), ("ChA", 1, 11), ("ChA", 2, 12), ("ChA", 3, 13), ("ChB", 0, 100.5), ("ChB", 2, 200)]
-    assert {r["channel"]: r["unit"] for r in f.channels.collect()} == {"ChA": "", "ChB": "mm"}
+    rows = [
+        "Name;bench 7", "Operator;nobody", "Name;Inlet pressure;Name;Valve;Name;Idle", "Data-Type;LREAL;Data-Type;INT;Data-Type;INT", "SampleTime[ms];0,5;SampleTime[ms];20;SampleTime[ms];1", "Unit;(bar);Unit;(None);Unit;(A)",
+        "0,5;1,25;7;-3;;", "1;1,5;27;4;;", "1,5;nope;;;;", "2;1,75;;;;",
+    ]
+    f = sinks.open_signals(spark, put(tmp_path / "bench.txt", "\n".join(rows)))
+    assert points(f) == [("Inlet pressure", 500_000, 1.25), ("Inlet pressure", 1_000_000, 1.5), ("Inlet pressure", 2_000_000, 1.75), ("Valve", 7_000_000, -3), ("Valve", 27_000_000, 4)]
+    assert {r["channel"]: r["unit"] for r in f.channels.collect()} == {"Inlet pressure": "bar", "Valve": ""}
+    tabbed = tmp_path / "tabs.csv"
+    tabbed.write_bytes("\r\n".join(r.replace(";", "\t") for r in rows).encode())
+    assert points(sinks.open_signals(spark, str(tabbed))) == points(f)
 
 
 def test_json_tables(spark, tmp_path):
@@ -156,6 +160,36 @@ def test_number_format(spark):
     assert got == [*cases.values(), ""]
 
 
+def test_noted_part_files(spark, tmp_path):
+    f = frame(spark, "V", t=[(0, 1), (2, 3)], **{"f [x]": [(1, 5.5), (2, math.nan)]})
+    sinks.write_wide_csv(f, f"{tmp_path}/n.csv", paired=True, noted=True)
+    back = text.read_signal_csv(spark, f"{tmp_path}/n.csv")
+    assert points(back) == [("f [x]", 10**9, 5.5), ("t", 0, 1), ("t", 2 * 10**9, 3)] and {r["unit"] for r in back.channels.collect()} == {"V"}
+    with pytest.raises(ValueError, match="separator"):
+        sinks.write_wide_csv(frame(spark, **{"a,b": [(0, 1)]}), f"{tmp_path}/m.csv", noted=True)
+
+
+def test_late_rows_are_marked_whatever_the_batches(spark, tmp_path):
+    rows = [("a", 0, 100, 1.0), ("a", 1, 40, 2.0), ("b", 2, 5, 3.0), ("a", 3, 90, 4.0), ("a", 4, 200, 5.0), ("a", 5, 139, 6.0), ("b", 6, 5, 7.0)]
+    want = [("a", 0, False), ("a", 1, True), ("a", 3, False), ("a", 4, False), ("a", 5, True), ("b", 2, False), ("b", 6, False)]
+    for i, cuts in enumerate(([], [1, 2, 5], [3])):
+        stream = batches(spark, tmp_path / str(i), rows, cuts, "channel string, seq long, ts_ns long, value double")
+        got = run(stateful.marked_late(stream, 60e-9), spark, f"late{i}")
+        assert sorted((r["channel"], r["seq"], r["late"]) for r in got.collect()) == want
+
+
+def test_unit_report_and_empty_files(spark):
+    g = grid(spark, ("1", "2"), ("", "3"), ("4", ""))
+    hours = p.ImportProfile((p.ColumnMapping("A", p.X_TIME, unit="hours"), p.ColumnMapping("B")))
+    assert [tuple(r) for r in p.unit_report(g, hours).collect()] == [("A", "hours", "seconds", 2)]
+    assert p.unit_report(g, p.ImportProfile((p.ColumnMapping("A", p.X_TIME, unit="ms"), p.ColumnMapping("B")))).count() == 0
+    files = spark.createDataFrame([("x/a.csv", i, [str(i), str(i // 2)]) for i in range(6)] + [("y/b.csv", 0, ["9", "1", "5"])], "file string, row_idx long, cells array<string>")
+    f, report = p.import_files(files, p.ImportProfile((p.ColumnMapping("A", p.X_TIME, unit="ns"), p.ColumnMapping("B", name="v", collapse_plateaus="last", relative_time=True), p.ColumnMapping("C", name="w"))))
+    assert points(f) == [("a.csv:v", 1, 0), ("a.csv:v", 3, 1), ("a.csv:v", 5, 2), ("b.csv:v", 0, 1), ("b.csv:w", 9, 5)]
+    assert sorted(tuple(r) for r in report.select("file", "n_channels", "n_samples").collect()) == [("x/a.csv", 1, 3), ("y/b.csv", 2, 2)]
+    assert {r["channel"]: r["source_symbol"] for r in f.channels.collect()} == {"a.csv:v": "a.csv:B", "a.csv:w": "a.csv:C", "b.csv:v": "b.csv:B", "b.csv:w": "b.csv:C"}
+
+
 def batches(spark, tmp_path, rows, cuts, schema):
     """A file stream that gives the rows in several micro-batches."""
     folder = tmp_path / "in"

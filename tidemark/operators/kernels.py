@@ -40,22 +40,26 @@ def sliced(samples: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, longest: Lo
     """``samples`` cut into slices of about so many rows.
 
     Rows are counted in fine cells of equal time; a cell's slice is its place
-    in the running count. A cell that alone holds more than a slice (samples
-    crowd, or one lies far off) is cut into cells of its own once more.
+    in the running count. Cells that alone hold more than a slice (samples
+    crowd, or one lies far off) are cut into cells of their own, until none
+    does that has more than one time.
     """
     if (longest or Longest.of(samples))() <= rows_per_slice:
         return Sliced(samples.withColumn("slice", F.lit(0).cast("long")), False)
-    of = ["channel"]
-    for level in ("c1", "c2"):
+    of, crowded = ["channel"], F.col("n") > rows_per_slice
+    stats = samples.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("t0"), F.max("ts_ns").alias("t1"))
+    while True:
+        span = F.col("t1") - F.col("t0") + 1
+        width = F.when(crowded, F.ceil(span / (F.ceil(F.col("n") / rows_per_slice) * CELLS_PER_SLICE))).otherwise(span).cast("long")
+        cell = f"c{len(of)}"
+        samples = samples.join(stats.select(*of, "t0", width.alias("width")), of).withColumn(cell, F.expr("(ts_ns - t0) div width")).drop("t0", "width")
+        of.append(cell)
         stats = samples.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.min("ts_ns").alias("t0"), F.max("ts_ns").alias("t1"))
-        cells = F.ceil(F.col("n") / rows_per_slice) * CELLS_PER_SLICE
-        width = F.when(F.col("n") > rows_per_slice, F.ceil((F.col("t1") - F.col("t0") + 1) / cells)).otherwise(F.col("t1") - F.col("t0") + 1).cast("long")
-        samples = samples.join(stats.select(*of, "t0", width.alias("width")), of).withColumn(level, F.expr("(ts_ns - t0) div width")).drop("t0", "width")
-        of.append(level)
-    counts = samples.groupBy(*of).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("channel").orderBy("c1", "c2")) - F.col("n")
-    slices = counts.select(*of, F.floor(before / rows_per_slice).alias("slice"))
-    return Sliced(samples.join(slices, of).drop("c1", "c2"), True)
+        if stats.filter(crowded & (F.col("t1") > F.col("t0"))).isEmpty():
+            break
+    before = F.sum("n").over(Window.partitionBy("channel").orderBy(*of[1:])) - F.col("n")
+    slices = stats.select(*of, F.floor(before / rows_per_slice).alias("slice"))
+    return Sliced(samples.join(slices, of).drop(*of[1:]), True)
 
 
 def _over_slices() -> Window:
