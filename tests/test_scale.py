@@ -38,6 +38,17 @@ def test_a_wide_rolling_window_is_linear(spark):
     assert values(got)[-1] == pytest.approx(np.mean(np.arange(199_999, 300_000) % 97))
 
 
+def test_rolling_both_ways(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = sorted((round(float(t), 2), float(v)) for t, v in zip(rng.random(80) * 20, rng.standard_normal(80)))
+    data += [(data[-1][0], 3.0)] * 2
+    f, got = frame(spark, a=data, b=data[:9]), []
+    for rows in (1000, 0):
+        monkeypatch.setattr(windows, "DIRECT_ROWS", rows)
+        got.append([values(op(f, 1.5)) for op in (windows.rolling_mean, windows.rolling_rms, windows.rolling_min, windows.rolling_max)])
+    assert all(a == pytest.approx(b, abs=1e-12) for a, b in zip(*got))
+
+
 def test_a_nan_leaves_with_its_window(spark):
     data = [(i, float("nan") if i == 3 else i) for i in range(12)]
     got = values(windows.rolling_mean(frame(spark, a=data), 2.0))

@@ -10,6 +10,8 @@ from tidemark.functions.elementwise import matches
 from tidemark.operators.kernels import ROWS_PER_SLICE, Sliced, last_known, neighbours, running_sum, sliced
 
 NS = 1e9
+#: Samples of a block up to which a trailing window is read anew for every row.
+DIRECT_ROWS = 64
 
 
 def _rolling(f: SignalFrame, window_s: float, result) -> SignalFrame:
@@ -21,19 +23,27 @@ def _rolling(f: SignalFrame, window_s: float, result) -> SignalFrame:
     a window later, to the next one; there a running aggregate read forwards
     gives the first part and one read backwards the second. Nothing is ever
     subtracted, so sums stay exact and a NaN leaves with its window.
+    Where no block has more than ``DIRECT_ROWS`` samples, a row's few samples
+    are read anew in order of time instead, as a plain range frame does.
     Rows later in order but equal in time are not yet seen.
     """
     if window_s <= 0:
         raise ValueError("the window must be positive")
     w = F.lit(int(window_s * NS))
     block = F.expr("(ts_ns - pmod(ts_ns, __w)) div __w")
+    direct = (f.samples.withColumn("__w", w).groupBy("channel", block).count().agg(F.max("count")).first()[0] or 0) <= DIRECT_ROWS
     places = F.array(F.struct(F.lit(False).alias("late"), F.col("ts_ns").alias("at"), F.col("block")), F.struct(F.lit(True).alias("late"), (F.col("ts_ns") + F.col("__w")).alias("at"), (F.col("block") + 1).alias("block")))
     rows = f.samples.withColumn("__w", w).withColumn("block", block).withColumn("p", F.explode(places)).select("channel", "seq", "ts_ns", "value", "p.late", "p.at", "p.block")
     of = Window.partitionBy("channel", "block")
     own = of.orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
     near = of.orderBy(F.desc("at"), F.desc("late")).rowsBetween(Window.unboundedPreceding, 0)
 
+    earlier = of.orderBy("ts_ns").rangeBetween(-int(window_s * NS), -1)
+    now = Window.partitionBy("channel", "block", "ts_ns").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+
     def over(aggregate, x: Column) -> tuple[Column, Column]:
+        if direct:
+            return aggregate(x).over(earlier), aggregate(x).over(now)
         return aggregate(F.when(F.col("late"), x)).over(near), aggregate(F.when(~F.col("late"), x)).over(own)
 
     return f.with_samples(rows.withColumn("value", result(over)).filter(~F.col("late")))
