@@ -27,14 +27,16 @@ def number(cell: Column) -> Column:
     return F.when(cell.rlike(_NUMBER), cell.try_cast("double"))
 
 
-def lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
+def lines(spark: SparkSession, path: str, line_sep: str | None = None, without: str | None = None) -> DataFrame:
     """(file, row_idx, value): the lines of each file, numbered from 0 without gaps.
 
-    Lines are counted per piece of a file first; a line's number is its place
+    Lines that start with ``without`` are left out and not numbered. Lines are counted per piece of a file first; a line's number is its place
     in the piece and the lines of the pieces before it.
     """
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
-    raw = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("id"))
+    text = reader.text(path)
+    text = text.filter(~F.col("value").startswith(without)) if without else text
+    raw = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("id"))
     pieces = raw.groupBy("file", "piece").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     pieces = pieces.select("file", "piece", "first", F.coalesce(before, F.lit(0)).alias("before"))
@@ -55,13 +57,8 @@ def split_cells(line: Column, sep: str, quote: str | None = '"') -> Column:
 
 def read_grid_csv(spark: SparkSession, path: str, sep: str = ",", row_sep: str | None = None, quote: str | None = '"') -> DataFrame:
     """(file, row_idx, cells); lines that start with # are left out and not counted."""
-    rows = lines(spark, path, row_sep)
-    kept = rows.filter(~F.col("value").startswith("#"))
-    if not rows.filter(F.col("value").startswith("#")).isEmpty():
-        notes = rows.filter(F.col("value").startswith("#")).select(F.col("file").alias("f"), F.col("row_idx").alias("note"))
-        ahead = kept.join(notes, (F.col("file") == F.col("f")) & (F.col("note") < F.col("row_idx")), "left").groupBy("file", "row_idx", "value").agg(F.count("note").alias("notes"))
-        kept = ahead.select("file", (F.col("row_idx") - F.col("notes")).alias("row_idx"), "value")
-    return kept.select("file", "row_idx", split_cells(F.col("value"), sep, quote).alias("cells"))
+    rows = lines(spark, path, row_sep, without="#")
+    return rows.select("file", "row_idx", split_cells(F.col("value"), sep, quote).alias("cells"))
 
 
 def head(spark: SparkSession, path: str, n: int = HEAD_LINES) -> list[str]:
