@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, resharding, secrets, simhash, warc
+from tidemark.llm import bpe, exact_dedup, filter_audit, fingerprints, html_text, langid, mixing, resharding, secrets, simhash, warc
 from tidemark.llm.common import table, text_or_empty
 
 SHARDS, OLD_SHARDS = 24, 16
@@ -60,7 +60,11 @@ def op10_warc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_indexed(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op3_weighted_fingerprints, op4_simhash_groups, op5_secret_spans, op6_main_text, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op3_weighted_fingerprints, op4_simhash_groups, op5_secret_spans, op6_main_text, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised, op12_filter_audit)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -81,4 +85,33 @@ ORACLES = {
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
         FROM j""",
+    "op12_filter_audit": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             least AS (SELECT text, min(doc_id) AS least_id FROM d GROUP BY text),
+             l AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 END), 0) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+             bits AS (SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+                        CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+                        + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+                        + CASE WHEN 100 * len(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text) THEN 4 ELSE 0 END
+                        + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+                        + CASE WHEN d.doc_id > least.least_id THEN 16 ELSE 0 END AS failed
+                      FROM d JOIN least ON d.text = least.text LEFT JOIN l ON d.doc_id = l.doc_id),
+             sets AS (SELECT part, failed, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM bits GROUP BY part, failed),
+             letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+             grown(word, mask) AS (SELECT '', 0 UNION ALL SELECT word || letter, mask + bit FROM grown, letters WHERE mask & bit = 0),
+             steps AS (SELECT w.word AS filter_order, k AS step, l.bit,
+                         (SELECT coalesce(sum(e.bit), 0) FROM letters e WHERE position(e.letter IN w.word) < k)::INTEGER AS earlier
+                       FROM grown w, range(1, 6) s(k), letters l WHERE w.mask = 31 AND l.letter = substr(w.word, k::INTEGER, 1)),
+             counted AS (SELECT part, filter_order, step::INTEGER AS step, bit,
+                           sum(CASE WHEN failed & (earlier | bit) = 0 THEN docs ELSE 0 END) AS kept,
+                           sum(CASE WHEN failed & bit <> 0 AND failed & earlier = 0 THEN docs ELSE 0 END) AS removed,
+                           sum(CASE WHEN failed & bit <> 0 AND failed & earlier <> 0 THEN docs ELSE 0 END) AS redundant,
+                           sum(CASE WHEN failed = bit THEN docs ELSE 0 END) AS unique_fails,
+                           sum(CASE WHEN failed & bit <> 0 AND failed & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+                           sum(CASE WHEN failed & bit <> 0 AND failed & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+                         FROM sets, steps GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM counted""",
 }
