@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, filter_audit, fingerprints, html_text, langid, mixing, resharding, secrets, simhash, warc
+from tidemark.llm import bpe, exact_dedup, filter_audit, fingerprints, html_text, langid, mixing, quality, resharding, secrets, simhash, warc
 from tidemark.llm.common import table, text_or_empty
 
 SHARDS, OLD_SHARDS = 24, 16
@@ -64,7 +64,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op3_weighted_fingerprints, op4_simhash_groups, op5_secret_spans, op6_main_text, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised, op12_filter_audit)}
+def op13_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op3_weighted_fingerprints, op4_simhash_groups, op5_secret_spans, op6_main_text, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised, op12_filter_audit, op13_quality_forest)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
