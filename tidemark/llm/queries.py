@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, filter_audit, fingerprints, html_text, langid, mixing, quality, resharding, secrets, simhash, warc
+from tidemark.llm import alignment, bpe, exact_dedup, filter_audit, fingerprints, html_text, langid, mixing, quality, resharding, secrets, simhash, warc
 from tidemark.llm.common import table, text_or_empty
 
 SHARDS, OLD_SHARDS = 24, 16
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op10_warc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_indexed(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(ALIGNED_A), public_tokenizers.path(ALIGNED_B))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,7 +74,7 @@ def op13_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op3_weighted_fingerprints, op4_simhash_groups, op5_secret_spans, op6_main_text, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised, op12_filter_audit, op13_quality_forest)}
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_flow_reshard, op3_weighted_fingerprints, op4_simhash_groups, op5_secret_spans, op6_main_text, op7_bpe_round_trip, op8_language_id, op9_chunk_dedup, op10_warc_normalised, op11_token_alignment, op12_filter_audit, op13_quality_forest)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
