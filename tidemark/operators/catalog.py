@@ -1,15 +1,17 @@
-"""The catalog of channels, derived channels, registered operators, nested values."""
+"""The catalog of channels, registered operators, nested values."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.frame import SignalFrame
+from tidemark.operators.derived import Derived, Transformation
+
+__all__ = ["Derived", "Operator", "add", "alias", "apply_operator", "clear", "contains", "flatten_channels", "get", "merge_unique", "names", "register_operator", "remove", "rename"]
 
 
 def add(f: SignalFrame, more: SignalFrame) -> SignalFrame:
@@ -78,9 +80,6 @@ def merge_unique(f: SignalFrame, other: SignalFrame) -> SignalFrame:
     return SignalFrame(f.samples.unionByName(moved(other.samples)), f.channels.unionByName(moved(other.channels)), f.longest.plus(other.longest))
 
 
-Transformation = Callable[..., SignalFrame]
-
-
 @dataclass(frozen=True)
 class Operator:
     name: str
@@ -108,52 +107,6 @@ def apply_operator(name: str, *args) -> SignalFrame:
     return op.run(*args)
 
 
-@dataclass
-class Derived:
-    """Named DataFrame transformations of channels; a definition names the channels it reads."""
-
-    definitions: dict[str, tuple[Transformation, tuple[str, ...]]] = field(default_factory=dict)
-
-    def define(self, name: str, run: Transformation, *reads: str) -> None:
-        if name in reads or name in self._behind(reads):
-            raise ValueError(f"{name} would depend on itself")
-        self.definitions[name] = (run, reads)
-
-    def _behind(self, reads: tuple[str, ...]) -> set[str]:
-        seen, todo = set(), list(reads)
-        while todo:
-            n = todo.pop()
-            if n in self.definitions and n not in seen:
-                seen.add(n)
-                todo += self.definitions[n][1]
-        return {m for n in seen for m in self.definitions[n][1]} | seen
-
-    def dependents_of(self, name: str) -> set[str]:
-        """Definitions that read a channel, directly or through others."""
-        return {n for n, (_, reads) in self.definitions.items() if name in reads or name in self._behind(reads)}
-
-    def rename(self, old: str, new: str) -> None:
-        """A channel's new name, also where definitions read it."""
-        self.definitions = {(new if n == old else n): (run, tuple(new if r == old else r for r in reads)) for n, (run, reads) in self.definitions.items()}
-
-    def recompute(self, f: SignalFrame) -> tuple[SignalFrame, dict[str, str]]:
-        """The frame with all derived channels in dependency order, and why others failed."""
-        have = {r[0] for r in f.channels.select("channel").collect()} - set(self.definitions)
-        f, left, failed = remove(f, *self.definitions) if self.definitions else f, dict(self.definitions), {}
-        while left:
-            ready = [n for n, (_, reads) in left.items() if set(reads) <= have]
-            if not ready:
-                return f, failed | {n: "reads " + ", ".join(sorted(set(r) - have)) for n, (_, r) in left.items()}
-            for n in ready:
-                run, reads = left.pop(n)
-                try:
-                    f = add(f, run(*[f.only(r) for r in reads]).renamed(n))
-                    have.add(n)
-                except (ValueError, KeyError) as e:
-                    failed[n] = str(e)
-        return f, failed
-
-
 def flatten_channels(df: DataFrame, ts_ns: str, seq: str, bounds: dict[str, list[tuple[int, int]]] | None = None, most_leaves: int = 10_000, present: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], bool]:
     """Samples with a channel for every scalar leaf of the columns, the leaves left out, and whether the cap was hit.
 

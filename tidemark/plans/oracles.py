@@ -231,6 +231,7 @@ put("c1_add_replace", "SELECT channel, seq, ts_ns, CASE WHEN channel = 'click' T
 put("c2_c3_rename_remove", "SELECT CASE WHEN channel = 'click' THEN 'press' ELSE channel END AS channel, seq, ts_ns, value FROM s WHERE channel <> 'view'")
 put("c4_merge_unique", "SELECT * FROM s UNION ALL SELECT 'click (2)', seq, ts_ns, value FROM s WHERE channel = 'click' UNION ALL SELECT CASE WHEN channel = 'click' THEN 'click (3)' ELSE 'view (2)' END, seq, ts_ns, value FROM s WHERE channel IN ('click', 'view')")
 put("c5_derived", "SELECT 'sum' AS channel, seq, ts_ns, 3 * value AS value FROM s WHERE channel = 'click'")
+put("c5_derived_chain", "SELECT 'd' || k AS channel, seq, ts_ns, a * value AS value FROM s, chain WHERE channel = 'click'", more="chain(k, a, b) AS (SELECT 1, 0.5::DOUBLE, 1.0::DOUBLE UNION ALL SELECT k + 1, a + b, a FROM chain WHERE k < 10),")
 put("c6_alias", "SELECT * FROM s WHERE channel = 'click' UNION ALL SELECT 'copy', seq, ts_ns, value FROM s WHERE channel = 'click'")
 
 put("o1_wide_table", "SELECT t.ts_ns, x.other AS a, y.other AS b FROM t LEFT JOIN x ON x.ts_ns = t.ts_ns LEFT JOIN y ON y.ts_ns = t.ts_ns", more=_pair() + f"t AS (SELECT DISTINCT 'pair' AS channel, ts_ns FROM (SELECT ts_ns FROM a UNION SELECT ts_ns FROM b)), x AS ({_interp('t', 'a', True)}), y AS ({_interp('t', 'b', True)}),",
@@ -274,3 +275,8 @@ put("i13_many_files", "SELECT channel || '.csv:v' AS channel, seq, ts_ns - arg_m
 ORACLES["i13_report"] = "SELECT 'in/' || event_type || '.csv' AS file, CASE event_type WHEN 'view' THEN 0 ELSE 1 END::BIGINT AS n_channels, CASE event_type WHEN 'view' THEN 0 ELSE count(*) END::BIGINT AS n_samples FROM events GROUP BY event_type"
 ORACLES["q2_unit_report"] = "SELECT 'A' AS \"column\", 'hours' AS unit, 'seconds' AS read_as, count(*) AS cells FROM events WHERE event_id >= 10 AND event_id % 4 <> 0 UNION ALL SELECT 'C', 'rpm', 'Hz', count(*) FROM events WHERE event_id >= 10"
 put("u1_registered_operator", "SELECT channel, seq, ts_ns, value * 0.5 AS value FROM s")
+ORACLES["s1_quoted_grid"] = """
+    SELECT CASE k WHEN 3 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS n,
+           CASE k WHEN 0 THEN v || '"xtail' WHEN 1 THEN v || 'd,ef' WHEN 2 THEN v || ',,' || id ELSE v || 'b' END AS c0,
+           CASE k WHEN 3 THEN '' WHEN 2 THEN NULL ELSE id END AS c1, CASE k WHEN 3 THEN id END AS c2
+    FROM (SELECT event_id % 5 AS k, event_type AS v, event_id::VARCHAR AS id FROM events) WHERE k <> 4"""

@@ -476,6 +476,18 @@ def c5_derived(spark, sf_dir):
     return out(f.only("sum"))
 
 
+@query
+def c5_derived_chain(spark, sf_dir):
+    """Ten channels, each the sum of the two before it: every one is read twice."""
+    d, plus = catalog.Derived(), lambda a, b: align.combine(a.renamed("x"), b.renamed("x"), "Add")
+    d.define("d1", lambda f: f.map_value(lambda v: 0.5 * v), "click")
+    d.define("d2", plus, "d1", "click")
+    for k in range(3, 11):
+        d.define(f"d{k}", plus, f"d{k - 1}", f"d{k - 2}")
+    f, _ = d.recompute(tables.events(spark, sf_dir))
+    return out(f.only(*d.definitions))
+
+
 @query
 def c6_alias(spark, sf_dir):
     return out(catalog.alias(tables.events(spark, sf_dir), "click", "copy").only("copy", "click"))
@@ -555,6 +567,18 @@ def s1_s2_grid_import(spark, sf_dir):
     return f.samples.select("channel", "ts_ns", rounded("value").alias("value"))
 
 
+@query
+def s1_quoted_grid(spark, sf_dir):
+    """Lines with quotes in the middle of cells, doubled, left open and around separators, and comments after blanks."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, v, n = F.col("event_id") % 5, F.col("event_type"), F.col("event_id").cast("string")
+    line = F.when(k == 0, F.concat(F.lit('"'), v, F.lit('""x"tail,'), n)).when(k == 1, F.concat(v, F.lit('"d,e"f,'), n)).when(k == 2, F.concat(F.lit('"'), v, F.lit(",,"), n)).when(k == 3, F.concat(v, F.lit('""b,,"'), n, F.lit('"'))).otherwise(F.concat(F.lit("  # "), v))
+    path = new_folder(spark, "quoted")
+    ev.select(line).write.text(path)
+    cells = text.read_grid_csv(spark, path).select("cells")
+    return cells.select(F.size("cells").alias("n"), *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(3)])
+
+
 def _cells(spark, sf_dir, x: Column) -> DataFrame:
     """Events as a grid: an axis, values with a decimal comma, every ninth no number, every tenth blank."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")

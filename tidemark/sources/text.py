@@ -27,15 +27,15 @@ def number(cell: Column) -> Column:
     return F.when(cell.rlike(_NUMBER), cell.try_cast("double"))
 
 
-def lines(spark: SparkSession, path: str, line_sep: str | None = None, without: str | None = None) -> DataFrame:
+def lines(spark: SparkSession, path: str, line_sep: str | None = None, keep: Column | None = None) -> DataFrame:
     """(file, row_idx, value): the lines of each file, numbered from 0 without gaps.
 
-    Lines that start with ``without`` are left out and not numbered. Lines are counted per piece of a file first; a line's number is its place
+    Lines for which ``keep`` (on column value) is false are left out and not numbered. Lines are counted per piece of a file first; a line's number is its place
     in the piece and the lines of the pieces before it.
     """
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
     text = reader.text(path)
-    text = text.filter(~F.col("value").startswith(without)) if without else text
+    text = text.filter(keep) if keep is not None else text
     raw = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("id"))
     pieces = raw.groupBy("file", "piece").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
@@ -44,20 +44,48 @@ def lines(spark: SparkSession, path: str, line_sep: str | None = None, without:
     return numbered.select("file", (F.col("before") + F.col("id") - F.col("first")).alias("row_idx"), "value")
 
 
-def split_cells(line: Column, sep: str, quote: str | None = '"') -> Column:
-    """The cells of a line; a doubled quote within quotes is one."""
-    s = re.escape(sep)
+#: Marks of the coding below: a mark itself, and a separator within quotes.
+_MARK, _MARK_IS, _SEP_IS = "\x01", "\x02", "\x03"
+
+
+def split_cells(line: Column, sep: str = ",", quote: str | None = '"') -> Column:
+    """The cells of a line: a quote anywhere opens or ends a quoted stretch, a doubled quote within one is a quote.
+
+    Every quote changes between without and within, so of the pieces between
+    quotes every second is within. A piece without, empty and between two
+    quotes is the middle of a doubled quote. An open stretch ends with the
+    line. Separators within are coded before the line is split, so any text
+    comes back. ``sep`` counts by its first character, without one it is a
+    comma.
+    """
+    sep = sep[:1] or ","
+    cells = lambda c: F.split(c, re.escape(sep))
     if not quote:
-        return F.split(line, s)
-    q = re.escape(quote)
-    parts = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f"{s}({q}(?:[^{q}]|{q}{q})*{q}|(?:(?!{s}).)*)"), F.lit(1))
-    unquoted = lambda c: F.when(c.rlike(f"(?s)^{q}.*{q}$") & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit(quote * 2), F.lit(quote))).otherwise(c)
-    return F.transform(parts, unquoted)
+        return cells(line)
+    pieces = F.split(F.replace(line, F.lit(_MARK), F.lit(_MARK + _MARK_IS)), re.escape(quote))
+    last = F.size(pieces) - 1
+    within = lambda c: F.replace(c, F.lit(sep), F.lit(_MARK + _SEP_IS))
+    read = F.transform(pieces, lambda c, i: F.when(i % 2 == 1, within(c)).when((c == "") & (i > 0) & (i < last), F.lit(quote)).otherwise(c))
+    plain = lambda c: F.replace(F.replace(c, F.lit(_MARK + _SEP_IS), F.lit(sep)), F.lit(_MARK + _MARK_IS), F.lit(_MARK))
+    quoted = F.transform(cells(F.array_join(read, "")), plain)
+    return F.when(F.contains(line, F.lit(quote)), quoted).otherwise(cells(line))
 
 
 def read_grid_csv(spark: SparkSession, path: str, sep: str = ",", row_sep: str | None = None, quote: str | None = '"') -> DataFrame:
-    """(file, row_idx, cells); lines that start with # are left out and not counted."""
-    rows = lines(spark, path, row_sep, without="#")
+    """(file, row_idx, cells); lines whose first sign is # are comments, left out and not counted.
+
+    Lines end with \\n or \\r\\n, an empty one at a file's end is none. With
+    a row separator of its own a file has no empty rows at all.
+    """
+    note = F.col("value").rlike(r"(?U)^\s*#")
+    if row_sep not in (None, "\n", "\r\n"):
+        rows = lines(spark, path, row_sep, ~note & (F.col("value") != ""))
+        return rows.select("file", "row_idx", split_cells(F.col("value"), sep, quote).alias("cells"))
+    rows = lines(spark, path, "\n", ~note).withColumn("value", F.regexp_replace("value", r"\r\z", ""))
+    every = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id(), F.col("value").isin("", "\r").alias("empty")).alias("at"))
+    ends = every.groupBy("file").agg(F.max("at").alias("at")).filter("at.empty").select(F.col("file").alias("of"))
+    last = rows.groupBy("file").agg(F.max("row_idx").alias("last")).join(ends, F.col("file") == F.col("of"), "left_semi").select(F.col("file").alias("of"), "last")
+    rows = rows.join(last, (F.col("file") == F.col("of")) & (F.col("row_idx") == F.col("last")), "left_anti")
     return rows.select("file", "row_idx", split_cells(F.col("value"), sep, quote).alias("cells"))
 
 
