@@ -1,6 +1,7 @@
 """The block labeller on page structures that its training pages don't have."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -67,6 +68,52 @@ def test_a_very_long_page_is_read_whole(spark, model):
     assert r["text"].count(parts[1999]) == 40 and "foot" not in r["text"][-40:]
 
 
+def a_long_page(rng, paragraphs):
+    """A page of a menu, an article of many paragraphs, a sidebar and a footer, and its main text."""
+    text = [prose(rng, rng.randrange(20, 60)) for _ in range(paragraphs)]
+    menu = "".join(f'<li><a href="/{i}">{prose(rng, 2)}</a></li>' for i in range(6))
+    body = "".join(f"<p>{t}</p>" for t in text)
+    return f'<html><body><nav><ul>{menu}</ul></nav><article>{body}</article><aside class="sidebar"><p>{prose(rng, 12)}</p></aside><footer><p>&copy; {prose(rng, 3)}</p></footer></body></html>', " ".join(text)
+
+
+@pytest.mark.parametrize("short", [0, 1])
+def test_tables_of_long_pages(spark, short):
+    rng = random.Random(6)
+    made = [a_long_page(rng, 700) for _ in range(6)] + [a_long_page(rng, 6) for _ in range(short)]
+    assert all(len(p) > 100_000 for p, _ in made[:6])
+    df = spark.createDataFrame([(i, "u", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert [got[i] == text for i, (_, text) in enumerate(made)] == [True] * len(made)
+
+
+def test_training_pieces_keep_what_lies_beside():
+    page, _ = a_long_page(random.Random(1), 3000)
+    piece = html_text.training_piece(page)
+    assert len(piece) <= html_text.TRAIN_CHARS and piece.startswith("<html><body><nav>") and piece.endswith("</html>") and piece.count("<article>") == piece.count("</article>") == 1
+    assert len(html_text.leaves(piece)) > 200 and html_text.training_piece("<p>x") == "<p>x"
+
+
+def test_broken_and_deep_pages_take_time_in_proportion():
+    pages_ = ["<a " * 400_000 + '"' + "<p>end</p>", "<div>x" * 200_000, "<div>x" * 100_000 + "</p>" * 100_000, '<p title="' * 100_000, "<article " * 120_000, "</" * 500_000, "<!--" * 300_000, "<script>" * 150_000, "<p a='" + "x>" * 500_000, "&amp" * 250_000]
+    for page in pages_:
+        began = time.perf_counter()
+        html_text.leaves(page)
+        html_text.made_pages(html_text.training_piece(page), np.random.default_rng(1), 1)
+        assert time.perf_counter() - began < 20, page[:20]
+
+
+def test_tags_with_quotes_and_brackets():
+    def texts(page):
+        return [t for _, t, _ in html_text.leaves(page)]
+
+    assert texts('<p title="a > b">one</p><p title=it\'s>two</p>') == ["one", "two"]
+    assert texts('<p title="open>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p>1 < 2 and 3 > 2</p><!-- <p>no</p> --><p>x<!---->y</p>") == ["1 < 2 and 3 > 2", "xy"]
+    assert texts("<SCRIPT>if (a</b) x('</p>')</SCRIPT ><p>a</p><style>p{}</styles></style>b<textarea>t</textarea>") == ["a", "b"]
+    assert texts("<p>a</p></ ><p>b<br>c</p><![CDATA[z]]><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<script>never closed <p>b</p>") == ["a"]
+
+
 def test_windows_of_long_training_pages():
     x, y = np.arange(1000.0)[:, None], np.arange(1000)
     starts = set()

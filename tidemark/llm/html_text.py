@@ -6,11 +6,17 @@ signs), its hashed words and a few measures. A bidirectional LSTM in numpy
 reads the whole sequence both ways and says for every block whether it is
 main text, so a block is judged with all of its page in view.
 
-The labeller is trained at call time on at most ``TRAIN_PAGES`` distinct pages
-of at most ``TRAIN_CHARS`` characters, drawn by a hash from those that mark
-their article (article, main): what lies in it is main text. From each, pages are made with menus, notices,
-adverts, sidebars, forms, headers and comments of known label put in, and with
-the article element spelled in other ways.
+The labeller is trained at call time on at most ``TRAIN_PAGES`` distinct pages,
+drawn by a hash from those of any length that mark their article (article,
+main): what lies in it is main text. Of a long page a stretch of the article
+from anywhere in it, and what lies next to the article, are taken where the
+page is read, ``TRAIN_CHARS`` characters at most. From each, pages are made
+with menus, notices, adverts, sidebars, forms, headers and comments of known
+label put in, and with the article element spelled in other ways.
+
+Pages are read forward only: no sign of a broken page is looked at again for
+every tag before it, and the sum of the open elements' vectors is carried
+along, so a page costs as much as it is long, however deep.
 
 Defined cases: null html is the empty page; a page without main text gives the
 empty text; broken and unclosed markup is read as far as it goes; repeated
@@ -24,6 +30,7 @@ import html as html_codes
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +39,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that training reads at most, their characters at most, pages made of each, blocks of a training sequence at most, and the labeller's measures.
+#: Pages that training reads at most, characters of each at most, pages made of each, blocks of a training sequence at most, and the labeller's measures.
 TRAIN_PAGES, TRAIN_CHARS, VARIANTS, TRAIN_BLOCKS = 120, 100_000, 6, 400
 PATH_DIM, WORD_DIM, HIDDEN = 64, 16, 16
 _INPUT = PATH_DIM + WORD_DIM + 3
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=[A-Za-z/!?])[^>]*$""", re.DOTALL | re.IGNORECASE)
+# A tag without quotes that hold a bracket; tags that aren't so are read sign by sign.
+_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+|'[^'<>]*+'[^<>"']*+)*+)>""")
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+_STOP = re.compile(r"""[>"']""")
+_SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in "script style noscript template textarea svg".split()}
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -53,10 +64,63 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(words)
 
 
-def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
-    """Leaf blocks in page order: path of the open block elements, text, part of the text in links."""
+@lru_cache(maxsize=20_000)
+def _element_vector(element: tuple[str, ...]) -> np.ndarray:
+    v = np.zeros(PATH_DIM, np.float32)
+    for word in element:
+        h = zlib.crc32(b"path:" + word.encode("utf-8", "replace"))
+        for k in (h, h // PATH_DIM // 2):
+            v[k % PATH_DIM] += 1.0 if k // PATH_DIM % 2 else -1.0
+    return v
+
+
+def _tag_end(page: str, at: int, never: set[str]) -> int:
+    """Where the tag that is open at ``at`` ends. A quote after = reaches to its like; ``never`` holds those that don't come again."""
+    while m := _STOP.search(page, at):
+        at = m.end()
+        if m[0] == ">":
+            return at
+        if m[0] not in never and page[max(0, at - 65) : at - 1].rstrip().endswith("="):
+            close = page.find(m[0], at)
+            if close < 0:
+                never.add(m[0])
+            else:
+                at = close + 1
+    return len(page)
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """Start, end, slash, name and attributes of the tags, in order; comments, declarations and elements whose contents are no text are nameless."""
+    at, never = 0, set()
+    while (at := page.find("<", at)) >= 0:
+        if m := _TAG.match(page, at):
+            end, slash, name, attributes = m.end(), m[1], m[2].lower(), m[3]
+        elif m := _NAME.match(page, at):
+            end, slash, name = _tag_end(page, m.end(), never), m[1], m[2].lower()
+            attributes = page[m.end() : end - 1]
+        elif page.startswith(("<!", "<?"), at):
+            long = next((shut for sign, shut in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(sign, at)), ">")
+            end = page.find(long, at + 2)
+            end, slash, name, attributes = (len(page) if end < 0 else end + len(long)), "", "", ""
+        elif page.startswith("</", at):
+            end = page.find(">", at)
+            end, slash, name, attributes = (len(page) if end < 0 else end + 1), "", "", ""
+        else:
+            at += 1
+            continue
+        if name in _SKIPPED and not slash:
+            shut = _SKIPPED[name].search(page, end)
+            end, name = (len(page) if not shut else _tag_end(page, shut.end(), never)), ""
+        yield at, end, slash, name, attributes
+        at = end
+
+
+def leaves(page: str) -> list[tuple[np.ndarray, str, float]]:
+    """Leaf blocks in page order: vector of the path of open block elements, text, part of the text in links."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, np.ndarray]] = []
+    opened: Counter[str] = Counter()
+    path = np.zeros(PATH_DIM, np.float32)
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -64,7 +128,7 @@ def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
         nonlocal linked
         text = " ".join(html_codes.unescape("".join(parts)).split())
         if text:
-            out.append((tuple(t for _, t in stack), text, min(1.0, linked / len(text))))
+            out.append((path.copy(), text, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -75,52 +139,50 @@ def leaves(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, float]]:
             if in_link:
                 linked += len(text.strip())
 
-    for m in _MARKUP.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    def leave() -> str:
+        nonlocal path
+        tag, vector = stack.pop()
+        opened[tag] -= 1
+        path -= vector
+        return tag
+
+    for start, end, slash, tag, attributes in tags(page):
+        add(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
         if tag in _INLINE:
             if tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if slash else 1
             continue
         flush()
         if tag in _VOID:
             continue
-        if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+        if slash:
+            if opened[tag]:
+                while leave() != tag:
                     pass
             in_link = 0
             continue
         if tag in _BREAK_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            leave()
         elif stack and stack[-1][0] in _SELF_CLOSING.get(tag, ()):
-            stack.pop()
-        if not m[4].rstrip().endswith("/"):
-            stack.append((tag, _tokens(tag, m[4])))
+            leave()
+        if not attributes.rstrip().endswith("/"):
+            vector = _element_vector(_tokens(tag, attributes))
+            stack.append((tag, vector))
+            opened[tag] += 1
+            path += vector
     add(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIM, np.float32)
-    for element in path:
-        for word in element:
-            h = zlib.crc32(b"path:" + word.encode("utf-8", "replace"))
-            for k in (h, h // PATH_DIM // 2):
-                v[k % PATH_DIM] += 1.0 if k // PATH_DIM % 2 else -1.0
-    return v
-
-
 def features(blocks: list) -> np.ndarray:
     """A row of input a block."""
     x = np.zeros((len(blocks), _INPUT), np.float32)
     for i, (path, text, linked) in enumerate(blocks):
-        x[i, :PATH_DIM] = _path_vector(path)
+        x[i, :PATH_DIM] = path
         words = text.encode("utf-8", "replace").split()
         h = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(h % WORD_DIM, np.where(h // WORD_DIM % 2, 1.0, -1.0), WORD_DIM) / math.sqrt(len(words) + 1)
@@ -262,7 +324,7 @@ _CONTENT = (
     "<article class=\"comment\"><p>{t}</p></article>", "<li><p>{t}</p></li><li>{u}</li>", "<a href=\"#\">{s}</a> <a href=\"#\">{s}</a>", "<p>{t}</p><label>{s}</label><input type=\"text\"><button>{s}</button>", "<div>{t} <button>{s}</button></div>",
 )
 _ARTICLE = ("article", "article", "article", "main", 'div class="article"', 'div class="article-body"', 'div class="post-content"', 'div class="entry-content"', 'div id="content"', 'section class="article-content"', 'article class="post"')
-_OPEN, _SHUT = re.compile(r"<(article|main)\b[^>]*>", re.IGNORECASE), re.compile(r"</(article|main)\s*>", re.IGNORECASE)
+_OPEN, _SHUT = re.compile(r"<(article|main)\b[^<>]*>", re.IGNORECASE), re.compile(r"</(article|main)\s*>", re.IGNORECASE)
 _MARK = "data-other"
 
 
@@ -312,20 +374,48 @@ def made_pages(page: str, rng: np.random.Generator, variants: int = VARIANTS) ->
     return out
 
 
+def training_piece(page: str, most: int = TRAIN_CHARS) -> str:
+    """A page of at most ``most`` characters from one that marks its article: what lies next to the article, and a stretch from anywhere in it."""
+    start = _OPEN.search(page)
+    stop = _SHUT.search(page, start.end()) if start else None
+    if len(page) <= most or not stop:
+        return page[:most]
+    beside = most // 6
+    head, tag, body, tail = page[: start.start()], start[0][:200], page[start.end() : stop.start()], page[stop.end() :]
+    room = most - 2 * beside - 2 * len(tag) - 20
+    head = head if len(head) <= beside else head[head.find("<", len(head) - beside) :]
+    if len(body) > room:
+        at = int(np.random.default_rng(zlib.crc32(page.encode("utf-8", "replace"))).integers(0, len(body) - room + 1))
+        at = max(0, body.find("<p", at, at + room)) if at else 0
+        body = body[at : at + room]
+        body = body[: body.rfind("<")] if "<" in body[1:] else body
+    return f"{head}{tag}{body}</{start[1]}>{tail[:beside]}"
+
+
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> Labeller:
-    """A labeller from at most ``most`` distinct pages that mark their article, drawn by a hash of the html."""
-    marked = pages.select("html").filter(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.char_length("html") <= TRAIN_CHARS))
+    """A labeller from at most ``most`` distinct pages that mark their article, drawn by a hash of the html.
+
+    Hashes are drawn first; a drawn page is then read once, however often it
+    occurs, and only its training piece reaches the driver.
+    """
+    marked = pages.select("html").filter(F.col("html").rlike(r"(?i)<(article|main)\b")).select("html", F.xxhash64("html").alias("key"))
     n = marked.count()
     part = 1_000_003 * min(1.0, 8 * most / max(1, n))
-    draw = F.pmod(F.xxhash64("html"), F.lit(1_000_003))
-    sample = marked.filter(draw < part).distinct().orderBy(F.xxhash64("html"), "html").limit(most).collect()
+    drawn = marked.filter(F.pmod("key", F.lit(1_000_003)) < part).select("key").distinct().orderBy("key").limit(most).collect()
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "piece": list(map(training_piece, batch["html"]))})
+
+    each = marked.filter(F.col("key").isin([r["key"] for r in drawn])).groupBy("key").agg(F.first("html").alias("html"))
     rng, made = np.random.default_rng(8), []
-    texts = [r["html"] for r in sample] or ["<body><article><p>some text of an article</p><p>and more of it, at length</p></article></body>"]
+    found = each.mapInPandas(pieces, "key long, piece string").collect() if drawn else []
+    texts = [r["piece"] for r in sorted(found)] or ["<body><article><p>some text of an article</p><p>and more of it, at length</p></article></body>"]
     for _ in range(4):
         for text in texts:
             if len(made) < most * (VARIANTS + 1):
-                made += made_pages(text, rng)
-    return Labeller().fit([a_window(x, y, rng) for x, y in made])
+                made += [a_window(x, y, rng) for x, y in made_pages(text, rng)]
+    return Labeller().fit(made)
 
 
 def a_window(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, blocks: int = TRAIN_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
