@@ -6,9 +6,9 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS, awkward, documents, prose
-from tests.llm.test_dedup import brute_fingerprint, lowered
-from tidemark.llm import bpe, langid
+from tests.llm.helpers import DOCS, ENGLISH, awkward, documents, prose
+from tests.llm.test_dedup import lowered
+from tidemark.llm import bpe, langid, simhash
 
 
 def order(x):
@@ -39,8 +39,17 @@ def brute_exact(rows):
     return Counter((d, lowered(t)) for d, t in best.values())
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def brute_near(rows):
-    fps, root = [brute_fingerprint(t) for _, t in rows], list(range(len(rows)))
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def find(i):
         while root[i] != i:
@@ -49,7 +58,7 @@ def brute_near(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if alike(sets[i], sets[j]):
                 root[find(i)] = find(j)
     groups = defaultdict(list)
     for i, (d, _) in enumerate(rows):
@@ -98,6 +107,47 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
 
 
+def edited(rng, words, part):
+    """Words replaced, put in and left out, spread over the text or in one stretch."""
+    words, n = list(words), max(1, round(part * len(words)))
+    spots = rng.sample(range(len(words)), n) if rng.random() < 0.7 else range((at := rng.randrange(len(words) - n + 1)), at + n)
+    for k in sorted(spots, reverse=True):
+        what = rng.random()
+        words[k : k + 1] = [] if what < 0.2 else ["new" + prose(rng, 1)] if what < 0.8 else [words[k], "more"]
+    return words
+
+
+def test_recall_of_texts_alike_by_length(spark):
+    rng, docs, classes = random.Random(4), [], {}
+    word = lambda: rng.choice(ENGLISH) + rng.choice(ENGLISH[::3] + [""] * 8)
+    for low, high, n in ((20, 49, 120), (50, 149, 120), (150, 399, 100), (400, 1499, 60), (1500, 4000, 30)):
+        pairs = []
+        while len(pairs) < n:
+            base = [word() for _ in range(rng.randrange(low, high))]
+            other = edited(rng, base, rng.uniform(0.003, 0.025))
+            if alike(shingles(" ".join(base)), shingles(" ".join(other))) and base != other:
+                pairs.append((len(docs), len(docs) + 1))
+                docs += [" ".join(base), " ".join(other)]
+        classes[low] = pairs
+    alone = [" ".join(word() for _ in range(rng.randrange(20, 400))) for _ in range(400)]
+    half = [" ".join(d.split()[: len(d.split()) // 2]) for d in docs[:400:2]]  # alike in part only
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(documents(spark, docs + alone + half)).collect()}
+    recall = {low: np.mean([got[a] == got[b] for a, b in pairs]) for low, pairs in classes.items()}
+    print("recall by least words", recall)
+    assert min(recall.values()) >= 0.9, recall
+    groups = Counter(got.values())
+    assert all(groups[got[len(docs) + i]] == 1 for i in range(len(alone) + len(half)))
+
+
+def test_a_dense_group_is_one_component(spark):
+    """A thousand edits of one text, most pairs of which are alike."""
+    rng = random.Random(7)
+    base = prose(rng, 200).split()
+    docs = [" ".join([*base[:k], f"w{i}", *base[k + 1 :]]) for i in range(1000) for k in [rng.randrange(200)]] + [prose(rng, 200) for _ in range(50)]
+    roots = [r["root"] for r in simhash.similar_groups(documents(spark, docs)).orderBy("doc_id").collect()]
+    assert len(set(roots[:1000])) == 1 and len(set(roots)) == 51
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

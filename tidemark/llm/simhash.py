@@ -13,6 +13,17 @@ pairs; the join itself verifies them by the exact bit count, so only links
 leave it. Copies are one row before the join: it runs over distinct
 fingerprints, and no group of equal documents is ever paired with itself.
 
+The law of texts alike (``similar_groups``, which the pipeline's stage uses)
+is another one: sets of five-word shingles with a Jaccard likeness of 0.8 and
+more. Three differing bits of 64 can't tell these, so texts get a longer
+fingerprint of the same kind, the majority bits of their distinct word pairs.
+Its 24 parts are embedded as twelve popcounts of 2-bit segments each; texts
+meet in the grid cell of a part where that distance is zero, further bits sift
+them, and shingle sets verify them. Links within a group that is known already
+tell nothing, so texts first link to one leader a cell, twice, and only then
+pairs across the groups so far are all tried: a dense group of near copies is
+never paired with itself.
+
 Defined cases: null and wordless texts have fingerprint zero and link like
 any other; fewer than three words are one shingle; a null id is never the
 component's id unless all ids are null; repeated rows are separate rows of
@@ -117,9 +128,117 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
+#: Texts alike: words of a shingle, and the likeness from which on they are.
+SHINGLE, ALIKE = 5, 0.8
+#: The long fingerprint: words of a feature, parts, 2-bit segments of a part, and bits beside the parts that sift pairs with their greatest distance.
+PAIR, PARTS, SEGMENTS, SIFT, SIFT_MOST = 2, 24, 12, 128, 32
+#: Rounds of links to one leader a cell.
+LEADERS = 2
+_BITS = PARTS * SEGMENTS * 2 + SIFT
+
+
+def _hashes(joined: np.ndarray, words: int, n_words: int) -> np.ndarray:
+    """XXH64 of the distinct runs of so many words of a text, joined by blanks."""
+    blanks = np.flatnonzero(joined == 32)
+    starts, stops = np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [joined.size]))
+    n = max(1, n_words - words + 1)
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(view[a:b], _SEED) for a, b in zip(starts[:n].tolist(), stops[-n:].tolist(), strict=True)), np.uint64, n))
+
+
+def _spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further 64 bits of hashes."""
+    z = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def long_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grid cell of every part, the two sifting words, and the text's shingle set as sorted 32-bit hashes."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    ones, n = np.zeros(_BITS, np.int64), 0
+    shingles = np.zeros(0, "<u4")
+    if words:
+        joined = np.frombuffer(b" ".join(words), np.uint8)
+        features = _hashes(joined, PAIR, len(words))
+        n = len(features)
+        for at in range(0, n, 1 << 13):
+            some = features[at : at + (1 << 13)]
+            wide = np.stack([_spread(some, k) for k in range(_BITS // 64)], axis=1)
+            ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        shingles = np.unique((_hashes(joined, SHINGLE, len(words)) >> np.uint64(32)).astype("<u4"))
+    bits = 2 * ones > n
+    counts = bits[: -SIFT].reshape(PARTS, SEGMENTS, 2).sum(axis=2)
+    return counts @ 3 ** np.arange(SEGMENTS), np.packbits(bits[-SIFT:], bitorder="little").view(np.int64), shingles
+
+
+_LONG = T.StructType([T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("shingles", T.BinaryType())])
+
+
+@F.pandas_udf(_LONG)
+def long_fingerprint_column(texts: pd.Series) -> pd.DataFrame:
+    made = [long_fingerprint(t) for t in texts]
+    return pd.DataFrame({"cells": [m[0].astype(np.int32) for m in made], "s0": [int(m[1][0]) for m in made], "s1": [int(m[1][1]) for m in made], "shingles": [m[2].tobytes() for m in made]})
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Jaccard likeness of packed shingle sets; two empty ones are alike."""
+
+    def one(x: bytes, y: bytes) -> float:
+        p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both / (len(p) + len(q) - both) if len(p) + len(q) else 1.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose shingle sets are alike."""
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = stored(sets.join(needed, "node", "left_semi"), "sets")
+    both = pairs.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(some.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
+    return stored(both.filter(likeness("p", "q") >= ALIKE).select("a", "b"), "links")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, text_key and root, the same for all texts linked by a likeness of 0.8 and more.
+
+    Texts of the same shingles are one node.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), long_fingerprint_column("text").alias("f"))
+    rows = stored(rows.select("doc_id", "text_key", F.xxhash64("f.shingles").alias("node"), "f.*"), "long-fingerprints")
+    once = rows.groupBy("node").agg(F.first("cells").alias("cells"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("shingles").alias("shingles"))
+    once = stored(once, "nodes")
+    sets, nodes = once.select("node", "shingles"), once.select("node", "cells", "s0", "s1")
+    differ = lambda x, y: F.bit_count(x["s0"].bitwiseXOR(y["s0"])) + F.bit_count(x["s1"].bitwiseXOR(y["s1"]))
+
+    def points(roots: DataFrame | None) -> DataFrame:
+        at = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*nodes.columns, F.coalesce("root", "node").alias("root"))
+        return at.select(F.posexplode("cells").alias("part", "cell"), F.struct("node", "root", "s0", "s1").alias("p"))
+
+    links, roots = None, None
+    for number in range(LEADERS):
+        at = points(roots)
+        order = F.xxhash64("p.node", "part", F.lit(number))
+        leaders = at.groupBy("part", "cell").agg(F.min(F.struct(order.alias("order"), F.col("p").alias("l"))).alias("m")).select("part", "cell", "m.l")
+        met = at.join(leaders, ["part", "cell"]).withColumn("d", differ(F.col("p"), F.col("l"))).filter((F.col("p.root") != F.col("l.root")) & (F.col("d") <= SIFT_MOST))
+        nearest = met.groupBy(F.col("p.node").alias("a")).agg(F.min(F.struct("d", F.col("l.node").alias("b"))).alias("m")).select("a", F.col("m.b").alias("b"))
+        new = _alike(nearest, sets)
+        links = new if links is None else links.union(new)
+        roots = components(links)
+    at = points(roots)
+    met = at.join(at.select("part", "cell", F.col("p").alias("l")), ["part", "cell"]).filter((F.col("p.root") < F.col("l.root")) & (differ(F.col("p"), F.col("l")) <= SIFT_MOST))
+    new = _alike(met.select(F.col("p.node").alias("a"), F.col("l.node").alias("b")).distinct(), sets)
+    roots = stored(components(links.union(new)), "roots")
+    return rows.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each component stays, the one with the smallest id; all columns as they were."""
-    groups = stored(near_groups(docs), "near-groups")
+    """One row of each group of texts alike stays, the one with the smallest id; all columns as they were."""
+    groups = stored(similar_groups(docs), "near-groups")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     chosen = groups.groupBy("root").agg(F.min(order).alias("o")).select("o.doc_id", F.col("o.text_key").alias("key"))
     match = groups["doc_id"].eqNullSafe(chosen["doc_id"]) & (groups["text_key"] == chosen["key"])
