@@ -17,12 +17,13 @@ The law of texts alike (``similar_groups``, which the pipeline's stage uses)
 is another one: sets of five-word shingles with a Jaccard likeness of 0.8 and
 more. Three differing bits of 64 can't tell these, so texts get a longer
 fingerprint of the same kind, the majority bits of their distinct word pairs.
-Its 24 parts are embedded as twelve popcounts of 2-bit segments each; texts
-meet in the grid cell of a part where that distance is zero, further bits sift
-them, and shingle sets verify them. Links within a group that is known already
-tell nothing, so texts first link to one leader a cell, twice, and only then
-pairs across the groups so far are all tried: a dense group of near copies is
-never paired with itself.
+Its parts are embedded as popcounts of 2-bit segments; texts meet in the grid
+cell of a part where that distance is zero. A part has so many segments that
+unrelated texts seldom share a cell, and there are so many parts that alike
+ones nearly always do: both follow from the number of texts. In a cell all
+meet a few leaders, drawn anew for every cell, and of those the nearest ones
+are verified by shingle sets, so rows grow in proportion however dense a group
+of near copies is. A second pass does the same across the groups found.
 
 Defined cases: null and wordless texts have fingerprint zero and link like
 any other; fewer than three words are one shingle; a null id is never the
@@ -33,6 +34,8 @@ looked at.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -130,11 +133,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 #: Texts alike: words of a shingle, and the likeness from which on they are.
 SHINGLE, ALIKE = 5, 0.8
-#: The long fingerprint: words of a feature, parts, 2-bit segments of a part, and bits beside the parts that sift pairs with their greatest distance.
-PAIR, PARTS, SEGMENTS, SIFT, SIFT_MOST = 2, 24, 12, 128, 32
-#: Rounds of links to one leader a cell.
-LEADERS = 2
-_BITS = PARTS * SEGMENTS * 2 + SIFT
+#: The long fingerprint: words of a feature, and bits beside its parts that sift pairs with their greatest distance.
+PAIR, SIFT, SIFT_MOST = 2, 128, 32
+#: Leaders of a cell, the nearest of all those a text meets that are verified, and passes.
+LEADERS, NEAREST, PASSES = 3, 3, 2
+#: The part of its bits in which a pair just alike differs, and the part of such pairs that shares no cell.
+_DIFFER, _MISSED = 0.1, 0.07
+
+
+def grid(n: int) -> tuple[int, int]:
+    """2-bit segments of a part and parts, for so many texts: some two unrelated ones a cell, and pairs alike in one cell at least."""
+    segments = max(12, math.ceil(math.log(max(n, 2) / 2) / math.log(8 / 3)))
+    same = (1 - _DIFFER) ** 2 + _DIFFER**2 / 2
+    return segments, math.ceil(math.log(_MISSED) / math.log(1 - same**segments))
 
 
 def _hashes(joined: np.ndarray, words: int, n_words: int) -> np.ndarray:
@@ -154,10 +165,11 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def long_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def long_fingerprint(text: str | None, segments: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grid cell of every part, the two sifting words, and the text's shingle set as sorted 32-bit hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    ones, n = np.zeros(_BITS, np.int64), 0
+    wide = -(-(2 * segments * parts + SIFT) // 64)
+    ones, n = np.zeros(64 * wide, np.int64), 0
     shingles = np.zeros(0, "<u4")
     if words:
         joined = np.frombuffer(b" ".join(words), np.uint8)
@@ -165,21 +177,26 @@ def long_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarr
         n = len(features)
         for at in range(0, n, 1 << 13):
             some = features[at : at + (1 << 13)]
-            wide = np.stack([_spread(some, k) for k in range(_BITS // 64)], axis=1)
-            ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            bits = np.stack([_spread(some, k) for k in range(wide)], axis=1).view(np.uint8)
+            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         shingles = np.unique((_hashes(joined, SHINGLE, len(words)) >> np.uint64(32)).astype("<u4"))
     bits = 2 * ones > n
-    counts = bits[: -SIFT].reshape(PARTS, SEGMENTS, 2).sum(axis=2)
-    return counts @ 3 ** np.arange(SEGMENTS), np.packbits(bits[-SIFT:], bitorder="little").view(np.int64), shingles
+    counts = bits[SIFT : SIFT + 2 * segments * parts].reshape(parts, segments, 2).sum(axis=2)
+    return counts @ 3 ** np.arange(segments), np.packbits(bits[:SIFT], bitorder="little").view(np.int64), shingles
+
+
+_LONG = T.StructType([T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
-_LONG = T.StructType([T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("shingles", T.BinaryType())])
+def long_fingerprints(segments: int, parts: int):
+    """A column function of texts."""
 
+    @F.pandas_udf(_LONG)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        made = [long_fingerprint(t, segments, parts) for t in texts]
+        return pd.DataFrame({"cells": [m[0] for m in made], "s0": [int(m[1][0]) for m in made], "s1": [int(m[1][1]) for m in made], "shingles": [m[2].tobytes() for m in made]})
 
-@F.pandas_udf(_LONG)
-def long_fingerprint_column(texts: pd.Series) -> pd.DataFrame:
-    made = [long_fingerprint(t) for t in texts]
-    return pd.DataFrame({"cells": [m[0].astype(np.int32) for m in made], "s0": [int(m[1][0]) for m in made], "s1": [int(m[1][1]) for m in made], "shingles": [m[2].tobytes() for m in made]})
+    return of
 
 
 @F.pandas_udf(T.DoubleType())
@@ -208,31 +225,26 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     Texts of the same shingles are one node.
     """
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), long_fingerprint_column("text").alias("f"))
+    made = long_fingerprints(*grid(docs.count()))("text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), made.alias("f"))
     rows = stored(rows.select("doc_id", "text_key", F.xxhash64("f.shingles").alias("node"), "f.*"), "long-fingerprints")
     once = rows.groupBy("node").agg(F.first("cells").alias("cells"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("shingles").alias("shingles"))
     once = stored(once, "nodes")
     sets, nodes = once.select("node", "shingles"), once.select("node", "cells", "s0", "s1")
-    differ = lambda x, y: F.bit_count(x["s0"].bitwiseXOR(y["s0"])) + F.bit_count(x["s1"].bitwiseXOR(y["s1"]))
-
-    def points(roots: DataFrame | None) -> DataFrame:
-        at = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*nodes.columns, F.coalesce("root", "node").alias("root"))
-        return at.select(F.posexplode("cells").alias("part", "cell"), F.struct("node", "root", "s0", "s1").alias("p"))
-
     links, roots = None, None
-    for number in range(LEADERS):
-        at = points(roots)
-        order = F.xxhash64("p.node", "part", F.lit(number))
-        leaders = at.groupBy("part", "cell").agg(F.min(F.struct(order.alias("order"), F.col("p").alias("l"))).alias("m")).select("part", "cell", "m.l")
-        met = at.join(leaders, ["part", "cell"]).withColumn("d", differ(F.col("p"), F.col("l"))).filter((F.col("p.root") != F.col("l.root")) & (F.col("d") <= SIFT_MOST))
-        nearest = met.groupBy(F.col("p.node").alias("a")).agg(F.min(F.struct("d", F.col("l.node").alias("b"))).alias("m")).select("a", F.col("m.b").alias("b"))
-        new = _alike(nearest, sets)
+    for number in range(PASSES):
+        at = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*nodes.columns, F.coalesce("root", "node").alias("root"))
+        at = at.select(F.posexplode("cells").alias("part", "cell"), "node", "root", "s0", "s1")
+        drawn = lambda k: F.min(F.struct(F.xxhash64("node", "part", F.lit(k)).alias("order"), "node", "root", "s0", "s1")).alias(f"l{k}")
+        leaders = at.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), *[drawn(number * LEADERS + k) for k in range(LEADERS)]).filter("n > 1")
+        met = at.join(leaders, ["part", "cell"]).select("node", "root", "s0", "s1", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{number * LEADERS + k}.{c}").alias(c) for c in ("node", "root", "s0", "s1")]) for k in range(LEADERS)]))).alias("l"))
+        differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("l.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("l.s1")))
+        near = met.filter((F.col("root") != F.col("l.root")) & (differ <= SIFT_MOST)).groupBy("node").agg(F.collect_set(F.struct(differ.alias("d"), F.col("l.node").alias("b"))).alias("near"))  # a few a part
+        pairs = near.select("node", F.explode(F.slice(F.sort_array("near"), 1, NEAREST)).alias("p")).select(F.least("node", "p.b").alias("a"), F.greatest("node", "p.b").alias("b")).distinct()
+        new = _alike(pairs, sets)
         links = new if links is None else links.union(new)
         roots = components(links)
-    at = points(roots)
-    met = at.join(at.select("part", "cell", F.col("p").alias("l")), ["part", "cell"]).filter((F.col("p.root") < F.col("l.root")) & (differ(F.col("p"), F.col("l")) <= SIFT_MOST))
-    new = _alike(met.select(F.col("p.node").alias("a"), F.col("l.node").alias("b")).distinct(), sets)
-    roots = stored(components(links.union(new)), "roots")
+    roots = stored(roots, "roots")
     return rows.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
