@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,61 +108,65 @@ def apply_operator(name: str, *args) -> SignalFrame:
     return op.run(*args)
 
 
+_LEAVES = "array<struct<channel:string,value:double>>"
+
+
 def flatten_channels(df: DataFrame, ts_ns: str, seq: str, bounds: dict[str, list[tuple[int, int]]] | None = None, most_leaves: int = 10_000, present: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], bool]:
     """Samples with a channel for every scalar leaf of the columns, the leaves left out, and whether the cap was hit.
 
-    A struct's member is a.b, an array's element a[i] with its lower bound
-    honoured; ``bounds`` gives the (low, high) of the dimensions of a flat
-    array column, written a[i,j] in row-major order. Leaves that are neither
-    numbers nor booleans are left out and listed, names in ``present`` are
-    not made again. An array without bounds is as long as each row has it.
+    A struct's member is a.b, an array's element a[i], and so on inwards:
+    a[i].b, a[i][j]. An array is as long as each row has it. ``bounds`` gives
+    an array the (low, high) of its dimensions, which then are written a[i,j]
+    in row-major order; its key is the array's path with [] for every index
+    before it. Leaves that are neither numbers nor booleans are left out and
+    listed by such a path; names in ``present`` are not made again. Of a row
+    at most ``most_leaves`` leaves are kept, elements counting one by one.
     """
-    bounds, parts, skipped = bounds or {}, [], []
-    count = 0
-    capped = False
+    bounds, skipped = bounds or {}, []
+    grows = False
 
-    def visit(name: str, c: Column, kind: T.DataType) -> None:
-        nonlocal count, capped
+    def leaves(path: str, name: Column, c: Column, kind: T.DataType) -> tuple[Column | None, int]:
+        """An array of a value's leaves, and how many there are at least."""
+        nonlocal grows
         if isinstance(kind, T.StructType):
-            for m in kind:
-                visit(f"{name}.{m.name}", c[m.name], m.dataType)
-        elif isinstance(kind, T.ArrayType):
-            inner = kind.elementType
-            if isinstance(inner, (T.StructType, T.ArrayType)) and name not in bounds:
-                skipped.append(name)
-                return
-            if name in bounds:
-                sizes = [h - low + 1 for low, h in bounds[name]]
-                total = 1
-                for s in sizes:
-                    total *= s
-                for flat in range(total):
-                    rest, index = flat, []
-                    for (low, _), s in zip(reversed(bounds[name]), reversed(sizes), strict=True):
-                        index.insert(0, low + rest % s)
-                        rest //= s
-                    visit(f"{name}[{','.join(map(str, index))}]", F.get(c, flat), inner)
-            elif not isinstance(inner, (T.NumericType, T.BooleanType)):
-                skipped.append(name)
-            elif count < most_leaves:
-                count += 1
-                parts.append(F.transform(c, lambda x, i: F.struct(F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]")).alias("channel"), x.cast("double").alias("value"))))
-            else:
-                capped = True
-        elif not isinstance(kind, (T.NumericType, T.BooleanType)):
-            skipped.append(name)
-        elif name not in present:
-            if count >= most_leaves:
-                capped = True
-                return
-            count += 1
-            parts.append(F.array(F.struct(F.lit(name).alias("channel"), c.cast("double").alias("value"))))
-
-    for field_ in df.schema:
-        if field_.name not in (ts_ns, seq):
-            visit(field_.name, F.col(f"`{field_.name}`"), field_.dataType)
-    if not parts:
+            made = [leaves(f"{path}.{m.name}", F.concat(name, F.lit(f".{m.name}")), c[m.name], m.dataType) for m in kind]
+            inner = [x for x, _ in made if x is not None]
+            return (F.concat(*inner) if inner else None), sum(n for _, n in made)
+        if isinstance(kind, T.ArrayType):
+            tried = leaves(f"{path}[]", name, F.lit(None).cast(kind.elementType), kind.elementType)
+            if tried[0] is None:
+                return None, 0
+            skips = len(skipped)
+
+            def element(label: Column, x: Column) -> Column:
+                out = leaves(f"{path}[]", F.concat(name, F.lit("["), label, F.lit("]")), x, kind.elementType)[0]
+                del skipped[skips:]
+                return out
+
+            if path in bounds:
+                sizes = [high - low + 1 for low, high in bounds[path]]
+                total = math.prod(sizes)
+                strides = [math.prod(sizes[d + 1 :]) for d in range(len(sizes))]
+                label = lambda i: F.concat_ws(",", *[(F.floor(i / st) % n + low).cast("string") for st, n, (low, _) in zip(strides, sizes, bounds[path], strict=True)])
+                return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(total - 1)), lambda i: element(label(i), F.get(c, i)))), total * tried[1]
+            grows = True
+            return F.flatten(F.transform(F.coalesce(c, F.array().cast(kind)), lambda x, i: element(i.cast("string"), x))), 0
+        if not isinstance(kind, (T.NumericType, T.BooleanType)):
+            skipped.append(path)
+            return None, 0
+        return F.array(F.struct(name.alias("channel"), c.cast("double").alias("value"))), 1
+
+    made = [leaves(m.name, F.lit(m.name), F.col(f"`{m.name}`"), m.dataType) for m in df.schema if m.name not in (ts_ns, seq)]
+    found = [x for x, _ in made if x is not None]
+    if not found:
         raise ValueError("there is no scalar leaf")
-    leaf = F.explode(F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<channel:string,value:double>>")) for p in parts])))
-    rows = df.select(F.col(seq).cast("long").alias("seq"), F.col(ts_ns).cast("long").alias("ts_ns"), leaf.alias("l"))
+    every = F.concat(*[x.cast(_LEAVES) for x in found])
+    if present:
+        every = F.filter(every, lambda x: ~x["channel"].isin(*present))
+    rows = df.select(F.col(seq).cast("long").alias("seq"), F.col(ts_ns).cast("long").alias("ts_ns"), every.alias("leaves"))
+    if grows or present:
+        capped = (rows.agg(F.max(F.size("leaves"))).first()[0] or 0) > most_leaves
+    else:
+        capped = sum(n for _, n in made) > most_leaves
+    rows = rows.select("seq", "ts_ns", F.explode(F.slice("leaves", 1, most_leaves) if capped else F.col("leaves")).alias("l"))
     return rows.select("l.channel", "seq", "ts_ns", F.coalesce("l.value", F.lit(float("nan"))).alias("value")), skipped, capped

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tidemark.frame import SignalFrame
 from tidemark.functions.elementwise import matches
@@ -14,8 +21,22 @@ NS = 1e9
 DIRECT_ROWS = 64
 
 
-def _rolling(f: SignalFrame, window_s: float, result) -> SignalFrame:
-    """``result`` of an aggregate over the trailing window, in linear time and without a slice's neighbours.
+#: Aggregates of a window by name: a kind and what it is of.
+Parts = dict[str, tuple[str, Column]]
+_KINDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+_OF_BOTH = {"sum": lambda a, b: a + b, "count": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+_IN_NUMPY = {"sum": np.add, "count": np.add, "min": np.fmin, "max": np.maximum}
+
+
+def _together(kind: str, *parts: Column) -> Column:
+    """Parts of a window put together; a part without samples is null."""
+    if kind in ("min", "max"):
+        return _OF_BOTH[kind](*parts)
+    return reduce(_OF_BOTH[kind], [F.coalesce(p, F.lit(0)) for p in parts])
+
+
+def _rolling(f: SignalFrame, window_s: float, parts: Parts, result: Callable[[dict[str, Column]], Column], rows_per_slice: int) -> SignalFrame:
+    """``result`` of aggregates over the trailing window, in linear time.
 
     Time is cut into blocks as long as the window. A row's window is then the
     beginning of its own block up to the row, and the end of the block before,
@@ -24,54 +45,122 @@ def _rolling(f: SignalFrame, window_s: float, result) -> SignalFrame:
     gives the first part and one read backwards the second. Nothing is ever
     subtracted, so sums stay exact and a NaN leaves with its window.
     Where no block has more than ``DIRECT_ROWS`` samples, a row's few samples
-    are read anew in order of time instead, as a plain range frame does.
+    are read anew in order of time instead, as a plain range frame does; where
+    one has more than ``rows_per_slice``, blocks are cut (``_over_pieces``).
     Rows later in order but equal in time are not yet seen.
     """
     if window_s <= 0:
         raise ValueError("the window must be positive")
-    w = F.lit(int(window_s * NS))
-    block = F.expr("(ts_ns - pmod(ts_ns, __w)) div __w")
-    direct = (f.samples.withColumn("__w", w).groupBy("channel", block).count().agg(F.max("count")).first()[0] or 0) <= DIRECT_ROWS
-    places = F.array(F.struct(F.lit(False).alias("late"), F.col("ts_ns").alias("at"), F.col("block")), F.struct(F.lit(True).alias("late"), (F.col("ts_ns") + F.col("__w")).alias("at"), (F.col("block") + 1).alias("block")))
-    rows = f.samples.withColumn("__w", w).withColumn("block", block).withColumn("p", F.explode(places)).select("channel", "seq", "ts_ns", "value", "p.late", "p.at", "p.block")
-    of = Window.partitionBy("channel", "block")
-    own = of.orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    near = of.orderBy(F.desc("at"), F.desc("late")).rowsBetween(Window.unboundedPreceding, 0)
-
-    earlier = of.orderBy("ts_ns").rangeBetween(-int(window_s * NS), -1)
+    w = int(window_s * NS)
+    most = _crowded(f.samples, w)
+    if most > rows_per_slice:
+        return _over_pieces(f, w, parts, result, rows_per_slice, most)
+    block = F.expr(f"(ts_ns - pmod(ts_ns, {w}L)) div {w}L")
+    places = F.array(F.struct(F.lit(False).alias("late"), F.col("ts_ns").alias("at"), F.col("block")), F.struct(F.lit(True).alias("late"), (F.col("ts_ns") + w).alias("at"), (F.col("block") + 1).alias("block")))
+    rows = f.samples.withColumn("block", block).withColumn("p", F.explode(places)).select("channel", "seq", "ts_ns", "value", "p.late", "p.at", "p.block")
+    own, near = _ways("block")
+    earlier = Window.partitionBy("channel", "block").orderBy("ts_ns").rangeBetween(-w, -1)
     now = Window.partitionBy("channel", "block", "ts_ns").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
 
-    def over(aggregate, x: Column) -> tuple[Column, Column]:
-        if direct:
-            return aggregate(x).over(earlier), aggregate(x).over(now)
-        return aggregate(F.when(F.col("late"), x)).over(near), aggregate(F.when(~F.col("late"), x)).over(own)
+    def over(kind: str, x: Column) -> Column:
+        of = _KINDS[kind]
+        if most <= DIRECT_ROWS:
+            return _together(kind, of(x).over(earlier), of(x).over(now))
+        return _together(kind, of(F.when(F.col("late"), x)).over(near), of(F.when(~F.col("late"), x)).over(own))
 
-    return f.with_samples(rows.withColumn("value", result(over)).filter(~F.col("late")))
+    return f.with_samples(rows.withColumn("value", result({k: over(*p) for k, p in parts.items()})).filter(~F.col("late")))
 
 
-def _mean(over, x: Column) -> Column:
-    before, here = over(F.sum, x)
-    return (F.coalesce(before, F.lit(0.0)) + here) / sum(over(F.count, x), F.lit(0))
+def _ways(place: str) -> tuple[WindowSpec, WindowSpec]:
+    """A place read forwards to a row, and backwards to it, where what was sent there comes before what equals it in time."""
+    of = Window.partitionBy("channel", place)
+    return of.orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0), of.orderBy(F.desc("at"), F.desc("late")).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def rolling_mean(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    """Mean of the samples at most ``window_s`` back, this one included.
+def _crowded(samples: DataFrame, width: int) -> int:
+    """The most rows that a channel has in a block of this width."""
+    return samples.groupBy("channel", F.expr(f"(ts_ns - pmod(ts_ns, {width}L)) div {width}L")).count().agg(F.max("count")).first()[0] or 0
 
-    Rolling operators need no slices; they take ``rows_per_slice`` like all others.
+
+def _over_pieces(f: SignalFrame, w: int, parts: Parts, result: Callable[[dict[str, Column]], Column], rows_per_slice: int, most: int) -> SignalFrame:
+    """Windows that hold more rows than a task should: cut into so many pieces of equal time that a piece is a task's work.
+
+    A row's window is its own piece up to the row, whole pieces before it, and
+    the end of its oldest piece, which is sent to the row's piece as in
+    ``_rolling``. Aggregates of whole pieces, one row a piece, come from a
+    table of runs of 1, 2, 4, ... pieces, so nothing is subtracted here either.
+    Where the window isn't a multiple of the pieces, the few nanoseconds left
+    over reach into one piece more, whose last rows are sent a piece further.
     """
-    return _rolling(f, window_s, lambda over: _mean(over, F.col("value")))
+    n = 2
+    while most > rows_per_slice and n < w:
+        n = min(w, max(2 * n, 1 << math.ceil(math.log2(most / rows_per_slice * n / 2))))
+        before, most = most, _crowded(f.samples, w // n)
+        if most == before:
+            break  # one instant has them all
+    width = w // n
+    n = w // width
+    rest = w - n * width
+    piece = F.expr(f"(ts_ns - pmod(ts_ns, {width}L)) div {width}L")
+    to = lambda late, at, k: F.struct(F.lit(late).alias("late"), at.alias("at"), k.alias("piece"))
+    at = F.col("ts_ns") + w
+    places = F.array(to(False, F.col("ts_ns"), F.col("piece")), to(True, at, F.col("piece") + n))
+    if rest:
+        places = F.when(F.pmod("ts_ns", F.lit(width)) >= width - rest, F.concat(places, F.array(to(True, at, F.col("piece") + n + 1)))).otherwise(places)
+    samples = f.samples.withColumn("piece", piece)
+    names = list(parts)
+    whole = samples.groupBy("channel", "piece").agg(*[_KINDS[kind](x).alias(name) for name, (kind, x) in parts.items()])
+
+    def between(pieces: pd.DataFrame) -> pd.DataFrame:
+        """Aggregates of the n - 1 pieces before each piece."""
+        pieces = pieces.sort_values("piece")
+        number = pieces["piece"].to_numpy()
+        start, end = np.searchsorted(number, number - n + 1), np.arange(len(number))
+        out = {"channel": pieces["channel"].to_numpy(), "piece": number}
+        for name in names:
+            runs, kind = pieces[name].to_numpy(float), _IN_NUMPY[parts_kind[name]]
+            got, at, left, size = np.full(len(number), np.nan), start.copy(), end - start, 1
+            any_yet = np.zeros(len(number), bool)
+            while len(runs):
+                go = (left & size) > 0
+                some = runs[at[go]]
+                got[go] = np.where(any_yet[go], kind(got[go], some), some)
+                any_yet |= go
+                at[go] += size
+                runs, size = kind(runs[:-size], runs[size:]), 2 * size
+            out[name] = pd.Series(got, dtype=object).where(any_yet, None)
+        return pd.DataFrame(out)
+
+    parts_kind = {name: kind for name, (kind, _) in parts.items()}
+    middle = whole.groupBy("channel").applyInPandas(between, "channel string, piece long, " + ", ".join(f"{k} double" for k in names))
+    middle = middle.select("channel", "piece", *[F.col(k).alias(f"__{k}") for k in names])
+    rows = samples.withColumn("p", F.explode(places)).select("channel", "seq", "ts_ns", "value", "p.late", "p.at", "p.piece")
+    own, near = _ways("piece")
+    for name, (kind, x) in parts.items():
+        of = _KINDS[kind]
+        rows = rows.withColumn(f"__own_{name}", of(F.when(~F.col("late"), x)).over(own)).withColumn(f"__near_{name}", of(F.when(F.col("late"), x)).over(near))
+    rows = rows.filter(~F.col("late")).join(middle, ["channel", "piece"])
+    made = {name: _together(kind, F.col(f"__near_{name}"), F.col(f"__{name}"), F.col(f"__own_{name}")) for name, (kind, _) in parts.items()}
+    return f.with_samples(rows.withColumn("value", result(made)))
+
+
+def rolling_mean(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
+    """Mean of the samples at most ``window_s`` back, this one included."""
+    x = F.col("value")
+    return _rolling(f, window_s, {"sum": ("sum", x), "n": ("count", x)}, lambda p: p["sum"] / p["n"], rows_per_slice)
 
 
 def rolling_rms(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    return _rolling(f, window_s, lambda over: F.sqrt(_mean(over, F.col("value") * F.col("value"))))
+    x = F.col("value") * F.col("value")
+    return _rolling(f, window_s, {"sum": ("sum", x), "n": ("count", x)}, lambda p: F.sqrt(p["sum"] / p["n"]), rows_per_slice)
 
 
 def rolling_min(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    return _rolling(f, window_s, lambda over: F.least(*over(F.min, F.col("value"))))
+    return _rolling(f, window_s, {"min": ("min", F.col("value"))}, lambda p: p["min"], rows_per_slice)
 
 
 def rolling_max(f: SignalFrame, window_s: float, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    return _rolling(f, window_s, lambda over: F.greatest(*over(F.max, F.col("value"))))
+    return _rolling(f, window_s, {"max": ("max", F.col("value"))}, lambda p: p["max"], rows_per_slice)
 
 
 def derivative(f: SignalFrame, rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:

@@ -280,3 +280,55 @@ ORACLES["s1_quoted_grid"] = """
            CASE k WHEN 0 THEN v || '"xtail' WHEN 1 THEN v || 'd,ef' WHEN 2 THEN v || ',,' || id ELSE v || 'b' END AS c0,
            CASE k WHEN 3 THEN '' WHEN 2 THEN NULL ELSE id END AS c1, CASE k WHEN 3 THEN id END AS c2
     FROM (SELECT event_id % 5 AS k, event_type AS v, event_id::VARCHAR AS id FROM events) WHERE k <> 4"""
+ORACLES["t5_stream_disordered_integral"] = ORACLES["w6_integral"]
+ORACLES["t5_stream_disordered_pt2"] = ORACLES["w10_pt2"]
+# A row is late if it is older than what its channel's or all channels' newest row of the batches before releases.
+put(
+    "t5_stream_too_late",
+    """SELECT a.channel, a.seq, a.ts_ns, a.value FROM a JOIN newest g ON g.channel IS NULL AND g.batch = a.batch JOIN newest o ON o.channel = a.channel AND o.batch = a.batch
+       WHERE a.ts_ns < greatest(o.before, g.before // 1000000 * 1000000) - 86400000000000""",
+    more="""a AS (SELECT s.*, (ts_ns + CASE WHEN (ts_ns, seq) = (last_ns, last_seq) THEN 86400000000000 WHEN seq % 50 = 0 THEN 3456000000000000 ELSE seq * 7919 % 86400 * 1000000000 END) // 864000000000000 AS batch
+                  FROM s JOIN (SELECT channel, max(ts_ns) AS last_ns, arg_max(seq, (ts_ns, seq)) AS last_seq FROM s GROUP BY channel) e ON s.channel = e.channel),
+            newest AS (SELECT c.channel, b.batch, (SELECT max(ts_ns) FROM a WHERE a.batch < b.batch AND a.channel = c.channel) AS before FROM (SELECT DISTINCT channel FROM a) c, (SELECT DISTINCT batch FROM a) b
+                       UNION ALL SELECT NULL, b.batch, (SELECT max(ts_ns) FROM a WHERE a.batch < b.batch) FROM (SELECT DISTINCT batch FROM a) b),""",
+)
+_ARRIVED = "SELECT event_type AS channel, event_id + user_id * 10000000 AS seq, CASE WHEN event_id % 7 = 0 THEN epoch_us(ts) * 1000 + 5 ELSE epoch_us(ts) * 1000 END AS ts_ns, value, event_id % 11 <> 0 AS valid FROM events"
+_JUDGED = "m AS (SELECT *, valid AND coalesce(ts_ns < max(CASE WHEN valid THEN ts_ns END) OVER (PARTITION BY channel ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 864000000000000, false) AS late FROM s),"
+put("t1_stream_samples", "SELECT * FROM m WHERE valid AND NOT late", _ARRIVED, more=_JUDGED)
+put("t1_stream_side", "SELECT * FROM m WHERE late OR NOT valid", _ARRIVED, more=_JUDGED, final="SELECT channel, seq, ts_ns, round(value, 6) + 0.0 AS value, valid, late FROM r")
+_TYPE_LIST = "['BOOL', 'SINT', 'USINT', 'INT', 'UINT', 'DINT', 'UDINT', 'LINT', 'ULINT', 'REAL', 'LREAL']"
+put(
+    "t1_typed_payloads",
+    """SELECT 'of ' || kind AS channel, id AS seq, ts_ns, kind AS data_type, ([1, 1, 1, 2, 2, 4, 4, 8, 8, 4, 8][id % 11 + 1] + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END)::INTEGER AS payload_len,
+              CASE WHEN id % 13 <> 0 THEN CASE WHEN kind IN ('INT', 'DINT', 'LINT') THEN -n WHEN kind IN ('SINT', 'USINT') THEN n % 100 WHEN kind = 'BOOL' THEN n % 2 ELSE n END END::DOUBLE AS value, id % 13 <> 0 AS valid FROM s""",
+    f"SELECT event_id AS id, {_TYPE_LIST}[event_id % 11 + 1] AS kind, event_id % 1000 + 1 AS n, epoch_us(ts) * 1000 AS ts_ns FROM events",
+    final="SELECT * FROM r",
+)
+put(
+    "t2_stream_events",
+    "SELECT channel, tick * 86400000000000 AS tick_ns, (sum(bad) OVER (PARTITION BY channel ORDER BY tick))::BIGINT AS overruns, bad AS rise FROM ticks WHERE bad > 0",
+    more="ticks AS (SELECT channel, (CASE WHEN seq % 7 = 0 THEN ts_ns + 5 ELSE ts_ns END) // 86400000000000 AS tick, (count(*) FILTER (seq % 11 = 0))::BIGINT AS bad FROM s GROUP BY ALL),",
+    final="SELECT * FROM r",
+)
+put(
+    "t3_stream_window",
+    "SELECT CASE WHEN channel < 'm' THEN 'low' ELSE 'high' END AS g, min(value) AS a, max(value) AS b, count(*) AS n FROM s WHERE ts_ns // 1000000000000 >= (SELECT (max(ts_ns) - 100000000000000) // 1000000000000 FROM s) GROUP BY g",
+    final="SELECT g AS \"group\", round(a - (b - a) * 0.05, 6) + 0.0 AS low, round(b + (b - a) * 0.05, 6) + 0.0 AS high, n FROM r",
+)
+put(
+    "n1_nested",
+    """SELECT 'cells[' || k || '].a' AS channel, seq, ts_ns, value * (k + 1) AS value FROM s, range(2) x(k)
+       UNION ALL SELECT 'cells[' || k || '].b[0]', seq, ts_ns, value + k + 1 FROM s, range(2) x(k) UNION ALL SELECT 'cells[' || k || '].b[1]', seq, ts_ns, seq FROM s, range(2) x(k)
+       UNION ALL SELECT 'rows[' || i || '][' || j || ']', seq, ts_ns, value * (j + 1) FROM s, range(3) x(i), range(3) y(j) WHERE j <= i AND i <= seq % 3
+       UNION ALL SELECT 'grid[' || (k // 2 + 1) || ',' || (k % 2) || ']', seq, ts_ns, value + k FROM s, range(4) x(k)""",
+    final="SELECT channel, seq, ts_ns, round(value, 6) + 0.0 AS value, 'cells[].text' AS skipped FROM r",
+)
+put(
+    "s10_typed_session",
+    """SELECT event_type || ' ' || kind AS channel, event_id AS seq, epoch_us(ts) * 1000 AS ts_ns, kind AS data_type,
+              CASE kind WHEN 'LINT' THEN (event_id - 4611686018427387904)::HUGEINT::VARCHAR WHEN 'ULINT' THEN (9223372036854775808::HUGEINT + event_id)::VARCHAR END AS exact,
+              CASE kind WHEN 'REAL' THEN event_id * 0.5 WHEN 'LREAL' THEN round(value, 6) + 0.0 END::DOUBLE AS value FROM s""",
+    "SELECT *, ['LINT', 'ULINT', 'REAL', 'LREAL'][event_id % 4 + 1] AS kind FROM events",
+    final="SELECT * FROM r",
+)
+put("i13_library", "SELECT channel || '.csv:v' AS channel, seq, ts_ns, value FROM s WHERE channel NOT LIKE '%k' OR seq % 3 = 0")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.frame import SignalFrame
 from tidemark.functions import elementwise as e
+from tidemark.functions import payloads
 from tidemark.operators import align, catalog, filters, measure, segments, spectra, windows
 from tidemark.scratch import new_folder
 from tidemark.sources import json_files, sinks, tables, text
@@ -734,6 +735,113 @@ def t1_stream_late(spark, sf_dir):
     return got.select("channel", "seq", "ts_ns", rounded("value").alias("value"), "late")
 
 
+_DAY = 86400 * 10**9
+
+
+def _disordered(spark, sf_dir, late: bool) -> tuple[DataFrame, Column]:
+    """Events that arrive up to a day after their time, and with ``late`` every fiftieth forty days after; and the ten days they arrive in."""
+    samples = _with_ends(tables.events(spark, sf_dir).samples)
+    after = F.when(F.col("ends"), _DAY).when(F.lit(late) & (F.col("seq") % 50 == 0), 40 * _DAY).otherwise(F.col("seq") * 7919 % 86400 * 10**9)
+    return samples.withColumn("arrival", F.col("ts_ns") + after), F.expr(f"arrival div {10 * _DAY}")
+
+
+def _arriving(spark, sf_dir, label: str, run, late: bool = False) -> DataFrame:
+    path = new_folder(spark, label)
+    samples, batch = _disordered(spark, sf_dir, late)
+    return _drained(ingest.in_time_order(samples, path + ".in", ("arrival", "seq"), batch).drop("arrival"), path, run)
+
+
+@query
+def t5_stream_disordered_integral(spark, sf_dir):
+    """Rows come out of order within and across micro-batches; the result is that of the ordered table."""
+    return out(_arriving(spark, sf_dir, "integral", lambda s: stateful.integral(s, 86400.0)), 2)
+
+
+@query
+def t5_stream_disordered_pt2(spark, sf_dir):
+    return out(_arriving(spark, sf_dir, "pt2", lambda s: stateful.lag_stages(s, 3600.0, 2, delay_s=86400.0)))
+
+
+@query
+def t5_stream_too_late(spark, sf_dir):
+    """Rows that the reorder buffer could not wait for, as its side table has them."""
+    got = _arriving(spark, sf_dir, "late", lambda s: stateful.forward_fill(s.drop("ends"), 50.0, 25.0, delay_s=86400.0), late=True)
+    return out(got.filter("late"))
+
+
+_NOTIFIED = "channel string, seq long, ts_ns long, value double, valid boolean, late boolean"
+
+
+def _two_tables(spark, sf_dir, side: bool) -> DataFrame:
+    """Notifications in an order of arrival that makes most late, every eleventh of the wrong size."""
+    path = new_folder(spark, "recorded")
+    ev = _notifications(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), "user_id"), "seq")
+    arriving = ev.withColumn("seq", F.col("seq") + F.col("user_id") * 10_000_000).drop("user_id")
+    stream = ingest.in_time_order(arriving, path + ".in", ("seq",), F.expr("seq div 300000000"))
+    marked = stateful.marked_late(ingest.stamped(stream), 864_000.0)
+    ingest.in_two_tables(marked, F.col("late") | ~F.col("valid"), path, path + ".state").awaitTermination()
+    return ingest.table_of(spark, path, _NOTIFIED, side)
+
+
+@query
+def t1_stream_samples(spark, sf_dir):
+    return out(_two_tables(spark, sf_dir, False))
+
+
+@query
+def t1_stream_side(spark, sf_dir):
+    return _two_tables(spark, sf_dir, True).select("channel", "seq", "ts_ns", rounded("value").alias("value"), "valid", "late")
+
+
+_KINDS = ("BOOL", "SINT", "USINT", "INT", "UINT", "DINT", "UDINT", "LINT", "ULINT", "REAL", "LREAL")
+
+
+def _bits(n: Column, fraction: int, bias: int) -> Column:
+    """The IEEE 754 bits of a whole number from 1 on, as a long."""
+    power = F.floor(F.log2(n.cast("double")) + 1e-12).cast("long")
+    return (power + bias) * 2**fraction + (n - F.pow(F.lit(2.0), power).cast("long")) * F.pow(F.lit(2.0), F.lit(fraction) - power).cast("long")
+
+
+@query
+def t1_typed_payloads(spark, sf_dir):
+    """A stream of bytes, read by the types of a table of channels; every thirteenth payload is a byte too long."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("event_id") % 11 + 1).cast("int"))
+    n = F.col("event_id") % 1000 + 1
+    number = F.when(kind == "REAL", _bits(n, 23, 127)).when(kind == "LREAL", _bits(n, 52, 1023)).when(kind.isin("INT", "DINT", "LINT"), -n).when(kind.isin("SINT", "USINT"), n % 100).when(kind == "BOOL", n % 2).otherwise(n)
+    payload = payloads.encoded_whole(F.col("number"), payloads.size_of(F.col("kind")))
+    payload = F.when(F.col("event_id") % 13 == 0, F.concat(payload, F.lit(b"x"))).otherwise(payload)
+    ev = ev.withColumn("kind", kind).withColumn("number", number)
+    sent = ev.select(F.concat(F.lit("of "), "kind").alias("channel"), F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("plc_ts_ns"), tables.nanoseconds("ts").alias("host_ts_ns"), payload.alias("payload"))
+    channels = spark.createDataFrame([(f"of {k}", k) for k in _KINDS], "channel string, data_type string")
+    path = new_folder(spark, "typed")
+    got = _drained(ingest.in_time_order(sent, path + ".in", ("host_ts_ns", "seq")), path, lambda s: ingest.typed(s, channels))
+    return got.select("channel", "seq", "ts_ns", "data_type", "payload_len", F.when(F.col("valid"), rounded("value")).alias("value"), "valid")
+
+
+@query
+def t2_stream_events(spark, sf_dir):
+    """An event for every day in which a channel's overruns grew."""
+    path = new_folder(spark, "overruns")
+    ended = _with_ends(tables.events(spark, sf_dir).samples).select("seq", "ends")
+    ev = ingest.stamped(_notifications(spark, sf_dir)).join(ended, "seq")
+    stream = ingest.in_time_order(ev, path + ".in", ("ts_ns", "seq"), F.expr(f"ts_ns div {10 * _DAY}"))
+    return _drained(stream, path, lambda s: stateful.overrun_events(s, 86400.0))
+
+
+@query
+def t3_stream_window(spark, sf_dir):
+    """The live window after a stream's last batch; groups are halves of the channels."""
+    path = new_folder(spark, "live")
+    f = tables.events(spark, sf_dir)
+    groups = f.channels.select("channel", F.when(F.col("channel") < "m", "low").otherwise("high").alias("group"))
+    stream = ingest.in_time_order(f.samples, path + ".in", batch=F.expr(f"ts_ns div {10 * _DAY}"))
+    q = ingest.live_ranges(stream, 1e5, 1000.0, path, path + ".state", groups)
+    q.awaitTermination()
+    got = spark.read.parquet(f"{path}/ranges/{q.lastProgress['batchId']}")
+    return got.select("group", rounded("low").alias("low"), rounded("high").alias("high"), "n")
+
+
 @query
 def t2_stream_totals(spark, sf_dir):
     """Totals of a stream, as its last complete table."""
@@ -832,3 +940,43 @@ def t1_stream_record(spark, sf_dir):
         return ingest.accepted(s.select("channel", "seq", F.lit(0).cast("long").alias("plc_ts_ns"), F.col("ts_ns").alias("host_ts_ns"), F.when(F.col("seq") % 11 == 0, 4).otherwise(8).alias("payload_len"), "value"))
 
     return out(_streamed(spark, sf_dir, "record", notified))
+
+
+@query
+def n1_nested(spark, sf_dir):
+    """Arrays of structures with arrays in them, and arrays of arrays of the row's own length."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cell = lambda k: F.struct((F.col("value") * k).alias("a"), F.array(F.col("value") + k, F.col("event_id").cast("double")).alias("b"), F.col("event_type").alias("text"))
+    rows = F.transform(F.sequence(F.lit(1), F.col("event_id") % 3 + 1), lambda i: F.transform(F.sequence(F.lit(1), i), lambda j: F.col("value") * j))
+    nested = ev.select("event_id", tables.nanoseconds("ts").alias("t"), F.array(cell(1), cell(2)).alias("cells"), rows.alias("rows"), F.array(*[F.col("value") + i for i in range(4)]).alias("grid"))
+    samples, skipped, _ = catalog.flatten_channels(nested, "t", "event_id", {"grid": [(1, 2), (0, 1)]})
+    return out(samples).withColumn("skipped", F.lit(",".join(skipped)))
+
+
+@query
+def s10_typed_session(spark, sf_dir):
+    """Whole numbers above 2^53 and floats, appended in two runs, come back as they were."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.element_at(F.array(F.lit("LINT"), F.lit("ULINT"), F.lit("REAL"), F.lit("LREAL")), (F.col("event_id") % 4 + 1).cast("int"))
+    base = F.when(kind == "LINT", F.lit(-(2**62)).cast("decimal(20,0)")).when(kind == "ULINT", F.lit(str(2**63)).cast("decimal(20,0)"))
+    exact = (base + F.col("event_id")).cast("decimal(20,0)")
+    value = F.coalesce(exact.cast("double"), F.when(kind == "REAL", F.col("event_id") * 0.5).otherwise(F.col("value")))
+    rows = ev.select(F.concat("event_type", F.lit(" "), kind).alias("channel"), F.col("event_id").alias("seq"), tables.nanoseconds("ts").alias("ts_ns"), kind.alias("data_type"), exact.alias("exact"), value.alias("value"))
+    path = new_folder(spark, "typed-session")
+    for part in (0, 1):
+        sinks.append_typed(rows.filter(F.col("seq") % 2 == part), path)
+    got = sinks.typed_samples(spark, path)
+    return got.select("channel", "seq", "ts_ns", "data_type", F.col("exact").cast("string").alias("exact"), F.when(F.col("exact").isNull(), rounded("value")).alias("value"))
+
+
+@query
+def i13_library(spark, sf_dir):
+    """Files imported twice, some of them with other rows the second time: the library has each file's last import."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cells = F.array(tables.nanoseconds("ts").cast("string"), F.col("value").cast("string"))
+    grids = ev.select(F.concat(F.lit("in/"), "event_type", F.lit(".csv")).alias("file"), F.col("event_id").alias("row_idx"), cells.alias("cells"))
+    profile = importing.ImportProfile((importing.ColumnMapping("A", importing.X_TIME, unit="ns"), importing.ColumnMapping("B", name="v")))
+    path = new_folder(spark, "library")
+    importing.import_into(grids, profile, path)
+    importing.import_into(grids.filter(F.col("file").endswith("k.csv") & (F.col("row_idx") % 3 == 0)), profile, path)
+    return out(importing.library(spark, path))

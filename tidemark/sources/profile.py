@@ -7,10 +7,12 @@ on the driver; the grid becomes long rows by one explode.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.frame import CHANNEL_SCHEMA, FREQUENCY, TIME, SignalFrame
@@ -207,12 +209,8 @@ def _bad_cells(rows: DataFrame) -> DataFrame:
     return y.union(x).groupBy("column", "axis").agg(F.count(F.lit(1)).alias("count"), F.min_by("cell", "row_idx").alias("first_cell"), F.min("row_idx").alias("first_row"))
 
 
-def import_files(grids: DataFrame, profile: ImportProfile) -> tuple[SignalFrame, DataFrame]:
-    """One profile over many files of a grid (file, row_idx, cells), all in one plan.
-
-    Channels are named file:name by the file's last part; the report has a row
-    a file with the channels and samples it gave, 0 for one that gave nothing.
-    """
+def _imported(grids: DataFrame, profile: ImportProfile) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples, channels with the file they are of, and a report with a row a file."""
     ys = _signals_of(profile)
     short = F.regexp_extract("file", r"([^/]*)$", 1)
     within = F.concat(short, F.lit(":"), F.col("channel"))
@@ -223,16 +221,63 @@ def import_files(grids: DataFrame, profile: ImportProfile) -> tuple[SignalFrame,
     made = made.withColumn("channel", within).withColumn("source_symbol", F.concat(short, "source_symbol"))
     counts = made.join(samples.groupBy("channel").agg(F.count(F.lit(1)).alias("n")), "channel", "left")
     report = counts.groupBy("file").agg(F.count("n").alias("n_channels"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"))
-    return SignalFrame(samples, made.select(*meta.columns[1:])), report
+    return samples, made.select(*meta.columns[1:], "file"), report
 
 
-def profile_from_titles(titles: list[str]) -> ImportProfile:
-    """A profile guessed from a header row: an axis column for titles such as t, time [ms] or f."""
-    from tidemark.sources.text import split_name_unit
+def import_files(grids: DataFrame, profile: ImportProfile) -> tuple[SignalFrame, DataFrame]:
+    """One profile over many files of a grid (file, row_idx, cells), all in one plan.
 
-    columns = []
-    for i, title in enumerate(titles):
-        name, unit = split_name_unit(title)
-        role = X_FREQUENCY if name == "f" or name.startswith("f_") else X_TIME if name in ("t", "time") or name.startswith("t_") else SIGNAL
-        columns.append(ColumnMapping(column_letters(i), role, name, unit))
-    return ImportProfile(tuple(columns), header_row=1)
+    Channels are named file:name by the file's last part; the report has a row
+    a file with the channels and samples it gave, 0 for one that gave nothing.
+    """
+    samples, channels, report = _imported(grids, profile)
+    return SignalFrame(samples, channels.drop("file")), report
+
+
+_SAMPLES = "seq long, ts_ns long, value double, channel string"
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame | None:
+    """All versions of a library's manifest (version, file, import_id), if there is one."""
+    try:
+        return spark.read.schema("file string, import_id string, version long").parquet(f"{path}/manifest")
+    except AnalysisException:
+        return None
+
+
+def import_into(grids: DataFrame, profile: ImportProfile, path: str) -> DataFrame:
+    """Imports files into a library at ``path``: what a file gave before is replaced. Returns the report.
+
+    An import writes a folder of its own. Which folder holds a file's channels
+    is said by the manifest, whose next version is written last, as one file;
+    an import that fails before leaves all as it was, and readers of the
+    version before go on reading it. A file that gives no samples keeps what
+    it had.
+    """
+    spark, import_id = grids.sparkSession, uuid.uuid4().hex
+    samples, channels, report = _imported(grids, profile)
+    samples.select("seq", "ts_ns", "value", "channel").write.parquet(f"{path}/samples/import_id={import_id}")
+    written = spark.read.schema(_SAMPLES).parquet(f"{path}/samples/import_id={import_id}")
+    channels.join(written.select("channel").distinct(), "channel", "left_semi").write.parquet(f"{path}/channels/import_id={import_id}")
+    now = spark.read.parquet(f"{path}/channels/import_id={import_id}").select("file", F.lit(import_id).alias("import_id")).distinct()
+    old, version = _manifests(spark, path), 0
+    if old is not None:
+        version = old.agg(F.max("version")).first()[0]
+        before = old.filter(F.col("version") == version).select("file", "import_id")
+        now = now.unionByName(before.join(now.select("file"), "file", "left_anti"))
+    now.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/version={version + 1}")
+    return report
+
+
+def library(spark: SparkSession, path: str, version: int | None = None) -> SignalFrame:
+    """The channels of a library, as its newest manifest or the one of a version says."""
+    every = _manifests(spark, path)
+    if every is None:
+        raise ValueError(f"{path} holds no library")
+    version = every.agg(F.max("version")).first()[0] if version is None else version
+    said = every.filter(F.col("version") == version).select("file", "import_id")
+    ids = [r[0] for r in said.select("import_id").distinct().collect()]  # folders still in use
+    channels = spark.read.parquet(f"{path}/channels").filter(F.col("import_id").isin(ids)).join(said, ["file", "import_id"], "left_semi")
+    of = channels.select("channel", "import_id")
+    samples = spark.read.schema(_SAMPLES + ", import_id string").parquet(f"{path}/samples").filter(F.col("import_id").isin(ids)).join(of, ["channel", "import_id"], "left_semi")
+    return SignalFrame(samples.select("channel", "seq", "ts_ns", "value"), channels.drop("file", "import_id"))

@@ -153,16 +153,47 @@ def write_signal_json(f: SignalFrame, path: str) -> None:
     out.write.option("ignoreNullFields", False).json(path)
 
 
+# The physical column of a session that values of a type lie in.
+_PHYSICAL = {"BOOL": "whole", "SINT": "whole", "USINT": "whole", "INT": "whole", "UINT": "whole", "DINT": "whole", "UDINT": "whole", "LINT": "whole", "ULINT": "large", "REAL": "real"}
+_SESSION = "seq long, ts_ns long, whole long, large decimal(20,0), real float, number double, data_type string, channel string"
+
+
+def append_typed(samples: DataFrame, path: str) -> None:
+    """Appends (channel, seq, ts_ns, data_type, exact, value) to a session, each value in its type's physical column.
+
+    ``exact`` (decimal) holds whole numbers that a double can't, and may be
+    null; ``value`` is the same as a double. A value that its type's column
+    can't hold as it is lies in the doubles' column. Files are partitioned by
+    type and channel.
+    """
+    exact = F.coalesce("exact", F.when((F.abs(F.col("value")) < 2.0**53) & (F.floor("value") == F.col("value")), F.col("value").cast("decimal(20,0)")))
+    kind = lambda name: F.col("data_type").isin(*[k for k, v in _PHYSICAL.items() if v == name])
+    rows = samples.withColumn("exact", exact)
+    rows = rows.withColumn("whole", F.when(kind("whole"), F.col("exact").try_cast("long"))).withColumn("large", F.when(kind("large"), F.col("exact")))
+    rows = rows.withColumn("real", F.when(kind("real") & (F.isnan("value") | (F.col("value").cast("float").cast("double") == F.col("value"))), F.col("value").cast("float")))
+    number = F.when(F.coalesce(F.col("whole").cast("double"), F.col("large").cast("double"), F.col("real").cast("double")).isNull(), F.col("value"))
+    rows.select("seq", "ts_ns", "whole", "large", "real", number.alias("number"), "data_type", "channel").write.mode("append").partitionBy("data_type", "channel").parquet(f"{path}/samples")
+
+
+def typed_samples(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """(channel, seq, ts_ns, data_type, exact, value) of a session or the named channels of it: others' files aren't read."""
+    rows = spark.read.option("basePath", f"{path}/samples").schema(_SESSION).parquet(f"{path}/samples")
+    rows = rows.filter(F.col("channel").isin(*names)) if names else rows
+    exact = F.coalesce(F.col("large"), F.col("whole").cast("decimal(20,0)"))
+    value = F.coalesce(F.col("number"), F.col("real").cast("double"), exact.cast("double"), F.lit(float("nan")))
+    return rows.select("channel", "seq", "ts_ns", "data_type", exact.alias("exact"), value.alias("value"))
+
+
 def save_session(f: SignalFrame, path: str) -> None:
-    """Samples partitioned by channel and the channels' meta data, as Parquet."""
-    f.samples.write.partitionBy("channel").parquet(f"{path}/samples")
+    """Samples by type and channel, and the channels' meta data, as Parquet."""
+    kinds = f.channels.select("channel", F.col("data_type"))
+    append_typed(f.samples.join(kinds, "channel", "left").withColumn("data_type", F.coalesce("data_type", F.lit("LREAL"))).withColumn("exact", F.lit(None).cast("decimal(20,0)")), path)
     f.channels.write.parquet(f"{path}/channels")
 
 
 def load_session(spark: SparkSession, path: str, *names: str) -> SignalFrame:
     """A session, or only the named channels of it: others' files aren't read."""
-    samples = spark.read.option("basePath", f"{path}/samples").schema("seq long, ts_ns long, value double, channel string").parquet(f"{path}/samples")
-    f = SignalFrame(samples.select("channel", "seq", "ts_ns", "value"), spark.read.parquet(f"{path}/channels"))
+    f = SignalFrame(typed_samples(spark, path, *names).select("channel", "seq", "ts_ns", "value"), spark.read.parquet(f"{path}/channels"))
     return f.only(*names) if names else f
 
 

@@ -6,8 +6,12 @@ import math
 import re
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark.functions.elementwise import nan
+from tidemark.functions.payloads import decoded, size_of
 
 PAYLOAD_BYTES = 8
 #: Samples of a file, and so of a micro-batch, of ``in_time_order``.
@@ -26,26 +30,74 @@ def accepted(notifications: DataFrame) -> DataFrame:
     return stamped(notifications).filter("valid").select("channel", "seq", "ts_ns", F.coalesce("value", F.lit(float("nan"))).alias("value"))
 
 
-def in_time_order(samples: DataFrame, path: str, order: tuple[str, ...] = ("ts_ns", "seq")) -> DataFrame:
-    """``samples`` as a stream of files in time order, one a micro-batch, ``ROWS_PER_FILE`` rows at most each.
+def typed(notifications: DataFrame, channels: DataFrame) -> DataFrame:
+    """Notifications with column ``payload`` (bytes) in place of a value, read by their channels' types.
 
-    ``order`` names other columns to order by. A file stream takes its files by their modification times, so these are
-    set in order of time; a file system that can't keep them is refused.
+    Joined with (channel, data_type), static and small beside the stream; adds payload_len, value, and valid: whether the payload has just the
+    type's size. A channel that isn't among them has no type, so nothing of
+    it is valid.
     """
-    spark = samples.sparkSession
-    parts = max(1, math.ceil(samples.count() / ROWS_PER_FILE))
-    ranged = samples.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    named = [(re.match(r"part-(\d+)-.*?(?:-c(\d+))?\.", s.getPath().getName()), s.getPath()) for s in fs.listStatus(folder)]
-    files = [p for _, p in sorted(((int(m[1]), int(m[2] or 0)), p) for m, p in named if m)]
-    start = int(time.time()) * 1000
-    for i, p in enumerate(files):
-        fs.setTimes(p, start + 1000 * i, -1)
-    if any(fs.getFileStatus(p).getModificationTime() != start + 1000 * i for i, p in enumerate(files)):
-        raise OSError(f"{path}: the file system doesn't keep modification times")
-    return spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    kinds = channels.select("channel", "data_type")
+    rows = notifications.join(kinds, "channel", "left").withColumn("payload_len", F.octet_length("payload"))
+    valid = F.coalesce(F.col("payload_len") == size_of(F.col("data_type")), F.lit(False))
+    value = F.when(valid, decoded(F.col("payload"), F.col("data_type"))).otherwise(nan())
+    ts = F.coalesce(F.nullif(F.col("plc_ts_ns"), F.lit(0)), F.col("host_ts_ns"))
+    return rows.select("channel", "seq", ts.alias("ts_ns"), "data_type", "payload_len", value.alias("value"), valid.alias("valid"))
+
+
+def _files_in_order(staged: DataFrame) -> list[str]:
+    """Part files by the number of their folder and their name."""
+    names = [r[0] for r in staged.select(F.input_file_name()).distinct().collect()]  # a row a micro-batch
+    return sorted(names, key=lambda n: (int(re.search(r"__batch=(\d+)", n)[1]), n))
+
+
+def in_time_order(samples: DataFrame, path: str, order: tuple[str, ...] = ("ts_ns", "seq"), batch: Column | None = None) -> DataFrame:
+    """``samples`` as a stream of files that were written one after another in time order, one a micro-batch.
+
+    A file has ``ROWS_PER_FILE`` rows at most, or, with ``batch``, the rows of
+    one number. A file stream takes its files by their modification times;
+    where the store's clock doesn't tell two of them apart, they are written
+    again with pauses.
+    """
+    spark, kind = samples.sparkSession, samples.schema
+    if batch is None:
+        parts = max(1, math.ceil(samples.count() / ROWS_PER_FILE))
+        ranged = samples.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__batch", F.spark_partition_id())
+    else:
+        ranged = samples.withColumn("__batch", batch).repartition("__batch").sortWithinPartitions("__batch", *order)
+    ranged.write.partitionBy("__batch").option("maxRecordsPerFile", 0 if batch is not None else ROWS_PER_FILE).parquet(path + ".staged")
+    files = _files_in_order(spark.read.schema(kind).parquet(path + ".staged")) if ranged.take(1) else []
+    for pause, to in ((0.0, path), (1.1, path + ".paused")):
+        if not files:
+            samples.limit(0).write.parquet(to)
+        for file in files:
+            spark.read.schema(kind).parquet(file).coalesce(1).withColumn("__from", F.lit(file)).write.mode("append").parquet(to)
+            time.sleep(pause)
+        written = spark.read.parquet(to)
+        times = {r[0]: r[1] for r in written.groupBy("__from").agg(F.max("_metadata.file_modification_time")).collect()} if files else {}
+        if all(times[a] < times[b] for a, b in zip(files[:-1], files[1:], strict=True)):
+            return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(to)
+    raise OSError(f"{path}: the file system doesn't keep modification times")
+
+
+def in_two_tables(stream: DataFrame, side: Column, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes a stream's rows to a main and, where ``side`` is true, a side table; returns the query.
+
+    A micro-batch is written by one job to the folder of its number, which it
+    replaces, so a batch that failed and is run again repeats nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("side", F.coalesce(side, F.lit(False))).write.mode("overwrite").partitionBy("side").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def table_of(spark: SparkSession, path: str, columns: str, side: bool) -> DataFrame:
+    """The main or the side table that ``in_two_tables`` has written so far; ``columns`` is their schema."""
+    rows = spark.read.schema(f"{columns}, batch long, side boolean").option("basePath", path).parquet(path)
+    return rows.filter(F.col("side") == side).drop("batch", "side")
 
 
 def record(notifications: DataFrame, path: str, checkpoint: str, every: str = "1 second"):
@@ -58,11 +110,6 @@ def running_totals(notifications: DataFrame) -> DataFrame:
     return stamped(notifications).groupBy("channel").agg(F.sum(F.col("valid").cast("long")).alias("received"), F.sum((~F.col("valid")).cast("long")).alias("overruns"))
 
 
-def late_or_bad(notifications: DataFrame, watermark_ns: int) -> DataFrame:
-    """Rows for the side table: overruns, and samples older than the watermark."""
-    return stamped(notifications).filter(~F.col("valid") | (F.col("ts_ns") < watermark_ns))
-
-
 def fan_out(ticks: DataFrame) -> DataFrame:
     """One sample an element of each tick's array, spaced by the cycle's even part."""
     step = F.col("cycle_us") * 1000 / F.size("values")
@@ -78,12 +125,61 @@ def live_window(samples: DataFrame, seconds: float, groups: DataFrame | None = N
     newest = samples.agg(F.max("ts_ns").alias("newest"))
     rows = samples.join(F.broadcast(newest), F.col("ts_ns") >= F.col("newest") - int(seconds * 1e9))  # one row
     rows = rows.join(groups, "channel") if groups is not None else rows.withColumn("group", F.lit(""))
-    ends = rows.filter(~F.isnan("value")).groupBy("group").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count(F.lit(1)).alias("n"))
+    return _range(rows.filter(~F.isnan("value")).groupBy("group").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count(F.lit(1)).alias("n")))
+
+
+def _range(ends: DataFrame) -> DataFrame:
+    """(group, low, high, n) with margins, from the least and greatest value a and b."""
     margin = F.when(F.col("a") == F.col("b"), 0.5).otherwise((F.col("b") - F.col("a")) * 0.05)
     return ends.select("group", (F.col("a") - margin).alias("low"), (F.col("b") + margin).alias("high"), "n")
 
 
-def windowed_range(samples: DataFrame, seconds: float, slide_s: float, watermark: str = "10 seconds") -> DataFrame:
-    """Streaming value range of sliding windows by event time, late rows bounded by a watermark."""
-    timed = samples.withColumn("at", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long"))).withWatermark("at", watermark)
-    return timed.groupBy(F.window("at", f"{int(seconds * 1e6)} microseconds", f"{int(slide_s * 1e6)} microseconds"), "channel").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
+_CELLS = "group string, cell long, a double, b double, n long, newest long"
+
+
+def _cells(samples: DataFrame, cell: int, groups: DataFrame | None) -> DataFrame:
+    """Partial ranges of (group, cell of time); values that are no number only move the newest time."""
+    rows = samples.join(groups, "channel") if groups is not None else samples.withColumn("group", F.lit(""))
+    real = ~F.isnan("value")
+    least = F.min(F.when(real, F.col("value")))
+    return rows.groupBy("group", F.expr(f"(ts_ns - pmod(ts_ns, {cell})) div {cell}").alias("cell")).agg(least.alias("a"), F.max(F.when(real, F.col("value"))).alias("b"), F.count_if(real).alias("n"), F.max("ts_ns").alias("newest"))
+
+
+def _within(cells: DataFrame, seconds: float, cell: int) -> DataFrame:
+    """Cells that reach into the window behind the newest time."""
+    newest = cells.agg(F.max("newest").alias("last"))
+    start = F.col("last") - int(seconds * 1e9)
+    return cells.join(F.broadcast(newest), F.col("cell") >= (start - F.pmod(start, F.lit(cell))) / cell).drop("last")  # one row
+
+
+def _summed(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("group").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).filter("n > 0")
+
+
+def live_cells(samples: DataFrame, seconds: float, cell_s: float, groups: DataFrame | None = None) -> DataFrame:
+    """``live_window`` with a window that begins with a whole cell of time: what the stream below tells, in one go."""
+    cell = int(cell_s * 1e9)
+    return _range(_summed(_within(_cells(samples, cell, groups), seconds, cell)))
+
+
+def live_ranges(stream: DataFrame, seconds: float, cell_s: float, path: str, checkpoint: str, groups: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
+    """Keeps the live window's value range of each group up to date; returns the query.
+
+    State is a small table of partial ranges, one row a group and cell of time
+    in the window. A micro-batch is summed by cell first, joins the table of
+    the batch before, drops cells the window has left behind, and writes
+    ``path``/cells/N and ``path``/ranges/N, replacing what a failed try left.
+    """
+    cell = int(cell_s * 1e9)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        cells = _cells(batch, cell, groups)
+        if number:
+            before = spark.read.schema(_CELLS).parquet(f"{path}/cells/{number - 1}")
+            cells = before.unionByName(cells.select(*before.columns)).groupBy("group", "cell").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), F.max("newest").alias("newest"))
+        _within(cells, seconds, cell).write.mode("overwrite").parquet(f"{path}/cells/{number}")
+        _range(_summed(spark.read.schema(_CELLS).parquet(f"{path}/cells/{number}"))).write.mode("overwrite").parquet(f"{path}/ranges/{number}")
+
+    writer = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
