@@ -134,7 +134,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 #: Texts alike: words of a shingle, and the likeness from which on they are.
 SHINGLE, ALIKE = 5, 0.8
 #: The long fingerprint: words of a feature, and bits beside its parts that sift pairs with their greatest distance.
-PAIR, SIFT, SIFT_MOST = 2, 128, 32
+PAIR, SIFT, SIFT_MOST = 2, 64, 19
 #: Leaders of a cell, the nearest of all those a text meets that are verified, and passes.
 LEADERS, NEAREST, PASSES = 3, 3, 2
 #: The part of its bits in which a pair just alike differs, and the part of such pairs that shares no cell.
@@ -166,7 +166,7 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def long_fingerprint(text: str | None, segments: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grid cell of every part, the two sifting words, and the text's shingle set as sorted 32-bit hashes."""
+    """Grid cell of every part, the sifting word, and the text's shingle set as sorted 32-bit hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     wide = -(-(2 * segments * parts + SIFT) // 64)
     ones, n = np.zeros(64 * wide, np.int64), 0
@@ -185,16 +185,16 @@ def long_fingerprint(text: str | None, segments: int, parts: int) -> tuple[np.nd
     return counts @ 3 ** np.arange(segments), np.packbits(bits[:SIFT], bitorder="little").view(np.int64), shingles
 
 
-_LONG = T.StructType([T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("shingles", T.BinaryType())])
-
-
 def long_fingerprints(segments: int, parts: int):
     """A column function of texts."""
+    cell = T.IntegerType() if 3**segments < 1 << 31 else T.LongType()
+    made_of = T.StructType([T.StructField("cells", T.ArrayType(cell)), T.StructField("sift", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
-    @F.pandas_udf(_LONG)
+    @F.pandas_udf(made_of)
     def of(texts: pd.Series) -> pd.DataFrame:
         made = [long_fingerprint(t, segments, parts) for t in texts]
-        return pd.DataFrame({"cells": [m[0] for m in made], "s0": [int(m[1][0]) for m in made], "s1": [int(m[1][1]) for m in made], "shingles": [m[2].tobytes() for m in made]})
+        kind = np.int32 if 3**segments < 1 << 31 else np.int64
+        return pd.DataFrame({"cells": [m[0].astype(kind) for m in made], "sift": [int(m[1][0]) for m in made], "shingles": [m[2].tobytes() for m in made]})
 
     return of
 
@@ -215,7 +215,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose shingle sets are alike."""
     pairs = stored(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = stored(sets.join(needed, "node", "left_semi"), "sets")
+    some = stored(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
     both = pairs.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(some.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
     return stored(both.filter(likeness("p", "q") >= ALIKE).select("a", "b"), "links")
 
@@ -228,23 +228,25 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     made = long_fingerprints(*grid(docs.count()))("text")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), made.alias("f"))
     rows = stored(rows.select("doc_id", "text_key", F.xxhash64("f.shingles").alias("node"), "f.*"), "long-fingerprints")
-    once = rows.groupBy("node").agg(F.first("cells").alias("cells"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("shingles").alias("shingles"))
-    once = stored(once, "nodes")
-    sets, nodes = once.select("node", "shingles"), once.select("node", "cells", "s0", "s1")
-    links, roots = None, None
+    nodes = stored(rows.groupBy("node").agg(F.first("cells").alias("cells"), F.first("sift").alias("sift")), "nodes")
+    sets, links, roots = rows.select("node", "shingles"), None, nodes.select("node", F.col("node").alias("root")).limit(0)
     for number in range(PASSES):
-        at = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(*nodes.columns, F.coalesce("root", "node").alias("root"))
-        at = at.select(F.posexplode("cells").alias("part", "cell"), "node", "root", "s0", "s1")
-        drawn = lambda k: F.min(F.struct(F.xxhash64("node", "part", F.lit(k)).alias("order"), "node", "root", "s0", "s1")).alias(f"l{k}")
-        leaders = at.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), *[drawn(number * LEADERS + k) for k in range(LEADERS)]).filter("n > 1")
-        met = at.join(leaders, ["part", "cell"]).select("node", "root", "s0", "s1", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{number * LEADERS + k}.{c}").alias(c) for c in ("node", "root", "s0", "s1")]) for k in range(LEADERS)]))).alias("l"))
-        differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("l.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("l.s1")))
-        near = met.filter((F.col("root") != F.col("l.root")) & (differ <= SIFT_MOST)).groupBy("node").agg(F.collect_set(F.struct(differ.alias("d"), F.col("l.node").alias("b"))).alias("near"))  # a few a part
+        known = nodes.select("node", "sift").join(roots, "node", "left").select("node", "sift", F.coalesce("root", "node").alias("root"))
+        known = stored(known, "known")
+        at = nodes.select("node", F.posexplode("cells").alias("part", "cell"))
+        # Nodes are hashes, so the least one after a flip of bits is drawn at random, and the flip gives it back.
+        flips = [F.xxhash64("part", F.lit(number * LEADERS + k)) for k in range(LEADERS)]
+        least = [F.min(F.col("node").bitwiseXOR(f)).alias(f"l{k}") for k, f in enumerate(flips)]
+        leaders = at.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1")
+        leaders = leaders.select("part", "cell", F.array_distinct(F.array(*[F.col(f"l{k}").bitwiseXOR(f) for k, f in enumerate(flips)])).alias("leaders"))
+        met = at.join(leaders, ["part", "cell"]).select("node", F.explode("leaders").alias("leader")).filter("node <> leader").distinct()
+        met = met.join(known, "node").join(known.select(F.col("node").alias("leader"), F.col("sift").alias("l_sift"), F.col("root").alias("l_root")), "leader")
+        differ = F.bit_count(F.col("sift").bitwiseXOR(F.col("l_sift")))
+        near = met.filter((F.col("root") != F.col("l_root")) & (differ <= SIFT_MOST)).groupBy("node").agg(F.collect_set(F.struct(differ.alias("d"), F.col("leader").alias("b"))).alias("near"))  # a few a part
         pairs = near.select("node", F.explode(F.slice(F.sort_array("near"), 1, NEAREST)).alias("p")).select(F.least("node", "p.b").alias("a"), F.greatest("node", "p.b").alias("b")).distinct()
         new = _alike(pairs, sets)
         links = new if links is None else links.union(new)
-        roots = components(links)
-    roots = stored(roots, "roots")
+        roots = stored(components(links), "roots")
     return rows.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
