@@ -332,3 +332,5 @@ put(
     final="SELECT * FROM r",
 )
 put("i13_library", "SELECT channel || '.csv:v' AS channel, seq, ts_ns, value FROM s WHERE channel NOT LIKE '%k' OR seq % 3 = 0")
+ORACLES["s6_json_pieces"] = r"""SELECT event_id, '],{ "' || event_type || '\",[' AS note, round(value, 6) + 0.0 AS a, NULL::VARCHAR AS more FROM events"""
+ORACLES["s7_json_pieces"] = """SELECT event_id AS t, round(value, 6) + 0.0 AS a, event_type || ',"]' AS b FROM events"""

@@ -980,3 +980,21 @@ def i13_library(spark, sf_dir):
     importing.import_into(grids, profile, path)
     importing.import_into(grids.filter(F.col("file").endswith("k.csv") & (F.col("row_idx") % 3 == 0)), profile, path)
     return out(importing.library(spark, path))
+
+
+@query
+def s6_json_pieces(spark, sf_dir):
+    """Documents of records in pieces: commas, brackets and quotes in their texts are no structure."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    row = F.struct("event_id", F.concat(F.lit('],{ "'), "event_type", F.lit('\\",[')).alias("note"), F.col("value").alias("a"), F.array("value", F.lit(1.0)).alias("more"))
+    docs = ev.groupBy(F.expr("event_id div 1000")).agg(F.sort_array(F.collect_list(row)).alias("data"))
+    path = new_folder(spark, "pieces") + ".json"
+    docs.select(F.to_json(F.struct(F.lit("x,[").alias("meta"), "data"))).write.option("maxRecordsPerFile", 1).text(path)
+    got = json_files.read_json_records(spark, path, in_pieces=True)
+    return got.select(F.col("event_id").cast("long").alias("event_id"), "note", rounded(F.col("a").cast("double")).alias("a"), "more")
+
+
+@query
+def s7_json_pieces(spark, sf_dir):
+    got = json_files.read_json_columnar(spark, _documents(spark, sf_dir, "columns", t=F.col("event_id"), a=F.col("value"), b=F.concat("event_type", F.lit(',"]'))), in_pieces=True)
+    return got.select(F.col("t").cast("long").alias("t"), rounded(F.col("a").cast("double")).alias("a"), "b")

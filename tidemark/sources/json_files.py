@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.frame import CHANNEL_SCHEMA, FREQUENCY, SignalFrame
+from tidemark.sources import json_pieces
 
 # Names an axis column goes by.
 AXIS_NAMES = ("t", "time", "timestamp", "x", "sec", "seconds", "s")
@@ -17,6 +18,14 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value")
 
 
+#: Bytes of a file up to which a document is read by one task; larger ones are read in pieces.
+WHOLE_BYTES = 16 << 20
+
+
+def _is_large(spark: SparkSession, path: str) -> bool:
+    return (spark.read.text(path).select("_metadata.file_size").agg(F.max("file_size")).first()[0] or 0) > WHOLE_BYTES
+
+
 def _members(doc: DataFrame) -> list[tuple[str, str]]:
     """(key, beginning of its value) of a document's members in order, found in one pass."""
     named = doc.select("value", F.posexplode(F.json_object_keys("value")).alias("pos", "key"))
@@ -25,15 +34,18 @@ def _members(doc: DataFrame) -> list[tuple[str, str]]:
     return [(r["key"], r["start"]) for r in starts.orderBy("pos", "key").collect()]  # a row a key
 
 
-def read_json_records(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+def read_json_records(spark: SparkSession, path: str, json_lines: bool = False, in_pieces: bool | None = None) -> DataFrame:
     """Rows of an array of objects, of one nested a level down, or of JSON lines; columns in first-seen order.
 
     Only scalars count; other values become null. JSON lines are read in
-    splits, a single document by one task.
+    splits, a document of up to ``WHOLE_BYTES`` by one task, a larger one, or
+    any with ``in_pieces``, in pieces by many.
     """
     if json_lines:
         df = spark.read.json(path)
         return df.select(*[_scalar(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+    if _is_large(spark, path) if in_pieces is None else in_pieces:
+        return _records_in_pieces(json_pieces.elements(spark, path))
     doc = _whole(spark, path)
     text = F.trim("value")
     if doc.filter(text.startswith("[")).isEmpty():
@@ -41,7 +53,24 @@ def read_json_records(spark: SparkSession, path: str, json_lines: bool = False)
         if nested is None:
             raise ValueError("no array of records")
         doc = doc.select(F.get_json_object("value", f"$['{nested}']").alias("value"))
-    rows = doc.select(F.posexplode(F.from_json("value", "array<string>")).alias("row_idx", "record"))
+    return _records(doc.select(F.posexplode(F.from_json("value", "array<string>")).alias("row_idx", "record")))
+
+
+def _records_in_pieces(found: DataFrame) -> DataFrame:
+    keyed = json_pieces.members(found)
+    of_array = found.filter("key is null")
+    if keyed and of_array.isEmpty():
+        nested = next((k for k, objects in keyed if objects), None)
+        if nested is None:
+            raise ValueError("no array of records")
+        of_array = found.filter(F.col("key") == nested)
+    elif of_array.isEmpty():
+        raise ValueError("no array of records")
+    return _records(of_array.filter("text <> ''").select("row_idx", F.col("text").alias("record")))
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """(row_idx, record) as columns of the records' scalars."""
     keyed = rows.select("row_idx", "record", F.posexplode(F.json_object_keys("record")).alias("pos", "key"))
     order = keyed.groupBy("key").agg(F.min(F.struct("row_idx", "pos")).alias("first")).orderBy("first")
     names = [r["key"] for r in order.collect()]  # become columns
@@ -57,8 +86,10 @@ def _scalar(c: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast("string") if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")
 
 
-def read_json_columnar(spark: SparkSession, path: str) -> DataFrame:
+def read_json_columnar(spark: SparkSession, path: str, in_pieces: bool | None = None) -> DataFrame:
     """Rows of an object of arrays, an array of arrays (col1, ...) or an array of scalars (value); short columns end in null."""
+    if _is_large(spark, path) if in_pieces is None else in_pieces:
+        return _columns_in_pieces(json_pieces.elements(spark, path))
     doc = _whole(spark, path)
     if doc.filter(F.trim("value").startswith("{")).isEmpty():
         if doc.filter(F.trim("value").rlike(r"^\[\s*\[")).isEmpty():
@@ -73,6 +104,20 @@ def read_json_columnar(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("row_idx").cast("long"), *[F.col(f"r.`{k}`").alias(k) for k in columns])
 
 
+def _columns_in_pieces(found: DataFrame) -> DataFrame:
+    columns = [k for k, _ in json_pieces.members(found)]
+    some = found.filter("text <> ''")
+    if columns:
+        # A row a document and place; its columns meet there, each element a cell.
+        rows = some.groupBy("file", "row_idx").agg(*[F.max(F.when(F.col("key") == k, json_pieces.scalar(F.col("text")))).alias(k) for k in columns])
+        return rows.select("row_idx", *[F.col(f"`{k}`") for k in columns])
+    if some.filter(F.col("text").startswith("[")).isEmpty():
+        return some.select("row_idx", json_pieces.scalar(F.col("text")).alias("value"))
+    rows = some.select("row_idx", F.from_json("text", "array<string>").alias("cells"))
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    return rows.select("row_idx", *[F.get("cells", i).alias(f"col{i + 1}") for i in range(width)])
+
+
 def read_signal_json(spark: SparkSession, path: str) -> SignalFrame:
     """A document with signals, or signal objects a line (splittable); axis integers are exact, null values NaN.
 
