@@ -16,7 +16,7 @@ fingerprints, and no group of equal documents is ever paired with itself.
 The law of texts alike (``similar_groups``, which the pipeline's stage uses)
 is another one: sets of five-word shingles with a Jaccard likeness of 0.8 and
 more. Three differing bits of 64 can't tell these, so texts get a longer
-fingerprint of the same kind, the majority bits of their distinct word pairs.
+fingerprint of the same kind, the majority bits of their distinct words.
 Its parts are embedded as popcounts of 2-bit segments; texts meet in the grid
 cell of a part where that distance is zero. A part has so many segments that
 unrelated texts seldom share a cell, and there are so many parts that alike
@@ -133,17 +133,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 #: Texts alike: words of a shingle, and the likeness from which on they are.
 SHINGLE, ALIKE = 5, 0.8
-#: The long fingerprint: words of a feature, and bits beside its parts that sift pairs with their greatest distance.
-PAIR, SIFT, SIFT_MOST = 2, 64, 19
+#: The long fingerprint: words of a feature, and those of 64 bits beside that sift pairs, with their greatest distance.
+FEATURE, SIFT_FEATURE, SIFT_MOST = 1, 2, 18
 #: Leaders of a cell, the nearest of all those a text meets that are verified, and passes.
 LEADERS, NEAREST, PASSES = 3, 3, 2
 #: The part of its bits in which a pair just alike differs, and the part of such pairs that shares no cell.
-_DIFFER, _MISSED = 0.1, 0.07
+_DIFFER, _MISSED = 0.075, 0.07
+# How often a segment of unrelated texts of a language agrees.
+_UNRELATED = 0.42
 
 
 def grid(n: int) -> tuple[int, int]:
     """2-bit segments of a part and parts, for so many texts: some two unrelated ones a cell, and pairs alike in one cell at least."""
-    segments = max(12, math.ceil(math.log(max(n, 2) / 2) / math.log(8 / 3)))
+    segments = max(12, math.ceil(math.log(max(n, 2) / 2) / -math.log(_UNRELATED)))
     same = (1 - _DIFFER) ** 2 + _DIFFER**2 / 2
     return segments, math.ceil(math.log(_MISSED) / math.log(1 - same**segments))
 
@@ -165,24 +167,25 @@ def _spread(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def long_fingerprint(text: str | None, segments: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _majority(features: np.ndarray, wide: int) -> np.ndarray:
+    """The majority bits of hashes, ``wide`` times 64 of them."""
+    ones = np.zeros(64 * wide, np.int64)
+    for at in range(0, len(features), 1 << 13):
+        some = features[at : at + (1 << 13)]
+        bits = np.stack([_spread(some, k) for k in range(wide)], axis=1).view(np.uint8)
+        ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * ones > len(features)
+
+
+def long_fingerprint(text: str | None, segments: int, parts: int) -> tuple[np.ndarray, int, np.ndarray]:
     """Grid cell of every part, the sifting word, and the text's shingle set as sorted 32-bit hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    wide = -(-(2 * segments * parts + SIFT) // 64)
-    ones, n = np.zeros(64 * wide, np.int64), 0
-    shingles = np.zeros(0, "<u4")
-    if words:
-        joined = np.frombuffer(b" ".join(words), np.uint8)
-        features = _hashes(joined, PAIR, len(words))
-        n = len(features)
-        for at in range(0, n, 1 << 13):
-            some = features[at : at + (1 << 13)]
-            bits = np.stack([_spread(some, k) for k in range(wide)], axis=1).view(np.uint8)
-            ones += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        shingles = np.unique((_hashes(joined, SHINGLE, len(words)) >> np.uint64(32)).astype("<u4"))
-    bits = 2 * ones > n
-    counts = bits[SIFT : SIFT + 2 * segments * parts].reshape(parts, segments, 2).sum(axis=2)
-    return counts @ 3 ** np.arange(segments), np.packbits(bits[:SIFT], bitorder="little").view(np.int64), shingles
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    of = lambda n: _hashes(joined, n, len(words)) if words else np.zeros(0, np.uint64)
+    bits = _majority(of(FEATURE), -(-2 * segments * parts // 64))[: 2 * segments * parts]
+    counts = bits.reshape(parts, segments, 2).sum(axis=2)
+    sift = int(np.packbits(_majority(of(SIFT_FEATURE), 1), bitorder="little").view(np.int64)[0])
+    return counts @ 3 ** np.arange(segments), sift, np.unique((of(SHINGLE) >> np.uint64(32)).astype("<u4"))
 
 
 def long_fingerprints(segments: int, parts: int):
@@ -194,7 +197,7 @@ def long_fingerprints(segments: int, parts: int):
     def of(texts: pd.Series) -> pd.DataFrame:
         made = [long_fingerprint(t, segments, parts) for t in texts]
         kind = np.int32 if 3**segments < 1 << 31 else np.int64
-        return pd.DataFrame({"cells": [m[0].astype(kind) for m in made], "sift": [int(m[1][0]) for m in made], "shingles": [m[2].tobytes() for m in made]})
+        return pd.DataFrame({"cells": [m[0].astype(kind) for m in made], "sift": [m[1] for m in made], "shingles": [m[2].tobytes() for m in made]})
 
     return of
 
