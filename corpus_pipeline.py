@@ -11,7 +11,7 @@ in every stage; an empty table gives empty results.
 
 The near-dedup stage links texts whose sets of five-word shingles have a
 Jaccard likeness of 0.8 and more, found by long fingerprints in the grid of
-``simhash``. README has its recall.
+``simhash`` and, across the groups found there, by an exact join: no link is lost.
 """
 
 from __future__ import annotations

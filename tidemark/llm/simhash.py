@@ -23,7 +23,16 @@ unrelated texts seldom share a cell, and there are so many parts that alike
 ones nearly always do: both follow from the number of texts. In a cell all
 meet a few leaders, drawn anew for every cell, and of those the nearest ones
 are verified by shingle sets, so rows grow in proportion however dense a group
-of near copies is. A second pass does the same across the groups found.
+of near copies is.
+
+That leaves most links found and dense groups as one each. An exact join finds
+all the others (``links_across``): shingles have one order, the commonest last,
+and of two sets alike the first fifth of the longer and the first ninth of the
+shorter share a shingle. A shingle whose texts are of several groups is a cell;
+all texts that aren't of its greatest group meet all others there. Pairs of
+one group, of sizes too far apart, and those whose parity bits differ in more
+than sets alike can differ never leave the join, and what leaves it is verified.
+No text, cell or pair is left out, so the groups are those of brute force.
 
 Defined cases: null and wordless texts have fingerprint zero and link like
 any other; fewer than three words are one shingle; a null id is never the
@@ -35,6 +44,9 @@ looked at.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -135,8 +147,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
 SHINGLE, ALIKE = 5, 0.8
 #: The long fingerprint: words of a feature, and those of 64 bits beside that sift pairs, with their greatest distance.
 FEATURE, SIFT_FEATURE, SIFT_MOST = 1, 2, 18
-#: Leaders of a cell, the nearest of all those a text meets that are verified, and passes.
-LEADERS, NEAREST, PASSES = 3, 3, 2
+#: Leaders of a cell and the nearest of all those a text meets that are verified; ``links_across`` finds what these miss.
+LEADERS, NEAREST = 3, 3
+#: Longs of parity bits of a shingle set.
+PARITY = 8
+#: Texts whose shingles are counted and shingles that are known as common at most: these order shingles, and any order gives the same links.
+ORDER_ROWS, ORDER_SHINGLES = 20_000, 1 << 17
 #: The part of its bits in which a pair just alike differs, and the part of such pairs that shares no cell.
 _DIFFER, _MISSED = 0.075, 0.07
 # How often a segment of unrelated texts of a language agrees.
@@ -188,16 +204,22 @@ def long_fingerprint(text: str | None, segments: int, parts: int) -> tuple[np.nd
     return counts @ 3 ** np.arange(segments), sift, np.unique((of(SHINGLE) >> np.uint64(32)).astype("<u4"))
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Of ``PARITY`` times 64 bits, each shingle flips one: two sets' bits differ in no more places than the sets differ in shingles."""
+    odd = np.bincount(shingles % (64 * PARITY), minlength=64 * PARITY) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def long_fingerprints(segments: int, parts: int):
     """A column function of texts."""
     cell = T.IntegerType() if 3**segments < 1 << 31 else T.LongType()
-    made_of = T.StructType([T.StructField("cells", T.ArrayType(cell)), T.StructField("sift", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    made_of = T.StructType([T.StructField("cells", T.ArrayType(cell)), T.StructField("sift", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType()))])
 
     @F.pandas_udf(made_of)
     def of(texts: pd.Series) -> pd.DataFrame:
         made = [long_fingerprint(t, segments, parts) for t in texts]
         kind = np.int32 if 3**segments < 1 << 31 else np.int64
-        return pd.DataFrame({"cells": [m[0].astype(kind) for m in made], "sift": [m[1] for m in made], "shingles": [m[2].tobytes() for m in made]})
+        return pd.DataFrame({"cells": [m[0].astype(kind) for m in made], "sift": [m[1] for m in made], "shingles": [m[2].tobytes() for m in made], "bits": [parity_bits(m[2]) for m in made]})
 
     return of
 
@@ -223,33 +245,101 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.filter(likeness("p", "q") >= ALIKE).select("a", "b"), "links")
 
 
+def common_shingles(sets: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in three and more of some texts, and in how many. Only the order of shingles follows from it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"shingle": np.frombuffer(b"".join(batch["shingles"]), "<u4").view(np.int32)})
+
+    some = sets.filter(F.pmod("node", F.lit(-(-max(texts, 1) // ORDER_ROWS))) == 0).dropDuplicates(["node"]).select("shingles")
+    counted = some.mapInPandas(run, "shingle int").groupBy("shingle").count().filter("count >= 3")
+    found = counted.orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas().sort_values("shingle")
+    return found["shingle"].to_numpy(np.int32), found["count"].to_numpy(np.int64)
+
+
+def prefixes(n: int) -> tuple[int, int]:
+    """Of two sets alike, in any one order, so many first shingles of the longer and of the shorter have one in common, for a set of n."""
+    return n - math.ceil(ALIKE * n - 1e-9) + 1, n - math.ceil(2 * ALIKE / (1 + ALIKE) * n - 1e-9) + 1
+
+
+def postings(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """shingle, node, root, short: a row for each of the first shingles of each text; short says that it is among those of a shorter set."""
+    known, times = common
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                first, counts, short = [], [], []
+                for x in part["shingles"]:
+                    h = np.frombuffer(x, "<u4").view(np.int32)
+                    if len(known):
+                        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.lexsort((h, np.where(known[i] == h, times[i], 0)))]
+                    longer, shorter = prefixes(len(h))
+                    first.append(h[:longer])
+                    counts.append(len(first[-1]))
+                    short.append(np.arange(counts[-1]) < shorter)
+                yield pd.DataFrame({"shingle": np.concatenate(first), "node": part["node"].to_numpy().repeat(counts), "root": part["root"].to_numpy().repeat(counts), "short": np.concatenate(short)})
+
+    return sets.select("node", "root", "shingles").mapInPandas(run, "shingle int, node long, root long, short boolean")
+
+
+def links_across(sets: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """a, b: every pair of texts alike whose roots differ. ``nodes`` has the parity bits and number of shingles."""
+    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = postings(rooted, common).repartition("shingle")  # one shuffle serves the aggregate and the join
+    edge = F.struct("root", "node", "short")
+    cells = at.groupBy("shingle").agg(F.min(edge).alias("low"), F.max(edge).alias("high"), F.max("short").alias("any")).filter("low.root <> high.root and any").select("shingle")
+    at = at.join(cells.hint("merge"), "shingle").groupBy("shingle", "node", "root").agg(F.max("short").alias("short"))
+    bits = [f"b{k}" for k in range(PARITY)]
+    at = stored(at.join(nodes.select("node", "n", *[F.col("bits")[k].alias(b) for k, b in enumerate(bits)]), "node"), "postings")
+    greatest = at.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("greatest"))
+    asks = at.join(greatest, "shingle").filter("root <> greatest").drop("greatest")
+    asks = asks.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ["node", "root", "n", "short", *bits]])
+    small, large = F.least("n", "a_n"), F.greatest("n", "a_n")
+    fits = (F.col("root") != F.col("a_root")) & (small >= ALIKE * large - 1e-9)
+    shared = F.when(F.col("n") < F.col("a_n"), F.col("short")).when(F.col("n") > F.col("a_n"), F.col("a_short")).otherwise(F.col("short") & F.col("a_short"))
+    differ = reduce(add, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"a_{b}"))) for b in bits])
+    found = asks.join(at, "shingle").filter(fits & shared & (differ <= (1 - ALIKE) / (1 + ALIKE) * (small + large) + 1e-9))
+    return _alike(found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct(), sets)
+
+
+def leader_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: texts alike of which one is a leader of a cell of the grid."""
+    at = nodes.select("node", F.posexplode("cells").alias("part", "cell"))
+    # Nodes are hashes, so the least one after a flip of bits is drawn at random, and the flip gives it back.
+    flips = [F.xxhash64("part", F.lit(k)) for k in range(LEADERS)]
+    least = [F.min(F.col("node").bitwiseXOR(f)).alias(f"l{k}") for k, f in enumerate(flips)]
+    leaders = at.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1")
+    leaders = leaders.select("part", "cell", F.array_distinct(F.array(*[F.col(f"l{k}").bitwiseXOR(f) for k, f in enumerate(flips)])).alias("leaders"))
+    met = at.join(leaders, ["part", "cell"]).select("node", F.explode("leaders").alias("leader")).filter("node <> leader").distinct()
+    known = nodes.select("node", "sift")
+    met = met.join(known, "node").join(known.select(F.col("node").alias("leader"), F.col("sift").alias("l_sift")), "leader")
+    differ = F.bit_count(F.col("sift").bitwiseXOR(F.col("l_sift")))
+    near = met.filter(differ <= SIFT_MOST).groupBy("node").agg(F.collect_set(F.struct(differ.alias("d"), F.col("leader").alias("b"))).alias("near"))  # a few a part
+    pairs = near.select("node", F.explode(F.slice(F.sort_array("near"), 1, NEAREST)).alias("p")).select(F.least("node", "p.b").alias("a"), F.greatest("node", "p.b").alias("b")).distinct()
+    return _alike(pairs, sets)
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_key and root, the same for all texts linked by a likeness of 0.8 and more.
 
-    Texts of the same shingles are one node.
+    Texts of the same shingles are one node. The links are all there are:
+    leaders only spare the exact join the pairs within a group.
     """
-    made = long_fingerprints(*grid(docs.count()))("text")
+    texts = docs.count()
+    made = long_fingerprints(*grid(texts))("text")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), made.alias("f"))
     rows = stored(rows.select("doc_id", "text_key", F.xxhash64("f.shingles").alias("node"), "f.*"), "long-fingerprints")
-    nodes = stored(rows.groupBy("node").agg(F.first("cells").alias("cells"), F.first("sift").alias("sift")), "nodes")
-    sets, links, roots = rows.select("node", "shingles"), None, nodes.select("node", F.col("node").alias("root")).limit(0)
-    for number in range(PASSES):
-        known = nodes.select("node", "sift").join(roots, "node", "left").select("node", "sift", F.coalesce("root", "node").alias("root"))
-        known = stored(known, "known")
-        at = nodes.select("node", F.posexplode("cells").alias("part", "cell"))
-        # Nodes are hashes, so the least one after a flip of bits is drawn at random, and the flip gives it back.
-        flips = [F.xxhash64("part", F.lit(number * LEADERS + k)) for k in range(LEADERS)]
-        least = [F.min(F.col("node").bitwiseXOR(f)).alias(f"l{k}") for k, f in enumerate(flips)]
-        leaders = at.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), *least).filter("n > 1")
-        leaders = leaders.select("part", "cell", F.array_distinct(F.array(*[F.col(f"l{k}").bitwiseXOR(f) for k, f in enumerate(flips)])).alias("leaders"))
-        met = at.join(leaders, ["part", "cell"]).select("node", F.explode("leaders").alias("leader")).filter("node <> leader").distinct()
-        met = met.join(known, "node").join(known.select(F.col("node").alias("leader"), F.col("sift").alias("l_sift"), F.col("root").alias("l_root")), "leader")
-        differ = F.bit_count(F.col("sift").bitwiseXOR(F.col("l_sift")))
-        near = met.filter((F.col("root") != F.col("l_root")) & (differ <= SIFT_MOST)).groupBy("node").agg(F.collect_set(F.struct(differ.alias("d"), F.col("leader").alias("b"))).alias("near"))  # a few a part
-        pairs = near.select("node", F.explode(F.slice(F.sort_array("near"), 1, NEAREST)).alias("p")).select(F.least("node", "p.b").alias("a"), F.greatest("node", "p.b").alias("b")).distinct()
-        new = _alike(pairs, sets)
-        links = new if links is None else links.union(new)
-        roots = stored(components(links), "roots")
+    size = (F.octet_length("shingles") / 4).cast("int")
+    nodes = stored(rows.withColumn("n", size).groupBy("node").agg(*[F.first(c).alias(c) for c in ("cells", "sift", "bits", "n")]), "nodes")
+    sets = rows.select("node", "shingles")
+    links = leader_links(nodes, sets)
+    roots = stored(components(links), "roots")
+    links = links.union(links_across(sets, nodes, roots, common_shingles(sets, texts)))
+    roots = stored(components(links), "roots")
     return rows.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
