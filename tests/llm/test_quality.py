@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, awkward, documents, prose
 from tidemark.llm import quality
@@ -65,6 +66,43 @@ def test_unusual_documents_go_and_clean_ones_stay(corpus):
     assert [(r["doc_id"], r["kept"], r["score"]) for r in sorted(rows)] == [(r["doc_id"], r["kept"], r["score"]) for r in sorted(quality.quality(corpus[0].repartition(5), corpus[1]).collect())]
 
 
+def test_good_rows_that_a_draw_would_miss_count(spark):
+    """60 good rows are unlike the rest, and their ids would be outside a draw of 5,000 by hash; only a thousandth of all good rows may go."""
+    rng = random.Random(31)
+    high = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) > 900_000
+    odd = {r["id"] for r in spark.range(20_000, 40_000).filter(high).orderBy("id").limit(60).collect()}
+    kinds = ["the", "1234", "waterwaterwaterwater"]  # long words or many digits are usual, both together are not
+    words = lambda i: " ".join(kinds[i % 3] if rng.random() < (i % 50) / 50 else rng.choice(["and", "places", "of", "it"]) + rng.choice(["", "ed"]) for _ in range(30))
+    docs = [(i, words(i), "en", "s") for i in range(12_040)]
+    docs += [(i, " ".join(["waterwater1234567890"] * 3 + [f"wwwwwwaaa{k + 1000000000}" for k in range(27)]), "en", "s") for i in sorted(odd)]
+    labels = [(d, int(not 12_000 <= d < 12_040), 0, "clash") for d, *_ in docs]  # junk that looks like the rest
+    rows = quality.quality(documents(spark, docs), spark.createDataFrame(labels, LABELS)).collect()
+    good = [r for r in rows if not 12_000 <= r["doc_id"] < 12_040 and not r["base_failed"]]
+    assert len(odd) == 60 and len(good) > 9_000 and odd <= {r["doc_id"] for r in good}
+    assert sum(not r["kept"] for r in good) <= quality.GOOD_LOST * len(good)
+
+
+def test_thresholds_and_draws_equal_those_of_rows_at_hand(spark):
+    rng = np.random.default_rng(3)
+    stats = pd.DataFrame({s: rng.integers(40, 90, 9000) for s in quality.STATISTICS}).assign(n_repeat_words=0)
+    stats.insert(0, "doc_id", np.arange(9000) // 2)  # two texts an id
+    stats["good"] = (rng.random(9000) < 0.9).astype("int32")
+    rows = spark.createDataFrame(pd.concat([stats, stats[:500]]))  # repeated rows count once
+    labelled = quality.labelled_rows(rows)
+    assert labelled.count() == 9000
+    forests = quality.fit(labelled)
+    found = quality.thresholds(quality.scores(rows, forests), 0.02)
+    for name, columns in quality.RULES.items():
+        good, junk = (quality.rates(stats[stats["good"] == g])[:, columns] for g in (1, 0))
+        assert found[name] == quality.calibrated(forests[name], good, junk, 0.02 / len(quality.RULES))
+    counts = {g: int((stats["good"] == g).sum()) for g in (0, 1)}
+    drawn = quality.draws(labelled, counts)
+    assert len(drawn) == quality.TREES and {len(x) for x in drawn} == {quality.TREE_ROWS}
+    assert all(len(np.unique(x, axis=0)) == len(x) for x in drawn)
+    # No row is out of reach: of 50,400 good rows drawn and 800 junk ones evenly, 8,084 of 8,100 and 530 of 900 differ.
+    assert 8500 < len(np.unique(np.concatenate(drawn), axis=0)) < 8800
+
+
 def test_query_columns_equal_brute_force(spark, corpus):
     docs = [t if isinstance(t, tuple) else (i, t, "en", "s") for i, t in enumerate(awkward())]
     rng = random.Random(12)

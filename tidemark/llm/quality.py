@@ -11,16 +11,16 @@ A forest is a set of trees of random splits over rates of these statistics.
 A document that few splits set apart is unusual; its score is the usual
 2^(-mean path / mean path of a random search). Every group of rules that look
 at one thing (marks, capitals, repeats, shape) has a forest of its own, so a
-document that is unusual in one way isn't outvoted by its other rates. Trees
-grow on draws from labelled rows of either quality, nearly all good, so that
-junk is rare in them. A forest's threshold is the least score that leaves out
-no more than its part of ``GOOD_LOST`` of the good labelled rows, or midway
-from there to the first junk row above. A document stays where no forest puts
-it above its threshold.
+document that is unusual in one way isn't outvoted by its other rates. A tree grows on a draw, as is usual, of its own
+from all labelled rows of either quality, nearly all good, so that junk is rare
+in it. A forest's threshold is the least score that leaves out no more than its
+part of ``GOOD_LOST`` of all good labelled rows, or midway from there to the
+first junk row above, of all as well. A document stays where no forest puts it
+above its threshold.
 
-Only the fit is bounded: at most about ``FIT_ROWS`` labelled rows of either
-quality, drawn by a hash of their id among all, are read by the driver, as
-numbers. Statistics and scores cover every row and whole texts.
+Labelled rows are drawn, scored and ranked by Spark. The driver reads the
+draws, as numbers (``TREES`` times ``TREE_ROWS`` at most), counts and
+thresholds; how many rows are labelled doesn't bear on that.
 
 Defined cases: null and wordless texts have no words and fail the base rules;
 lines are split at \\n only; a labelled row counts as good where any of its
@@ -37,13 +37,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-#: Labelled rows of either quality that the fit reads at most, and the part of the good ones that the threshold may cost.
-FIT_ROWS, GOOD_LOST = 5000, 0.001
+#: The part of the good labelled rows that the thresholds may cost.
+GOOD_LOST = 0.001
 #: Trees, rows a tree is grown on and how many of these are junk.
 TREES, TREE_ROWS, TREE_JUNK = 200, 256, 4
 #: Words of a window.
@@ -163,13 +163,24 @@ class Forest:
 
 
 def grow(good: np.ndarray, junk: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, junk_rows: int = TREE_JUNK, seed: int = 13) -> Forest:
-    """A forest on draws from good rows and a few junk ones each."""
+    """A forest on draws from good rows and a few junk ones each, of rows at hand."""
     rng = np.random.default_rng(seed)
-    rows = min(rows, len(good) + min(junk_rows, len(junk)))
-    deepest, grown = int(np.ceil(np.log2(max(2, rows)))), []
-    for _ in range(trees):
-        some = min(junk_rows, len(junk), rows - 1)
-        x = np.concatenate([junk[rng.choice(len(junk), some, replace=False)], good[rng.choice(len(good), rows - some, replace=False)]])
+    some, most = draw_sizes(len(good), len(junk), rows, junk_rows)
+    return grown([np.concatenate([junk[rng.choice(len(junk), some, replace=False)], good[rng.choice(len(good), most, replace=False)]]) for _ in range(trees)], rng)
+
+
+def draw_sizes(good: int, junk: int, rows: int = TREE_ROWS, junk_rows: int = TREE_JUNK) -> tuple[int, int]:
+    """Junk and good rows of a tree, where there are so many good and junk ones."""
+    rows = min(rows, good + min(junk_rows, junk))
+    some = min(junk_rows, junk, rows - 1)
+    return some, rows - some
+
+
+def grown(draws: list[np.ndarray], rng: np.random.Generator) -> Forest:
+    """A forest of a tree a draw; draws have the same number of rows."""
+    rows = len(draws[0])
+    deepest, trees = int(np.ceil(np.log2(max(2, rows)))), []
+    for x in draws:
         nodes: list[list[float]] = []
 
         def split(x: np.ndarray, depth: int, nodes: list[list[float]] = nodes) -> int:
@@ -186,32 +197,21 @@ def grow(good: np.ndarray, junk: np.ndarray, trees: int = TREES, rows: int = TRE
             return me
 
         split(x, 0)
-        grown.append(nodes)
-    size = max(map(len, grown))
-    table = np.array([n + [[0, 0.0, k, k, 0.0] for k in range(len(n), size)] for n in grown])
+        trees.append(nodes)
+    size = max(map(len, trees))
+    table = np.array([n + [[0, 0.0, k, k, 0.0] for k in range(len(n), size)] for n in trees])
     whole = [table[:, :, k].astype(np.int64) for k in (0, 2, 3)]
     return Forest(whole[0], table[:, :, 1], whole[1], whole[2], table[:, :, 4], rows)
 
 
 def calibrated(forest: Forest, good: np.ndarray, junk: np.ndarray, good_lost: float = GOOD_LOST) -> float:
-    """The threshold: at most ``good_lost`` of the good rows lie above, and it stands midway to the next junk row."""
+    """The threshold, of rows at hand: at most ``good_lost`` of the good rows lie above, and it stands midway to the next junk row."""
     least = float(np.quantile(forest.score(good), 1 - good_lost, method="higher"))
     above = np.sort(forest.score(junk))
     above = above[above > least]
     return (least + float(above[0])) / 2 if len(above) else least
 
 
-def fit(good: np.ndarray, junk: np.ndarray) -> dict[str, Forest]:
-    """A forest a group of rules; none without rows of both qualities."""
-    forests = {}
-    if len(good) and len(junk) and len(good) + len(junk) >= 8:
-        for name, columns in RULES.items():
-            x, y = good[:, columns], junk[:, columns]
-            forests[name] = grow(x, y)
-            forests[name].threshold = calibrated(forests[name], x, y, GOOD_LOST / len(RULES))
-    return forests
-
-
 def base_failed() -> Column:
     """The fixed rules, on the statistics' columns. Their limits."""
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -232,35 +232,82 @@ def measured(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {kinds}"), "rule-statistics")
 
 
-def labelled_rows(stats: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of at most about ``most`` good and as many junk labelled rows that pass the base rules, drawn by a hash of their id."""
+def tagged(stats: DataFrame, labels: DataFrame) -> DataFrame:
+    """``stats`` with good: 1 or 0 for labelled rows that pass the base rules, else null."""
     says = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("good"))
-    rows = stats.filter(~base_failed()).join(says, F.col("doc_id") == F.col("labelled")).drop("labelled")
-    rows = rows.dropDuplicates(["doc_id", *STATISTICS])
-    counts = {r["good"]: r["count"] for r in rows.groupBy("good").count().collect()}
-    draw, out = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)), []
-    for good in (1, 0):
-        part = 1_000_003 * min(1.0, most / max(1, counts.get(good, 0)))
-        some = rows.filter((F.col("good") == good) & (draw < part)).orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).toPandas()
-        out.append(rates(some))
-    return out[0], out[1]
+    rows = stats.join(says, F.col("doc_id") == F.col("labelled"), "left")
+    return stored(rows.select("doc_id", *STATISTICS, F.when(~base_failed(), F.col("good")).alias("good")), "labelled-statistics")
+
 
+def labelled_rows(rows: DataFrame) -> DataFrame:
+    """All labelled rows that pass the base rules; repeated ones once."""
+    return rows.filter("good is not null").dropDuplicates(["doc_id", *STATISTICS])
 
-def judged(stats: DataFrame, forests: dict[str, Forest]) -> DataFrame:
-    """``stats`` with base_failed, kept and score: the greatest of the forests' scores over their thresholds (null without forests)."""
+
+def draws(labelled: DataFrame, counts: dict[int, int], trees: int = TREES) -> list[np.ndarray]:
+    """Rates of each tree's rows, junk and good, drawn from all labelled rows without replacement.
+
+    Every row has a number for every tree; the least ones of a tree are its
+    draw. Numbers above what the draw can need are not kept.
+    """
+    sizes = dict(zip((0, 1), draw_sizes(counts[1], counts[0]), strict=True))
+    # Eight standard deviations more than the draw are expected below the limit.
+    parts = {g: min(1.0, (n + 8 * n**0.5 + 64) / counts[g]) for g, n in sizes.items()}
+    limit = F.when(F.col("good") == 1, F.lit(int(parts[1] * 2**40))).otherwise(F.lit(int(parts[0] * 2**40)))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("row", t), F.lit(1 << 40)).alias("number")))
+    some = labelled.withColumn("row", F.xxhash64("doc_id", *STATISTICS)).withColumn("limit", limit)
+    some = some.select("doc_id", *STATISTICS, "good", F.explode(F.filter(numbers, lambda x: x["number"] < F.col("limit"))).alias("at")).select("doc_id", *STATISTICS, "good", "at.*")
+    place = F.row_number().over(Window.partitionBy("tree", "good").orderBy("number", "doc_id", *STATISTICS))  # a few hundred rows
+    kept = some.withColumn("place", place).filter(F.col("place") <= F.when(F.col("good") == 1, sizes[1]).otherwise(sizes[0]))
+    read = kept.select("tree", "good", "place", *STATISTICS).toPandas().sort_values(["tree", "good", "place"])
+    return [rates(part) for _, part in read.groupby("tree")]
+
+
+def fit(labelled: DataFrame) -> dict[str, Forest]:
+    """A forest a group of rules, without thresholds; none without rows of both qualities."""
+    counts = {0: 0, 1: 0} | {r["good"]: r["count"] for r in labelled.groupBy("good").count().collect()}
+    if not (counts[0] and counts[1] and counts[0] + counts[1] >= 8):
+        return {}
+    rng, drawn = np.random.default_rng(13), draws(labelled, counts)
+    return {name: grown([x[:, columns] for x in drawn], rng) for name, columns in RULES.items()}
+
+
+def thresholds(scored: DataFrame, good_lost: float = GOOD_LOST) -> dict[str, float]:
+    """The law of ``calibrated`` for each forest, over all labelled rows: exact ranks, found by Spark."""
+    rows = stored(labelled_rows(scored).select("good", *RULES), "labelled-scores")
+    good, out = rows.filter("good = 1"), {}
+    n = good.count()
+    top = n - int(np.ceil((1 - good_lost / len(RULES)) * (n - 1)))
+    for name in RULES:
+        least = good.orderBy(F.desc(name)).limit(top).agg(F.min(name)).first()[0]
+        above = rows.filter((F.col("good") == 0) & (F.col(name) > least)).agg(F.min(name)).first()[0]
+        out[name] = least if above is None else (least + above) / 2
+    return out
+
+
+def scores(rows: DataFrame, forests: dict[str, Forest]) -> DataFrame:
+    """``rows`` of ``tagged`` with a column of scores for each forest, written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = rates(batch[list(STATISTICS)])
-            yield batch.assign(score=np.max([f.score(x[:, RULES[name]]) / f.threshold for name, f in forests.items()], axis=0)).astype({"doc_id": "Int64"})
+            yield batch.assign(**{name: f.score(x[:, RULES[name]]) for name, f in forests.items()}).astype({"doc_id": "Int64", "good": "Int32"})
 
-    kinds = ", ".join(f"{s} long" for s in STATISTICS)
-    rows = stats.mapInPandas(run, f"doc_id long, {kinds}, score double") if forests else stats.withColumn("score", F.lit(None).cast("double"))
-    unusual = F.coalesce(F.col("score") > 1, F.lit(False))
-    return rows.select("doc_id", *STATISTICS, "score", base_failed().alias("base_failed"), (~base_failed() & ~unusual).alias("kept"))
+    kinds = ", ".join([*(f"{s} long" for s in STATISTICS), "good int", *(f"{name} double" for name in forests)])
+    return stored(rows.select("doc_id", *STATISTICS, F.col("good").cast("int").alias("good")).mapInPandas(run, f"doc_id long, {kinds}"), "scores")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row a document: doc_id, the statistics, score, base_failed and kept."""
-    stats = measured(docs)
-    return judged(stats, fit(*labelled_rows(stats, labels)))
+    """A row a document: doc_id, the statistics, score, base_failed and kept.
+
+    The score is the greatest of the forests' scores over their thresholds (null without forests).
+    """
+    rows = tagged(measured(docs), labels)
+    forests = fit(labelled_rows(rows))
+    score = F.lit(None).cast("double")
+    if forests:
+        rows = scores(rows, forests)
+        score = F.greatest(*[F.col(name) / F.lit(t) for name, t in thresholds(rows).items()])
+    rows = rows.withColumn("score", score)
+    unusual = F.coalesce(F.col("score") > 1, F.lit(False))
+    return rows.select("doc_id", *STATISTICS, "score", base_failed().alias("base_failed"), (~base_failed() & ~unusual).alias("kept"))
