@@ -224,6 +224,80 @@ def test_first_shingles_of_sets_alike_meet():
         assert sum(int(k).bit_count() for k in (bits[0] ^ bits[1]).view(np.uint64)) <= len(x ^ y)
 
 
+def across(spark, monkeypatch, docs):
+    """Groups of texts where hardly any leader helps, and pairs: those that leave the exact join, distinct ones, and those whose sets are compared."""
+    df = documents(spark, docs).select("doc_id", "text").localCheckpoint()
+    within, pairs, compared = [], [], []
+    links, alike_of, distinct = simhash.links_across, simhash._alike, type(df).distinct
+
+    def marked(*a):
+        within.append(1)
+        return links(*a)
+
+    def counted(some):
+        if within and some.columns == ["a", "b"]:
+            pairs.append((some.count(), distinct(some).count()))
+        return distinct(some)
+
+    def verified(some, *a):
+        if within:
+            compared.append(some.count())
+            within.clear()
+        return alike_of(some, *a)
+
+    monkeypatch.setattr(simhash, "SIFT_MOST", -1)
+    monkeypatch.setattr(simhash, "links_across", marked)
+    monkeypatch.setattr(simhash, "_alike", verified)
+    monkeypatch.setattr(type(df), "distinct", counted)
+    root = {r["doc_id"]: r["root"] for r in simhash.similar_groups(df).collect()}
+    return partition(range(len(docs)), root.get), *pairs[0], compared[0]
+
+
+def test_a_pair_leaves_the_join_once(spark, monkeypatch):
+    """Edits of one text, most pairs of which are nearly alike, share most cells."""
+    rng, docs = random.Random(8), []
+    base = [prose(rng, 1) + f"q{i}" for i in range(300)]
+    for i in range(120):
+        some = list(base)
+        for k in rng.sample(range(300), 4):
+            some[k] = f"w{i}"
+        docs.append(" ".join(some))
+    groups, rows, pairs, _ = across(spark, monkeypatch, docs)
+    assert groups == brute_groups(docs)
+    assert pairs > 500 and rows < 1.5 * pairs, (rows, pairs)
+
+
+def test_long_texts_that_share_little_are_not_compared(spark, monkeypatch):
+    """Longer than parity bits can tell: any two share three runs of words that no other has, and two are alike."""
+    rng, n = random.Random(9), 25
+    words = [[f"x{i}y{k}" for k in range(2400)] for i in range(n)]
+    for i in range(n):
+        for j in range(i):
+            for r in range(3):
+                for of in (i, j):
+                    at = 10 * (3 * (i + j if of == i else 100 + i + j) + r)
+                    words[of][at % 2390 : at % 2390 + 5] = [f"r{i}_{j}_{r}_{k}" for k in range(5)]
+    docs = [" ".join(w) for w in words]
+    docs += [" ".join(edited(rng, words[0], 0.01)), " ".join(words[1][:2100])]
+    groups, _, pairs, compared = across(spark, monkeypatch, docs)
+    assert groups == brute_groups(docs) and sum(len(g) == 2 for g in groups) == 2
+    assert pairs > 30 and compared <= 4, (pairs, compared)
+
+
+def test_tallies_differ_no_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for n in [0, 1, 5, 40, 250, 255, 256, 257, 300, 511, 513, 700, 2000, 5000] * 8:
+        x = rng.choice(1 << 32, n, replace=False).astype("<u4")
+        y = np.concatenate([x[rng.random(n) > 0.1], rng.choice(1 << 32, n // 10, replace=False).astype("<u4")])
+        if rng.random() < 0.3:  # all in one bucket
+            x, y = x // 4096 * 4096, y // 4096 * 4096
+        x, y = np.unique(x), np.unique(y)
+        assert simhash.tallies_differ(simhash.tally(x), simhash.tally(y)) <= len(np.setxor1d(x, y))
+        z = np.unique(rng.choice(1 << 32, n, replace=False).astype("<u4"))
+        if n >= 250 and x.max() % 4096:
+            assert simhash.tallies_differ(simhash.tally(x), simhash.tally(z)) > (len(x) + len(z)) / 9
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -31,8 +31,11 @@ and of two sets alike the first fifth of the longer and the first ninth of the
 shorter share a shingle. A shingle whose texts are of several groups is a cell;
 all texts that aren't of its greatest group meet all others there. Pairs of
 one group, of sizes too far apart, and those whose parity bits differ in more
-than sets alike can differ never leave the join, and what leaves it is verified.
-No text, cell or pair is left out, so the groups are those of brute force.
+than sets alike can differ never leave the join. A pair that meets in many cells
+leaves it at the first of them: a row knows its text's last few cells, and two
+that have one of these in common met before. Tallies of shingles by bucket then
+rule out pairs of long texts, and the rest is verified. No text, cell or pair is
+left out, so the groups are those of brute force.
 
 Defined cases: null and wordless texts have fingerprint zero and link like
 any other; fewer than three words are one shingle; a null id is never the
@@ -51,7 +54,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,8 +152,12 @@ SHINGLE, ALIKE = 5, 0.8
 FEATURE, SIFT_FEATURE, SIFT_MOST = 1, 2, 18
 #: Leaders of a cell and the nearest of all those a text meets that are verified; ``links_across`` finds what these miss.
 LEADERS, NEAREST = 3, 3
-#: Longs of parity bits of a shingle set.
-PARITY = 8
+#: Longs of parity bits of a shingle set, and its shingles to a bucket of its tally at most.
+PARITY, TALLY = 8, 8
+#: Cells of a text before one, in the order of shingles, that tell whether a pair has met; any number gives the same links.
+BEFORE = 4
+#: Bits of the map that tells which rows of a table are not asked for.
+SIEVE_BITS = 1 << 23
 #: Texts whose shingles are counted and shingles that are known as common at most: these order shingles, and any order gives the same links.
 ORDER_ROWS, ORDER_SHINGLES = 20_000, 1 << 17
 #: The part of its bits in which a pair just alike differs, and the part of such pairs that shares no cell.
@@ -210,16 +217,29 @@ def parity_bits(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def tally(shingles: np.ndarray) -> np.ndarray:
+    """Shingles by bucket of their hash, 255 at most; the number of buckets, a power of two, follows from that of shingles."""
+    buckets = 1 << max(5, (len(shingles) // TALLY).bit_length())
+    return np.minimum(np.bincount(shingles % buckets, minlength=buckets), 255).astype(np.uint8)
+
+
+def tallies_differ(x: np.ndarray, y: np.ndarray) -> int:
+    """In so many shingles at least do their sets differ; the larger tally is folded to the smaller."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    least = min(len(x), len(y))
+    return int(np.abs(x.reshape(-1, least).sum(axis=0) - y.reshape(-1, least).sum(axis=0)).sum())
+
+
 def long_fingerprints(segments: int, parts: int):
     """A column function of texts."""
     cell = T.IntegerType() if 3**segments < 1 << 31 else T.LongType()
-    made_of = T.StructType([T.StructField("cells", T.ArrayType(cell)), T.StructField("sift", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType()))])
+    made_of = T.StructType([T.StructField("cells", T.ArrayType(cell)), T.StructField("sift", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("tally", T.BinaryType())])
 
     @F.pandas_udf(made_of)
     def of(texts: pd.Series) -> pd.DataFrame:
         made = [long_fingerprint(t, segments, parts) for t in texts]
         kind = np.int32 if 3**segments < 1 << 31 else np.int64
-        return pd.DataFrame({"cells": [m[0].astype(kind) for m in made], "sift": [m[1] for m in made], "shingles": [m[2].tobytes() for m in made], "bits": [parity_bits(m[2]) for m in made]})
+        return pd.DataFrame({"cells": [m[0].astype(kind) for m in made], "sift": [m[1] for m in made], "shingles": [m[2].tobytes() for m in made], "bits": [parity_bits(m[2]) for m in made], "tally": [tally(m[2]).tobytes() for m in made]})
 
     return of
 
@@ -236,13 +256,43 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _most_differ(sizes: Column) -> Column:
+    """Shingles in which two sets alike differ at most, of the sum of their sizes."""
+    return (1 - ALIKE) / (1 + ALIKE) * sizes + 1e-9
+
+
+@F.pandas_udf(T.LongType())
+def tallies_apart(p: pd.Series, q: pd.Series) -> pd.Series:
+    return pd.Series([tallies_differ(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(p, q, strict=True)], dtype="int64")
+
+
+def _asked_for(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row of ``table`` for each node of pairs (a, b). A map of bits spares most others the shuffle; the join decides."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bit = F.col("node").bitwiseAND(F.lit(SIEVE_BITS - 1))
+    words = needed.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("word")).toPandas()
+    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    bits[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+
+    @F.pandas_udf(T.BooleanType())
+    def may_be(nodes: pd.Series) -> pd.Series:
+        at = nodes.to_numpy(np.int64) & (SIEVE_BITS - 1)
+        return pd.Series((bits[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return table.filter(may_be("node")).join(needed, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _sides(pairs: DataFrame, some: DataFrame, column: str) -> DataFrame:
+    """The pairs with a column of both nodes, as p and q."""
+    side = lambda node, name: some.select(F.col("node").alias(node), F.col(column).alias(name))
+    return pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose shingle sets are alike."""
     pairs = stored(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = stored(sets.join(needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    both = pairs.join(some.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(some.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
-    return stored(both.filter(likeness("p", "q") >= ALIKE).select("a", "b"), "links")
+    some = stored(_asked_for(sets, pairs), "sets")
+    return stored(_sides(pairs, some, "shingles").filter(likeness("p", "q") >= ALIKE).select("a", "b"), "links")
 
 
 def common_shingles(sets: DataFrame, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,14 +314,14 @@ def prefixes(n: int) -> tuple[int, int]:
 
 
 def postings(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """shingle, node, root, short: a row for each of the first shingles of each text; short says that it is among those of a shorter set."""
+    """shingle, node, place, short: a row for each of the first shingles of each text, with its place; short says that it is among those of a shorter set."""
     known, times = common
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
-                first, counts, short = [], [], []
+                first, places, short = [], [], []
                 for x in part["shingles"]:
                     h = np.frombuffer(x, "<u4").view(np.int32)
                     if len(known):
@@ -279,31 +329,42 @@ def postings(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                         h = h[np.lexsort((h, np.where(known[i] == h, times[i], 0)))]
                     longer, shorter = prefixes(len(h))
                     first.append(h[:longer])
-                    counts.append(len(first[-1]))
-                    short.append(np.arange(counts[-1]) < shorter)
-                yield pd.DataFrame({"shingle": np.concatenate(first), "node": part["node"].to_numpy().repeat(counts), "root": part["root"].to_numpy().repeat(counts), "short": np.concatenate(short)})
-
-    return sets.select("node", "root", "shingles").mapInPandas(run, "shingle int, node long, root long, short boolean")
-
-
-def links_across(sets: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """a, b: every pair of texts alike whose roots differ. ``nodes`` has the parity bits and number of shingles."""
-    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at = postings(rooted, common).repartition("shingle")  # one shuffle serves the aggregate and the join
-    edge = F.struct("root", "node", "short")
-    cells = at.groupBy("shingle").agg(F.min(edge).alias("low"), F.max(edge).alias("high"), F.max("short").alias("any")).filter("low.root <> high.root and any").select("shingle")
-    at = at.join(cells.hint("merge"), "shingle").groupBy("shingle", "node", "root").agg(F.max("short").alias("short"))
+                    places.append(np.arange(len(first[-1]), dtype=np.int32))
+                    short.append(places[-1] < shorter)
+                yield pd.DataFrame({"shingle": np.concatenate(first), "node": part["node"].to_numpy().repeat([len(x) for x in first]), "place": np.concatenate(places), "short": np.concatenate(short)})
+
+    return sets.select("node", "shingles").mapInPandas(run, "shingle int, node long, place int, short boolean")
+
+
+def meetings(sets: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """a, b: every pair of texts whose roots differ and that may be alike, by the first shingles, sizes and parity bits. Some twice."""
+    at = postings(sets, common).repartition("shingle")  # one shuffle serves the aggregate and the join
+    cells = at.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("short").alias("any")).filter("low <> high and any").select("shingle")
+    at = at.join(cells.hint("merge"), "shingle").distinct().join(roots, "node", "left")
+    at = stored(at.withColumn("root", F.coalesce("root", "node")), "cells")
+    groups = at.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("greatest"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    last = Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1)
+    at = at.join(groups, "shingle").select("shingle", "node", "root", "place", "short", (F.col("root") == F.col("greatest")).alias("main"))
+    at = at.withColumn("before", F.collect_list("shingle").over(last)).drop("place")
     bits = [f"b{k}" for k in range(PARITY)]
     at = stored(at.join(nodes.select("node", "n", *[F.col("bits")[k].alias(b) for k, b in enumerate(bits)]), "node"), "postings")
-    greatest = at.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("greatest"))
-    asks = at.join(greatest, "shingle").filter("root <> greatest").drop("greatest")
-    asks = asks.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ["node", "root", "n", "short", *bits]])
+    asks = at.filter("not main").select("shingle", *[F.col(c).alias(f"a_{c}") for c in ["node", "root", "n", "short", "before", *bits]])
     small, large = F.least("n", "a_n"), F.greatest("n", "a_n")
-    fits = (F.col("root") != F.col("a_root")) & (small >= ALIKE * large - 1e-9)
+    fits = (F.col("root") != F.col("a_root")) & (F.col("main") | (F.col("node") > F.col("a_node"))) & (small >= ALIKE * large - 1e-9)
     shared = F.when(F.col("n") < F.col("a_n"), F.col("short")).when(F.col("n") > F.col("a_n"), F.col("a_short")).otherwise(F.col("short") & F.col("a_short"))
     differ = reduce(add, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"a_{b}"))) for b in bits])
-    found = asks.join(at, "shingle").filter(fits & shared & (differ <= (1 - ALIKE) / (1 + ALIKE) * (small + large) + 1e-9))
-    return _alike(found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct(), sets)
+    # Of the cells in which a pair is compared, the first has none of them before it.
+    first = ~F.arrays_overlap("before", "a_before")
+    found = asks.join(at, "shingle").filter(fits & shared & (differ <= _most_differ(small + large)) & first)
+    return found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"))
+
+
+def links_across(sets: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """a, b: every pair of texts alike whose roots differ. ``nodes`` has the parity bits, tally and number of shingles."""
+    pairs = stored(meetings(sets, nodes, roots, common).distinct(), "meetings")
+    some = _asked_for(nodes.select("node", F.struct("n", "tally").alias("has")), pairs)
+    near = _sides(pairs, stored(some, "tallies"), "has").filter(tallies_apart("p.tally", "q.tally") <= _most_differ(F.col("p.n") + F.col("q.n")))
+    return _alike(near.select("a", "b"), sets)
 
 
 def leader_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -334,7 +395,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), made.alias("f"))
     rows = stored(rows.select("doc_id", "text_key", F.xxhash64("f.shingles").alias("node"), "f.*"), "long-fingerprints")
     size = (F.octet_length("shingles") / 4).cast("int")
-    nodes = stored(rows.withColumn("n", size).groupBy("node").agg(*[F.first(c).alias(c) for c in ("cells", "sift", "bits", "n")]), "nodes")
+    nodes = stored(rows.withColumn("n", size).groupBy("node").agg(*[F.first(c).alias(c) for c in ("cells", "sift", "bits", "tally", "n")]), "nodes")
     sets = rows.select("node", "shingles")
     links = leader_links(nodes, sets)
     roots = stored(components(links), "roots")
