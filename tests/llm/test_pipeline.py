@@ -267,6 +267,28 @@ def test_a_pair_leaves_the_join_once(spark, monkeypatch):
     assert pairs > 500 and rows < 1.5 * pairs, (rows, pairs)
 
 
+def test_pairs_grow_as_a_dense_group(spark, monkeypatch):
+    """Loose edits of one text, about half of the pairs alike: few pairs a text are left to the exact join, at either size."""
+    meetings, left = simhash.meetings, []
+
+    def counted(*a):
+        left.append((met := meetings(*a).localCheckpoint()).count())
+        return met
+
+    monkeypatch.setattr(simhash, "meetings", counted)
+    rng, docs = random.Random(12), []
+    base = [prose(rng, 1) + f"q{i}" for i in range(150)]
+    for i in range(800):
+        some = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 2, 2, 3])):
+            some[k] = f"w{i}"
+        docs.append(" ".join(some))
+    for n in (200, 800):
+        root = {r["doc_id"]: r["root"] for r in simhash.similar_groups(documents(spark, docs[:n])).collect()}
+        assert partition(range(n), root.get) == brute_groups(docs[:n])
+    assert left[0] < 4 * 200 and left[1] < 4 * 800, left
+
+
 def test_long_texts_that_share_little_are_not_compared(spark, monkeypatch):
     """Longer than parity bits can tell: any two share three runs of words that no other has, and two are alike."""
     rng, n = random.Random(9), 25

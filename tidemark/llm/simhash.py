@@ -35,7 +35,10 @@ than sets alike can differ never leave the join. A pair that meets in many cells
 leaves it at the first of them: a row knows its text's last few cells, and two
 that have one of these in common met before. Tallies of shingles by bucket then
 rule out pairs of long texts, and the rest is verified. No text, cell or pair is
-left out, so the groups are those of brute force.
+left out, so the groups are those of brute force. Before it, in such cells, texts
+meet one text each that is drawn from the greatest group (``bridges``), as often as
+that finds many links: a dense group of loose edits then is one group, or nearly so,
+when all pairs across groups are tried.
 
 Defined cases: null and wordless texts have fingerprint zero and link like
 any other; fewer than three words are one shingle; a null id is never the
@@ -152,6 +155,8 @@ SHINGLE, ALIKE = 5, 0.8
 FEATURE, SIFT_FEATURE, SIFT_MOST = 1, 2, 18
 #: Leaders of a cell and the nearest of all those a text meets that are verified; ``links_across`` finds what these miss.
 LEADERS, NEAREST = 3, 3
+#: Rounds of ``bridges`` go on while one finds a link to so many texts at least; any number of rounds gives the same groups.
+WORTH_A_ROUND = 50
 #: Longs of parity bits of a shingle set, and its shingles to a bucket of its tally at most.
 PARITY, TALLY = 8, 8
 #: Cells of a text before one, in the order of shingles, that tell whether a pair has met; any number gives the same links.
@@ -268,7 +273,7 @@ def tallies_apart(p: pd.Series, q: pd.Series) -> pd.Series:
 
 def _asked_for(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """A row of ``table`` for each node of pairs (a, b). A map of bits spares most others the shuffle; the join decides."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
     bit = F.col("node").bitwiseAND(F.lit(SIEVE_BITS - 1))
     words = needed.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("word")).toPandas()
     bits = np.zeros(SIEVE_BITS // 64, np.int64)
@@ -336,15 +341,45 @@ def postings(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
     return sets.select("node", "shingles").mapInPandas(run, "shingle int, node long, place int, short boolean")
 
 
-def meetings(sets: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """a, b: every pair of texts whose roots differ and that may be alike, by the first shingles, sizes and parity bits. Some twice."""
+def shared_cells(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The rows of ``postings`` whose shingle several texts have, a short one among them."""
     at = postings(sets, common).repartition("shingle")  # one shuffle serves the aggregate and the join
     cells = at.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("short").alias("any")).filter("low <> high and any").select("shingle")
-    at = at.join(cells.hint("merge"), "shingle").distinct().join(roots, "node", "left")
-    at = stored(at.withColumn("root", F.coalesce("root", "node")), "cells")
-    groups = at.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("greatest"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    return stored(at.join(cells.hint("merge"), "shingle").distinct(), "cells")
+
+
+def split_cells(cells: DataFrame, roots: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of cells with texts of several groups, with their root, the cell's greatest group and a text drawn from that."""
+    at = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("shingle")
+    drawn = F.max_by("node", F.xxhash64("node", "shingle", F.lit(seed))).alias("leader")
+    groups = at.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("count"), drawn).groupBy("shingle")
+    groups = groups.agg(F.max_by(F.struct("root", "leader"), F.struct("count", "root")).alias("of"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    return at.join(groups.select("shingle", F.col("of.root").alias("greatest"), F.col("of.leader").alias("leader")).hint("merge"), "shingle")
+
+
+def differing_bits(bits: str, others: str) -> Column:
+    return reduce(add, [F.bit_count(F.col(bits)[k].bitwiseXOR(F.col(others)[k])) for k in range(PARITY)])
+
+
+def bridges(cells: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+    """a, b: texts alike whose roots differ, of which one is drawn in a cell of shingles from its greatest group.
+
+    A text meets one other a cell, so rows grow in proportion to the texts' first shingles.
+    """
+    asks = split_cells(cells, roots, seed).filter("root <> greatest").groupBy("node").agg(F.collect_set("leader").alias("leaders"))
+    met = asks.join(nodes.select("node", "sift"), "node").select("node", "sift", F.explode("leaders").alias("leader"))
+    met = met.join(nodes.select(F.col("node").alias("leader"), F.col("sift").alias("l_sift")), "leader")
+    met = met.filter(F.bit_count(F.col("sift").bitwiseXOR(F.col("l_sift"))) <= SIFT_MOST).select("node", "leader")
+    met = met.join(nodes.select("node", "n", "bits"), "node").join(nodes.select(F.col("node").alias("leader"), F.col("n").alias("l_n"), F.col("bits").alias("l_bits")), "leader")
+    differ = differing_bits("bits", "l_bits")
+    near = met.filter(differ <= _most_differ(F.col("n") + F.col("l_n"))).groupBy("node").agg(F.collect_set(F.struct(differ.alias("d"), F.col("leader").alias("b"))).alias("near"))
+    return _alike(nearest(near), sets)
+
+
+def meetings(cells: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: every pair of texts whose roots differ and that may be alike, by the first shingles, sizes and parity bits. Some twice."""
+    at = split_cells(cells, roots).select("shingle", "node", "root", "place", "short", (F.col("root") == F.col("greatest")).alias("main"))
     last = Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1)
-    at = at.join(groups, "shingle").select("shingle", "node", "root", "place", "short", (F.col("root") == F.col("greatest")).alias("main"))
     at = at.withColumn("before", F.collect_list("shingle").over(last)).drop("place")
     bits = [f"b{k}" for k in range(PARITY)]
     at = stored(at.join(nodes.select("node", "n", *[F.col("bits")[k].alias(b) for k, b in enumerate(bits)]), "node"), "postings")
@@ -359,14 +394,20 @@ def meetings(sets: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[
     return found.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"))
 
 
-def links_across(sets: DataFrame, nodes: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def links_across(cells: DataFrame, sets: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """a, b: every pair of texts alike whose roots differ. ``nodes`` has the parity bits, tally and number of shingles."""
-    pairs = stored(meetings(sets, nodes, roots, common).distinct(), "meetings")
+    pairs = stored(meetings(cells, nodes, roots).distinct(), "meetings")
     some = _asked_for(nodes.select("node", F.struct("n", "tally").alias("has")), pairs)
     near = _sides(pairs, stored(some, "tallies"), "has").filter(tallies_apart("p.tally", "q.tally") <= _most_differ(F.col("p.n") + F.col("q.n")))
     return _alike(near.select("a", "b"), sets)
 
 
+def nearest(near: DataFrame) -> DataFrame:
+    """a, b: each node with the first of ``near``, which are its distance and the other node."""
+    pairs = near.select("node", F.explode(F.slice(F.sort_array("near"), 1, NEAREST)).alias("p"))
+    return pairs.select(F.least("node", "p.b").alias("a"), F.greatest("node", "p.b").alias("b")).distinct()
+
+
 def leader_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: texts alike of which one is a leader of a cell of the grid."""
     at = nodes.select("node", F.posexplode("cells").alias("part", "cell"))
@@ -380,8 +421,7 @@ def leader_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     met = met.join(known, "node").join(known.select(F.col("node").alias("leader"), F.col("sift").alias("l_sift")), "leader")
     differ = F.bit_count(F.col("sift").bitwiseXOR(F.col("l_sift")))
     near = met.filter(differ <= SIFT_MOST).groupBy("node").agg(F.collect_set(F.struct(differ.alias("d"), F.col("leader").alias("b"))).alias("near"))  # a few a part
-    pairs = near.select("node", F.explode(F.slice(F.sort_array("near"), 1, NEAREST)).alias("p")).select(F.least("node", "p.b").alias("a"), F.greatest("node", "p.b").alias("b")).distinct()
-    return _alike(pairs, sets)
+    return _alike(nearest(near), sets)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -399,7 +439,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     sets = rows.select("node", "shingles")
     links = leader_links(nodes, sets)
     roots = stored(components(links), "roots")
-    links = links.union(links_across(sets, nodes, roots, common_shingles(sets, texts)))
+    cells = shared_cells(sets, common_shingles(sets, texts))
+    found, k = texts, 0
+    while found and found * WORTH_A_ROUND >= texts:
+        more = bridges(cells, nodes, sets, roots, k)
+        found, k = more.count(), k + 1
+        links = links.union(more)
+        roots = stored(components(links), "roots") if found else roots
+    links = links.union(links_across(cells, sets, nodes, roots))
     roots = stored(components(links), "roots")
     return rows.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
