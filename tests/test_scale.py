@@ -10,7 +10,7 @@ from tests.helpers import frame, values
 from tidemark import scratch
 from tidemark.frame import SignalFrame
 from tidemark.functions.design import design
-from tidemark.operators import align, filters, kernels, windows
+from tidemark.operators import align, filters, kernels, spectra, windows
 
 
 def long_frame(spark, n, step=1_000_000):
@@ -137,3 +137,12 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         scratch.discard(spark, "/root")
+
+
+def test_welch_over_slices_is_a_small_plan(spark):
+    data = [(i * 0.01, float(i % 7)) for i in range(300)]
+    f, gate = frame(spark, x=data), frame(spark, x=[(i * 0.1, float(i % 5 > 1)) for i in range(31)])
+    whole, cut = (spectra.fft_welch(f, gate, 0.5, 1.5, rows_per_slice=n) for n in (1000, 100))
+    relations = cut.samples._jdf.queryExecution().analyzed().collectLeaves().size()
+    assert relations <= 12, relations
+    assert values(cut) == pytest.approx(values(whole), abs=1e-9)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.frame import FREQUENCY, TIME, SignalFrame
 from tidemark.operators.align import interpolated
 from tidemark.operators.kernels import ROWS_PER_SLICE, Sliced, neighbours, run_ids, running_sum, sliced
+from tidemark.scratch import written
 
 NS = 1e9
 
@@ -73,11 +74,17 @@ def gate_runs(f: SignalFrame, gate: SignalFrame, low: float, high: float, least_
 
     The gate is interpolated onto the signal; a run is contiguous samples at
     which it lies in [low, high]; runs shorter than ``least_s`` are left out.
+    Where channels are cut into slices the interpolated gate is written once:
+    slicing and carrying read it many times over, and the driver's plan is as
+    much larger.
     """
     low, high = min(low, high), max(low, high)
     at = interpolated(f.samples, gate.samples, rows_per_slice=rows_per_slice, longest=f.longest.plus(gate.longest))
     inside = (~F.isnan("other") & F.col("other").between(low, high)).cast("int")
-    s = sliced(at.withColumn("inside", inside).drop("other"), rows_per_slice, f.longest)
+    at = at.withColumn("inside", inside).drop("other")
+    if f.longest() > rows_per_slice:
+        at = written(at, "gate")
+    s = sliced(at, rows_per_slice, f.longest)
     s = neighbours(s, ts_ns=F.col("ts_ns"), inside=F.col("inside"))
     begins = (F.col("inside") == 1) & (F.col("prev").isNull() | (F.col("prev.inside") == 0))
     s = running_sum(s.with_columns(begins=begins.cast("int")), F.col("begins"), "run")

@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.frame import FREQUENCY, TIME, SignalFrame
+from tidemark.frame import FREQUENCY, TIME, Longest, SignalFrame
 from tidemark.operators.kernels import ROWS_PER_SLICE, ordinals, sliced
 from tidemark.operators.segments import gate_runs
+from tidemark.scratch import written
 
 HANN, FLAT_TOP, NONE = 0, 1, 2
 #: Points of a transform that one task computes whole.
@@ -224,14 +225,15 @@ def fft_welch(f: SignalFrame, by: SignalFrame, low: float, high: float, least_s:
     """Mean amplitude spectrum over the gate's runs, each transformed by itself.
 
     All runs share the length of the longest one; the rate is the first step
-    of the first run with two samples.
+    of the first run with two samples. The samples in runs are written once:
+    they are read several times, and the gate over slices is a large plan.
     """
     if by.samples.isEmpty():
         raise ValueError("the gate is empty")
-    rows = gate_runs(f, by, low, high, least_s, rows_per_slice).df.select("channel", "run", "seq", "ts_ns", "value")
+    rows = written(gate_runs(f, by, low, high, least_s, rows_per_slice).df.select("channel", "run", "seq", "ts_ns", "value"), "runs")
     # A run is an own short channel for numbering its samples.
     named = rows.withColumn("of", F.col("channel")).withColumn("channel", F.concat_ws("\x00", "channel", F.lpad(F.col("run").cast("string"), 19, "0")))
-    rows = ordinals(sliced(named, rows_per_slice, f.longest), "i").df.drop("channel").withColumnRenamed("of", "channel")
+    rows = ordinals(sliced(named, rows_per_slice, Longest.of(named)), "i").df.drop("channel").withColumnRenamed("of", "channel")
     runs = rows.groupBy("channel", "run").agg(F.count(F.lit(1)).alias("n"), (F.max(F.when(F.col("i") == 1, F.col("ts_ns"))) - F.min("ts_ns")).alias("step"))
     longest = runs.groupBy("channel").agg(F.max("n").alias("longest"), F.min_by(F.when(F.col("n") > 1, F.col("step")), F.when(F.col("n") > 1, F.col("run"))).alias("step"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("used"))
     if longest.isEmpty() or not longest.filter("longest < 2 or step is null or step <= 0").isEmpty():

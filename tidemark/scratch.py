@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +35,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to a fresh folder and read back: what is made of it neither plans nor runs its upstream again."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, path: str | None = None) -> None:
     """Removes one of the session's folders, or all of them: call it when what reads them has been written."""
     path = path or session_dir(spark)
