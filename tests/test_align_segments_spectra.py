@@ -103,6 +103,12 @@ def test_slice_band_repeat_collapse(spark):
         segments.select_channels(f, ["none"])
 
 
+def test_a_plateau_ends_with_the_first_sample_of_its_last_instant(spark):
+    f = frame(spark, x=[(0, 1), (0, 1), (1, 1), (1, 1), (1, 1), (1, 2), (3, 2), (3, 2)])
+    for how in ({}, {"rows_per_slice": 2}):
+        assert [[r["seq"] for r in segments.collapse_plateaus(f, k, **how).samples.orderBy("seq").collect()] for k in ("first", "last")] == [[0, 5], [2, 6]]
+
+
 def test_spectra(spark):
     f = frame(spark, x=sine(3, 50, 1024, 1024, 2.0))
     amplitude = spectra.fft(f, spectra.FLAT_TOP)

@@ -182,8 +182,10 @@ def collapse_instants(f: SignalFrame, keep: str = "first", rows_per_slice: int =
 
 
 def collapse_plateaus(f: SignalFrame, keep: str = "first", rows_per_slice: int = ROWS_PER_SLICE) -> SignalFrame:
-    """One sample of each run of equal values, at the run's first or last time."""
+    """One sample of each run of equal values, at the run's first or last time; of those at that time the first."""
     s = run_ids(sliced(f.samples, rows_per_slice, f.longest), F.col("prev").isNull() | (F.col("prev.value") != F.col("value")))
-    at = {"first": F.min(F.struct("ts_ns", "seq")), "last": F.max(F.struct("ts_ns", "seq"))}[keep]
+    backwards = F.struct("ts_ns", F.bitwise_not("seq").alias("seq"))
+    at = {"first": F.min(F.struct("ts_ns", "seq")), "last": F.max(backwards)}[keep]
     runs = s.df.groupBy("channel", "run").agg(at.alias("at"), F.first("value").alias("value"))
-    return f.with_samples(runs.select("channel", "at.seq", "at.ts_ns", "value"))
+    seq = F.col("at.seq") if keep == "first" else F.bitwise_not("at.seq")
+    return f.with_samples(runs.select("channel", seq.alias("seq"), "at.ts_ns", "value"))
